@@ -18,8 +18,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left of every document once each 20-word passage stays only where it starts first."""
+    from tracewell.llm.substring_dedup import factor
+
+    return factor(_table(spark, sf_dir, "documents")).drop("factors")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing,)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup)}
 
 
 def oracle_sql() -> dict:
