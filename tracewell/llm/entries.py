@@ -25,8 +25,16 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factor(_table(spark, sf_dir, "documents")).drop("factors")
 
 
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from tracewell.llm.simhash import clustered, hex_digits
+
+    found = clustered(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op7_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict:
