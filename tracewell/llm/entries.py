@@ -33,8 +33,23 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: base counts and digests, and all spans."""
+    from tracewell.llm.pii import detect, digest
+
+    return digest(detect(_table(spark, sf_dir, "documents")))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that is nearly a benchmark item."""
+    from tracewell.llm.decontamination import hits
+
+    return hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_substring_dedup, op7_simhash_near_dedup)}
+    found = (op1_best_fit_packing, op2_substring_dedup, op6_pii, op7_simhash_near_dedup, op10_decontamination)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
