@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import WordHashes, mixed, rolling, text_batches
+from tracewell.llm.words import WordHashes, mixed, rolling, text_batches, word_hashes
 from tracewell.plans.staging import stage
 
 SHINGLE = 5
@@ -183,7 +183,7 @@ def _pass(picked: DataFrame, items: list, min_similarity: float) -> DataFrame:
     shared = picked.sparkSession.sparkContext.broadcast(items)
 
     def search(batches):
-        index, cache = ItemIndex(shared.value), WordHashes()
+        index, cache = ItemIndex(shared.value), word_hashes()
         for batch, texts in text_batches(batches):
             ids = batch.column("doc_id").to_pylist()
             rows, begin = [], 0

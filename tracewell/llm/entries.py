@@ -47,10 +47,73 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: The rules of the registered URL query.
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest rule and verdict of every page."""
+    from tracewell.llm.url_filter import judged
+
+    rows = ", ".join(str(r) for r in URL_RULES)
+    rules = spark.sql(f"SELECT * FROM VALUES {rows} AS rules(rule_host, rule_path, rule_verdict)")
+    return judged(_table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP8_SQL = """
+WITH cut AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+    SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), rules(h, p, v) AS (
+    VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
+), fits AS (
+    SELECT page_id, host, path, h || p AS rule, v,
+           row_number() OVER (PARTITION BY page_id ORDER BY length(h) + length(p) DESC NULLS LAST) AS nth
+    FROM parsed LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHERE nth = 1
+"""
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document; a third of them is held out from training."""
+    from tracewell.llm.language_id import held_out, identify, train
+
+    docs = _table(spark, sf_dir, "documents")
+    apart = held_out("doc_id", 3, 1)
+    found = identify(docs, train(docs.where(~apart).select("doc_id", "text", "lang")))
+    return found.select("doc_id", apart.alias("held_out"), "lang_pred", "score")
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a quarter of them is held out from training."""
+    from tracewell.llm.language_id import held_out
+    from tracewell.llm.quality_classifier import scored, train
+
+    docs = _table(spark, sf_dir, "documents")
+    apart = held_out("doc_id", 4, 2)
+    found = scored(docs, train(docs, _table(spark, sf_dir, "labels").where(~apart)))
+    return found.select("doc_id", apart.alias("held_out"), "score", "predicted")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, the base rules and the learned verdict."""
+    from tracewell.llm.quality_rules import judged, learned_list
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = learned_list(docs, _table(spark, sf_dir, "labels"))
+    return judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict:
-    found = (op1_best_fit_packing, op2_substring_dedup, op6_pii, op7_simhash_near_dedup, op10_decontamination)
+    found = (
+        op1_best_fit_packing, op2_substring_dedup, op4_language_id, op5_quality_classifier, op6_pii,
+        op7_simhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination,
+    )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op8_url_filters": OP8_SQL}

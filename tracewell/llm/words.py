@@ -6,6 +6,8 @@ yields on UTF-8 text.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import xxhash
 
@@ -29,6 +31,12 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+@cache
+def word_hashes() -> WordHashes:
+    """One cache for each Python worker: it serves all tasks that run there."""
+    return WordHashes()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser; its input is left alone."""
     x = x ^ (x >> np.uint64(30))
