@@ -77,6 +77,13 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM fits WHER
 """
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tracewell.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; a third of them is held out from training."""
     from tracewell.llm.language_id import held_out, identify, train
@@ -107,10 +114,17 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     found = (
-        op1_best_fit_packing, op2_substring_dedup, op4_language_id, op5_quality_classifier, op6_pii,
-        op7_simhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination,
+        op1_best_fit_packing, op2_substring_dedup, op3_html_extraction, op4_language_id, op5_quality_classifier, op6_pii,
+        op7_simhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination, pipeline,
     )
     return {f.__name__: f for f in found}
 

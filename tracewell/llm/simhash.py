@@ -33,10 +33,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import text_batches
+from tracewell.llm.words import rolling, text_batches, word_hashes
 from tracewell.plans.staging import stage
 
 SHINGLE = 3
@@ -161,14 +161,19 @@ def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 def _links(group: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Links inside one anchor's sorted distinct fingerprints, enough to join what is linked."""
     n = len(group)
-    if n <= CROWDED or threshold > 2:
-        us, vs = [], []
-        for i in range(n - 1):
-            near = np.flatnonzero(np.bitwise_count(group[i + 1 :] ^ group[i]) <= threshold)
-            us.append(np.full(len(near), i))
-            vs.append(near + i + 1)
-        return np.concatenate(us), np.concatenate(vs)
     us, vs = [], []
+    if threshold > 2:  # a walk that compares each reached fingerprint with those not yet reached
+        left = np.arange(n)
+        while len(left):
+            todo, left = [int(left[0])], left[1:]
+            while todo and len(left):
+                here = todo.pop()
+                near = np.bitwise_count(group[left] ^ group[here]) <= threshold
+                us.append(np.full(int(near.sum()), here))
+                vs.append(left[near])
+                todo += left[near].tolist()
+                left = left[~near]
+        return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
     step = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(64, dtype=np.uint64)]) if threshold == 2 else None
     if threshold == 2:  # equal words one bit away: chains of equal keys
         keys = (group[:, None] ^ step[None, :]).ravel()
@@ -282,6 +287,96 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
     return signed.hint("merge").join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---------------------------------------------------------------- near copies of texts
+
+#: Near copies: bits between content fingerprints, words of a shingle, and similarity.
+COPY_THRESHOLD, COPY_SHINGLE, MIN_SIMILARITY = 4, 5, 0.8
+#: Words of at least so many bytes make the content fingerprint.
+CONTENT_BYTES = 6
+#: Rounds in which what is unlike its group's first document is compared with the next first one.
+COPY_ROUNDS = 4
+
+
+def _content_rows(texts: list[bytes]) -> np.ndarray:
+    """64-bit fingerprints over the set of longer words (of all words, if none is longer)."""
+    digest, out = xxhash.xxh64_intdigest, np.zeros(len(texts), dtype=np.uint64)
+    for row, text in enumerate(texts):
+        words = set(text.translate(_LOWER).split())
+        hashes = [digest(w, SEED) for w in words if len(w) >= CONTENT_BYTES] or [digest(w, SEED) for w in words]
+        if hashes:
+            bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            out[row] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0]
+    return out
+
+
+def _content_signatures(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, text_hash): the content fingerprint and 128 bits of the whole text."""
+
+    def sign(batches):
+        for batch, texts in text_batches(batches):
+            hashes = pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_content_rows(texts).view(np.int64)), hashes], names=["doc_id", "fp", "text_hash"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return picked.mapInArrow(sign, "doc_id long, fp long, text_hash binary")
+
+
+def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, root, shingles): hashes of the different shingles of lower-cased words."""
+
+    def cut(batches):
+        for batch, rows in text_batches(batches):
+            hashes = (word_hashes().of(t.translate(_LOWER).split()) for t in rows)
+            sets = [np.unique(rolling(h, min(size, max(1, len(h))))).view(np.int64) for h in hashes]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("root"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "root", "shingles"])
+
+    return texts.mapInArrow(cut, "doc_id long, root long, shingles array<long>")
+
+
+def copies(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(doc_id, copy_of): documents that repeat, or nearly repeat, one with a smaller doc_id that stays.
+
+    Equal texts are found by a hash of the whole text.  The rest are grouped by SimHash of
+    their longer words (at most COPY_THRESHOLD bits apart, over anchors); in a group, each document is
+    compared with the group's first one, and is its copy if the Jaccard similarity of their
+    five-word shingles reaches ``min_similarity``; what is left is compared with the next first
+    one, in up to COPY_ROUNDS rounds.  A copy is therefore always verified against a text that stays.
+    """
+    signed = stage(_content_signatures(docs.where("doc_id is not null")), "contents")
+    texts = stage(signed.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
+    equal = signed.hint("merge").join(texts.select("text_hash", "first"), "text_hash").where("doc_id <> first").select("doc_id", F.col("first").alias("copy_of"))
+    rooted = components(links(texts.select("fp").distinct(), COPY_THRESHOLD))
+    placed = texts.hint("merge").join(rooted, texts.fp == rooted.node, "left").select(F.col("first").alias("doc_id"), F.coalesce("root", "fp").alias("root"))
+    crowds = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("crowd"))
+    members = placed.hint("merge").join(crowds, F.col("root") == F.col("crowd"), "left_semi")
+    ids = docs.select(F.col("doc_id").cast("long").alias("text_id"), F.col("text").cast("binary").alias("text"))
+    left = stage(_shingle_sets(ids.hint("merge").join(members, F.col("text_id") == F.col("doc_id")).select("doc_id", "root", "text"), COPY_SHINGLE).dropDuplicates(["doc_id"]), "shingles")
+    out = equal.distinct()
+    for number in range(COPY_ROUNDS):
+        firsts = left.groupBy("root").agg(F.min("doc_id").alias("first")).withColumnRenamed("root", "first_root")
+        own = (F.col("root") == F.col("first_root")) & (F.col("doc_id") == F.col("first"))
+        first = left.hint("merge").join(firsts, own).select("first_root", "first", F.col("shingles").alias("of_first"))
+        common = F.size(F.array_intersect("shingles", "of_first"))
+        alike = common >= min_similarity * (F.size("shingles") + F.size("of_first") - common)
+        met = left.where("size(shingles) > 0").hint("merge").join(first, F.col("root") == F.col("first_root")).where("doc_id <> first").select("doc_id", "root", "shingles", "first", alike.alias("alike"))
+        met = stage(met, "compared")
+        out = out.unionByName(met.where("alike").select("doc_id", F.col("first").alias("copy_of")))
+        left = met.where("not alike").select("doc_id", "root", "shingles")
+        if number + 1 == COPY_ROUNDS or left.isEmpty():
+            return out
+
+
+def deduplicated(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of copies; the columns stay.
+
+    Rows that repeat a doc_id and its text count once; rows with a null doc_id all stay.
+    """
+    gone = stage(copies(docs, min_similarity).select(F.col("doc_id").alias("copy_doc_id")).distinct(), "copies")
+    left = docs.hint("merge").join(gone, F.col("doc_id").cast("long") == F.col("copy_doc_id"), "left_anti")
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    return left.withColumn("__nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(again))).where("__nth = 1").drop("__nth")
+
+
 def hex_digits(fp) -> F.Column:
     """The 16 lowercase hex digits of a fingerprint column."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
