@@ -175,7 +175,8 @@ def digest(found: DataFrame) -> DataFrame:
     """Counts and digests of the spans of ``detect``."""
     base = F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS))
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of_kind = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind))
+    counts = [of_kind(k).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(line(base), 256).alias("base_sha256"), line(F.col("found")).alias("spans"))
 
 
