@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+from tracewell import registry
+from tracewell.plans import (  # noqa: F401  (each registers its queries)
+    audit_queries,
+    intake_queries,
+    ledger_queries,
+    sequence_queries,
+    stream_queries,
+    text_queries,
+    tree_queries,
+    version_queries,
+    web_queries,
+)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.ORACLES)
