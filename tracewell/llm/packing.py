@@ -23,15 +23,17 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import CACHE_ENTRIES, text_batches
+from tracewell.llm.words import text_batches
 from tracewell.plans.staging import stage
 
 CAPACITY = 4096
@@ -49,11 +51,27 @@ PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long
 # ---------------------------------------------------------------- tokens
 
 
+#: Chunks that a task remembers; from then on, new ones serve their group of texts alone.
+#: Frequent chunks come early, so those that matter are remembered.
+CACHE_CHUNKS = 1_200_000
+_SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that byte-level tokenizers write for each byte."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    other = [b for b in range(256) if b not in set(own)]
+    letters = {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(other)}
+    return [letters[b] for b in range(256)]
+
+
 class ChunkEncoder:
     """Token ids of whole texts through a bounded cache of white-space-delimited chunks.
 
     No pre-token crosses white space in the tokenizers this is used with, so the ids of a
-    text are those of its chunks in turn.  Unseen chunks are encoded many at a time,
+    text are those of its chunks in turn.  A chunk of plain letters with or without closing
+    punctuation goes to the tokenizer's own model directly, in lower case; whether that gives
+    the tokenizer's ids is tried out first.  Other unseen chunks are encoded many at a time,
     held apart by a special token, which the tokenizer recognises before anything else.
     """
 
@@ -65,56 +83,98 @@ class ChunkEncoder:
         special = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special)
         self.mark_id, self.mark = special[0] if special else (None, None)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.letters = _byte_letters()
         self.cache: dict[bytes, bytes] = {}
+        self.ends: dict[str, bytes] = {"": b""}
+        samples = ["The", "word", "Stra\u00dfe", "\u00c9t\u00e9", "a", "z\u00fcrich", "Internationalisation", "xqzj", "\u00d1and\u00fa", "cat"]
+        try:
+            self.direct = all(self._letters_ids(w.lower()) == self._encode([w])[0].tobytes() for w in samples)
+        except Exception:  # a model without such a method, or with another alphabet
+            self.direct = False
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.asarray(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters_ids(self, stem: str) -> bytes:
+        """Ids of a lower-case word of letters, from the model alone."""
+        if not stem.isascii():
+            stem = "".join([self.letters[b] for b in stem.encode("utf-8")])
+        return np.array([t.id for t in self.tokenizer.model.tokenize(stem)], dtype=self.dtype).tobytes()
+
     def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.cache) + len(chunks) > CACHE_ENTRIES:
-            self.cache.clear()
-        joined, alone = [], []
+        cache, simple = self.cache, _SIMPLE.fullmatch
+        rest: list[tuple[bytes, str]] = []
         for chunk in chunks:
             text = chunk.decode("utf-8")
+            match = simple(text) if self.direct else None
+            if not match:
+                rest.append((chunk, text))
+                continue
+            word, end = match.groups()
+            if end not in self.ends:
+                self.ends[end] = self._encode([end])[0].tobytes()
+            stem = word.lower()
+            key = stem.encode("utf-8")
+            ids = cache.get(key)
+            if ids is None:
+                ids = self._letters_ids(stem)
+                if key != chunk and len(cache) < CACHE_CHUNKS:
+                    cache[key] = ids
+            cache[chunk] = ids + self.ends[end]
+        joined, alone = [], []
+        for chunk, text in rest:
             (alone if self.mark is None or "<" in text or len(text) > 200 else joined).append((chunk, text))
         groups = [joined[i : i + 100] for i in range(0, len(joined), 100)]
         for group, ids in zip(groups, self._encode([self.mark.join(t for _, t in g) for g in groups]) if groups else []):
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             begin = 0
             for (chunk, _), end in zip(group, ends):
-                self.cache[chunk] = ids[begin:end].tobytes()
+                cache[chunk] = ids[begin:end].tobytes()
                 begin = end + 1
         for (chunk, _), ids in zip(alone, self._encode([t for _, t in alone]) if alone else []):
-            self.cache[chunk] = ids.tobytes()
+            cache[chunk] = ids.tobytes()
 
     def ids(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        group: list[list[bytes]] = []
-        held = 0
+        words: list[bytes] = []
+        ends: list[int] = []
         for text in texts:
-            group.append(text.split())
-            held += len(group[-1])
-            if held >= 50_000:
-                yield from self._group(group)
-                group, held = [], 0
-        yield from self._group(group)
-
-    def _group(self, group: list[list[bytes]]) -> Iterator[np.ndarray]:
-        unseen = set().union(*group).difference(self.cache) if group else ()
-        if unseen:
-            before = len(self.cache)
-            self._learn(list(unseen))
-            if len(self.cache) < before:  # the cache began afresh
-                self._learn(list(set().union(*group).difference(self.cache)))
-        for words in group:
-            yield np.frombuffer(b"".join(map(self.cache.__getitem__, words)), dtype=self.dtype)
+            words += text.split()
+            ends.append(len(words))
+            if len(words) >= 50_000:
+                yield from self._group(words, ends)
+                words, ends = [], []
+        yield from self._group(words, ends)
+
+    def _group(self, words: list[bytes], ends: list[int]) -> Iterator[np.ndarray]:
+        cache = self.cache
+        found = list(map(cache.get, words))
+        if None in found:
+            unseen = [i for i, x in enumerate(found) if x is None]
+            new = {words[i] for i in unseen}
+            self._learn(list(new))
+            for i in unseen:
+                found[i] = cache[words[i]]
+            if len(cache) > CACHE_CHUNKS:
+                for chunk in new:
+                    del cache[chunk]
+        begin = 0
+        for end in ends:
+            yield np.frombuffer(b"".join(found[begin:end]), dtype=self.dtype)
+            begin = end
+
+
+@cache
+def _encoder(path: str) -> ChunkEncoder:
+    """One encoder for each Python worker: its cache serves all tasks that run there."""
+    return ChunkEncoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """One row per piece of each document: (doc_id, piece, start, length, ids_crc32[, ids])."""
 
     def cut(batches):
-        encoder = ChunkEncoder(tokenizer_path)
+        encoder = _encoder(tokenizer_path)
         end = np.array([end_id], dtype="<u4")
         for batch, texts in text_batches(batches):
             rows: list[list] = [[] for _ in range(6 if with_ids else 5)]
@@ -255,34 +315,54 @@ def bin_completion(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NOD
     best = best_fit(hist, capacity)
     best_n = sum(m for m, _ in best)
     singly = sum(hist.values()) <= 200  # few pieces: branch on one sequence at a time
-    nodes = 0
-    stack: list[tuple[dict[int, int], list[tuple[int, dict[int, int]]], int, int]] = [(hist, [], 0, 0)]
-    while stack and best_n > bound and nodes < max_nodes:
-        rest, made, n_made, waste = stack.pop()
-        nodes += 1
-        if waste > (best_n - 1) * capacity - volume:
-            continue
-        if rest:
-            completion = best_fit(rest, capacity)
-            total = n_made + sum(m for m, _ in completion)
-            if total < best_n:
-                best, best_n = made + completion, total
-        if not rest or n_made + lower_bound(rest, capacity) >= best_n:
-            continue
+    rest, made, n_made, waste, nodes = dict(hist), [], 0, 0, 0
+
+    def branches():
+        """Fillings of the sequence that the largest remaining piece opens: (times, pattern)."""
         top = max(rest)
-        without = dict(rest)
-        without[top] -= 1
-        without = {s: n for s, n in without.items() if n}
-        branches = []
-        for filling in fillings(without, capacity - top, max_fillings):
+        rest[top] -= 1
+        chosen = fillings({s: n for s, n in rest.items() if n}, capacity - top, max_fillings)
+        rest[top] += 1
+        for filling in chosen:
             pattern = {top: 1}
             for s in filling:
                 pattern[s] = pattern.get(s, 0) + 1
-            times = 1 if singly else min(rest[s] // k for s, k in pattern.items())
-            after = {s: n - times * pattern.get(s, 0) for s, n in rest.items()}
-            lost = times * (capacity - sum(s * k for s, k in pattern.items()))
-            branches.append(({s: n for s, n in after.items() if n}, [*made, (times, pattern)], n_made + times, waste + lost))
-        stack.extend(reversed(branches))
+            yield (1 if singly else min(rest[s] // k for s, k in pattern.items())), pattern
+
+    def take(times: int, pattern: dict[int, int]) -> int:
+        """Move sequences out of (or, with negative times, back to) ``rest``; the waste they add."""
+        for s, k in pattern.items():
+            left = rest.pop(s, 0) - times * k
+            if left:
+                rest[s] = left
+        return times * (capacity - sum(s * k for s, k in pattern.items()))
+
+    path = [branches()]  # one open node per depth; the histogram is undone on the way back
+    while path and best_n > bound and nodes < max_nodes:
+        step = next(path[-1], None)
+        if step is None:
+            path.pop()
+            if made:
+                times, pattern = made.pop()
+                n_made -= times
+                waste += take(-times, pattern)
+            continue
+        nodes += 1
+        made.append(step)
+        n_made += step[0]
+        waste += take(*step)
+        if waste <= (best_n - 1) * capacity - volume:
+            if singly or not rest or nodes % 64 == 1:
+                completion = best_fit(rest, capacity)
+                total = n_made + sum(m for m, _ in completion)
+                if total < best_n:
+                    best, best_n = list(made) + completion, total
+            if rest and not (singly and n_made + lower_bound(rest, capacity) >= best_n):
+                path.append(branches())
+                continue
+        made.pop()
+        n_made -= step[0]
+        waste += take(-step[0], step[1])
     return best
 
 
