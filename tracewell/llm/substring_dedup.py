@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import WordHashes, rolling
+from tracewell.llm.words import WordHashes, rolling, word_hashes
 from tracewell.plans.staging import stage, stage_bucketed
 
 WINDOW = 20
@@ -122,6 +122,8 @@ class Block:
 
     def seeds(self) -> np.ndarray:
         """The seed of each window: the least of its SEED-word hashes."""
+        if len(self.words) < self.window:
+            return np.zeros(0, np.uint64)
         low, width, target = rolling(self.words, SEED), 1, self.window - SEED + 1
         while width < target:
             step = min(width, target - width)
@@ -236,12 +238,9 @@ def factor(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
         raise ValueError(f"a window has at least {SEED} words")
     blocks, size = reference_blocks(docs, block_bytes)
     bits = max(3, math.ceil(math.log2(max(1, size / 6 / 4 / KEYS_PER_BUCKET))))
-    shared_hashes: dict = {}  # one cache per Python worker: filled after this function is shipped
 
     def read(payload: bytes) -> Block:
-        if "hashes" not in shared_hashes:
-            shared_hashes["hashes"] = WordHashes()
-        return Block(payload, window, shared_hashes["hashes"])
+        return Block(payload, window, word_hashes())
 
     def seed_keys(batches):
         for batch in batches:
