@@ -248,3 +248,67 @@ def test_classification(spark):
 def test_digest_is_ordered(spark):
     df = spark.createDataFrame([(1, 2, "b"), (1, 1, "a")], "material_id int, ord int, t string")
     assert intake.ordered_digest(df, F.col("t"), F.col("ord")).first().digest == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_markdown_objects():
+    from tracewell.sources.markup import markdown_objects, rst_directives
+
+    source = "---\na: 1\n---\n# T #\ntext $x$\nmore\n\n- item\n```py\n# no\n```\n| a | b |\n|---|---|\n[^1]: note\nend"
+    assert [(k, t, g) for k, t, g, _ in markdown_objects(source)] == [
+        ("metadata", "a: 1", "yaml"), ("heading", "T", None), ("text", "text $x$\nmore", None), ("formula", "x", None), ("text", "item", None), ("code", "# no", "py"),
+        ("table", "| a | b |\n|---|---|", None), ("footnote", "[^1]: note", None), ("text", "end", None),
+    ]
+    assert list(markdown_objects("")) == []
+    rst = "x\n.. note:: Take care\n   of it\n\n.. toctree::\n   :maxdepth: 2\nend"
+    assert [(k, t, n) for k, t, n, _ in rst_directives(rst)] == [("text", "Take care\nof it", "note"), ("metadata", ":maxdepth: 2", "toctree")]
+
+
+def test_delivery_states(spark):
+    from tracewell.operators.delivery import delivery_states
+
+    steps = [("a", k) for k in ("review_ready", "accept", "publish")] + [("b", k) for k in ("publish", "review_ready", "edit", "accept")]
+    events = spark.createDataFrame([(p, datetime.datetime(2024, 1, 1), i, k) for i, (p, k) in enumerate(steps)], "project string, ts timestamp, event_id int, kind string")
+    assert rows(delivery_states(events), "project", "state", "rejected") == [("a", "published", 0), ("b", "draft", 2)]
+
+
+def test_marker_issues(spark):
+    from tracewell.operators.delivery import issue_counts, marker_issues
+
+    lines = spark.createDataFrame([(1, 0, "{{source:a}}", False), (1, 1, "see {{source:b}}", False), (1, 2, "{{source:a}}", False), (1, 3, "{{source:z}}", True)], "material_id int, line_no int, line string, protected boolean")
+    known = spark.createDataFrame([(1, "a")], "material_id int, marker string")
+    issues = marker_issues(lines, known)
+    assert rows(issues, "line_no", "code") == [(1, "MARKER_PLACEMENT"), (1, "UNKNOWN_MARKER"), (2, "DUPLICATE_RESOURCE")]
+    assert rows(issue_counts(issues), "repair", "confirm", "service") == [(2, 1, 0)]
+
+
+def test_names_and_trees(spark):
+    from tracewell.operators.delivery import acronym_definitions, anchored, name_status, node_faults
+    from tracewell.operators.repairs import reordered_units
+
+    names = spark.createDataFrame([(1, "Redis"), (2, "table"), (3, "None"), (4, "first name")], "name_id int, name string")
+    quotes = spark.createDataFrame([(1, "uses Redis."), (2, "a <table > tag"), (2, None), (4, "first and last name")], "name_id int, quote string")
+    assert rows(name_status(names, quotes), "name_id", "status") == [(1, "verified"), (2, "verified"), (3, "unsearched"), (4, "verified")]
+    concepts = spark.createDataFrame([(1, "s", "API"), (2, "s", "AP"), (3, "gone", "X")], "concept_id int, source_id string, short string")
+    sources = spark.createDataFrame([("s", "an API here")], "source_id string, text string")
+    assert rows(anchored(concepts, sources), "concept_id", "anchored") == [(1, True), (2, False), (3, False)]
+    nodes = spark.createDataFrame([("t", 1, None), ("t", 2, 1), ("t", 2, 1), ("t", 3, 9), ("t", 4, 5), ("t", 5, 4)], "tree string, id int, parent int")
+    assert rows(node_faults(nodes), "id", "fault") == [(2, "repeated"), (3, "unknown parent"), (4, "unreachable"), (5, "unreachable")]
+    line = spark.createDataFrame([("接口（Application Interface, API）",), ("接口（API）",)], "line string")
+    assert rows(acronym_definitions(line), "acronym") == [("API",)]
+    unit = spark.createDataFrame([("5 kg（千克，kilograms）",)], "t string")
+    assert unit.select(reordered_units(F.col("t"))).first()[0] == "5 千克（kilograms，kg）"
+
+
+def test_streaming_folds(spark, tmp_path):
+    from tracewell.streaming import jobs
+
+    start = datetime.datetime(2024, 1, 1)
+    data = [(i, start + datetime.timedelta(seconds=20 * i if i < 5 else 500 + i), i % 2, "error" if i % 3 else "view", 6.0) for i in range(8)]
+    log = spark.createDataFrame(data, "event_id long, ts timestamp, user_id long, event_type string, value double")
+    log.coalesce(1).write.parquet(str(tmp_path / "log.parquet"))
+    events = lambda: jobs.event_stream(spark, str(tmp_path / "log.parquet"))
+    admitted = rows(jobs.drained(jobs.admission(events(), 13.0), "t09"), "event_id", "admitted")
+    assert admitted == [(0, True), (1, True), (2, True), (3, True), (4, False), (5, False), (6, False), (7, False)]
+    assert dict(rows(jobs.drained(jobs.fault_streaks(events()), "t08"), "event_id", "streak"))[7] == 2
+    gone = rows(jobs.drained(jobs.expired_leases(events(), 45), "t04"), "user_id")
+    assert gone.count((0,)) >= 1 and gone.count((1,)) >= 1

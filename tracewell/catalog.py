@@ -5,6 +5,7 @@ from __future__ import annotations
 from tracewell import registry
 from tracewell.plans import (  # noqa: F401  (each registers its queries)
     audit_queries,
+    delivery_queries,
     intake_queries,
     ledger_queries,
     sequence_queries,
