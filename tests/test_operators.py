@@ -312,3 +312,14 @@ def test_streaming_folds(spark, tmp_path):
     assert dict(rows(jobs.drained(jobs.fault_streaks(events()), "t08"), "event_id", "streak"))[7] == 2
     gone = rows(jobs.drained(jobs.expired_leases(events(), 45), "t04"), "user_id")
     assert gone.count((0,)) >= 1 and gone.count((1,)) >= 1
+
+
+def test_quotes_resolve_to_one_place():
+    from tracewell.functions.quotes import resolve
+
+    source = "One two,  three. Four five six. One two."
+    assert resolve("three. Four", source) == "three. Four"
+    assert resolve("two three", source) == "two,  three"
+    assert resolve("One two", source) is None
+    assert resolve("Four ... six", source) == "Four five six"
+    assert resolve("absent", source) is None and resolve(None, source) is None and resolve("", "") == "" and resolve("x", None) is None

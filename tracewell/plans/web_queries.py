@@ -333,6 +333,19 @@ def j18_quote_resolution(spark, sf_dir):
     return met.select("doc_id", "item_id", (hits == 1).alias("unique_match"))
 
 
+@query("SELECT d.doc_id, b.item_id, CASE WHEN (length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) = 1 THEN sha256(b.text) END AS quote_sha FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+def j18_tolerant_quotes(spark, sf_dir):
+    """Passages quoted with other white space resolve to the exact bytes of their source, if to one place."""
+    from tracewell.functions.quotes import source_quote
+
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    met = table(spark, sf_dir, "documents").select("doc_id", "text").join(bind.small(items), F.contains("text", F.col("item")))
+    spread = F.regexp_replace("item", r"\s+", "  ")
+    quote = source_quote(spread, "text")
+    tail = F.regexp_extract("item", r"([^\p{L}\p{N}]*)$", 1)
+    return met.select("doc_id", "item_id", F.sha2(F.when(quote.isNotNull(), F.concat(quote, tail)), 256).alias("quote_sha"))
+
+
 @query(f"WITH {OBJECTS_SQL} SELECT l.doc_id AS fact, sha256(o.text) AS quote_sha FROM labels l JOIN objects o ON o.material_id = l.doc_id AND o.object_id = 'src-00001'")
 def j19_fact_quotes(spark, sf_dir):
     first = objects(spark, sf_dir).where("object_id = 'src-00001'")
