@@ -241,9 +241,11 @@ def a27_fidelity_issues(spark, sf_dir):
 @query("WITH rules AS (SELECT DISTINCT event_type AS rule FROM events), u AS (SELECT DISTINCT user_id FROM events), e AS (SELECT user_id, event_type AS rule, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, rule, coalesce(n, 0) AS judged, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'repeated' ELSE 'once' END AS state FROM u CROSS JOIN rules LEFT JOIN e USING (user_id, rule)")
 def a28_style_rules(spark, sf_dir):
     """Every rule judged exactly once per reviewer: what is missing and what is repeated."""
+    from tracewell.operators.binding import small
+
     events = table(spark, sf_dir, "events").withColumnRenamed("event_type", "rule")
     counted = events.groupBy("user_id", "rule").agg(F.count("*").alias("n"))
-    every = counted.select("user_id").distinct().crossJoin(F.broadcast(counted.select("rule").distinct()))
+    every = counted.select("user_id").distinct().crossJoin(small(counted.select("rule").distinct()))
     state = F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "repeated").otherwise("once")
     return every.join(counted, ["user_id", "rule"], "left").select("user_id", "rule", F.coalesce("n", F.lit(0)).alias("judged"), state.alias("state"))
 
