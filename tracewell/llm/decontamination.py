@@ -236,8 +236,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIM
     rows with a null doc_id go if one of them has a hit.
     """
     found = stage(hits(docs, benchmark, min_similarity).select("doc_id").distinct(), "contaminated")
-    marked = found.select(F.col("doc_id").alias("hit_doc_id"))
-    return docs.hint("merge").join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("hit_doc_id")), "left_anti")
+    marked = found.select(F.col("doc_id").alias("__hit"))
+    return docs.hint("merge").join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("__hit")), "left_anti")
 
 
 def contaminated(found: DataFrame) -> DataFrame:

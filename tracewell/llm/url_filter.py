@@ -83,8 +83,8 @@ def judged(urls: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDICT, pa
     """``urls`` with host, path, rule (null if none fits) and verdict."""
     partitions = partitions or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     split = parsed(urls.drop("host", "path", "rule", "verdict"))
-    sites = swept(split.select("host").distinct(), rules, partitions).select(F.col("host").alias("swept_host"), "stack")
-    fitting = F.filter("stack", lambda r: F.col("path").startswith(r["path"]))
+    sites = swept(split.select("host").distinct(), rules, partitions).select(F.col("host").alias("__host"), F.col("stack").alias("__stack"))
+    fitting = F.filter("__stack", lambda r: F.col("path").startswith(r["path"]))
     best = F.array_max(F.transform(fitting, lambda r: F.struct(r["size"].alias("size"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    met = split.hint("merge").join(sites, F.col("host") == F.col("swept_host"), "left").withColumn("best", best)
-    return met.withColumn("rule", F.col("best.rule")).withColumn("verdict", F.coalesce("best.verdict", F.lit(default))).drop("swept_host", "stack", "best")
+    met = split.hint("merge").join(sites, F.col("host") == F.col("__host"), "left").withColumn("__best", best)
+    return met.withColumn("rule", F.col("__best.rule")).withColumn("verdict", F.coalesce("__best.verdict", F.lit(default))).drop("__host", "__stack", "__best")
