@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from functools import cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ THRESHOLD = 2
 CROWDED = 64
 #: (length, generator polynomial, covering radius) of the perfect cyclic codes, lowest bits first.
 CODES = ((23, 0b110001110101, 3), (23, 0b110001110101, 3), (15, 0b10011, 1))
+#: Anchors that a task computes together.
+_ANCHORS_AT_ONCE = 1 << 19
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -120,28 +123,21 @@ def _nearest(words: np.ndarray, code: tuple[int, int, int]) -> np.ndarray:
     return words ^ leader[low[words & np.uint32(len(low) - 1)] ^ high[words >> np.uint32(12)]]
 
 
-def anchors(fps: np.ndarray, half: int) -> np.ndarray:
+def anchors(fps: np.ndarray, half: int, codes: tuple = CODES) -> np.ndarray:
     """Row per fingerprint: the anchors of every word within ``half`` bits (repeats included)."""
     parts, shifts, at = [], [], 0
-    for code in CODES:
+    for code in codes:
         parts.append(((fps >> np.uint64(at)) & np.uint64((1 << code[0]) - 1)).astype(np.uint32))
         shifts.append(np.uint64(at))
         at += code[0]
-    flips = [[(0,)] + [tuple(c) for w in range(1, half + 1) for c in ([sum(1 << b for b in bits)] for bits in combinations(range(n), w))] for n, _, _ in CODES]
-    weight = lambda mask: bin(mask).count("1")
-    near = [{m[0]: _nearest(p ^ np.uint32(m[0]), code).astype(np.uint64) << s for m in masks} for p, s, masks, code in zip(parts, shifts, flips, CODES)]
-    columns = []
-
-    def combine(i: int, left: int, value: np.ndarray | None) -> None:
-        if i == len(CODES):
-            columns.append(value)
-            return
-        for mask, anchor in near[i].items():
-            if weight(mask) <= left:
-                combine(i + 1, left - weight(mask), anchor if value is None else value | anchor)
-
-    combine(0, half, None)
-    return np.stack(columns, axis=1) if len(fps) else np.zeros((0, 1), np.uint64)
+    found: list[tuple[int, np.ndarray]] = [(0, np.zeros(len(fps), dtype=np.uint64))]  # (bits spent, anchor so far)
+    for part, shift, code in zip(parts, shifts, codes):
+        near = []
+        for weight in range(half + 1):
+            for bits in combinations(range(code[0]), weight):
+                near.append((weight, _nearest(part ^ np.uint32(sum(1 << b for b in bits)), code).astype(np.uint64) << shift))
+        found = [(spent + weight, so_far | anchor) for spent, so_far in found for weight, anchor in near if spent + weight <= half]
+    return np.stack([anchor for _, anchor in found], axis=1)
 
 
 def _roots(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -191,16 +187,22 @@ def _links(group: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Edges (a, b) between different fingerprints of ``distinct(fp)`` that join all linked ones."""
+def links(distinct: DataFrame, threshold: int = THRESHOLD, codes: tuple = CODES) -> DataFrame:
+    """Edges (a, b) between different fingerprints of ``distinct(fp)`` that join all linked ones.
+
+    ``codes`` cover some of the bits; with fewer of them a fingerprint has fewer copies, and an
+    anchor more company.  What is linked does not depend on them.
+    """
     half = -(-threshold // 2)
+    bits = sum(c[0] for c in codes)
+    at_once = max(64, _ANCHORS_AT_ONCE // sum(comb(bits, w) for w in range(half + 1)))
 
     def replicate(batches):
         for batch in batches:
             fps = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            for begin in range(0, len(fps), 20_000):
-                part = fps[begin : begin + 20_000]
-                grid = np.sort(anchors(part.view(np.uint64), half), axis=1)
+            for begin in range(0, len(fps), at_once):
+                part = fps[begin : begin + at_once]
+                grid = np.sort(anchors(part.view(np.uint64), half, codes), axis=1)
                 first = np.ones(grid.shape, dtype=bool)
                 first[:, 1:] = grid[:, 1:] != grid[:, :-1]
                 row, column = np.nonzero(first)
@@ -345,7 +347,7 @@ def copies(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame
     signed = stage(_content_signatures(docs.where("doc_id is not null")), "contents")
     texts = stage(signed.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
     equal = signed.hint("merge").join(texts.select("text_hash", "first"), "text_hash").where("doc_id <> first").select("doc_id", F.col("first").alias("copy_of"))
-    rooted = components(links(texts.select("fp").distinct(), COPY_THRESHOLD))
+    rooted = components(links(texts.select("fp").distinct(), COPY_THRESHOLD, CODES[:2]))
     placed = texts.hint("merge").join(rooted, texts.fp == rooted.node, "left").select(F.col("first").alias("doc_id"), F.coalesce("root", "fp").alias("root"))
     crowds = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("crowd"))
     members = placed.hint("merge").join(crowds, F.col("root") == F.col("crowd"), "left_semi")
@@ -371,8 +373,8 @@ def deduplicated(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> Dat
 
     Rows that repeat a doc_id and its text count once; rows with a null doc_id all stay.
     """
-    gone = stage(copies(docs, min_similarity).select(F.col("doc_id").alias("copy_doc_id")).distinct(), "copies")
-    left = docs.hint("merge").join(gone, F.col("doc_id").cast("long") == F.col("copy_doc_id"), "left_anti")
+    gone = stage(copies(docs, min_similarity).select(F.col("doc_id").alias("__copy_of")).distinct(), "copies")
+    left = docs.hint("merge").join(gone, F.col("doc_id").cast("long") == F.col("__copy_of"), "left_anti")
     again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
     return left.withColumn("__nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(again))).where("__nth = 1").drop("__nth")
 

@@ -12,7 +12,7 @@ import numpy as np
 import xxhash
 
 #: Entries after which a per-task cache starts afresh, so that its memory stays bounded.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
@@ -75,7 +75,13 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
         return mixed(out[: len(h) - n + 1])
 
 
+#: Rows of an Arrow batch that become Python objects together.
+ROWS_AT_ONCE = 1_000
+
+
 def text_batches(batches, column: str = "text"):
-    """(batch, list of bytes per row) of Arrow batches whose text column was cast to binary."""
+    """(rows, list of bytes per row) of Arrow batches whose text column was cast to binary, a slice at a time."""
     for batch in batches:
-        yield batch, [b"" if x is None else x for x in batch.column(column).to_pylist()]
+        for begin in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(begin, ROWS_AT_ONCE)
+            yield part, [b"" if x is None else x for x in part.column(column).to_pylist()]
