@@ -53,7 +53,7 @@ PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long
 
 #: Chunks that a task remembers; from then on, new ones serve their group of texts alone.
 #: Frequent chunks come early, so those that matter are remembered.
-CACHE_CHUNKS = 1_200_000
+CACHE_CHUNKS = 400_000
 _SIMPLE = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 
