@@ -80,12 +80,17 @@ def train(rows: DataFrame, max_per_language: int = MAX_PER_LANGUAGE) -> tuple[li
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(total[at])], names=["lang", "bucket", "n"])
 
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    table = counted.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).toPandas()  # languages x BUCKETS at most
-    langs = sorted(table["lang"])
+
+    def vector(cells: pa.Table) -> pa.Table:
+        total = np.zeros(BUCKETS, dtype="<i8")
+        total[cells.column("bucket").to_numpy()] = cells.column("n").to_numpy()
+        return pa.table({"lang": cells.column("lang").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    table = counted.groupBy("lang").applyInArrow(vector, "lang string, counts binary").collect()  # a vector for each language
+    langs = sorted(r["lang"] for r in table)
     matrix = np.full((BUCKETS, len(langs)), SMOOTHING)
-    for lang, cells in zip(table["lang"], table["cells"]):
-        cells = np.array([(c["bucket"], c["n"]) for c in cells], dtype=np.int64)
-        matrix[cells[:, 0], langs.index(lang)] += cells[:, 1]
+    for row in table:
+        matrix[:, langs.index(row["lang"])] += np.frombuffer(row["counts"], dtype="<i8")
     return langs, np.log(matrix / matrix.sum(axis=0)).astype(np.float32)
 
 
