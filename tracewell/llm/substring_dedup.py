@@ -47,7 +47,7 @@ from tracewell.plans.staging import stage, stage_bucketed
 WINDOW = 20
 SEED = 8
 #: Text of one reference block; also what one task holds at a time.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 #: Hash values that one group of an exchange holds, about.
 KEYS_PER_BUCKET = 1 << 20
 _SEQ_BITS = 20
