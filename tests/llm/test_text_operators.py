@@ -183,6 +183,38 @@ def test_near_copies_are_verified(spark):
     assert sorted((r.doc_id for r in left.collect()), key=str) == [5, 8, 9, None]
 
 
+def brute_stays(docs: list[tuple], min_similarity: float = 0.8) -> set:
+    """doc_ids that stay when each text is compared with all that stay before it."""
+    stays: list[tuple] = []
+    for i, t in sorted(docs):
+        words = t.lower().split()
+        own = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+        if not any(t == u or len(own & other) >= min_similarity * len(own | other) for _, u, other in stays):
+            stays.append((i, t, own))
+    return {i for i, _, _ in stays}
+
+
+def test_near_copies_are_all_found(spark):
+    """Recall against brute force: copies with a tenth or so of the text added, cut or replaced."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    docs = []
+    for family in range(40):
+        base = [word() for _ in range(rng.choice([8, 60, 200]))]
+        docs.append(base)
+        for _ in range(3):
+            words, n = list(base), max(1, len(base) * rng.randint(4, 20) // 100)
+            at = rng.randrange(len(words))
+            words[at : at + (n if rng.random() < 0.7 else 0)] = [word() for _ in range(n if rng.random() < 0.7 else 0)]
+            docs.append(words)
+    rng.shuffle(docs)
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    want = brute_stays(docs)
+    assert 50 < len(want) < 140
+    left = simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == want
+
+
 # ---------------------------------------------------------------- PII
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}

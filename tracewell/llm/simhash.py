@@ -27,6 +27,7 @@ the input are ignored by ``fingerprints`` and kept by ``deduplicated``.
 
 from __future__ import annotations
 
+import math
 from functools import cache
 from itertools import combinations
 from math import comb
@@ -291,92 +292,209 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
 
 # ---------------------------------------------------------------- near copies of texts
 
-#: Near copies: bits between content fingerprints, words of a shingle, and similarity.
-COPY_THRESHOLD, COPY_SHINGLE, MIN_SIMILARITY = 4, 5, 0.8
-#: Words of at least so many bytes make the content fingerprint.
-CONTENT_BYTES = 6
-#: Rounds in which what is unlike its group's first document is compared with the next first one.
-COPY_ROUNDS = 4
+#: Near copies: words of a shingle, and similarity.
+COPY_SHINGLE, MIN_SIMILARITY = 5, 0.8
+#: Texts whose shingles are counted to tell common ones, and the common shingles that are broadcast.
+SAMPLED_TEXTS, MAX_COMMON = 4096, 200_000
 
 
-def _content_rows(texts: list[bytes]) -> np.ndarray:
-    """64-bit fingerprints over the set of longer words (of all words, if none is longer)."""
-    digest, out = xxhash.xxh64_intdigest, np.zeros(len(texts), dtype=np.uint64)
-    for row, text in enumerate(texts):
-        words = set(text.translate(_LOWER).split())
-        hashes = [digest(w, SEED) for w in words if len(w) >= CONTENT_BYTES] or [digest(w, SEED) for w in words]
-        if hashes:
-            bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            out[row] = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<u8")[0]
-    return out
+def text_key(text: str = "text") -> F.Column:
+    """128 bits of the whole text; a null text is an empty one."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
 
 
-def _content_signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, text_hash): the content fingerprint and 128 bits of the whole text."""
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the key of their text and a doc_id that joins null with null."""
+    id_ = F.col("doc_id").cast("long")
+    return docs.withColumns({"__text_key": text_key(), "__id": F.coalesce(id_, F.lit(0)), "__no_id": id_.isNull()})
 
-    def sign(batches):
-        for batch, texts in text_batches(batches):
-            hashes = pa.array([xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(_content_rows(texts).view(np.int64)), hashes], names=["doc_id", "fp", "text_hash"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return picked.mapInArrow(sign, "doc_id long, fp long, text_hash binary")
+def _shingle_set(text: bytes) -> np.ndarray:
+    """Hashes of the different five-word shingles of lower-cased words, in order."""
+    h = word_hashes().of(text.translate(_LOWER).split())
+    return np.unique(rolling(h, min(COPY_SHINGLE, max(1, len(h)))))
 
 
-def _shingle_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(doc_id, root, shingles): hashes of the different shingles of lower-cased words."""
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(n, shingles)"""
 
     def cut(batches):
         for batch, rows in text_batches(batches):
-            hashes = (word_hashes().of(t.translate(_LOWER).split()) for t in rows)
-            sets = [np.unique(rolling(h, min(size, max(1, len(h))))).view(np.int64) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("root"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "root", "shingles"])
+            sets = [_shingle_set(t).view(np.int64) for t in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(sets, pa.list_(pa.int64()))], names=["n", "shingles"])
 
-    return texts.mapInArrow(cut, "doc_id long, root long, shingles array<long>")
+    return texts.mapInArrow(cut, "n long, shingles array<long>")
 
 
-def copies(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
-    """(doc_id, copy_of): documents that repeat, or nearly repeat, one with a smaller doc_id that stays.
+def _common_shingles(texts: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, how often) of those that several of a bounded sample of texts share.
 
-    Equal texts are found by a hash of the whole text.  The rest are grouped by SimHash of
-    their longer words (at most COPY_THRESHOLD bits apart, over anchors); in a group, each document is
-    compared with the group's first one, and is its copy if the Jaccard similarity of their
-    five-word shingles reaches ``min_similarity``; what is left is compared with the next first
-    one, in up to COPY_ROUNDS rounds.  A copy is therefore always verified against a text that stays.
+    They only say which shingles are looked up last, so what they miss costs time, not copies.
     """
-    signed = stage(_content_signatures(docs.where("doc_id is not null")), "contents")
-    texts = stage(signed.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
-    equal = signed.hint("merge").join(texts.select("text_hash", "first"), "text_hash").where("doc_id <> first").select("doc_id", F.col("first").alias("copy_of"))
-    rooted = components(links(texts.select("fp").distinct(), COPY_THRESHOLD, CODES[:2]))
-    placed = texts.hint("merge").join(rooted, texts.fp == rooted.node, "left").select(F.col("first").alias("doc_id"), F.coalesce("root", "fp").alias("root"))
-    crowds = placed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select(F.col("root").alias("crowd"))
-    members = placed.hint("merge").join(crowds, F.col("root") == F.col("crowd"), "left_semi")
-    ids = docs.select(F.col("doc_id").cast("long").alias("text_id"), F.col("text").cast("binary").alias("text"))
-    left = stage(_shingle_sets(ids.hint("merge").join(members, F.col("text_id") == F.col("doc_id")).select("doc_id", "root", "text"), COPY_SHINGLE).dropDuplicates(["doc_id"]), "shingles")
-    out = equal.distinct()
-    for number in range(COPY_ROUNDS):
-        firsts = left.groupBy("root").agg(F.min("doc_id").alias("first")).withColumnRenamed("root", "first_root")
-        own = (F.col("root") == F.col("first_root")) & (F.col("doc_id") == F.col("first"))
-        first = left.hint("merge").join(firsts, own).select("first_root", "first", F.col("shingles").alias("of_first"))
+
+    def count(batches):
+        for _, rows in text_batches(batches):
+            every = np.concatenate([_shingle_set(t) for t in rows]) if rows else np.zeros(0, np.uint64)
+            shingles, n = np.unique(every, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    share = min(1_000_000, SAMPLED_TEXTS * 1_000_000 // max(1, n_texts))
+    counts = texts.where(F.pmod(F.xxhash64("n"), F.lit(1_000_000)) < share).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    table = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).toArrow()
+    shingles = table.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], table.column("n").to_numpy()[order]
+
+
+def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], min_similarity: float) -> np.ndarray:
+    """The first shingles, rare ones first, of which two sets of that similarity must share one."""
+    length = len(shingles) - math.ceil(min_similarity * len(shingles) - 1e-9) + 1
+    if len(common[0]) and len(shingles):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        seen = np.where(common[0][at] == shingles, common[1][at], 0)
+        if seen.any():
+            return shingles[np.argsort(seen, kind="stable")[:length]]
+    return shingles[:length]
+
+
+def _whole_groups(batches, columns: tuple[str, ...]):
+    """Arrays of rows sorted by the first column, cut between its values."""
+    held = [np.zeros(0, np.int64) for _ in columns]
+    for batch in batches:
+        arrays = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, columns)]
+        if not len(arrays[0]):
+            continue
+        cut = int(np.searchsorted(arrays[0], arrays[0][-1], side="left"))  # the last group may go on
+        if cut:
+            yield [a[:cut] for a in arrays]
+        held = [a[cut:] for a in arrays]
+    if len(held[0]):
+        yield held
+
+
+def _begins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where its group begins, rows of its group) for every row of sorted keys."""
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(begin, len(keys)))
+    return np.repeat(begin, size), np.repeat(size, size)
+
+
+def _postings(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
+    """(key, n, size): the prefix shingles that several texts have, and how many shingles those have."""
+    common = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, n_texts))
+
+    def cut(batches):
+        for batch, rows in text_batches(batches):
+            sets = [_shingle_set(t) for t in rows]
+            parts = [_prefix(s, common.value, min_similarity) if len(s) else s for s in sets]
+            lengths = [len(p) for p in parts]
+            keys = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
+            n = np.repeat(batch.column("n").to_numpy(), lengths)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n), pa.array(np.repeat([len(s) for s in sets], lengths).astype(np.int32))], names=["key", "n", "size"])
+
+    def shared(batches):
+        for key, n, size in _whole_groups(batches, ("key", "n", "size")):
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (n[1:] != n[:-1])])  # rows that repeat an id and a text
+            key, n, size = key[new], n[new], size[new]
+            many = _begins(key)[1] > 1
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(n[many]), pa.array(size[many].astype(np.int32))], names=["key", "n", "size"])
+
+    dealt = texts.mapInArrow(cut, "key long, n long, size int").repartition("key").sortWithinPartitions("key", "n")
+    return dealt.mapInArrow(shared, "key long, n long, size int")
+
+
+def _met(postings: DataFrame, leaders: int, min_similarity: float) -> DataFrame:
+    """(n, first): texts with the first ``leaders`` texts of each key, where sizes allow the similarity.
+
+    ``first`` is -1 for a text that some key holds behind more texts than these.
+    """
+
+    def meet(batches):
+        for key, n, size in _whole_groups(batches, ("key", "n", "size")):
+            begin, members = _begins(key)
+            place = np.arange(len(key)) - begin
+            late = np.unique(n[place > leaders])
+            yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(np.full(len(late), -1))], names=["n", "first"])
+            for j in range(min(leaders, int(members.max(initial=1)) - 1)):
+                row = np.flatnonzero(place > j)
+                first = begin[row] + j
+                fits = np.minimum(size[row], size[first]) >= min_similarity * np.maximum(size[row], size[first]) - 1e-9
+                pairs = np.unique(np.stack([n[row[fits]], n[first[fits]]], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["n", "first"])
+
+    return postings.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meet, "n long, first long").distinct()
+
+
+def _near(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
+    """(n, first): texts of ``texts(n, text)`` that are like a text with a smaller n that stays.
+
+    Taken in order of n, a text stays unless it is like one that stays: exactly that, in rounds.  A text that
+    met all texts before it in its keys, and is like none of those that are still open, stays; what is
+    like it goes.  The least open text always stays, and rounds go on until none is open.
+    """
+    spark = texts.sparkSession
+    postings = stage(_postings(texts, n_texts, min_similarity), "postings")
+    sets = stage(_shingle_sets(texts.hint("merge").join(postings.select("n").distinct(), "n", "left_semi")).dropDuplicates(["n"]), "shingles")
+    ahead = sets.select(F.col("n").alias("first"), F.col("shingles").alias("of_first"))
+    out, leaders = spark.createDataFrame([], "n long, first long"), 1
+    while not postings.isEmpty():
+        met = stage(_met(postings, leaders, min_similarity), "met")
         common = F.size(F.array_intersect("shingles", "of_first"))
         alike = common >= min_similarity * (F.size("shingles") + F.size("of_first") - common)
-        met = left.where("size(shingles) > 0").hint("merge").join(first, F.col("root") == F.col("first_root")).where("doc_id <> first").select("doc_id", "root", "shingles", "first", alike.alias("alike"))
-        met = stage(met, "compared")
-        out = out.unionByName(met.where("alike").select("doc_id", F.col("first").alias("copy_of")))
-        left = met.where("not alike").select("doc_id", "root", "shingles")
-        if number + 1 == COPY_ROUNDS or left.isEmpty():
-            return out
+        like = stage(met.where("first >= 0").hint("merge").join(sets, "n").hint("merge").join(ahead, "first").where(alike).select("n", "first"), "alike")
+        open_ = met.where("first < 0").select("n").unionByName(like.select("n")).distinct()
+        gone = stage(like.hint("merge").join(open_.select(F.col("n").alias("first")), "first", "left_anti").groupBy("n").agg(F.min("first").alias("first")), "near")
+        out = out.unionByName(gone)
+        left = open_.hint("merge").join(gone, "n", "left_anti")
+        postings = stage(postings.hint("merge").join(left, "n", "left_semi"), "postings")
+        leaders *= 4
+    return out
+
+
+def _copies(docs: DataFrame, min_similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(texts, near): texts(text_key, first, no_id, n) by their smallest doc_id, and near(n, first) of those that go."""
+    keyed = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+    found = keyed.groupBy(F.col("__text_key").alias("text_key")).agg(F.min(F.when(~F.col("__no_id"), F.col("__id"))).alias("first"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.withColumns({"no_id": F.col("first").isNull(), "first": F.coalesce("first", F.lit(0))})
+    texts = stage(found.repartitionByRange(partitions, "no_id", "first", "text_key").sortWithinPartitions("no_id", "first", "text_key").withColumn("n", F.monotonically_increasing_id()), "texts")
+    same = (F.col("__text_key") == F.col("text_key")) & (F.col("__id") == F.col("first")) & (F.col("__no_id") == F.col("no_id"))
+    named = stage(keyed.hint("merge").join(texts, same).select("n", F.col("text").cast("binary").alias("text")), "named")
+    return texts, stage(_near(named, texts.count(), min_similarity), "copies")
+
+
+def copies(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """(doc_id, copy_of): documents that repeat, or nearly repeat, one with a smaller doc_id that stays.
+
+    Equal texts are found by a hash of the whole text.  Different ones are copies if the Jaccard
+    similarity of their five-word shingles reaches ``min_similarity``.  Two such texts share one of the
+    first fifth of their shingles in any order of all shingles (rare ones first here), so these are the keys under
+    which texts meet, and all that meet are compared by their whole sets: no pair is missed.
+    """
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    texts, near = _copies(docs, min_similarity)
+    keyed = _keyed(docs).select(F.col("__text_key").alias("text_key"), F.col("__id").alias("doc_id"))
+    equal = keyed.hint("merge").join(texts.select("text_key", "first"), "text_key").where("doc_id <> first").select("doc_id", F.col("first").alias("copy_of"))
+    ids = texts.select("n", F.col("first").alias("doc_id"))
+    of = texts.select(F.col("n").alias("first"), F.col("first").alias("copy_of"))
+    return equal.unionByName(near.hint("merge").join(ids, "n").hint("merge").join(of, "first").select("doc_id", "copy_of")).distinct()
 
 
-def deduplicated(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+def deduplicated(docs: DataFrame, min_similarity: float = MIN_SIMILARITY, judge_null_ids: bool = False) -> DataFrame:
     """``docs`` with one document of each group of copies; the columns stay.
 
-    Rows that repeat a doc_id and its text count once; rows with a null doc_id all stay.
+    A row is known by its doc_id and its whole text, so rows that share only a doc_id are judged apart.
+    Rows that repeat both count once.  Rows with a null doc_id all stay, or with ``judge_null_ids`` are
+    judged like the others, after those with a doc_id.
     """
-    gone = stage(copies(docs, min_similarity).select(F.col("doc_id").alias("__copy_of")).distinct(), "copies")
-    left = docs.hint("merge").join(gone, F.col("doc_id").cast("long") == F.col("__copy_of"), "left_anti")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
-    return left.withColumn("__nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(again))).where("__nth = 1").drop("__nth")
+    judged = docs if judge_null_ids else docs.where("doc_id is not null")
+    texts, near = _copies(judged, min_similarity)
+    stay = texts.hint("merge").join(near.select("n"), "n", "left_anti").select(F.col("text_key").alias("__stays"), F.col("first").alias("__first"), F.col("no_id").alias("__no_first"))
+    keyed = _keyed(judged)
+    same = (F.col("__text_key") == F.col("__stays")) & (F.col("__id") == F.col("__first")) & (F.col("__no_id") == F.col("__no_first"))
+    again = Window.partitionBy("__text_key", "__id", "__no_id").orderBy("__id")
+    left = keyed.hint("merge").join(stay, same).withColumn("__nth", F.row_number().over(again)).where("__nth = 1").select(*docs.columns)
+    return left if judge_null_ids else left.unionByName(docs.where("doc_id is null"))
 
 
 def hex_digits(fp) -> F.Column:
