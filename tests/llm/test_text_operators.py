@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tracewell.llm import decontamination, html_text, pii, simhash, substring_dedup, url_filter
 from tracewell.llm.words import mixed, rolling
 
@@ -215,6 +216,20 @@ def test_near_copies_are_all_found(spark):
     assert {r.doc_id for r in left.collect()} == want
 
 
+
+def test_copies_are_known_by_their_own_text(spark):
+    rng = random.Random(13)
+    one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(3))
+    near = one.rsplit(" ", 1)[0] + " other"
+    docs = [(1, one), (2, near), (2, two), (3, one), (None, two), (None, three), (None, three + " more"), (None, None), (4, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lambda left: sorted(((r.doc_id, r.text) for r in left.collect()), key=str)
+    named = [(1, one), (2, two), (4, "")]
+    assert rows(simhash.deduplicated(df)) == sorted(named + [d for d in docs if d[0] is None], key=str)
+    left = rows(corpus_pipeline.near_dedup(spark, df, ""))
+    assert len(left) == 4 and set(named) <= set(left) and [t for i, t in left if i is None][0] in (three, three + " more")
+
+
 # ---------------------------------------------------------------- PII
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -307,6 +322,13 @@ def test_decontamination(spark):
     assert decontamination.hits(df, bench.limit(0)).count() == 0 and decontamination.hits(df.limit(0), bench).count() == 0
 
 
+def test_clean_judges_rows_by_their_own_text(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    docs = [(None, "a clean text"), (None, f"x {item} y"), (1, "another clean text"), (1, item), (2, item), (3, None), (None, None)]
+    left = decontamination.clean(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([docs[0], docs[2], docs[5], docs[6]], key=str)
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = random.Random(2)
     items = [(k, " ".join(f"t{rng.randrange(300)}" for _ in range(30)).encode()) for k in range(80)]

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import WordHashes, mixed, rolling, text_batches, word_hashes
+from tracewell.llm.words import WordHashes, mixed, rolling, text_batches, text_key, word_hashes
 from tracewell.plans.staging import stage
 
 SHINGLE = 5
@@ -171,7 +171,11 @@ def _slices(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
 
 def hits(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Rows (doc_id, item_id, start_word, n_words, similarity) of all passages that reach the similarity."""
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return _all_passes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), benchmark, min_similarity)
+
+
+def _all_passes(picked: DataFrame, benchmark: DataFrame, min_similarity: float) -> DataFrame:
+    """Hits of ``picked(doc_id, text)``, whose doc_id may be of any type."""
     out = None
     for items in _slices(benchmark):
         part = _pass(picked, items, min_similarity)
@@ -196,11 +200,11 @@ def _pass(picked: DataFrame, items: list, min_similarity: float) -> DataFrame:
                 rows += _marked(index, ids[begin:end], parts, min_similarity)
                 begin = end
             columns = list(zip(*rows)) or [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
+            types = (batch.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int32(), pa.float64())
             names = ["doc_id", "item_id", "start_word", "n_words", "similarity"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return picked.mapInArrow(search, HITS_SCHEMA)
+    return picked.mapInArrow(search, HITS_SCHEMA.replace("doc_id long", f"doc_id {picked.schema['doc_id'].dataType.simpleString()}"))
 
 
 def _marked(index: ItemIndex, ids: list, parts: list[np.ndarray], min_similarity: float) -> list[tuple]:
@@ -232,12 +236,13 @@ def _marked(index: ItemIndex, ids: list, parts: list[np.ndarray], min_similarity
 def clean(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; the columns stay.
 
-    A document with a null doc_id can't be named by a hit and is judged with its like: all
-    rows with a null doc_id go if one of them has a hit.
+    Whether a document goes depends on its text alone, so hits are carried by a hash of the whole text:
+    rows with a null doc_id, or with the same one, are judged apart.
     """
-    found = stage(hits(docs, benchmark, min_similarity).select("doc_id").distinct(), "contaminated")
-    marked = found.select(F.col("doc_id").alias("__hit"))
-    return docs.hint("merge").join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col("__hit")), "left_anti")
+    keyed = docs.withColumn("__text_key", text_key())
+    picked = keyed.select(F.col("__text_key").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    found = stage(_all_passes(picked, benchmark, min_similarity).select(F.col("doc_id").alias("__hit")).distinct(), "contaminated")
+    return keyed.hint("merge").join(found, F.col("__text_key") == F.col("__hit"), "left_anti").select(*docs.columns)
 
 
 def contaminated(found: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import rolling, text_batches, word_hashes
+from tracewell.llm.words import rolling, text_batches, text_key, word_hashes
 from tracewell.plans.staging import stage
 
 SHINGLE = 3
@@ -298,11 +298,6 @@ COPY_SHINGLE, MIN_SIMILARITY = 5, 0.8
 SAMPLED_TEXTS, MAX_COMMON = 4096, 200_000
 
 
-def text_key(text: str = "text") -> F.Column:
-    """128 bits of the whole text; a null text is an empty one."""
-    return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary"), 256)), 1, 16)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """``docs`` with the key of their text and a doc_id that joins null with null."""
     id_ = F.col("doc_id").cast("long")
