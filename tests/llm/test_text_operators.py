@@ -217,6 +217,21 @@ def test_near_copies_are_all_found(spark):
 
 
 
+def test_every_family_of_a_large_group_is_examined(spark):
+    """Ten orders of the same words, and twenty texts with a common passage, each with a copy of its own."""
+    rng = random.Random(14)
+    words = [f"longword{k}" for k in range(120)]
+    passage = [f"passage{k}" for k in range(150)]
+    docs = []
+    for family in range(30):
+        base = rng.sample(words, len(words)) if family < 10 else [*passage, *(f"own{family}x{k}" for k in range(35))]
+        docs += [base, [*base[:-1], "end"]]
+    docs = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    want = brute_stays(docs)
+    assert len(want) == 30
+    assert {r.doc_id for r in simhash.deduplicated(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == want
+
+
 def test_copies_are_known_by_their_own_text(spark):
     rng = random.Random(13)
     one, two, three = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(50)) for _ in range(3))

@@ -399,45 +399,59 @@ def _postings(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFram
 
 
 def _met(postings: DataFrame, leaders: int, min_similarity: float) -> DataFrame:
-    """(n, first): texts with the first ``leaders`` texts of each key, where sizes allow the similarity.
+    """(n, first, keys, need): texts with the first ``leaders`` texts of each key, where sizes allow the similarity.
 
-    ``first`` is -1 for a text that some key holds behind more texts than these.
+    ``keys`` counts the keys under which a pair meets, and ``need`` is how many a pair of that similarity has
+    at least.  ``first`` is -1 for a text that is not among the first ones of some key of its own.
     """
 
+    def fewest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        common = np.ceil(min_similarity / (1 + min_similarity) * (a + b) - 1e-9)
+        behind = np.ceil(min_similarity * np.maximum(a, b) - 1e-9) - 1  # shingles after the prefix
+        return np.maximum(1, common - behind).astype(np.int64)
+
+    def rows(n, first, keys, need) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (n, first, keys, need)], names=["n", "first", "keys", "need"])
+
     def meet(batches):
         for key, n, size in _whole_groups(batches, ("key", "n", "size")):
             begin, members = _begins(key)
             place = np.arange(len(key)) - begin
-            late = np.unique(n[place > leaders])
-            yield pa.RecordBatch.from_arrays([pa.array(late), pa.array(np.full(len(late), -1))], names=["n", "first"])
+            late = np.unique(n[place >= leaders])
+            yield rows(late, np.full(len(late), -1), np.ones(len(late)), np.ones(len(late)))
             for j in range(min(leaders, int(members.max(initial=1)) - 1)):
                 row = np.flatnonzero(place > j)
                 first = begin[row] + j
                 fits = np.minimum(size[row], size[first]) >= min_similarity * np.maximum(size[row], size[first]) - 1e-9
-                pairs = np.unique(np.stack([n[row[fits]], n[first[fits]]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["n", "first"])
+                row, first = row[fits], first[fits]
+                pairs, keys = np.unique(np.stack([n[row], n[first], fewest(size[row], size[first])], axis=1), axis=0, return_counts=True)
+                yield rows(pairs[:, 0], pairs[:, 1], keys, pairs[:, 2])
 
-    return postings.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meet, "n long, first long").distinct()
+    found = postings.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meet, "n long, first long, keys long, need long")
+    return found.groupBy("n", "first").agg(F.sum("keys").alias("keys"), F.max("need").alias("need")).where("first < 0 OR keys >= need")
 
 
 def _near(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
     """(n, first): texts of ``texts(n, text)`` that are like a text with a smaller n that stays.
 
     Taken in order of n, a text stays unless it is like one that stays: exactly that, in rounds.  A text that
-    met all texts before it in its keys, and is like none of those that are still open, stays; what is
-    like it goes.  The least open text always stays, and rounds go on until none is open.
+    is among the first of all its keys, and like none of those that are still open, stays; it has met all
+    that share a key with it, and what is like it goes.  The least open text always stays, and rounds go on
+    until none is open.
     """
     spark = texts.sparkSession
     postings = stage(_postings(texts, n_texts, min_similarity), "postings")
-    sets = stage(_shingle_sets(texts.hint("merge").join(postings.select("n").distinct(), "n", "left_semi")).dropDuplicates(["n"]), "shingles")
-    ahead = sets.select(F.col("n").alias("first"), F.col("shingles").alias("of_first"))
-    out, leaders = spark.createDataFrame([], "n long, first long"), 1
+    out, leaders = spark.createDataFrame([], "n long, first long"), 4
     while not postings.isEmpty():
         met = stage(_met(postings, leaders, min_similarity), "met")
+        pairs = met.where("first >= 0").select("n", "first")
+        wanted = stage(pairs.select("n").unionByName(pairs.select(F.col("first").alias("n"))).distinct(), "wanted")
+        sets = stage(_shingle_sets(texts.join(wanted, "n", "left_semi")), "shingles")
+        ahead = sets.select(F.col("n").alias("first"), F.col("shingles").alias("of_first"))
         common = F.size(F.array_intersect("shingles", "of_first"))
         alike = common >= min_similarity * (F.size("shingles") + F.size("of_first") - common)
-        like = stage(met.where("first >= 0").hint("merge").join(sets, "n").hint("merge").join(ahead, "first").where(alike).select("n", "first"), "alike")
-        open_ = met.where("first < 0").select("n").unionByName(like.select("n")).distinct()
+        like = stage(pairs.hint("merge").join(sets, "n").hint("merge").join(ahead, "first").where(alike).select("n", "first"), "alike")
+        open_ = stage(met.where("first < 0").select("n").unionByName(like.select("n")).distinct(), "open")
         gone = stage(like.hint("merge").join(open_.select(F.col("n").alias("first")), "first", "left_anti").groupBy("n").agg(F.min("first").alias("first")), "near")
         out = out.unionByName(gone)
         left = open_.hint("merge").join(gone, "n", "left_anti")
@@ -454,7 +468,9 @@ def _copies(docs: DataFrame, min_similarity: float) -> tuple[DataFrame, DataFram
     found = found.withColumns({"no_id": F.col("first").isNull(), "first": F.coalesce("first", F.lit(0))})
     texts = stage(found.repartitionByRange(partitions, "no_id", "first", "text_key").sortWithinPartitions("no_id", "first", "text_key").withColumn("n", F.monotonically_increasing_id()), "texts")
     same = (F.col("__text_key") == F.col("text_key")) & (F.col("__id") == F.col("first")) & (F.col("__no_id") == F.col("no_id"))
-    named = stage(keyed.hint("merge").join(texts, same).select("n", F.col("text").cast("binary").alias("text")), "named")
+    again = Window.partitionBy("__text_key", "__id", "__no_id").orderBy("__id")
+    once = keyed.hint("merge").join(texts, same).withColumn("__nth", F.row_number().over(again)).where("__nth = 1")
+    named = stage(once.select("n", F.col("text").cast("binary").alias("text")), "named")
     return texts, stage(_near(named, texts.count(), min_similarity), "copies")
 
 
