@@ -1,109 +1,170 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are parsed into text blocks.  Blocks inside structural boilerplate (navigation, footers,
-forms, elements whose class or id says advert, sidebar, cookie notice, comments ...) go at once.
-If a page marks its article (``article``, ``main``, or a container named like one), the blocks in
-it are the main text.  The other pages are paired, within their host, with the nearest page by URL path, their lines are
-aligned by longest common subsequence, and shared lines, which come from the site's template, are
-deleted.  Pages whose lines are nearly all shared are copies of each other: nothing is deleted then.
-
-How it scales.  Parsing is one pass without a shuffle.  Only pages without a marked article take
-part in pairing: their hosts, paths and line hashes are dealt by range of (host, path), so a host with a third of all
-pages spreads over many tasks, and each task compares neighbours as it streams; what a task holds is
-three pages.  A neighbour in another task is not seen, so a page at the edge of a task pairs with the
-other side.  The lines to delete return to the page by page_id.
-
-Edge cases: null html is empty; a null URL has an empty host and path; a page with nothing left has
-an empty text; rows that repeat a page_id are told apart by their own row key; an empty table gives
-no rows; other columns of the input are ignored.
+Every page is parsed into lines (the text of its block elements).  Pages of a host are ordered by
+URL path, each is paired with its nearest different neighbour there, and their lines are aligned by
+longest common subsequence.  Shared lines come from the site's template and are deleted.  Nearness
+is the number of leading path segments in common; if both neighbours are equally near, a line must
+be shared with both, so that one near copy next door deletes no article.
+
+Marks in the page correct what the alignment decides, line by line:
+
+* inside a marked article (``article``, or else ``main`` or a container named as one) a shared line stays, as
+  two articles may share a paragraph, unless it holds nothing but links and is no heading; what lies outside the
+  article that a page marks goes;
+* lines of navigation, footers, asides, forms, adverts, notices and comments go even if no neighbour has
+  them: by element, role, or whole class and id names ("related-work" is none of them), or as an
+  article nested in an article that has begun;
+* a page all of whose lines are shared with one neighbour isn't all template: that neighbour tells nothing.
+
+How it scales.  Parsing is one pass over pages; tags are matched in linear time.  Pages with equal lines
+on a host are one row for the alignment, of which only hashes travel.  Those rows are dealt by range of
+(host, path), so a host with a third of all pages spreads over many tasks; a task streams its rows and
+holds three pages.  The first and last two pages of each task go through one small second pass, where
+they meet their neighbours in other tasks: the result does not depend on the number of partitions.
+Alignments return to the pages by a salted digest, so many copies of one page make no hot task.
+
+Edge cases: null html is empty; pages with a null or hostless URL have no neighbour; a page with nothing
+left has an empty text; rows that repeat a page_id each get their own row; an empty table gives no rows; other
+columns of the input are ignored.  A page is held whole by a task; alignment memory grows with
+lines x square root of lines.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import math
 import re
-from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.url_filter import parsed
 from tracewell.plans.staging import stage
 
-#: Share of a page's characters in shared lines from which it is a copy of its neighbour.
-COPY_SHARE = 0.7
+#: Tasks that the pages of one equal content return to.
+SALTS = 16
 
 # Element names by their role.
-SKIPPED = frozenset("script style head template noscript iframe svg math object canvas audio video select option datalist textarea button".split())
+SKIPPED = frozenset("script style head template noscript iframe svg object canvas audio video select option datalist textarea annotation".split())
 BOILERPLATE = frozenset("nav footer aside form dialog menu".split())
-CONTENT = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in ("script", "style", "textarea", "title")}
 #: Elements whose start closes an open element of the same kind.
-_CLOSED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
-_BAD_NAME = re.compile(
-    r"(?i)(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|commentlist|respond|cookies?|consent|gdpr|disclaimer|dropdown|footer|"
-    r"header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|popup|promo|recommended|related|search|"
-    r"share|sharing|sidebar|signup|skip|social|sponsor(?:ed)?|subscribe|toolbar|topbar|widget)(?:$|[\s_-])"
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}}
+# Words of class and id names.  A name is boilerplate if it has a word of the first list and no word outside the first two.
+NAMED_BAD = frozenset(
+    "ad ads advert adverts advertisement advertising adsense breadcrumb breadcrumbs comment comments commentlist respond replies cookie cookies consent "
+    "gdpr disclaimer dropdown footer login menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo "
+    "promotion recommended related search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe toolbar topbar widget widgets".split()
 )
-_GOOD_NAME = re.compile(r"(?i)(?:^|[\s_-])(?:article|article-?body|content|main|main-?content|post-?content|entry-?content|story|story-?body|post-?body)(?:$|[\s_-])")
-_BAD_ROLE = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
+NAMED_NEUTRAL = frozenset(
+    "site page top main bottom left right primary secondary global list links link bar box wrap wrapper container area section block item items inner "
+    "outer content post posts article articles entry reader user banner header form thread slot unit text fixed sticky mobile".split()
+)
+NAMED_TOP = frozenset("header masthead banner".split())
+NAMED_SITE = frozenset("site page top main global fixed sticky wrap wrapper container bar inner".split())
+NAMED_ARTICLE = frozenset("article article-body article-content articlebody post-content post-body entry-content story story-body hentry".split())
+NAMED_MAIN = frozenset("main main-content maincontent content".split())
+BAD_ROLES = frozenset("navigation complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*>?|[^<]+|<", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_RAW = frozenset(("script", "style", "textarea", "title"))
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_PARTS = re.compile(r"[a-z]+")
+
+#: What marks say of a line: it goes, it stays, or it stays unless a neighbour shares it.
+GOES, STAYS, UNLESS_SHARED = 0, 1, 2
+
+
+# ---------------------------------------------------------------- parsing
 
 
 def _attributes(tag: str, start: int) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(tag, start)}
 
 
-def _judged(name: str, attributes: dict[str, str], in_content: bool) -> str | None:
-    """'bad', 'good' or None: what an element says of its blocks."""
-    if name in SKIPPED or name in BOILERPLATE or (name == "header" and not in_content):
+def name_mark(names: str, inside: bool) -> str | None:
+    """What whole class and id names say: 'bad', 'article', 'main' or None; ``inside`` an article, its header is no site header."""
+    found = None
+    for name in names.lower().split():
+        parts = _PARTS.findall(name)
+        words = set(parts)
+        if words & NAMED_BAD and words <= NAMED_BAD | NAMED_NEUTRAL:
+            return "bad"
+        if not inside and words & NAMED_TOP and words <= NAMED_TOP | NAMED_SITE:
+            return "bad"
+        if name in NAMED_ARTICLE:
+            found = "article"
+        elif name in NAMED_MAIN:
+            found = found or "main"
+    return found
+
+
+def _mark(name: str, tag: str, at: int, inside: bool, nested: bool) -> str | None:
+    """'skip', 'bad', 'article', 'main' or None for an element that starts."""
+    if name in SKIPPED:
+        return "skip"
+    if name in BOILERPLATE or (name == "header" and not inside):
         return "bad"
-    if attributes.get("role", "").lower() in _BAD_ROLE or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
+    own = "bad" if name == "article" and nested else name if name in ("article", "main") else None
+    if at >= len(tag) - 2 or own == "bad":
+        return own
+    attributes = _attributes(tag, at)
+    role = attributes.get("role", "").lower()
+    if role in BAD_ROLES or (role == "banner" and not inside) or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return "bad"
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""), re.I):
+    if "style" in attributes and _HIDDEN.search(attributes["style"]):
         return "bad"
-    named = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip()
-    if name in CONTENT or attributes.get("role", "").lower() in CONTENT:
-        return "good"
-    if named and name not in ("html", "body"):
-        if _BAD_NAME.search(named) and not _GOOD_NAME.search(named):
-            return "bad"
-        if _GOOD_NAME.search(named) and name in BLOCKS:
-            return "good"
-    return None
+    named = name_mark(f"{attributes.get('class', '')} {attributes.get('id', '')}", inside) if name not in ("html", "body") else None
+    if named == "bad":
+        return "bad"
+    return own or ("bad" if role == "article" and nested else role if role in ("article", "main") else named if name in BLOCKS else None)
 
 
-def page_blocks(source: str) -> tuple[list[str], list[str]]:
-    """(blocks of the marked article, other blocks outside boilerplate), in page order."""
-    article: list[str] = []
-    other: list[str] = []
-    open_: list[tuple[str, str | None]] = []
+def page_lines(source: str) -> tuple[list[str], list[int]]:
+    """(lines, what marks say of each) of a page, in page order."""
+    lines: list[str] = []
+    kinds: list[tuple[bool, bool, bool, bool]] = []  # (bad, in article, in main, nothing but links and no heading)
+    open_: list[list] = []  # [name, mark, opened again inside]: blocks, and inline elements with a mark
+    count: dict[str, int] = {}
+    marks = {"skip": 0, "bad": 0, "article": 0, "main": 0}
     held: list[str] = []
-    bad = good = 0
+    link = words_outside = False
+    article_lines = 0
 
     def flush() -> None:
+        nonlocal words_outside, article_lines
         if held:
-            block = " ".join(html.unescape("".join(held)).split())
+            line = " ".join("".join(held).split())
             held.clear()
-            if block:
-                (article if good else other).append(block)
+            if line:
+                lines.append(line)
+                kinds.append((marks["bad"] > 0, marks["article"] > 0, marks["main"] > 0, not words_outside and not any(count.get(h) for h in HEADINGS)))
+                article_lines += marks["article"] > 0 and not marks["bad"]
+        words_outside = False
 
     def close() -> None:
-        nonlocal bad, good
-        name, said = open_.pop()
-        if name in BLOCKS:
+        nonlocal article_lines
+        name, mark, _ = open_[-1]
+        if name in BLOCKS or mark:
             flush()
-        bad -= said == "bad"
-        good -= said == "good"
+        open_.pop()
+        count[name] -= 1
+        if mark:
+            marks[mark] -= 1
+            if not marks["article"]:
+                article_lines = 0
 
     skip_to = 0
     for match in _TOKEN.finditer(source):
@@ -111,154 +172,251 @@ def page_blocks(source: str) -> tuple[list[str], list[str]]:
         if match.start() < skip_to:
             continue
         if token[0] != "<" or token == "<":
-            if not bad:
-                held.append(token)
-            continue
-        if token.startswith("<![CDATA["):
+            if not marks["skip"]:
+                held.append(html.unescape(token) if "&" in token else token)
+                words_outside = words_outside or (not link and not token.isspace())
             continue
         named = _NAME.match(token)
-        if not named:
+        if not named or token.startswith("<!"):
             continue  # a comment or declaration
         name = named[1].lower()
         if token[1] == "/":
-            if any(n == name for n, _ in open_):
-                while open_[-1][0] != name:
+            if name == "a":
+                link = False
+            if name in BLOCKS or name in SKIPPED:
+                if count.get(name):
+                    while open_[-1][0] != name:
+                        close()
+                    close()
+                elif name in BLOCKS:
+                    flush()
+            elif open_ and open_[-1][0] == name:
+                open_[-1][2] -= 1
+                if open_[-1][2] < 0:
                     close()
-                close()
-            elif name in BLOCKS:
-                flush()
             continue
         if name == "br":
-            held.append(" ") if not bad else None
+            held.append(" ")
             continue
-        if name in BLOCKS:
-            while open_ and open_[-1][0] in _CLOSED_BY and name in _CLOSED_BY[open_[-1][0]]:
-                close()
-            if name in BLOCKS - {"td", "th", "li", "tr"} and any(n == "p" for n, _ in open_) and not any(n not in ("p", "b", "i", "em", "strong", "a", "span", "u", "font", "small", "big") for n, _ in open_[next(i for i, (n, _) in enumerate(open_) if n == "p") :]):
+        if name == "a":
+            link = True
+        block = name in BLOCKS
+        if block:
+            if count.get("p"):
                 while open_[-1][0] != "p":
                     close()
                 close()
+            while open_ and name in CLOSED_BY.get(open_[-1][0], ()):
+                close()
             flush()
         if name in VOID or token.endswith("/>"):
             continue
-        said = _judged(name, _attributes(token, named.end()), good > 0)
-        if said == "good" and bad:
-            said = None
-        if said and name not in BLOCKS:
-            flush()
-        open_.append((name, said))
-        bad += said == "bad"
-        good += said == "good"
-        if name in _RAW:  # their content is no markup
-            end = re.compile(rf"</{name}\s*>", re.I).search(source, match.end())
+        inside = marks["article"] > 0 or marks["main"] > 0
+        mark = _mark(name, token, named.end(), inside, marks["article"] > 0 and article_lines > 0)
+        if block or mark:
+            if mark:
+                flush()
+                marks[mark] += 1
+            open_.append([name, mark, 0])
+            count[name] = count.get(name, 0) + 1
+        elif open_ and open_[-1][0] == name:
+            open_[-1][2] += 1
+        if name in RAW:  # their content is no markup
+            end = RAW[name].search(source, match.end())
             skip_to = end.start() if end else len(source)
     flush()
-    return article, other
+    level = next((n for n in (1, 2) if any(k[n] and not k[0] for k in kinds)), None)  # an article, or else what main holds
+    return lines, [GOES if k[0] or (level and not k[level]) else STAYS if level and not k[3] else UNLESS_SHARED for k in kinds]
+
+
+def page_blocks(source: str) -> tuple[list[str], list[str]]:
+    """(lines of the marked article, lines of a page without one), both without marked boilerplate."""
+    lines, says = page_lines(source)
+    marked = STAYS in says
+    left = [line for line, said in zip(lines, says) if said != GOES]
+    return (left, []) if marked else ([], left)
+
+
+# ---------------------------------------------------------------- alignment
 
 
 def shared_lines(lines: list, others: list) -> list[int]:
     """Places of ``lines`` in a longest common subsequence with ``others``."""
-    # what begins or ends alike needs no table
+    # what begins or ends alike needs no table, and lines that only one side has can't be in it
     head = 0
     while head < min(len(lines), len(others)) and lines[head] == others[head]:
         head += 1
     tail = 0
     while tail < min(len(lines), len(others)) - head and lines[-1 - tail] == others[-1 - tail]:
         tail += 1
-    middle = _aligned(lines[head : len(lines) - tail], others[head : len(others) - tail])
-    return [*range(head), *(head + i for i in middle), *range(len(lines) - tail, len(lines))]
-
-
-def _aligned(lines: list, others: list) -> list[int]:
-    """Places of ``lines`` in a longest common subsequence; lines that only one side has can't be in it."""
-    common = set(lines) & set(others)
-    at = [i for i, x in enumerate(lines) if x in common]
-    lines, others = [lines[i] for i in at], [x for x in others if x in common]
-    if not lines:
-        return []
-    return [at[i] for i in _matched(lines, others)]
+    left, right = lines[head : len(lines) - tail], others[head : len(others) - tail]
+    common = set(left) & set(right)
+    at = [head + i for i, x in enumerate(left) if x in common]
+    middle = _matched([lines[i] for i in at], [x for x in right if x in common])
+    return [*range(head), *(at[i] for i in middle), *range(len(lines) - tail, len(lines))]
 
 
 def _matched(lines: list, others: list) -> list[int]:
-    """Hunt and Szymanski: the longest rising run of places in ``others``, kept by its least ends."""
+    """Bit-parallel alignment: a row of the length table is one integer, its zero bits are where the length grows.
+
+    Every k-th row is kept and those between are computed again on the way back.
+    """
+    n, m = len(lines), len(others)
+    if not n or not m:
+        return []
     places: dict = {}
     for j, x in enumerate(others):
         places.setdefault(x, []).append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i, x in enumerate(lines):
-        for j in reversed(places[x]):
-            k = bisect_left(ends, j)
-            link = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            elif j < ends[k]:
-                ends[k], links[k] = j, link
-    out, link = [], links[-1] if links else None
-    while link:
-        out.append(link[0])
-        link = link[1]
+    often: dict = {}
+
+    def where(x) -> int:
+        if x in often:
+            return often[x]
+        bits = 0
+        for j in places[x]:
+            bits |= 1 << j
+        if len(places[x]) > 64:
+            often[x] = bits
+        return bits
+
+    full = (1 << m) - 1
+    step = max(1, math.isqrt(n))
+
+    def rows(row: int, begin: int, end: int):
+        for i in range(begin, end):
+            met = row & where(lines[i])
+            row = ((row + met) | (row - met)) & full
+            yield row
+
+    kept, row = [full], full
+    for i, row in enumerate(rows(full, 0, n), 1):
+        if i % step == 0:
+            kept.append(row)
+    out: list[int] = []
+    j, first = m, (n - 1) // step * step
+    end = n
+    while first >= 0 and j:
+        block = [kept[first // step], *rows(kept[first // step], first, end)]
+        for i in range(end, first, -1):
+            below = (1 << j) - 1
+            if (~block[i - first] & below).bit_count() > (~block[i - 1 - first] & below).bit_count():
+                j = (where(lines[i - 1]) & below).bit_length() - 1  # this line is in the sequence; its last place will do
+                out.append(i - 1)
+        end, first = first, first - step
     return out[::-1]
 
 
-def _near(path: str, other: str) -> int:
-    """Length of the common beginning of two paths."""
+def nearness(path: str, other: str) -> int:
+    """Leading path segments in common."""
     n = 0
-    for a, b in zip(path, other):
+    for a, b in zip(path.split("/"), other.split("/")):
         if a != b:
             break
         n += 1
     return n
 
 
-def extract(pages: DataFrame, partitions: int | None = None) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
-    partitions = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def template_lines(page: tuple, *sides: tuple | None) -> list[bool]:
+    """Which lines of ``page`` (host, path, digest, hashes) its nearest neighbours share."""
+    host, path, _, lines = page
+    near = [(nearness(path, s[1]), shared_lines(lines, s[3])) for s in sides if s is not None and s[0] == host]
+    near = [(n, set(shared)) for n, shared in near if len(shared) < len(lines)]
+    gone = set.intersection(*(shared for n, shared in near if n == max(k for k, _ in near))) if near else set()
+    return [i in gone for i in range(len(lines))]
 
-    def parse(batches):
-        for batch in batches:
-            rows = [page_blocks(t or "") for t in batch.column("html").to_pylist()]
-            final = [bool(a) or not o for a, o in rows]
-            texts = ["\n\n".join(a or o) if f else None for (a, o), f in zip(rows, final)]
-            lines = [None if f else o for (_, o), f in zip(rows, final)]
-            columns = [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "lines"])
 
-    picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    blocks = stage(picked.mapInArrow(parse, "page_id long, url string, text string, lines array<string>").withColumn("row_key", F.monotonically_increasing_id()), "blocks")
-    unmarked = parsed(blocks.where("text is null").select("row_key", "page_id", "url", "lines"))
-    ordered = unmarked.select("row_key", "host", "path", "lines").repartitionByRange(partitions, "host", "path", "row_key").sortWithinPartitions("host", "path", "row_key")
-    told = ordered.mapInArrow(_compared, "row_key long, left_text string")
-    keys = blocks.where("text is null").select("row_key", "page_id", "url")
-    differing = keys.hint("merge").join(told, "row_key").select("page_id", "url", F.col("left_text").alias("text"))
-    every = blocks.where("text is not null").select("page_id", "url", "text").unionByName(differing)
-    return every.withColumn("n_chars", F.char_length("text").cast("long"))
-
-
-def _compared(batches):
-    """What differs from the nearest page of the host, for rows in order of (host, path)."""
+_PAGE = ("host", "path", "digest", "hashes")
+_TOLD = "digest binary, shared array<boolean>, part int, nth long, asks boolean, host string, path string, hashes array<long>"
+
+
+def _told(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.binary(), pa.list_(pa.bool_()), pa.int32(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.list_(pa.int64()))
+    names = [c.split()[0] for c in _TOLD.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * len(names), types)], names=names)
+
+
+def _aligned(batches):
+    """Rows in order of (host, path): what each page shares, and the pages at either end of the task for the second pass."""
+    part, nth = TaskContext.get().partitionId(), 0
+    ends: dict[int, tuple] = {}
     before = page = None
 
-    def told(page, *sides) -> tuple[int, str]:
-        key, host, path, lines = page
-        sides = [s for s in sides if s is not None and s[1] == host]
-        gone: set[int] = set()
-        for _, _, other_path, other in sorted(sides, key=lambda s: -_near(path, s[2])):
-            shared = shared_lines([xxhash.xxh3_64_intdigest(x) for x in lines], [xxhash.xxh3_64_intdigest(x) for x in other])
-            if shared and sum(len(lines[i]) for i in shared) < COPY_SHARE * sum(map(len, lines)):
-                gone.update(shared)
-                break
-        return key, "\n\n".join(x for i, x in enumerate(lines) if i not in gone)
+    def edge(n: int, p: tuple, asks: bool) -> tuple:
+        return (p[2], None, part, n, asks, p[0], p[1], p[3])
 
     for batch in batches:
         out = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("row_key", "host", "path", "lines"))):
-            if page is not None:
-                out.append(told(page, before, row))
-            before, page = page, row
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], names=["row_key", "left_text"])
-    if page is not None:
-        key, text = told(page, before)
-        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([text], pa.string())], names=["row_key", "left_text"])
+        for row in zip(*(batch.column(c).to_pylist() for c in _PAGE)):
+            if nth >= 2:
+                out.append((page[2], template_lines(page, before, row), None, None, None, None, None, None))
+            if nth < 2:
+                ends[nth] = row
+            before, page, nth = page, row, nth + 1
+        yield _told(out)
+    if nth > 1:
+        ends[nth - 2] = before
+    if nth:
+        ends[nth - 1] = page
+    yield _told([edge(n, p, n in (0, nth - 1)) for n, p in sorted(ends.items())])
+
+
+def _mended(batches):
+    """The pages at the ends of tasks, in order: their neighbours are the rows next to them."""
+    before = page = None
+    for batch in batches:
+        out = []
+        for row in zip(*(batch.column(c).to_pylist() for c in (*_PAGE, "asks"))):
+            if page is not None and page[4]:
+                out.append((page[2], template_lines(page[:4], before, row[:4]), None, None, None, None, None, None))
+            before, page = page and page[:4], row
+        yield _told(out)
+    if page is not None and page[4]:
+        yield _told([(page[2], template_lines(page[:4], before), None, None, None, None, None, None)])
+
+
+# ---------------------------------------------------------------- the job
+
+
+def lines_of(pages: DataFrame) -> DataFrame:
+    """(page_id, url, lines, says, hashes) of every page."""
+
+    def parse(batches):
+        for batch in batches:
+            rows = [page_lines(t or "") for t in batch.column("html").to_pylist()]
+            hashes = [np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64).view(np.int64) for lines, _ in rows]
+            columns = [
+                batch.column("page_id"),
+                batch.column("url"),
+                pa.array([lines for lines, _ in rows], pa.list_(pa.string())),
+                pa.array([says for _, says in rows], pa.list_(pa.int8())),
+                pa.array(hashes, pa.list_(pa.int64())),
+                pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in hashes], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "lines", "says", "hashes", "lines_digest"])
+
+    picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    return picked.mapInArrow(parse, "page_id long, url string, lines array<string>, says array<tinyint>, hashes array<long>, lines_digest binary")
+
+
+def alignments(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(digest, shared) of the different pages of each host, from (host, path, digest, hashes)."""
+    partitions = partitions or int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    different = pages.where("host <> ''").groupBy("digest").agg(F.min(F.struct("host", "path", "hashes")).alias("page"))
+    ordered = different.select("page.host", "page.path", "digest", "page.hashes").repartitionByRange(partitions, "host", "path", "digest")
+    told = stage(ordered.sortWithinPartitions("host", "path", "digest").mapInArrow(_aligned, _TOLD), "aligned")
+    ends = told.where("part is not null").repartition(1).sortWithinPartitions("part", "nth").mapInArrow(_mended, _TOLD)
+    return told.where("part is null").select("digest", "shared").unionByName(ends.select("digest", "shared"))
+
+
+def extract(pages: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(page_id, url, text, n_chars) of every page."""
+    digest = F.unhex(F.md5(F.concat(F.col("host").cast("binary"), F.lit("\n").cast("binary"), F.col("lines_digest"))))
+    named = parsed(lines_of(pages)).withColumns({"digest": digest, "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
+    rows = stage(named.drop("lines_digest"), "lines")
+    told = alignments(rows.select("host", "path", "digest", "hashes"), partitions)
+    salted = told.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+    both = rows.select("page_id", "url", "lines", "says", "digest", "salt").join(salted.hint("merge"), ["digest", "salt"], "left")
+    says = lambda i: F.get("says", i)
+    stays = F.filter("lines", lambda line, i: (says(i) == STAYS) | ((says(i) == UNLESS_SHARED) & ~F.coalesce(F.get("shared", i), F.lit(False))))
+    text = F.array_join(stays, "\n\n")
+    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
