@@ -346,14 +346,50 @@ def test_clean_judges_rows_by_their_own_text(spark):
 
 def test_multi_index_finds_all_within_the_radius():
     rng = random.Random(2)
-    items = [(k, " ".join(f"t{rng.randrange(300)}" for _ in range(30)).encode()) for k in range(80)]
-    index = decontamination.ItemIndex(items)
+    prints = np.stack([decontamination.fingerprint(np.array([rng.getrandbits(64) for _ in range(26)], dtype=np.uint64)) for _ in range(80)])
+    index = decontamination.MultiIndex(prints)
     for _ in range(60):
-        print_ = index.prints[rng.randrange(80)].copy()
+        print_ = prints[rng.randrange(80)].copy()
         for _ in range(rng.randint(0, 130)):
             print_[rng.randrange(32)] ^= 1 << rng.randrange(8)
-        want = {k for k in range(80) if int(np.bitwise_count(index.prints[k] ^ print_).sum()) <= decontamination.RADIUS}
-        assert index.within(print_) == want
+        want = [k for k in range(80) if int(np.bitwise_count(prints[k] ^ print_).sum()) <= decontamination.RADIUS]
+        assert index.within(print_).tolist() == want
+    assert decontamination.MultiIndex(np.zeros((0, 32), np.uint8)).within(prints[0]).tolist() == []
+
+
+def test_window_fingerprints_are_those_of_each_window():
+    rng = np.random.default_rng(3)
+    shingles = rng.integers(0, 2**63, 9000, dtype=np.uint64)
+    for span in (1, 7, 40):
+        starts = np.unique(np.concatenate([rng.integers(0, len(shingles) - span + 1, 50), np.arange(100, 160), [0, len(shingles) - span]]))
+        found = decontamination.window_fingerprints(shingles, starts, span)
+        assert all((f == decontamination.fingerprint(shingles[s : s + span])).all() for f, s in zip(found, starts))
+
+
+def test_fingerprints_decide_which_items_are_compared(monkeypatch):
+    """Without the multi-index nothing is found; at the least similarity its recall is whole."""
+    rng = random.Random(8)
+    items = [(k, " ".join(f"t{rng.randrange(4000)}" for _ in range(60)).encode()) for k in range(150)]
+    index, texts = decontamination.ItemIndex(items), []
+    for _, text in items:
+        words = text.split()
+        words[20] = b"other"  # 5 of 56 shingles: similarity 51 / 61
+        texts.append(b" ".join(words))
+    hashes = [np.asarray(decontamination.word_hashes().of(t.split())) for t in texts]
+    found = decontamination._marked(index, list(range(150)), hashes, 0.8)
+    assert [(r[0], r[1]) for r in found] == [(k, k) for k in range(150)]
+    monkeypatch.setattr(decontamination.MultiIndex, "within", lambda self, p: np.zeros(0, np.int64))
+    assert not decontamination._marked(index, list(range(150)), hashes, 0.8)
+
+
+def test_slices_of_the_benchmark_give_the_same_hits(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(k, " ".join(f"t{rng.randrange(50)}" for _ in range(25))) for k in range(9)]
+    docs = [(i, f"before {items[i % 9][1]} after " * (1 + i % 3)) for i in range(30)] + [(99, " ".join(f"t{rng.randrange(50)}" for _ in range(60_000)))]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(tuple, decontamination.hits(df, bench).collect()))
+    monkeypatch.setattr(decontamination, "MAX_ITEM_WORDS", 60)
+    assert sorted(map(tuple, decontamination.hits(df, bench).collect())) == whole and len(whole) == 60
 
 
 # ---------------------------------------------------------------- URL filters

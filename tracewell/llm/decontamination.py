@@ -7,28 +7,35 @@ white space.
 
 Stages inside one pass over the documents, with no shuffle:
 
-1. A window that reaches the similarity shares at least ``ceil(similarity x item shingles)``
-   shingle occurrences with the item.  Positions of item shingles are marked, and windows
-   with fewer marks are never fingerprinted.  This is a necessary condition, so it is exact.
-2. The remaining windows get a 256-bit SimHash.  Its 32 byte-sized blocks index the items: two
-   fingerprints within ``RADIUS`` bits agree in some block to within ``RADIUS // 32`` bits, so
-   the blocks yield every item within the radius.  Windows at 0.8 similarity differ in about
-   38 bits with a deviation below 6.
+1. For every length that items have, a document's windows of that length slide over its words.  A
+   window that reaches the similarity holds at least ``ceil(similarity x item shingles)`` shingles that
+   items have, whichever; windows with fewer are not fingerprinted.  This is a necessary condition, so
+   it is exact, and it names no item.
+2. The remaining windows get a 256-bit SimHash from running sums of shingle bits.  Items are found by
+   their fingerprints alone: 16 blocks of 16 bits index them, and as two fingerprints within ``RADIUS``
+   bits agree in some block to within ``RADIUS // 16`` bits, looking up all block values that near
+   yields every item within the radius.  At similarity 0.8 fingerprints differ in about 39 bits with a
+   deviation below 6, so the radius lies four deviations beyond.
 3. Candidates are verified by their exact weighted shingle similarity.  Of overlapping hits of
    one item the most similar is kept, the earliest among equals.
 
-The benchmark is broadcast only after its size is checked (``MAX_ITEM_WORDS``); a larger one is cut
-by item into slices of that size, each with a pass of its own.
+The benchmark streams through the driver in slices of ``MAX_ITEM_WORDS`` words; each slice is broadcast,
+searched in a pass of its own whose hits are written, and released before the next one.  A worker
+builds the index of a slice once.
 
 Edge cases: items or documents with null or wordless text never hit; texts of one to four words
-are one shingle; repeated items hit separately; repeated documents too; an empty table on either
-side gives no hits; extra columns are ignored by ``hits`` and kept by ``clean``.
+are one shingle, whose fingerprint is its hash: they hit where that is equal; repeated items hit
+separately; repeated documents too; documents shorter than an item are one window; an empty table on
+either side gives no hits; extra columns are ignored by ``hits`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
+from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +48,7 @@ from tracewell.plans.staging import stage
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
 #: Bits of a fingerprint, its blocks, and the radius searched.
-BITS, BLOCKS, RADIUS = 256, 32, 95
+BITS, BLOCKS, RADIUS = 256, 16, 63
 #: Words of benchmark text that are broadcast at once.
 MAX_ITEM_WORDS = 2_000_000
 #: Words of documents whose positions are handled together.
@@ -73,76 +80,122 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / max(1, len(a) + len(b) - common)
 
 
-def fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """256-bit SimHash of a bag of shingles, as 32 bytes."""
+def _lanes(shingles: np.ndarray) -> np.ndarray:
+    """The 256 bits of each shingle, a row of 0 and 1 for each."""
     with np.errstate(over="ignore"):
         lanes = [mixed(shingles + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for k in range(1, BITS // 64 + 1)]
-    bits = np.unpackbits(np.stack(lanes, axis=1).astype("<u8").view(np.uint8), axis=1)
-    return np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(shingles))
+    return np.unpackbits(np.stack(lanes, axis=1).astype("<u8").view(np.uint8), axis=1)
+
+
+def fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """256-bit SimHash of a bag of shingles, as 32 bytes."""
+    return np.packbits(2 * _lanes(shingles).sum(axis=0, dtype=np.int64) > len(shingles))
+
+
+def window_fingerprints(shingles: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
+    """Fingerprints of the bags ``shingles[s : s + span]``, by running sums over each run of close starts."""
+    out = np.zeros((len(starts), BITS // 8), dtype=np.uint8)
+    cuts = [0, *(np.flatnonzero(np.diff(starts) > span) + 1).tolist(), len(starts)]
+    for begin, end in zip(cuts, cuts[1:]):
+        while begin < end:
+            stop = int(np.searchsorted(starts[begin:end], starts[begin] + max(span, 4096), side="right")) + begin
+            run = starts[begin:stop] - starts[begin]
+            sums = np.zeros((int(run[-1]) + span + 1, BITS), dtype=np.int32)
+            np.cumsum(_lanes(shingles[starts[begin] : starts[begin] + len(sums) - 1]), axis=0, dtype=np.int32, out=sums[1:])
+            out[begin:stop] = np.packbits(2 * (sums[run + span] - sums[run]) > span, axis=1)
+            begin = stop
+    return out
+
+
+def _block_values(prints: np.ndarray) -> np.ndarray:
+    """The 16-bit blocks of fingerprints, a row for each."""
+    return np.ascontiguousarray(prints).view("<u2").astype(np.int64)
+
+
+class MultiIndex:
+    """Fingerprints by the values of their blocks; ``within`` finds all that lie within the radius."""
+
+    def __init__(self, prints: np.ndarray):
+        self.prints = prints
+        values = _block_values(prints) if len(prints) else np.zeros((0, BLOCKS), np.int64)
+        self.order = np.argsort(values, axis=0, kind="stable")
+        self.sorted = [values[self.order[:, b], b] for b in range(BLOCKS)]
+        bits = BITS // BLOCKS
+        self.near = np.array([sum(1 << b for b in flipped) for w in range(RADIUS // BLOCKS + 1) for flipped in combinations(range(bits), w)], dtype=np.int64)
+
+    def within(self, print_: np.ndarray) -> np.ndarray:
+        """Places of the fingerprints within the radius: some block nearly agrees, then all bits are counted."""
+        met = []
+        for b, value in enumerate(_block_values(print_[None, :])[0]):
+            wanted = self.near ^ value
+            low, high = np.searchsorted(self.sorted[b], wanted, side="left"), np.searchsorted(self.sorted[b], wanted, side="right")
+            for i in np.flatnonzero(high > low).tolist():
+                met.append(self.order[low[i] : high[i], b])
+        if not met:
+            return np.zeros(0, np.int64)
+        found = np.unique(np.concatenate(met))
+        return found[np.bitwise_count(self.prints[found] ^ print_).sum(axis=1, dtype=np.int64) <= RADIUS]
 
 
 class ItemIndex:
-    """The items of one slice: their shingles and a multi-index over fingerprint blocks."""
+    """The items of one slice: the shingles that occur in any of them, and a multi-index of fingerprints for each length."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         hashes = WordHashes()
         self.items = []
-        by_shingle: dict[int, list[int]] = {}
         for item_id, text in items:
             words = normal_words(text or b"")
             if words:
-                shingles = shingle_hashes(hashes.of(words))
-                for s in set(shingles.tolist()):
-                    by_shingle.setdefault(s, []).append(len(self.items))
-                self.items.append((item_id, len(words), shingles))
-        self.owners = by_shingle
-        self.known = np.array(sorted(by_shingle), dtype=np.uint64)
+                self.items.append((item_id, len(words), shingle_hashes(hashes.of(words))))
+        self.known = np.unique(np.concatenate([s for _, _, s in self.items])) if self.items else np.zeros(0, np.uint64)
         self.sieve = np.zeros(1 << 22, dtype=bool)
         self.sieve[(self.known >> np.uint64(42)).astype(np.int64)] = True
         self.short = [k for k, (_, n, _) in enumerate(self.items) if n < SHINGLE]
-        prints = np.stack([fingerprint(s) for _, _, s in self.items]) if self.items else np.zeros((0, BLOCKS), np.uint8)
-        self.prints = prints
-        self.blocks: list[dict[int, list[int]]] = [{} for _ in range(BLOCKS)]
-        for k, row in enumerate(prints.tolist()):
-            for block, value in zip(self.blocks, row):
-                block.setdefault(value, []).append(k)
-        step = RADIUS // BLOCKS
-        values = np.arange(256, dtype=np.uint8)
-        self.near = [np.flatnonzero(np.bitwise_count(values ^ np.uint8(v)) <= step).tolist() for v in range(256)]
-
-    def within(self, print_: np.ndarray) -> set[int]:
-        """Items within the radius: by agreement of some block, then by all bits."""
-        met = {k for block, value in zip(self.blocks, print_.tolist()) for v in self.near[value] for k in block.get(v, ())}
-        return {k for k in met if int(np.bitwise_count(self.prints[k] ^ print_).sum()) <= RADIUS}
-
-
-def _passages(index: ItemIndex, hashes: np.ndarray, at: np.ndarray, values: np.ndarray, min_similarity: float):
-    """(item, start, similarity) of the hits in one document; ``at``: where item shingles start."""
-    marks: dict[int, list[int]] = {}
-    for place, value in zip(at.tolist(), values.tolist()):
-        for k in index.owners[value]:
-            marks.setdefault(k, []).append(place)
-    n = len(hashes)
-    for k, places in marks.items():
-        item_id, length, shingles = index.items[k]
-        need = math.ceil(min_similarity * len(shingles) - 1e-9)
-        if len(places) < need:
-            continue
-        places = np.array(places)
+        by_length: dict[int, list[int]] = {}
+        for k, (_, n, _) in enumerate(self.items):
+            if n >= SHINGLE:
+                by_length.setdefault(n, []).append(k)
+        prints = {n: np.stack([fingerprint(self.items[k][2]) for k in ks]) for n, ks in by_length.items()}
+        self.lengths = sorted((n, np.array(ks), MultiIndex(prints[n])) for n, ks in by_length.items())
+
+
+_built: dict[str, ItemIndex] = {}
+
+
+def _index(key: str, items: list) -> ItemIndex:
+    """The index of a slice, built once in each Python worker; the one before it goes."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = ItemIndex(items)
+    return _built[key]
+
+
+def _passages(index: ItemIndex, hashes: np.ndarray, at: np.ndarray, min_similarity: float):
+    """(item, start, words, similarity) of the hits in one document; ``at``: where shingles of items start."""
+    n, every = len(hashes), None
+    for length, members, prints in index.lengths:
+        need = max(1, math.ceil(min_similarity * (length - SHINGLE + 1) - 1e-9))
+        if len(at) < need:
+            break  # longer items need more
         width = min(length, n)  # a shorter document is one window
-        first = np.arange(max(0, int(places[0]) - width + 1), min(n - width, int(places[-1])) + 1)
         span = max(1, width - SHINGLE + 1)
-        inside = np.searchsorted(places, first + span) - np.searchsorted(places, first)
-        found = []
-        for start in first[inside >= need].tolist():
-            own = shingle_hashes(hashes[start : start + width])
-            if k in index.within(fingerprint(own)) and (s := similarity(own, shingles)) >= min_similarity:
-                found.append((-s, start))
-        taken: list[int] = []
-        for s, start in sorted(found):
-            if all(abs(start - t) >= width for t in taken):
-                taken.append(start)
-                yield item_id, start, width, -s
+        first = np.arange(max(0, int(at[0]) - width + 1), min(n - width, int(at[-1])) + 1)
+        starts = first[np.searchsorted(at, first + span) - np.searchsorted(at, first) >= need]
+        if not len(starts):
+            continue
+        every = shingle_hashes(hashes) if every is None else every
+        found: dict[int, list[tuple[float, int]]] = {}
+        for start, print_ in zip(starts.tolist(), window_fingerprints(every, starts, span)):
+            for k in members[prints.within(print_)].tolist():
+                s = similarity(every[start : start + span], index.items[k][2])
+                if s >= min_similarity:
+                    found.setdefault(k, []).append((-s, start))
+        for k, hits_ in found.items():
+            taken: list[int] = []
+            for s, start in sorted(hits_):
+                if all(abs(start - t) >= width for t in taken):
+                    taken.append(start)
+                    yield index.items[k][0], start, width, -s
 
 
 def _short_hits(index: ItemIndex, hashes: np.ndarray):
@@ -156,17 +209,17 @@ def _short_hits(index: ItemIndex, hashes: np.ndarray):
                 yield item_id, start, length, 1.0
 
 
-def _slices(benchmark: DataFrame) -> list[list[tuple[int, bytes]]]:
-    """The benchmark in slices of bounded size (it is a list of test items, not a corpus)."""
-    out, held = [[]], 0
+def _slices(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
+    """The benchmark in slices of bounded size; the driver holds one of them."""
+    held, words = [], 0
     for row in benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("binary").alias("text")).orderBy("item_id", "text").toLocalIterator():
-        words = (row["text"] or b"").count(b" ") + 1
-        if out[-1] and held + words > MAX_ITEM_WORDS:
-            out.append([])
-            held = 0
-        out[-1].append((row["item_id"], None if row["text"] is None else bytes(row["text"])))
-        held += words
-    return out
+        n = (row["text"] or b"").count(b" ") + 1
+        if held and words + n > MAX_ITEM_WORDS:
+            yield held
+            held, words = [], 0
+        held.append((row["item_id"], None if row["text"] is None else bytes(row["text"])))
+        words += n
+    yield held
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
@@ -175,19 +228,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, min_similarity: float = MIN_SIMI
 
 
 def _all_passes(picked: DataFrame, benchmark: DataFrame, min_similarity: float) -> DataFrame:
-    """Hits of ``picked(doc_id, text)``, whose doc_id may be of any type."""
+    """Hits of ``picked(doc_id, text)``, whose doc_id may be of any type; each slice's hits are written before the next slice."""
     out = None
     for items in _slices(benchmark):
-        part = _pass(picked, items, min_similarity)
+        shared = picked.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, items))
+        part = stage(_pass(picked, shared, min_similarity), "hits")
+        shared.unpersist()
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _pass(picked: DataFrame, items: list, min_similarity: float) -> DataFrame:
-    shared = picked.sparkSession.sparkContext.broadcast(items)
-
+def _pass(picked: DataFrame, shared, min_similarity: float) -> DataFrame:
     def search(batches):
-        index, cache = ItemIndex(shared.value), word_hashes()
+        index, cache = _index(*shared.value), word_hashes()
         for batch, texts in text_batches(batches):
             ids = batch.column("doc_id").to_pylist()
             rows, begin = [], 0
@@ -226,7 +279,7 @@ def _marked(index: ItemIndex, ids: list, parts: list[np.ndarray], min_similarity
         for head, tail in zip(heads, [*heads[1:], len(at)]):
             i = int(owner[head])
             places = at[head:tail]
-            rows += [(ids[i], *hit) for hit in _passages(index, parts[i], places - (ends[i] - len(parts[i])), shingles[places], min_similarity)]
+            rows += [(ids[i], *hit) for hit in _passages(index, parts[i], places - (ends[i] - len(parts[i])), min_similarity)]
     if index.short:
         for i, part in enumerate(parts):
             rows += [(ids[i], *hit) for hit in _short_hits(index, part)]
