@@ -90,6 +90,33 @@ def test_substring_dedup_null_ids_and_empty_table(spark):
     assert substring_dedup.factor(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_factors_are_contiguous_in_one_reference_block(spark):
+    """A passage stitched from several references: each factor lies whole at its place of an earlier text."""
+    rng = random.Random(7)
+    words = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    sources = [words(60) for _ in range(6)]
+    stitched = sources[0][5:40] + sources[3][10:45] + words(7) + sources[5][0:20] + sources[2][30:49] + sources[0][20:60]
+    docs = [(i, " ".join(w)) for i, w in enumerate(sources)] + [(10, " ".join(stitched)), (11, " ".join(stitched * 2)), (12, " ".join(words(30_000) + stitched))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for block_bytes in (1, 2_000, 1 << 20):
+        found = {r.doc_id: r for r in substring_dedup.factor(df, block_bytes=block_bytes).collect()}
+        want = [(0, 35), (35, 35), (77, 20), (116, 40)]  # the run of 19 words is too short
+        assert [(f.start, f.length) for f in found[10].factors] == want and found[10].n_removed == 130
+        assert found[11].n_removed == 2 * len(stitched) and found[12].n_removed == len(stitched)
+    blocks, _, _ = substring_dedup.reference_blocks(df, block_bytes=2_000)
+    texts = {r.block: [w for t in substring_dedup._unpacked(bytes(r.payload))[1] for w in t.split()] for r in blocks.collect()}
+    own = {i: t.encode().split() for i, t in docs}
+    for r in substring_dedup.factor(df, block_bytes=2_000).collect():
+        for f in r.factors:
+            assert texts[f.reference_block][f.reference_word : f.reference_word + f.length] == own[r.doc_id][f.start : f.start + f.length]
+
+
+def test_equal_hashes_of_different_windows_are_told_apart():
+    hashes, checks = np.array([5, 5, 7, 5, 5], dtype=np.uint64), np.array([1, 2, 3, 1, 2], dtype=np.uint64)
+    order, same = substring_dedup._in_order(hashes, checks)
+    assert order.tolist() == [0, 3, 1, 4, 2] and same.tolist() == [False, True, False, True, False]
+
+
 # ---------------------------------------------------------------- simhash
 
 
