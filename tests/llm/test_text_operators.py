@@ -244,6 +244,36 @@ def test_near_copies_are_all_found(spark):
 
 
 
+def test_linked_fingerprints_find_nearly_all_copies(spark):
+    """Recall of the covering alone, before shared shingles complete it; texts of the length of documents."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    vocabulary = [word() for _ in range(3_000)]
+    docs, n_copies = [], 0
+    for family in range(120):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([120, 300, 500]))]
+        docs.append(base)
+        for _ in range(2):
+            words = list(base)
+            for _ in range(max(1, len(words) // 60)):
+                words[rng.randrange(len(words))] = word()
+            docs.append(words)
+            n_copies += 1
+    texts = spark.createDataFrame([(i, " ".join(w).encode()) for i, w in enumerate(docs)], "n long, text binary")
+    linked = simhash._linked(texts)
+    pairs = {(r.n, r.first) for r in simhash._linked_pairs(linked, 64).where("first >= 0").collect()}
+    assert sum((i, i - i % 3) in pairs for i in range(len(docs)) if i % 3) >= 0.9 * n_copies
+    assert all(a // 3 == b // 3 for a, b in pairs)  # unlike texts are hardly ever linked
+    assert linked.where("n >= 0").count() > 0 and simhash._linked(texts.limit(0)).count() == 0
+
+
+def test_table_marks_keep_tables_apart():
+    marks = [simhash._table_mark(t) for t in range(simhash.TABLES)]
+    assert all((a ^ b).bit_count() >= 4 for i, a in enumerate(marks) for b in marks[:i]) and max(marks) < 2**63
+    prints = simhash.word_fingerprints([b"", b"One two two", b"one TWO two", b"three"])
+    assert prints.shape == (4, simhash.TABLES) and (prints[1] == prints[2]).all() and (prints[0] == np.array(marks, dtype=np.uint64)).all()
+
+
 def test_every_family_of_a_large_group_is_examined(spark):
     """Ten orders of the same words, and twenty texts with a common passage, each with a copy of its own."""
     rng = random.Random(14)

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm.words import rolling, text_batches, text_key, word_hashes
+from tracewell.llm.words import mixed, rolling, text_batches, text_key, word_hashes
 from tracewell.plans.staging import stage
 
 SHINGLE = 3
@@ -188,11 +188,12 @@ def _links(group: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, int), np.zeros(0, int))
 
 
-def links(distinct: DataFrame, threshold: int = THRESHOLD, codes: tuple = CODES) -> DataFrame:
+def links(distinct: DataFrame, threshold: int = THRESHOLD, codes: tuple = CODES, apart: int = 0) -> DataFrame:
     """Edges (a, b) between different fingerprints of ``distinct(fp)`` that join all linked ones.
 
     ``codes`` cover some of the bits; with fewer of them a fingerprint has fewer copies, and an
-    anchor more company.  What is linked does not depend on them.
+    anchor more company.  What is linked does not depend on them.  Fingerprints that differ in a bit
+    of ``apart`` are never linked.
     """
     half = -(-threshold // 2)
     bits = sum(c[0] for c in codes)
@@ -203,7 +204,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD, codes: tuple = CODES)
             fps = batch.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
             for begin in range(0, len(fps), at_once):
                 part = fps[begin : begin + at_once]
-                grid = np.sort(anchors(part.view(np.uint64), half, codes), axis=1)
+                grid = np.sort(anchors(part.view(np.uint64), half, codes) | (part.view(np.uint64) & np.uint64(apart))[:, None], axis=1)
                 first = np.ones(grid.shape, dtype=bool)
                 first[:, 1:] = grid[:, 1:] != grid[:, :-1]
                 row, column = np.nonzero(first)
@@ -294,6 +295,11 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
 
 #: Near copies: words of a shingle, and similarity.
 COPY_SHINGLE, MIN_SIMILARITY = 5, 0.8
+#: Fingerprints of a text's words: how many, their codes (which cover all their bits), and how often a word counts at most.
+TABLES, COPY_CODES, COUNTED = 6, CODES[:2], 4
+_COPY_BITS = sum(code[0] for code in COPY_CODES)
+#: Tasks that a group's texts are dealt to.
+SALTS = 8
 #: Texts whose shingles are counted to tell common ones, and the common shingles that are broadcast.
 SAMPLED_TEXTS, MAX_COMMON = 4096, 200_000
 
@@ -431,26 +437,103 @@ def _met(postings: DataFrame, leaders: int, min_similarity: float) -> DataFrame:
     return found.groupBy("n", "first").agg(F.sum("keys").alias("keys"), F.max("need").alias("need")).where("first < 0 OR keys >= need")
 
 
-def _near(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
-    """(n, first): texts of ``texts(n, text)`` that are like a text with a smaller n that stays.
+def _table_mark(table: int) -> int:
+    """Bits that tell the fingerprints of one table from those of another; any two marks differ in four bits or more."""
+    return table * 0b001001001001 << _COPY_BITS
+
+
+def word_fingerprints(texts: list[bytes]) -> np.ndarray:
+    """Row per text: a SimHash of its words for each table, under the table's mark."""
+    words, counts, sizes = [], [], []
+    for text in texts:
+        different, n = np.unique(word_hashes().of(text.translate(_LOWER).split()), return_counts=True)
+        words.append(different)
+        counts.append(np.minimum(n, COUNTED))
+        sizes.append(len(different))
+    out = np.zeros((len(texts), TABLES), dtype=np.uint64)
+    if not sum(sizes):
+        return out | np.array([_table_mark(t) for t in range(TABLES)], dtype=np.uint64)
+    every, weight = np.concatenate(words), np.concatenate(counts).astype(np.int16)[:, None]
+    filled = np.flatnonzero(sizes)
+    begins = (np.cumsum(sizes) - sizes)[filled]
+    for table in range(TABLES):
+        salt = np.uint64(0x9E3779B97F4A7C15 * (table + 1) & (1 << 64) - 1)
+        bits = np.unpackbits(mixed(every ^ salt).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, :_COPY_BITS]
+        votes = np.add.reduceat((2 * bits.astype(np.int16) - 1) * weight, begins, axis=0, dtype=np.int32) > 0
+        whole = np.zeros((len(filled), 64), dtype=np.uint8)
+        whole[:, :_COPY_BITS] = votes
+        out[filled, table] = np.packbits(whole, axis=1, bitorder="little").view("<u8")[:, 0]
+        out[:, table] |= np.uint64(_table_mark(table))
+    return out
+
+
+def _linked(texts: DataFrame) -> DataFrame:
+    """(key, n, fp): texts with a fingerprint that another text's is linked with, under the star that holds both.
+
+    Fingerprints that share an anchor and lie in one local component have one star, so any two linked ones
+    meet under a key.
+    """
+
+    def sign(batches):
+        for batch, rows in text_batches(batches):
+            prints = word_fingerprints(rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("n").to_numpy(), TABLES)), pa.array(prints.ravel())], names=["n", "fp"])
+
+    prints = stage(texts.mapInArrow(sign, "n long, fp long"), "fingerprints")
+    distinct = stage(prints.groupBy("fp").count(), "distinct")
+    stars = stage(links(distinct, THRESHOLD, COPY_CODES, sum({1 << b for b in range(_COPY_BITS, 64)})), "stars")
+    members = stars.select(F.col("a").alias("key"), F.col("b").alias("fp")).unionByName(stars.select(F.col("a").alias("key"), F.col("a").alias("fp")))
+    members = members.unionByName(distinct.where("count > 1").select(F.col("fp").alias("key"), "fp")).distinct()
+    return prints.hint("merge").join(members, "fp").select("key", "n", "fp")
+
+
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)))
+
+
+def _to_all_salts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))))
+
+
+def _linked_pairs(postings: DataFrame, leaders: int) -> DataFrame:
+    """(n, first): texts with the first ``leaders`` texts of each key that their fingerprints are linked with; -1 as in ``_met``.
+
+    A key's texts are dealt to several tasks, and its first ones go to all of these.
+    """
+    dealt = _salted(postings)
+    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("n", "fp"))
+    some = dealt.withColumn("nth", nth("key", "salt")).where(F.col("nth") <= leaders)
+    firsts = stage(some.withColumn("nth", nth("key")).where(F.col("nth") <= leaders).select("key", F.col("n").alias("first"), F.col("fp").alias("first_fp"), "nth"), "firsts")
+    near = (F.col("first") < F.col("n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= THRESHOLD)
+    pairs = dealt.hint("merge").join(_to_all_salts(firsts), ["key", "salt"]).where(near).select("n", "first").distinct()
+    last = firsts.where(F.col("nth") == leaders).select("key", F.col("first").alias("last"))
+    late = dealt.hint("merge").join(_to_all_salts(last), ["key", "salt"]).where("n > last").select("n").distinct()
+    return pairs.unionByName(late.select("n", F.lit(-1).cast("long").alias("first")))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """Those of ``pairs(n, first)`` whose whole shingle sets reach the similarity; a first text's set goes to several tasks."""
+    firsts = sets.hint("merge").join(pairs.select(F.col("first").alias("n")).distinct(), "n", "left_semi")
+    ahead = _to_all_salts(firsts.select(F.col("n").alias("first"), F.col("shingles").alias("of_first")))
+    common = F.size(F.array_intersect("shingles", "of_first"))
+    reached = common >= min_similarity * (F.size("shingles") + F.size("of_first") - common)
+    return _salted(pairs.hint("merge").join(sets, "n")).hint("merge").join(ahead, ["first", "salt"]).where(reached).select("n", "first")
+
+
+def _gone(postings: DataFrame, meet, sets_of, min_similarity: float) -> DataFrame:
+    """(n, first): texts that are like a text with a smaller n that stays, among those that ``meet`` brings together.
 
     Taken in order of n, a text stays unless it is like one that stays: exactly that, in rounds.  A text that
     is among the first of all its keys, and like none of those that are still open, stays; it has met all
     that share a key with it, and what is like it goes.  The least open text always stays, and rounds go on
     until none is open.
     """
-    spark = texts.sparkSession
-    postings = stage(_postings(texts, n_texts, min_similarity), "postings")
-    out, leaders = spark.createDataFrame([], "n long, first long"), 4
+    out, leaders = postings.sparkSession.createDataFrame([], "n long, first long"), 1
     while not postings.isEmpty():
-        met = stage(_met(postings, leaders, min_similarity), "met")
+        met = stage(meet(postings, leaders), "met")
         pairs = met.where("first >= 0").select("n", "first")
         wanted = stage(pairs.select("n").unionByName(pairs.select(F.col("first").alias("n"))).distinct(), "wanted")
-        sets = stage(_shingle_sets(texts.join(wanted, "n", "left_semi")), "shingles")
-        ahead = sets.select(F.col("n").alias("first"), F.col("shingles").alias("of_first"))
-        common = F.size(F.array_intersect("shingles", "of_first"))
-        alike = common >= min_similarity * (F.size("shingles") + F.size("of_first") - common)
-        like = stage(pairs.hint("merge").join(sets, "n").hint("merge").join(ahead, "first").where(alike).select("n", "first"), "alike")
+        like = stage(_alike(pairs, stage(sets_of(wanted), "shingles"), min_similarity), "alike")
         open_ = stage(met.where("first < 0").select("n").unionByName(like.select("n")).distinct(), "open")
         gone = stage(like.hint("merge").join(open_.select(F.col("n").alias("first")), "first", "left_anti").groupBy("n").agg(F.min("first").alias("first")), "near")
         out = out.unionByName(gone)
@@ -460,6 +543,22 @@ def _near(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
     return out
 
 
+def _near(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
+    """(n, first): texts of ``texts(n, text)`` that are like a text with a smaller n that stays.
+
+    First those that linked fingerprints bring together, which leaves one text of nearly every group; then,
+    among what stays, those beyond the radius of all tables, which shared shingles bring together.
+    """
+    linked = stage(_linked(texts), "linked")
+    sets = stage(_shingle_sets(texts.hint("merge").join(linked.select("n").distinct(), "n", "left_semi")), "sets")
+    by_prints = _gone(linked, _linked_pairs, lambda wanted: sets.hint("merge").join(wanted, "n", "left_semi"), min_similarity)
+    by_prints = stage(by_prints, "copies")
+    rest = stage(texts.hint("merge").join(by_prints, "n", "left_anti"), "rest")
+    shared = stage(_postings(rest, n_texts, min_similarity), "postings")
+    by_shingles = _gone(shared, lambda rows, leaders: _met(rows, leaders, min_similarity), lambda wanted: _shingle_sets(rest.join(wanted, "n", "left_semi")), min_similarity)
+    return by_prints.unionByName(by_shingles)
+
+
 def _copies(docs: DataFrame, min_similarity: float) -> tuple[DataFrame, DataFrame]:
     """(texts, near): texts(text_key, first, no_id, n) by their smallest doc_id, and near(n, first) of those that go."""
     keyed = _keyed(docs.select("doc_id", F.col("text").cast("string").alias("text")))
