@@ -4,8 +4,9 @@ Base kinds (email, ip, card, phone) follow fixed expressions, leftmost and non-o
 within a kind; a match that fails its check is dropped and the search goes on behind it.
 Added kinds are IBANs (mod-97), US social security numbers, and assigned secrets
 (``token = "..."``).  Every span has a score: a prior of its kind, raised by a checksum and
-by words near it that speak of such data, lowered by words that speak against it.  Base spans
-are always kept, whatever their score; added ones must reach ``ADDED_SCORE``.
+by whole words near it that speak of such data, lowered by words that speak against it.  A secret's own key
+word is part of its span, not of its context.  Base spans are always kept, whatever their score; added ones
+must reach ``ADDED_SCORE``: a social security number needs a word for it, and words against it undo an IBAN or a secret.
 
 All patterns scan in linear time: runs are matched possessively and only from their first
 character, and emails are found from their ``@``.
@@ -28,22 +29,28 @@ from pyspark.sql.types import StructType
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn", "secret")
 KINDS = BASE_KINDS + ADDED_KINDS
-ADDED_SCORE = 0.6
+ADDED_SCORE = 0.5
 #: Code points before and after a span that are searched for context words.
 CONTEXT = 48
 
 # Priors and context words of each kind.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.5, "ssn": 0.3, "secret": 0.5}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.5, "phone": 0.6, "iban": 0.35, "ssn": 0.35, "secret": 0.5}
 FOR = {
-    "email": ("mail", "contact", "write", "correo", "kontakt"),
-    "ip": ("ip", "address", "server", "host", "login"),
-    "card": ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon"),
-    "iban": ("iban", "bank", "account", "konto", "transfer"),
-    "ssn": ("ssn", "social", "security", "taxpayer"),
-    "secret": ("token", "secret", "password", "api", "key"),
+    "email": "mail mails email emails contact write correo kontakt courriel".split(),
+    "ip": "ip ips address addresses server servers host hosts login".split(),
+    "card": "card cards visa mastercard credit debit payment karte tarjeta carte".split(),
+    "phone": "phone phones call calls tel telephone mobile cell fax telefon telefono".split(),
+    "iban": "iban bank account accounts konto cuenta compte transfer".split(),
+    "ssn": "ssn social security taxpayer".split(),
+    "secret": "credential credentials login auth authorization bearer config".split(),
+}
+AGAINST = {
+    "ip": "version versions release section".split(),
+    "card": "isbn serial order".split(),
+    "iban": "serial part isbn order".split(),
+    "ssn": "isbn part serial order".split(),
+    "secret": "placeholder dummy changeme".split(),
 }
-AGAINST = {"ip": ("version", "release", "section"), "card": ("isbn", "serial", "order"), "ssn": ("isbn", "part", "serial")}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -54,6 +61,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?!
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?i)(?<![a-z0-9_])(?:api[_-]?key|token|secret|password|passwd)\s{0,8}[=:]\s{0,8}[\"']([^\s\"']{8,200})[\"']")
 _DIGIT = re.compile(r"[0-9]")
+_WORDS = re.compile(r"[^\W\d_]+")
 
 
 class Span(NamedTuple):
@@ -99,43 +107,53 @@ def _only_digits(text: str) -> str:
 
 
 def _proposed(text: str):
-    """(kind, start, end, confirmed by a checksum) of every span that passes its check."""
+    """(kind, start, end, confirmed by a checksum, where its context ends) of every span that passes its check."""
     if "@" in text:
         for begin, end, sure in _emails(text):
-            yield "email", begin, end, sure
+            yield "email", begin, end, sure, begin
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
-                yield "ip", m.start(), m.end(), False
+                yield "ip", m.start(), m.end(), False, m.start()
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(digits := _only_digits(m[0])) <= 19 and luhn(digits):
-                yield "card", m.start(), m.end(), True
+                yield "card", m.start(), m.end(), True, m.start()
         if "+" in text:
             for m in _PHONE.finditer(text):
                 if 9 <= len(_only_digits(m[0])) <= 15:
-                    yield "phone", m.start(), m.end(), False
+                    yield "phone", m.start(), m.end(), False, m.start()
         for m in _IBAN.finditer(text):
             if mod97(m[0].replace(" ", "")):
-                yield "iban", m.start(), m.end(), True
+                yield "iban", m.start(), m.end(), True, m.start()
         for m in _SSN.finditer(text):
             if m[0][:3] not in ("000", "666") and m[0][0] != "9" and m[0][4:6] != "00" and m[0][7:] != "0000":
-                yield "ssn", m.start(), m.end(), False
+                yield "ssn", m.start(), m.end(), False, m.start()
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
-            yield "secret", m.start(1), m.end(1), False
+            yield "secret", m.start(1), m.end(1), False, m.start()
+
+
+def context_words(text: str, begin: int, end: int) -> set[str]:
+    """Lower-case words of letters that lie whole within ``CONTEXT`` code points of a span."""
+    low, high = max(0, begin - CONTEXT), min(len(text), end + CONTEXT)
+    while 0 < low < begin and text[low - 1].isalpha():
+        low += 1
+    while end < high < len(text) and text[high].isalpha():
+        high -= 1
+    return set(_WORDS.findall(f"{text[low:begin]} {text[end:high]}".lower()))
 
 
 def _score(text: str, kind: str, begin: int, end: int, sure: bool) -> float:
-    near = f"{text[max(0, begin - CONTEXT) : begin]} {text[end : end + CONTEXT]}".lower()
-    score = PRIOR[kind] + 0.3 * sure + 0.2 * any(w in near for w in FOR[kind]) - 0.3 * any(w in near for w in AGAINST.get(kind, ()))
+    near = context_words(text, begin, end)
+    score = PRIOR[kind] + 0.3 * sure + 0.2 * (not near.isdisjoint(FOR[kind])) - 0.3 * (not near.isdisjoint(AGAINST.get(kind, ())))
     return min(1.0, max(0.0, round(score, 3)))
 
 
 def find(text: str) -> list[Span]:
     """All spans of a text by start, then kind."""
     spans = []
-    for kind, begin, end, sure in _proposed(text):
-        score = _score(text, kind, begin, end, sure)
+    for kind, begin, end, sure, before in _proposed(text):
+        score = _score(text, kind, before, end, sure)
         if kind in BASE_KINDS or score >= ADDED_SCORE:
             spans.append(Span(begin, KINDS.index(kind), kind, end, score))
     return sorted(spans)
