@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -83,6 +84,54 @@ def test_language_model(spark):
     assert [r.lang_pred for r in language_id.identify(df.limit(1), empty).collect()] == ["und"]
 
 
+def brute_language(texts: list, learned: list[tuple]) -> list[tuple]:
+    """(language, posterior) by plain counting: naive Bayes over the hashed n-grams of each text, one at a time."""
+    def cells(text):
+        padded = language_id.prepared(text)
+        return [int(language_id.grams(language_id._codes(padded[i : i + n]))[n - 1][0]) for n in (1, 2, 3) for i in range(len(padded) - n + 1)]
+
+    counts = {lang: Counter(c for t, own in learned if own == lang for c in cells(t)) for lang in sorted({own for _, own in learned})}
+    share = {lang: sum(own == lang for _, own in learned) / len(learned) for lang in counts}
+    out = []
+    for text in texts:
+        if text is None or not any(c.isalpha() for c in text):
+            out.append(("und", 0.0))
+            continue
+        logs = {
+            lang: math.log(share[lang]) + sum(math.log((n[c] + language_id.SMOOTHING) / (sum(n.values()) + language_id.SMOOTHING * language_id.BUCKETS)) for c in cells(text))
+            for lang, n in counts.items()
+        }
+        best = max(logs, key=lambda lang: (logs[lang], [-ord(c) for c in lang]))
+        out.append((best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())))
+    return out
+
+
+def test_language_against_brute_force(spark, monkeypatch):
+    rng = random.Random(5)
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "efg\u00e9\u00df", "dd": "abefg"}
+    text = lambda lang, n: " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+    learned = [(i, text(lang, 12), lang) for i, lang in enumerate(["aa", "bb", "cc", "aa", "dd"] * 6)]
+    asked = [(100 + i, text(rng.choice(list(alphabets)), rng.randint(1, 4))) for i in range(40)] + [(1, "\u00b2 \u00bd \u2460"), (2, "12 !"), (3, None), (4, ""), (5, "\u4e2d"), (6, "x\u0301"), (None, "abc")]
+    want = brute_language([t for _, t in asked], [(t, lang) for _, t, lang in learned])
+    model = language_id.train(spark.createDataFrame(learned, "doc_id long, text string, lang string"))
+    df = spark.createDataFrame(asked, "doc_id long, text string").coalesce(1)
+    for at_once, slices in ((1 << 18, 400), (9, 400), (1 << 18, 2)):
+        monkeypatch.setattr(language_id, "_CHARS_AT_ONCE", at_once)
+        monkeypatch.setattr(language_id, "LANGUAGES_AT_ONCE", slices)
+        found = [(r.lang_pred, r.score) for r in language_id.identify(df, model).collect()]
+        assert [f for f, _ in found] == [w for w, _ in want]
+        assert [s for _, s in found] == pytest.approx([s for _, s in want], rel=1e-4)
+    assert [w for w, _ in want[40:44]] == ["und"] * 4 and all(w != "und" for w, _ in want[44:])
+
+
+def test_ties_go_to_the_first_language_and_every_language_is_learned(spark):
+    rows = [(i, f"{chr(0x4e00 + i)}{chr(0x4e00 + i)}", f"l{i:03}") for i in range(401)] + [(900, "same", "zz"), (901, "same", "yy")]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.langs) == 403
+    found = language_id.identify(spark.createDataFrame(rows[395:], "doc_id long, text string, lang string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in found} == {**{i: f"l{i:03}" for i in range(395, 401)}, 900: "yy", 901: "yy"}
+
+
 def test_long_texts_are_scored_whole(monkeypatch):
     monkeypatch.setattr(language_id, "_CHARS_AT_ONCE", 7)
     matrix = np.log(np.random.default_rng(0).random((language_id.BUCKETS, 2))).astype(np.float32)

@@ -329,8 +329,20 @@ def test_added_kinds_need_checks_or_context():
     kinds = lambda t: [s.kind for s in pii.find(t) if s.kind in pii.ADDED_KINDS]
     assert kinds("bank GB82 WEST 1234 5698 7654 32 ok") == ["iban"]
     assert kinds("bank GB83 WEST 1234 5698 7654 32 ok") == []
-    assert kinds("code 123-45-6789") == [] and kinds("social security 123-45-6789") == []
-    assert kinds('token = "24be64439e3e49cf46b2d7c90f3602a3"') == ["secret"]
+    assert kinds("iban or serial GB82WEST12345698765432") == ["iban"] and kinds("serial GB82WEST12345698765432") == []
+    assert kinds("code 123-45-6789") == [] and kinds("social security 123-45-6789") == ["ssn"]
+    assert kinds("socially insecurity 123-45-6789") == [] and kinds("SSN: 123-45-6789, part of an order") == []
+    assert kinds('token = "24be64439e3e49cf46b2d7c90f3602a3"') == ["secret"] and kinds('dummy token = "24be64439e3e49cf46b2d7c90f3602a3"') == []
+
+
+def test_context_is_whole_words():
+    score = lambda t: pii.find(t)[0].score
+    plain = score("x 10.0.0.1")
+    assert score("recipe 10.0.0.1") == plain < score("the IP 10.0.0.1") and score("version 10.0.0.1") < plain
+    assert score("the hotel +1 389 555 5010") == score("x +1 389 555 5010") < score("tel +1 389 555 5010")
+    far = "q" * 46 + " "
+    assert score(f"ip {far}10.0.0.1") == plain  # only a part of the word is near
+    assert pii.context_words("aip bb 10.0.0.1 cc", 7, 15) == {"aip", "bb", "cc"} and pii.context_words("", 0, 0) == set()
 
 
 def test_pii_job(spark):
