@@ -67,6 +67,35 @@ def test_solver_on_many_pieces_beats_or_equals_best_fit():
     assert packing.bin_completion({}, 10) == []
 
 
+def test_the_search_beats_best_fit_at_any_size():
+    """One code path: gains over best-fit decreasing below and above a few hundred pieces."""
+    rng = random.Random(1)
+    gains = {False: 0, True: 0}
+    for _ in range(60):
+        items = [rng.randint(20, 50) for _ in range(rng.randint(20, 400))]
+        hist = dict(Counter(items))
+        found = packing.bin_completion(hist, 100, max_nodes=300)
+        assert sum((Counter({s: m * k for s, k in p.items()}) for m, p in found), Counter()) == Counter(hist)
+        n, plain = sum(m for m, _ in found), sum(m for m, _ in packing.best_fit(hist, 100))
+        assert packing.lower_bound(hist, 100) <= n <= plain
+        gains[len(items) > 200] += n < plain
+    assert min(gains.values()) > 3
+
+
+def test_lower_bound_against_its_definition():
+    rng = random.Random(2)
+    for _ in range(200):
+        capacity = rng.choice([10, 31, 100])
+        items = [rng.randint(1, capacity) for _ in range(rng.randint(1, 30))]
+        want = -(-sum(items) // capacity)
+        for k in range(capacity // 2 + 1):
+            n1 = sum(i > capacity - k for i in items)
+            middle = [i for i in items if capacity // 2 < i <= capacity - k]
+            small = sum(i for i in items if k <= i <= capacity // 2)
+            want = max(want, n1 + len(middle) + max(0, -(-(small - (len(middle) * capacity - sum(middle))) // capacity)))
+        assert packing.lower_bound(dict(Counter(items)), capacity) == want
+
+
 def test_chunk_ids_are_the_tokenizers():
     encoder, plain, rng = packing.ChunkEncoder(PATH), Tokenizer.from_file(PATH), random.Random(5)
     letters = ["a", "B", "é", "É", "ß", "Ñ", ".", ",", "!", "'s", "'", " ", "\n", "\x1c", "\xa0", "12", "<|endoftext|>", "<|startoftext|>", "<", "İ", "é", "ﬁ", "中", "Σ", "the", "µ"]

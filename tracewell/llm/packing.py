@@ -40,8 +40,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Pieces of one length that share a salt when ranks are counted.
 ROWS_PER_SALT = 50_000
-#: Branch-and-bound nodes before the best incumbent is taken.
+#: Branch-and-bound nodes before the best incumbent is taken, and the effort that they may cost together
+#: (different lengths left, squared, at each node).
 MAX_NODES = 2_000
+MAX_EFFORT = 400_000_000
 #: Fillings tried at one node, fullest first.
 MAX_FILLINGS = 12
 
@@ -197,24 +199,21 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
 
 def lower_bound(hist: dict[int, int], capacity: int) -> int:
-    """Fewest sequences that any packing needs: total volume, and the Martello-Toth bound L2."""
+    """Fewest sequences that any packing needs: total volume, and the Martello-Toth bound L2 over all its thresholds."""
     if not hist:
         return 0
     size = np.array(sorted(hist), dtype=np.int64)
-    count = np.array([hist[int(s)] for s in size], dtype=np.int64)
-    volume = size * count
-    best = int(-(-volume.sum() // capacity))
+    count = np.array([hist[s] for s in size.tolist()], dtype=np.int64)
     n_upto = np.concatenate([[0], np.cumsum(count)])
-    v_upto = np.concatenate([[0], np.cumsum(volume)])
+    v_upto = np.concatenate([[0], np.cumsum(size * count)])
     half = int(np.searchsorted(size, capacity // 2, side="right"))
-    for k in [0, *[int(s) for s in size if s <= capacity // 2]]:
-        big = int(np.searchsorted(size, capacity - k, side="right"))
-        low = int(np.searchsorted(size, k, side="left"))
-        middle = max(big, half)
-        n1, n2 = n_upto[-1] - n_upto[middle], n_upto[middle] - n_upto[half]
-        v2, v3 = v_upto[middle] - v_upto[half], v_upto[half] - v_upto[min(low, half)]
-        best = max(best, int(n1 + n2 + max(0, -(-(v3 - (n2 * capacity - v2)) // capacity))))
-    return best
+    k = np.concatenate([[0], size[:half]])
+    middle = np.maximum(np.searchsorted(size, capacity - k, side="right"), half)
+    low = np.minimum(np.searchsorted(size, k, side="left"), half)
+    n1, n2 = n_upto[-1] - n_upto[middle], n_upto[middle] - n_upto[half]
+    v2, v3 = v_upto[middle] - v_upto[half], v_upto[half] - v_upto[low]
+    over = np.maximum(0, -(-(v3 - (n2 * capacity - v2)) // capacity))
+    return int(max(-(-v_upto[-1] // capacity), (n1 + n2 + over).max()))
 
 
 def best_fit(hist: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -314,11 +313,10 @@ def bin_completion(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NOD
     bound = lower_bound(hist, capacity)
     best = best_fit(hist, capacity)
     best_n = sum(m for m, _ in best)
-    singly = sum(hist.values()) <= 200  # few pieces: branch on one sequence at a time
-    rest, made, n_made, waste, nodes = dict(hist), [], 0, 0, 0
+    rest, made, n_made, waste, nodes, effort = dict(hist), [], 0, 0, 0, 0
 
     def branches():
-        """Fillings of the sequence that the largest remaining piece opens: (times, pattern)."""
+        """Fillings of the sequence that the largest remaining piece opens, as often as pieces last, or once: (times, pattern)."""
         top = max(rest)
         rest[top] -= 1
         chosen = fillings({s: n for s, n in rest.items() if n}, capacity - top, max_fillings)
@@ -327,7 +325,8 @@ def bin_completion(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NOD
             pattern = {top: 1}
             for s in filling:
                 pattern[s] = pattern.get(s, 0) + 1
-            yield (1 if singly else min(rest[s] // k for s, k in pattern.items())), pattern
+            most = min(rest[s] // k for s, k in pattern.items())
+            yield from ((times, pattern) for times in sorted({most, 1}, reverse=True))
 
     def take(times: int, pattern: dict[int, int]) -> int:
         """Move sequences out of (or, with negative times, back to) ``rest``; the waste they add."""
@@ -338,7 +337,7 @@ def bin_completion(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NOD
         return times * (capacity - sum(s * k for s, k in pattern.items()))
 
     path = [branches()]  # one open node per depth; the histogram is undone on the way back
-    while path and best_n > bound and nodes < max_nodes:
+    while path and best_n > bound and nodes < max_nodes and effort < MAX_EFFORT:
         step = next(path[-1], None)
         if step is None:
             path.pop()
@@ -348,16 +347,16 @@ def bin_completion(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NOD
                 waste += take(-times, pattern)
             continue
         nodes += 1
+        effort += len(rest) ** 2
         made.append(step)
         n_made += step[0]
         waste += take(*step)
-        if waste <= (best_n - 1) * capacity - volume:
-            if singly or not rest or nodes % 64 == 1:
-                completion = best_fit(rest, capacity)
-                total = n_made + sum(m for m, _ in completion)
-                if total < best_n:
-                    best, best_n = list(made) + completion, total
-            if rest and not (singly and n_made + lower_bound(rest, capacity) >= best_n):
+        if waste <= (best_n - 1) * capacity - volume and n_made + lower_bound(rest, capacity) < best_n:
+            completion = best_fit(rest, capacity)
+            total = n_made + sum(m for m, _ in completion)
+            if total < best_n:
+                best, best_n = list(made) + completion, total
+            if rest and n_made + lower_bound(rest, capacity) < best_n:
                 path.append(branches())
                 continue
         made.pop()
