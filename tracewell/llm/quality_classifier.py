@@ -1,11 +1,11 @@
 """Quality classifier: random-indexing word vectors, pooled, into a small numpy network.
 
-Words are cut into runs of letters (by case pattern), digits and symbols, which are hashed
-into ``BUCKETS``.  Every bucket has a sparse random index vector; its word vector is the sum of
-the index vectors of its neighbours over a sample of texts.  A document is the mean of its
-tokens' word vectors and index vectors, with its share of different words and its length beside
-them (pooling alone can't see repetition); a network with one hidden layer scores it, and a
-temperature fitted on rows that trained nothing calibrates the probability.
+Texts are cut into words (whole runs of letters, in lower case), marks of their case, numbers by length, and runs of
+symbols, which are hashed into ``BUCKETS``.  Every bucket has a sparse random index vector; its word vector is
+the sum of the index vectors of its neighbours over the labelled texts; a word that these never hold has only its
+index vector.  A document is the mean of its tokens' word vectors and index vectors, with its share of
+different words and its length beside them (pooling alone can't see repetition); a network with one hidden
+layer scores it, and a temperature fitted on rows that trained nothing calibrates the probability.
 
 Labels are learned from at most ``MAX_LABELLED`` rows (lowest hashes of doc_id first), which
 are broadcast to find their texts; scores cover every whole text.  The model, about
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from tracewell.llm.words import CACHE_ENTRIES
 
-BUCKETS = 1 << 13
+BUCKETS = 1 << 16
 DIMENSIONS = 32
 HIDDEN = 24
 MAX_LABELLED = 6_000
@@ -53,8 +53,9 @@ class Tokens:
             if run[0].isdigit():
                 name = f"9{min(len(run), 6)}"
             elif run[0].isalpha():
-                case = "U" if len(run) > 1 and run.isupper() else "c" if run[0].isupper() else "l"
-                name = f"{case}{run.lower()[-3:]}{min(len(run), 12)}"
+                if run[0].isupper():
+                    out.append(_bucket("U" if len(run) > 1 and run.isupper() else "c"))
+                name = f"w{run.lower()}"
             else:
                 name = f"s{run[:3]}"
             out.append(_bucket(name))
