@@ -416,23 +416,42 @@ def test_clean_judges_rows_by_their_own_text(spark):
 def test_multi_index_finds_all_within_the_radius():
     rng = random.Random(2)
     prints = np.stack([decontamination.fingerprint(np.array([rng.getrandbits(64) for _ in range(26)], dtype=np.uint64)) for _ in range(80)])
-    index = decontamination.MultiIndex(prints)
+    index, asked = decontamination.MultiIndex(prints), []
     for _ in range(60):
         print_ = prints[rng.randrange(80)].copy()
         for _ in range(rng.randint(0, 130)):
             print_[rng.randrange(32)] ^= 1 << rng.randrange(8)
-        want = [k for k in range(80) if int(np.bitwise_count(prints[k] ^ print_).sum()) <= decontamination.RADIUS]
-        assert index.within(print_).tolist() == want
-    assert decontamination.MultiIndex(np.zeros((0, 32), np.uint8)).within(prints[0]).tolist() == []
+        asked.append(print_)
+    want = [(i, k) for i, p in enumerate(asked) for k in range(80) if int(np.bitwise_count(prints[k] ^ p).sum()) <= decontamination.RADIUS]
+    assert list(zip(*(x.tolist() for x in index.within(np.stack(asked))))) == want and want
+    assert len(decontamination.MultiIndex(np.zeros((0, 32), np.uint8)).within(np.stack(asked))[0]) == 0
 
 
-def test_window_fingerprints_are_those_of_each_window():
-    rng = np.random.default_rng(3)
-    shingles = rng.integers(0, 2**63, 9000, dtype=np.uint64)
-    for span in (1, 7, 40):
-        starts = np.unique(np.concatenate([rng.integers(0, len(shingles) - span + 1, 50), np.arange(100, 160), [0, len(shingles) - span]]))
-        found = decontamination.window_fingerprints(shingles, starts, span)
-        assert all((f == decontamination.fingerprint(shingles[s : s + span])).all() for f, s in zip(found, starts))
+@pytest.mark.parametrize("at_once", [7, 4096])
+def test_passages_against_every_window(monkeypatch, at_once):
+    """All windows of every item's length, each with its own fingerprint and similarity."""
+    monkeypatch.setattr(decontamination, "_STARTS_AT_ONCE", at_once)
+    rng = random.Random(6)
+    items = [(k, " ".join(f"t{rng.randrange(30)}" for _ in range(rng.choice([6, 9, 14, 40]))).encode()) for k in range(12)]
+    index = decontamination.ItemIndex(items)
+    for _ in range(40):
+        words = [f"t{rng.randrange(30)}".encode() for _ in range(rng.randint(0, 60))]
+        for _ in range(rng.randint(0, 3)):
+            words[len(words) // 2 : len(words) // 2] = rng.choice(items)[1].split()
+        hashes = np.asarray(decontamination.word_hashes().of(words))
+        best = Counter()
+        for k, text in items:
+            own, width = text.split(), min(len(text.split()), len(words))
+            b = decontamination.shingle_hashes(decontamination.word_hashes().of(own))
+            for start in range(len(words) - width + 1) if words else ():
+                a = decontamination.shingle_hashes(hashes[start : start + width])
+                s = decontamination.similarity(a, b)
+                if s >= 0.8 and int(np.bitwise_count(decontamination.fingerprint(a) ^ decontamination.fingerprint(b)).sum()) <= decontamination.RADIUS:
+                    best[k] = max(best[k], s)
+        found = Counter()
+        for _, k, _, _, s in decontamination._marked(index, [0], [hashes], 0.8):
+            found[k] = max(found[k], s)
+        assert found == best
 
 
 def test_fingerprints_decide_which_items_are_compared(monkeypatch):
@@ -447,7 +466,7 @@ def test_fingerprints_decide_which_items_are_compared(monkeypatch):
     hashes = [np.asarray(decontamination.word_hashes().of(t.split())) for t in texts]
     found = decontamination._marked(index, list(range(150)), hashes, 0.8)
     assert [(r[0], r[1]) for r in found] == [(k, k) for k in range(150)]
-    monkeypatch.setattr(decontamination.MultiIndex, "within", lambda self, p: np.zeros(0, np.int64))
+    monkeypatch.setattr(decontamination.MultiIndex, "within", lambda self, p: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
     assert not decontamination._marked(index, list(range(150)), hashes, 0.8)
 
 

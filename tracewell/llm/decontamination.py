@@ -12,9 +12,9 @@ Stages inside one pass over the documents, with no shuffle:
    items have, whichever; windows with fewer are not fingerprinted.  This is a necessary condition, so
    it is exact, and it names no item.
 2. The remaining windows get a 256-bit SimHash from running sums of shingle bits.  Items are found by
-   their fingerprints alone: 16 blocks of 16 bits index them, and as two fingerprints within ``RADIUS``
-   bits agree in some block to within ``RADIUS // 16`` bits, looking up all block values that near
-   yields every item within the radius.  At similarity 0.8 fingerprints differ in about 39 bits with a
+   their fingerprints alone: for each length, 32 blocks of 8 bits index them under every value that is near
+   theirs, and as two fingerprints within ``RADIUS`` bits agree in some block to within ``RADIUS // 32`` bits, looking
+   up a window's blocks yields every item within the radius.  At similarity 0.8 fingerprints differ in about 39 bits with a
    deviation below 6, so the radius lies four deviations beyond.
 3. Candidates are verified by their exact weighted shingle similarity.  Of overlapping hits of
    one item the most similar is kept, the earliest among equals.
@@ -48,11 +48,13 @@ from tracewell.plans.staging import stage
 SHINGLE = 5
 MIN_SIMILARITY = 0.8
 #: Bits of a fingerprint, its blocks, and the radius searched.
-BITS, BLOCKS, RADIUS = 256, 16, 63
+BITS, BLOCKS, RADIUS = 256, 32, 63
 #: Words of benchmark text that are broadcast at once.
 MAX_ITEM_WORDS = 2_000_000
 #: Words of documents whose positions are handled together.
 _WORDS_AT_ONCE = 400_000
+#: Window starts of a document that are handled together.
+_STARTS_AT_ONCE = 4_096
 
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPACES = bytes(32 if chr(b) in _PUNCTUATION else b for b in range(256))
@@ -92,49 +94,29 @@ def fingerprint(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(2 * _lanes(shingles).sum(axis=0, dtype=np.int64) > len(shingles))
 
 
-def window_fingerprints(shingles: np.ndarray, starts: np.ndarray, span: int) -> np.ndarray:
-    """Fingerprints of the bags ``shingles[s : s + span]``, by running sums over each run of close starts."""
-    out = np.zeros((len(starts), BITS // 8), dtype=np.uint8)
-    cuts = [0, *(np.flatnonzero(np.diff(starts) > span) + 1).tolist(), len(starts)]
-    for begin, end in zip(cuts, cuts[1:]):
-        while begin < end:
-            stop = int(np.searchsorted(starts[begin:end], starts[begin] + max(span, 4096), side="right")) + begin
-            run = starts[begin:stop] - starts[begin]
-            sums = np.zeros((int(run[-1]) + span + 1, BITS), dtype=np.int32)
-            np.cumsum(_lanes(shingles[starts[begin] : starts[begin] + len(sums) - 1]), axis=0, dtype=np.int32, out=sums[1:])
-            out[begin:stop] = np.packbits(2 * (sums[run + span] - sums[run]) > span, axis=1)
-            begin = stop
-    return out
-
-
-def _block_values(prints: np.ndarray) -> np.ndarray:
-    """The 16-bit blocks of fingerprints, a row for each."""
-    return np.ascontiguousarray(prints).view("<u2").astype(np.int64)
-
-
 class MultiIndex:
-    """Fingerprints by the values of their blocks; ``within`` finds all that lie within the radius."""
+    """Fingerprints under all values near those of their blocks; ``within`` finds all that lie within the radius."""
 
     def __init__(self, prints: np.ndarray):
         self.prints = prints
-        values = _block_values(prints) if len(prints) else np.zeros((0, BLOCKS), np.int64)
-        self.order = np.argsort(values, axis=0, kind="stable")
-        self.sorted = [values[self.order[:, b], b] for b in range(BLOCKS)]
         bits = BITS // BLOCKS
-        self.near = np.array([sum(1 << b for b in flipped) for w in range(RADIUS // BLOCKS + 1) for flipped in combinations(range(bits), w)], dtype=np.int64)
-
-    def within(self, print_: np.ndarray) -> np.ndarray:
-        """Places of the fingerprints within the radius: some block nearly agrees, then all bits are counted."""
-        met = []
-        for b, value in enumerate(_block_values(print_[None, :])[0]):
-            wanted = self.near ^ value
-            low, high = np.searchsorted(self.sorted[b], wanted, side="left"), np.searchsorted(self.sorted[b], wanted, side="right")
-            for i in np.flatnonzero(high > low).tolist():
-                met.append(self.order[low[i] : high[i], b])
-        if not met:
-            return np.zeros(0, np.int64)
-        found = np.unique(np.concatenate(met))
-        return found[np.bitwise_count(self.prints[found] ^ print_).sum(axis=1, dtype=np.int64) <= RADIUS]
+        near = np.array([sum(1 << b for b in flipped) for w in range(RADIUS // BLOCKS + 1) for flipped in combinations(range(bits), w)], dtype=np.int64)
+        # one list of items for each (block, value), all in one array
+        cells = (prints.astype(np.int64)[:, :, None] ^ near[None, None, :]) + (np.arange(BLOCKS) << bits)[None, :, None]
+        owner = np.broadcast_to(np.arange(len(prints))[:, None, None], cells.shape).ravel()
+        self.order = owner[np.argsort(cells.ravel(), kind="stable")]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(cells.ravel(), minlength=BLOCKS << bits))])
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``prints``, item) of all pairs within the radius: some block nearly agrees, then all bits are counted."""
+        cells = (prints.astype(np.int64) + (np.arange(BLOCKS) << BITS // BLOCKS)).ravel()
+        begin, size = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+        row = np.repeat(np.repeat(np.arange(len(prints)), BLOCKS), size)
+        met = np.unique(row * max(1, len(self.prints)) + self.order[place])
+        row, item = np.divmod(met, max(1, len(self.prints)))
+        near = np.bitwise_count(prints[row] ^ self.prints[item]).sum(axis=1, dtype=np.int64) <= RADIUS
+        return row[near], item[near]
 
 
 class ItemIndex:
@@ -170,32 +152,50 @@ def _index(key: str, items: list) -> ItemIndex:
     return _built[key]
 
 
-def _passages(index: ItemIndex, hashes: np.ndarray, at: np.ndarray, min_similarity: float):
-    """(item, start, words, similarity) of the hits in one document; ``at``: where shingles of items start."""
-    n, every = len(hashes), None
+def _windows(index: ItemIndex, n: int, at: np.ndarray, begin: int, min_similarity: float):
+    """(its items, their index, words, shingles, starts) of the windows of each length that start in a stretch and may reach the similarity."""
+    longest = index.lengths[-1][0]
+    held = np.searchsorted(at, np.arange(begin, min(n, begin + _STARTS_AT_ONCE + longest) + 1))  # marks before each place
     for length, members, prints in index.lengths:
         need = max(1, math.ceil(min_similarity * (length - SHINGLE + 1) - 1e-9))
         if len(at) < need:
-            break  # longer items need more
+            return  # longer items need more
         width = min(length, n)  # a shorter document is one window
         span = max(1, width - SHINGLE + 1)
-        first = np.arange(max(0, int(at[0]) - width + 1), min(n - width, int(at[-1])) + 1)
-        starts = first[np.searchsorted(at, first + span) - np.searchsorted(at, first) >= need]
-        if not len(starts):
+        last = min(begin + _STARTS_AT_ONCE - 1, n - width, int(at[-1])) - begin + 1
+        if last > 0:
+            starts = np.flatnonzero(held[span : span + last] - held[:last] >= need) + begin
+            if len(starts):
+                yield members, prints, width, span, starts
+
+
+def _passages(index: ItemIndex, hashes: np.ndarray, at: np.ndarray, min_similarity: float):
+    """(item, start, words, similarity) of the hits in one document; ``at``: where shingles of items start."""
+    if not index.lengths:
+        return
+    found: dict[tuple[int, int], list[tuple[float, int]]] = {}
+    every = None
+    for begin in range(max(0, int(at[0]) - index.lengths[-1][0] + 1), int(at[-1]) + 1, _STARTS_AT_ONCE):
+        windows = list(_windows(index, len(hashes), at, begin, min_similarity))
+        if not windows:
             continue
         every = shingle_hashes(hashes) if every is None else every
-        found: dict[int, list[tuple[float, int]]] = {}
-        for start, print_ in zip(starts.tolist(), window_fingerprints(every, starts, span)):
-            for k in members[prints.within(print_)].tolist():
+        low, high = min(int(w[4][0]) for w in windows), max(int(w[4][-1]) + w[3] for w in windows)
+        sums = np.zeros((high - low + 1, BITS), dtype=np.int32)
+        np.cumsum(_lanes(every[low:high]), axis=0, dtype=np.int32, out=sums[1:])
+        for members, prints, width, span, starts in windows:
+            own = np.packbits(2 * (sums[starts - low + span] - sums[starts - low]) > span, axis=1)
+            for row, item in zip(*(x.tolist() for x in prints.within(own))):
+                k, start = int(members[item]), int(starts[row])
                 s = similarity(every[start : start + span], index.items[k][2])
                 if s >= min_similarity:
-                    found.setdefault(k, []).append((-s, start))
-        for k, hits_ in found.items():
-            taken: list[int] = []
-            for s, start in sorted(hits_):
-                if all(abs(start - t) >= width for t in taken):
-                    taken.append(start)
-                    yield index.items[k][0], start, width, -s
+                    found.setdefault((k, width), []).append((-s, start))
+    for (k, width), hits_ in found.items():
+        taken: list[int] = []
+        for s, start in sorted(hits_):
+            if all(abs(start - t) >= width for t in taken):
+                taken.append(start)
+                yield index.items[k][0], start, width, -s
 
 
 def _short_hits(index: ItemIndex, hashes: np.ndarray):
