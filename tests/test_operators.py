@@ -180,6 +180,48 @@ def test_prerequisites_with_a_cycle(spark):
     assert rows(versions.prerequisite_closure(needs), "concept", "needs", "distance")[:3] == [("a", "a", 3), ("a", "b", 1), ("a", "c", 2)]
 
 
+def test_no_depth_is_too_deep(spark):
+    """Chains of 150 levels, and cycles."""
+    n = 150
+    folders = spark.createDataFrame([(i, i - 1 if i else None, f"n{i}") for i in range(n)] + [(900, 901, "x"), (901, 900, "y")], "id int, parent int, name string")
+    found = {r.id: (r.path, r.depth) for r in tree.paths(folders).collect()}
+    assert len(found) == n and found[n - 1] == ("/".join(f"n{i}" for i in range(n)), n - 1)
+    roots = spark.createDataFrame([(0,), (140,), (900,)], "id int")
+    below = sorted((r.root, r.id) for r in tree.descendants(folders, roots).collect())
+    assert below == [(0, i) for i in range(n)] + [(140, i) for i in range(140, n)] + [(900, 900), (900, 901)]
+    from tracewell.operators.delivery import node_faults
+
+    nodes = folders.selectExpr("'t' AS tree", "id", "parent")
+    assert rows(node_faults(nodes), "id", "fault") == [(900, "unreachable"), (901, "unreachable")]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "concept int, needs int")
+    closure = sorted(tuple(r) for r in versions.prerequisite_closure(chain).select("concept", "needs", "distance").collect())
+    assert closure == [(i, j, j - i) for i in range(40) for j in range(i + 1, 41)]
+
+
+def test_global_numbers(spark):
+    df = spark.createDataFrame([(i * 7919 % 1000,) for i in range(1000)] + [(None,)], "x int").repartition(5)
+    assert sorted((r.place, r.x) for r in sequence.globally_numbered(df, ["x"], "place").collect()) == [(1, None)] + [(i + 2, i) for i in range(1000)]
+    assert sequence.globally_numbered(df.limit(0), ["x"], "place").count() == 0
+
+
+def test_folds_carry_over_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        sizes = [(m, f"o{i:02}", i, "x" * (1 + (i * m) % 5)) for m in (1, 2, 3) for i in range(20)]
+        objects = spark.createDataFrame(sizes, "material_id long, object_id string, ord long, text string")
+        want = []
+        for m in (1, 2, 3):
+            group = used = n = 0
+            for _, o, _, t in [s for s in sizes if s[0] == m]:
+                if n and (used + len(t) > 7 or n >= 3):
+                    group, used, n = group + 1, 0, 0
+                used, n = used + len(t), n + 1
+                want.append((m, o, group))
+        assert sorted(tuple(r) for r in sequence.bounded_groups(objects, 7, 3).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_grids(spark):
     want = spark.createDataFrame([(1, [["row", "yes", "no"], ["r2", "a", "b"]])], "table_id int, grid array<array<string>>")
     have = spark.createDataFrame([(1, [["row", "wrong", "no"]])], "table_id int, grid array<array<string>>")
@@ -195,6 +237,22 @@ def test_protected_lines(spark):
     assert [r.protected for r in found] == [False, True, True, True, True, True, True, True, False]
 
 
+def test_fences_hold_shorter_fences():
+    found = text.protected_mask("p\n````\n```\ncode\n````\nafter\n~~~ x\n~~~ y\n~~~~ \n$$\nm\n$$\nend\n```")
+    assert found == [False, True, True, True, True, False, True, True, True, True, True, True, False, True]
+    assert text.protected_mask("") == [False]
+
+
+def test_repairs_of_prose_lines():
+    assert repairs.spaced_prose("中A与`x`后$y$式\n> 中A\n```\n中A\n```") == "中 A 与 `x` 后 $y$ 式\n> 中A\n```\n中A\n```"
+    assert repairs.joined_wraps("名\n（Redis）\n名\n\n（Redis）\n> 名\n（Redis）\n名\n(Redis）") == "名（Redis）\n名\n\n（Redis）\n> 名\n（Redis）\n名\n(Redis）"
+    assert repairs.joined_wraps("名\n（`A`\nB）") == "名（`A` B）" and repairs.joined_wraps("名\n（一\n二）") == "名\n（一\n二）"
+    assert repairs.reordered_prose_units("5 mm（毫米，Millimeter）") == "5 mm 毫米（Millimeter）" and repairs.reordered_prose_units("毫米（millimetre，mm）") == "毫米（millimetre，mm）"
+    assert repairs.reordered_prose_units("与秒（second，s）") == "与 s 秒（second）" and repairs.reordered_prose_units("(秒（second，ms）") == "(秒（second，ms）"
+    assert repairs.without_doubled_names("Old Redis（Redis）") == "Old Redis（Redis）" and repairs.without_doubled_names("Old Redis（Old Redis)") == "Old Redis"
+    assert repairs.stopped_line("一。`。`二。。") == "一；`。`二" and repairs.stop_changes("一。\n# 二。\n“。”。") == [(0, 1), (2, 1)]
+
+
 def test_repairs_keep_literals():
     assert repairs.outside_literals("中文API10与`v2组件`和v2组件", repairs.spaced) == "中文 API10 与`v2组件`和 v2 组件"
     assert repairs.without_doubled_names("Redis（Redis）好") == "Redis好"
@@ -295,8 +353,8 @@ def test_names_and_trees(spark):
     assert rows(node_faults(nodes), "id", "fault") == [(2, "repeated"), (3, "unknown parent"), (4, "unreachable"), (5, "unreachable")]
     line = spark.createDataFrame([("接口（Application Interface, API）",), ("接口（API）",)], "line string")
     assert rows(acronym_definitions(line), "acronym") == [("API",)]
-    unit = spark.createDataFrame([("5 kg（千克，kilograms）",)], "t string")
-    assert unit.select(reordered_units(F.col("t"))).first()[0] == "5 千克（kilograms，kg）"
+    unit = spark.createDataFrame([("5 kg（千克，kilogram）和千克（Kilogram，kg）",)], "t string")
+    assert unit.select(reordered_units(F.col("t"))).first()[0] == "5 kg 千克（kilogram）和 kg 千克（Kilogram）"
 
 
 def test_streaming_folds(spark, tmp_path):

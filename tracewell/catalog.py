@@ -8,6 +8,7 @@ from tracewell.plans import (  # noqa: F401  (each registers its queries)
     delivery_queries,
     intake_queries,
     ledger_queries,
+    repair_queries,
     sequence_queries,
     stream_queries,
     text_queries,

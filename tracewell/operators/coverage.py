@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.sequence import globally_numbered
+
+#: Invariants that a roll-up takes; they are broadcast to every material.
+MAX_INVARIANTS = 10_000
+
 VIOLATION = ("material_id", "code", "block_id", "object_id", "obligation_id")
 
 
@@ -93,6 +98,8 @@ def scorecard(checks: DataFrame) -> DataFrame:
 def roll_up(findings: DataFrame, invariants: DataFrame) -> DataFrame:
     """Verdict per material and invariant: FAIL beats UNKNOWN beats PASS; no finding passes."""
     worst = findings.groupBy("material_id", "invariant").agg(F.max(F.when(F.col("status") == "FAIL", 2).when(F.col("status") == "UNKNOWN", 1).otherwise(0)).alias("rank"))
+    if invariants.limit(MAX_INVARIANTS + 1).count() > MAX_INVARIANTS:
+        raise ValueError(f"more than {MAX_INVARIANTS} invariants")
     every = findings.select("material_id").distinct().crossJoin(F.broadcast(invariants))
     met = every.join(worst, ["material_id", "invariant"], "left")
     return met.select("material_id", "invariant", F.when(F.col("rank") == 2, "FAIL").when(F.col("rank") == 1, "UNKNOWN").otherwise("PASS").alias("verdict"))
@@ -110,8 +117,8 @@ def patched(rows: DataFrame, replace: DataFrame, add: DataFrame, remove: DataFra
     new = replace.select("id", F.col("body").alias("new_body"))
     kept = rows.join(remove.select("id"), "id", "left_anti").join(new, "id", "left").select("id", "ord", F.coalesce("new_body", "body").alias("body"))
     top = rows.agg(F.coalesce(F.max("ord"), F.lit(0)).alias("top"))
-    nth = F.row_number().over(Window.orderBy("id"))
-    return kept.unionByName(add.crossJoin(F.broadcast(top)).select("id", (F.col("top") + nth).alias("ord"), "body"))
+    new_rows = globally_numbered(add.select("id", "body"), ["id"], "nth")
+    return kept.unionByName(new_rows.crossJoin(F.broadcast(top)).select("id", (F.col("top") + F.col("nth")).alias("ord"), "body"))
 
 
 def parts(tasks: DataFrame, limit: int, keys: list[str], order: list) -> DataFrame:

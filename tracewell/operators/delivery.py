@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import re
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from tracewell.operators.tree import reached
+
 #: From which state each event leads where.
 TRANSITIONS = {"review_ready": ("draft", "ready_for_review"), "accept": ("ready_for_review", "accepted"), "publish": ("accepted", "published")}
 
@@ -109,15 +110,9 @@ def name_status(names: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def node_faults(nodes: DataFrame) -> DataFrame:
     """(tree, id, fault) of flat node trees(tree, id, parent): repeated ids, unknown parents, nodes no root reaches."""
-    spark = nodes.sparkSession
     repeated = nodes.groupBy("tree", "id").count().where("count > 1").select("tree", "id", F.lit("repeated").alias("fault"))
     known = nodes.select("tree", F.col("id").alias("parent")).distinct()
     orphan = nodes.where("parent is not null").join(known, ["tree", "parent"], "left_anti").select("tree", "id", F.lit("unknown parent").alias("fault"))
-    view = f"nodes_{uuid.uuid4().hex}"
-    nodes.createOrReplaceTempView(view)
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    reached = spark.sql(
-        f"WITH RECURSIVE r(tree, id, depth) AS (SELECT tree, id, 0 FROM {view} WHERE parent IS NULL UNION ALL SELECT n.tree, n.id, r.depth + 1 FROM {view} n JOIN r ON n.tree = r.tree AND n.parent = r.id WHERE r.depth < 90) SELECT DISTINCT tree, id FROM r"
-    )
-    lost = nodes.join(reached, ["tree", "id"], "left_anti").join(orphan.select("tree", "id"), ["tree", "id"], "left_anti").select("tree", "id", F.lit("unreachable").alias("fault"))
+    found = reached(nodes, nodes.where("parent is null").select("tree", F.col("id").alias("root"), "id"), ["tree"]).select("tree", "id").distinct()
+    lost = nodes.join(found, ["tree", "id"], "left_anti").join(orphan.select("tree", "id"), ["tree", "id"], "left_anti").select("tree", "id", F.lit("unreachable").alias("fault"))
     return repeated.unionByName(orphan).unionByName(lost)

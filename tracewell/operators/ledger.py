@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.sequence import folded
+
 # Spellings of token counts in usage bodies, in order of preference.
 INPUT_PATHS = ("$.prompt_tokens", "$.input_tokens", "$.inputTokens")
 OUTPUT_PATHS = ("$.completion_tokens", "$.output_tokens", "$.outputTokens")
@@ -54,18 +56,13 @@ def admitted(requests: DataFrame, budget: float, calls: int) -> DataFrame:
     A rejected request consumes nothing, so admission is a fold per scope.
     """
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "call_id"], kind="stable")
-        seen, used, n, out = set(), 0.0, 0, []
-        for call, amount in zip(rows["call_id"], rows["amount"]):
-            reason = "duplicate" if call in seen else "negative" if amount < 0 else "calls" if n >= calls else "budget" if used + amount > budget + 1e-9 else None
-            if reason is None:
-                seen.add(call)
-                used, n = used + amount, n + 1
-            out.append(reason)
-        return rows[["scope", "call_id"]].assign(reason=out)
-
-    return requests.select("scope", "call_id", "ts", "amount").groupBy("scope").applyInPandas(fold, "scope long, call_id long, reason string")
+    def step(state, values):
+        (used, seen), (call, amount) = state, values  # at most `calls` admitted ones are held
+        reason = "duplicate" if call in seen else "negative" if amount < 0 else "calls" if len(seen) >= calls else "budget" if used + amount > budget + 1e-9 else None
+        return ((used + amount, seen | {call}) if reason is None else (used, seen)), reason
+
+    narrow = requests.select("scope", "call_id", "ts", "amount")
+    return folded(narrow, ["scope"], ["ts", "call_id"], ["call_id", "amount"], lambda: (0.0, frozenset()), step, "reason", ("string", pa.string())).select("scope", "call_id", "reason")
 
 
 def day_budget(calls: DataFrame) -> DataFrame:

@@ -1,12 +1,37 @@
-"""Operators over ordered rows: islands, forward fills, batches, top-k and pages."""
+"""Operators over ordered rows: folds, islands, forward fills, batches, top-k and pages."""
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def folded(rows: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable, step: Callable, name: str, kind: tuple[str, pa.DataType]) -> DataFrame:
+    """Adds a column that a fold over the rows of each key gives, in order.
+
+    ``start()`` is a key's first state, ``step(state, values of inputs)`` gives (next state, value of this row).  Rows
+    stream through a task in batches and only the state is carried, so a key may be of any size.
+    """
+
+    def run(batches):
+        key = state = None
+        fresh = True
+        for batch in batches:
+            out = []
+            for now, values in zip(zip(*(batch.column(k).to_pylist() for k in keys)), zip(*(batch.column(c).to_pylist() for c in inputs))):
+                if fresh or now != key:
+                    key, state, fresh = now, start(), False
+                state, value = step(state, values)
+                out.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind[1])], names=[*batch.schema.names, name])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, f"{fields}, {name} {kind[0]}")
+
+
 def bounded_groups(objects: DataFrame, limit: int = 8_000, max_objects: int = 5_000) -> DataFrame:
     """(material_id, object_id, group): ordered objects in groups of at most ``limit`` characters.
 
@@ -15,17 +40,25 @@ def bounded_groups(objects: DataFrame, limit: int = 8_000, max_objects: int = 5_
     """
     narrow = objects.select("material_id", "object_id", F.col("ord").cast("long").alias("ord"), F.char_length("text").cast("long").alias("size"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable")
-        group, used, n, out = 0, 0, 0, []
-        for size in rows["size"]:
-            if n and (used + size > limit or n >= max_objects):
-                group, used, n = group + 1, 0, 0
-            used, n = used + size, n + 1
-            out.append(group)
-        return rows[["material_id", "object_id"]].assign(group=out)
-
-    return narrow.groupBy("material_id").applyInPandas(fold, "material_id long, object_id string, group long")
+    def step(state, values):
+        (group, used, n), (size,) = state, values
+        if n and (used + size > limit or n >= max_objects):
+            group, used, n = group + 1, 0, 0
+        return (group, used + size, n + 1), group
+
+    return folded(narrow, ["material_id"], ["ord"], ["size"], lambda: (0, 0, 0), step, "group", ("long", pa.int64())).select("material_id", "object_id", "group")
+
+
+def globally_numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds each row's place (from 1) in the whole order: ranges are sorted apart and shifted by the counts before them."""
+    from tracewell.plans.staging import stage
+
+    placed = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__at", 33)
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    shift = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    at = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__part", part).hint("merge").join(shift, "__part").withColumn(name, F.col("__shift") + at + 1).drop("__at", "__part", "__shift")
 
 
 def transition_pairs(blocks: DataFrame) -> DataFrame:

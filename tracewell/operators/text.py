@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -53,18 +54,55 @@ def lines_of(blocks: DataFrame) -> DataFrame:
     return blocks.select("material_id", "block_id", F.posexplode(F.split("markdown", "\n")).alias("line_no", "line"))
 
 
-def protected_lines(blocks: DataFrame) -> DataFrame:
-    """Adds ``protected``: fences and what they hold, quotes, tables, headings, indented code, display math.
+_FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)", re.S)
+_SHAPED = re.compile(r" {0,3}(?:>|#{1,6}\s|\|)|    |\t|\s*\|.*\|\s*$")
+
 
-    A fence closes with the same character at least as often; whether a line is inside is the
-    parity of matching fence marks so far.
+def fenced_lines(text: str) -> Iterator[tuple[str, bool]]:
+    """(line, whether it is a fence or inside one).
+
+    A fence closes with the same character at least as often and nothing behind it; other fences inside it are its content.
     """
-    rows = lines_of(blocks).withColumn("mark", F.regexp_extract("line", r"^ {0,3}(`{3,}|~{3,}|\$\$)", 1)).withColumn("first", F.substring("mark", 1, 1))
-    so_far = Window.partitionBy("material_id", "block_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    open_before = {c: (F.coalesce(F.sum(F.when(F.col("first") == c, 1).otherwise(0)).over(so_far), F.lit(0)) % 2) == 1 for c in ("`", "~", "$")}
-    inside = open_before["`"] | open_before["~"] | open_before["$"] | (F.col("mark") != "")
-    shaped = F.col("line").rlike(r"^ {0,3}(>|#{1,6}\s|\|)|^(    |\t)") | F.col("line").rlike(r"^\s*\|.*\|\s*$")
-    return rows.withColumn("protected", inside | shaped).drop("mark", "first")
+    mark = ""
+    for line in text.split("\n"):
+        found = _FENCE.match(line)
+        if found and not mark:
+            mark = found[1]
+            yield line, True
+        elif found and found[1][0] == mark[0] and len(found[1]) >= len(mark) and not found[2].strip():
+            mark = ""
+            yield line, True
+        else:
+            yield line, bool(mark)
+
+
+def protected_mask(text: str) -> list[bool]:
+    """Which lines are fences or inside one, display math, quotations, tables, headings or indented code."""
+    out, math = [], False
+    for line, fenced in fenced_lines(text):
+        display = not fenced and line.strip() == "$$"
+        out.append(fenced or math or display or bool(_SHAPED.match(line)))
+        math ^= display
+    return out
+
+
+def protected_lines(blocks: DataFrame) -> DataFrame:
+    """(material_id, block_id, line_no, line, protected) of every line; a fold over the lines of each block."""
+
+    def fold(batches):
+        for batch in batches:
+            keys, lines = [], []
+            for at, text in enumerate(batch.column("markdown").to_pylist()):
+                if text is not None:
+                    mask = protected_mask(text)
+                    keys += [at] * len(mask)
+                    lines += [(n, line, protected) for n, (line, protected) in enumerate(zip(text.split("\n"), mask))]
+            columns = [*(batch.column(c).take(pa.array(keys, pa.int64())) for c in ("material_id", "block_id"))]
+            columns += [pa.array([row[i] for row in lines], t) for i, t in enumerate((pa.int32(), pa.string(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["material_id", "block_id", "line_no", "line", "protected"])
+
+    picked = blocks.select(F.col("material_id").cast("long").alias("material_id"), F.col("block_id").cast("string").alias("block_id"), F.col("markdown").cast("string").alias("markdown"))
+    return picked.mapInArrow(fold, "material_id long, block_id string, line_no int, line string, protected boolean")
 
 
 def evidence_catalog(blocks: DataFrame) -> DataFrame:

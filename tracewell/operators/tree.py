@@ -1,46 +1,54 @@
-"""Folder hierarchies: paths, closures, counts, moves, trash, by recursive SQL over edges."""
+"""Folder hierarchies: paths, closures, counts, moves, trash.
 
-from __future__ import annotations
+Hierarchies are walked by doubling: a round reaches twice as many levels as the one before, each is written
+before the next one, and rounds go on until nothing is new.  So no depth is too deep and cycles end the walk.
+"""
 
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Levels that a path may have; a cycle ends there.
-MAX_DEPTH = 100
-
-
-def _views(spark: SparkSession, **frames: DataFrame) -> dict[str, str]:
-    """Temporary views under fresh names."""
-    names = {k: f"{k}_{uuid.uuid4().hex}" for k in frames}
-    for k, df in frames.items():
-        df.createOrReplaceTempView(names[k])
-    return names
+from tracewell.plans.staging import stage
 
 
 def paths(folders: DataFrame) -> DataFrame:
-    """(id, path, depth) from folders(id, parent, name): names from the root down; cycles are left out."""
-    spark = folders.sparkSession
-    v = _views(spark, folders=folders)
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(MAX_DEPTH + 2))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        f"WITH RECURSIVE tree(id, path, depth) AS (SELECT id, CAST(name AS STRING), 0 FROM {v['folders']} WHERE parent IS NULL "
-        f"UNION ALL SELECT f.id, concat(t.path, '/', f.name), t.depth + 1 FROM {v['folders']} f JOIN tree t ON f.parent = t.id WHERE t.depth < {MAX_DEPTH}) SELECT id, path, depth FROM tree"
-    )
+    """(id, path, depth) from folders(id, parent, name): names from the root down; cycles are left out.
+
+    Every folder points to an ancestor and knows the names from there; an unfinished one takes on its ancestor's.  A round that
+    finishes none leaves only folders that no root reaches.
+    """
+    own = folders.select("id", F.col("parent").alias("above"), F.col("name").cast("string").alias("path"), F.lit(0).alias("depth"))
+    known, unfinished = stage(own, "paths"), None
+    while True:
+        left = known.where("above is not null").count()
+        if left in (0, unfinished):
+            return known.where("above is null").select("id", "path", "depth")
+        unfinished = left
+        up = known.select(F.col("id").alias("above"), F.col("above").alias("next"), F.col("path").alias("head"), F.col("depth").alias("more"))
+        far = known.where("above is not null").hint("merge").join(up, "above").select("id", F.col("next").alias("above"), F.concat_ws("/", "head", "path").alias("path"), (F.col("depth") + F.col("more") + 1).alias("depth"))
+        known = stage(known.where("above is null").unionByName(far), "paths")
+
+
+def reached(edges: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, root, id): what ``edges(keys, parent, id)`` reach from ``starts(keys, root, id)``, these included; each pair once."""
+    seen = stage(starts.select(*keys, "root", "id").distinct(), "reached")
+    jump, before = edges.where("parent is not null").select(*keys, "parent", "id").distinct(), -1
+    while True:
+        n = seen.count()
+        if n == before:
+            return seen
+        before = n
+        jump = stage(jump, "jumps")
+        on = jump.select(*keys, F.col("parent").alias("at"), F.col("id").alias("next"))
+        further = seen.withColumnRenamed("id", "at").hint("merge").join(on, [*keys, "at"]).select(*keys, "root", F.col("next").alias("id"))
+        seen = stage(seen.unionByName(further).distinct(), "reached")
+        jump = jump.withColumnRenamed("id", "at").hint("merge").join(on, [*keys, "at"]).select(*keys, "parent", F.col("next").alias("id")).distinct()
 
 
 def descendants(folders: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id) of every folder under a root, itself included; each pair once."""
-    spark = folders.sparkSession
-    v = _views(spark, folders=folders, roots=roots)
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(MAX_DEPTH + 2))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(
-        f"WITH RECURSIVE below(root, id, depth) AS (SELECT id, id, 0 FROM {v['roots']} "
-        f"UNION ALL SELECT b.root, f.id, b.depth + 1 FROM {v['folders']} f JOIN below b ON f.parent = b.id WHERE b.depth < {MAX_DEPTH}) SELECT DISTINCT root, id FROM below"
-    )
+    return reached(folders, roots.select(F.col("id").alias("root"), "id"), [])
 
 
 def pruned_roots(folders: DataFrame, selected: DataFrame) -> DataFrame:

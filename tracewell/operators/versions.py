@@ -61,22 +61,23 @@ def owned_once(claims: DataFrame) -> DataFrame:
     return first_writes(claims, ["obligation_id"], ["ord", "node_id"]).select("obligation_id", "node_id")
 
 
-def prerequisite_closure(requires: DataFrame, rounds: int = 20) -> DataFrame:
-    """(concept, needs, distance) for all direct and indirect prerequisites; cycles end at their first repeat.
+def prerequisite_closure(requires: DataFrame) -> DataFrame:
+    """(concept, needs, distance) for all direct and indirect prerequisites, by the shortest way; a cycle leads back once.
 
-    Frontier by frontier, each written before the next one, so that lineage stays short.
+    The closure is joined with itself, so that a round doubles the distance it reaches; each is written before the next
+    one, and rounds go on until nothing is new.
     """
     from tracewell.plans.staging import stage
 
-    every = frontier = stage(requires.select("concept", "needs").distinct().withColumn("distance", F.lit(1)), "closure")
-    steps = requires.select(F.col("concept").alias("needs"), F.col("needs").alias("further"))
-    for distance in range(2, rounds + 1):
-        new = frontier.join(steps, "needs").select("concept", F.col("further").alias("needs")).distinct()
-        new = stage(new.join(every.select("concept", "needs"), ["concept", "needs"], "left_anti").withColumn("distance", F.lit(distance)), "closure")
-        if new.isEmpty():
-            break
-        every, frontier = every.unionByName(new), new
-    return every
+    every, before = stage(requires.select("concept", "needs").distinct().withColumn("distance", F.lit(1)), "closure"), None
+    while True:
+        now = every.agg(F.count("*").alias("n"), F.sum("distance").alias("d")).first()
+        if now == before:
+            return every
+        before = now
+        onward = every.select(F.col("concept").alias("needs"), F.col("needs").alias("further"), F.col("distance").alias("more"))
+        longer = every.hint("merge").join(onward, "needs").select("concept", F.col("further").alias("needs"), (F.col("distance") + F.col("more")).alias("distance"))
+        every = stage(every.unionByName(longer).groupBy("concept", "needs").agg(F.min("distance").alias("distance")), "closure")
 
 
 def carried_forward(records: DataFrame, blocks: DataFrame) -> DataFrame:

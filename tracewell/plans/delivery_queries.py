@@ -123,14 +123,6 @@ def t07_acronym_definitions(spark, sf_dir):
     return op.acronym_definitions(lines_of(rows)).select("material_id", "block_id", "acronym")
 
 
-@query()
-def t11_unit_glosses(spark, sf_dir):
-    """Rows only: triplets of symbol, Chinese and English in one order (tested on fixtures)."""
-    from tracewell.operators.repairs import reordered_units
-
-    return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(reordered_units(F.col("markdown")), 256).alias("sha"))
-
-
 @query("SELECT conv_id AS material_id, false AS overgrown FROM conversations GROUP BY conv_id")
 def t20_glossary_growth(spark, sf_dir):
     """Questions as sources and answers as output: no answer here is a glossary."""

@@ -65,10 +65,15 @@ def l04_cost_summary(spark, sf_dir):
     return found.withColumns({c: F.round(c, 2) for c in ("known", "reserved")})
 
 
-@query()
+@query(
+    "WITH RECURSIVE c AS (SELECT o_custkey AS scope, o_orderkey AS call_id, o_totalprice::DOUBLE AS amount, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders), "
+    "r AS (SELECT scope, 0::BIGINT AS rn, 0::BIGINT AS call_id, 0::DOUBLE AS used, 0 AS n, NULL::VARCHAR AS reason FROM (SELECT DISTINCT scope FROM c) UNION ALL SELECT scope, rn, call_id, CASE WHEN why IS NULL THEN used + amount ELSE used END, "
+    "CASE WHEN why IS NULL THEN n + 1 ELSE n END, why FROM (SELECT c.scope, c.rn, c.call_id, c.amount, r.used, r.n, CASE WHEN c.amount < 0 THEN 'negative' WHEN r.n >= 8 THEN 'calls' WHEN r.used + c.amount > 1000000.0 + 1e-9 THEN 'budget' END AS why "
+    "FROM r JOIN c ON c.scope = r.scope AND c.rn = r.rn + 1)) SELECT scope, call_id, reason FROM r WHERE rn > 0"
+)
 def l05_admission(spark, sf_dir):
-    """Rows only: an ordered fold in which rejected requests consume nothing (tested against a plain loop)."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("call_id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("amount"))
+    """An ordered fold in which rejected requests consume nothing."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("scope"), F.col("o_orderkey").alias("call_id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").cast("double").alias("amount"))
     return op.admitted(rows, 1_000_000.0, 8)
 
 

@@ -11,15 +11,27 @@ from tracewell.registry import query
 from tracewell.sources.model import BLOCKS_SQL, OBJECTS_SQL, blocks, objects, table
 
 
-@query()
+def _groups_sql(limit: int, most: int, select: str) -> str:
+    """Greedy groups by their first objects: each group's end is the first object that no longer fits."""
+    return (
+        f"WITH RECURSIVE {OBJECTS_SQL}, c AS (SELECT material_id, object_id, length(text) AS size, row_number() OVER w AS rn, sum(length(text)) OVER w AS upto FROM objects WINDOW w AS (PARTITION BY material_id ORDER BY ord)), "
+        f"x AS (SELECT material_id, rn, upto - size + {limit} AS room FROM c), "
+        f"e AS MATERIALIZED (SELECT x.material_id, x.rn AS s, greatest(x.rn + 1, least(x.rn + {most}, coalesce(b.rn, x.rn + {most}))) AS next FROM x ASOF LEFT JOIN c b ON x.material_id = b.material_id AND x.room < b.upto), "
+        "g AS (SELECT material_id, 1::BIGINT AS s, 0::BIGINT AS grp FROM (SELECT DISTINCT material_id FROM c) UNION ALL "
+        "SELECT g.material_id, e.next, g.grp + 1 FROM g JOIN e ON g.material_id = e.material_id AND g.s = e.s WHERE EXISTS (SELECT 1 FROM c WHERE c.material_id = e.material_id AND c.rn = e.next)), "
+        f"o AS (SELECT c.material_id, c.object_id, g.grp FROM c ASOF JOIN g ON c.material_id = g.material_id AND c.rn >= g.s) {select}"
+    )
+
+
+@query(_groups_sql(8_000, 5_000, 'SELECT material_id, object_id, grp AS "group" FROM o'))
 def w01_bounded_groups(spark, sf_dir):
-    """Rows only: a greedy fold (tested against a plain loop)."""
+    """A greedy fold, streamed in order of each material."""
     return op.bounded_groups(objects(spark, sf_dir))
 
 
-@query()
+@query(_groups_sql(6_500, 20, 'SELECT material_id, grp AS "group", count(*) AS objects, CASE WHEN grp > 0 THEN grp - 1 END AS depends_on FROM o GROUP BY material_id, grp'))
 def w02_writing_batches(spark, sf_dir):
-    """Rows only: greedy batches of at most 6500 characters and 20 objects, each after the one before."""
+    """Greedy batches of at most 6500 characters and 20 objects, each after the one before."""
     batches = op.bounded_groups(objects(spark, sf_dir), 6_500, 20).groupBy("material_id", "group").agg(F.count("*").alias("objects"))
     return batches.withColumn("depends_on", F.lag("group").over(Window.partitionBy("material_id").orderBy("group")))
 

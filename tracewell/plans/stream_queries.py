@@ -94,37 +94,6 @@ def r12_incremental_audit(spark, sf_dir):
     return jobs.incremental_audit(_events(spark, sf_dir), rules, "r12")
 
 
-@query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(markdown) AS sha FROM blocks")
-def t08_spacing_repair(spark, sf_dir):
-    """Text without Han characters stays byte for byte."""
-    return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(repairs.repair_spacing("markdown"), 256).alias("sha"))
-
-
-@query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(markdown) AS sha FROM blocks")
-def t09_code_spacing(spark, sf_dir):
-    return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(repairs.spaced_code(F.col("markdown")), 256).alias("sha"))
-
-
-@query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(markdown) AS sha FROM blocks")
-def t10_name_wraps(spark, sf_dir):
-    return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(repairs.joined_names(F.col("markdown")), 256).alias("sha"))
-
-
-@query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(markdown) AS sha FROM blocks")
-def t12_explanation_split(spark, sf_dir):
-    return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(repairs.split_explanation(F.col("markdown")), 256).alias("sha"))
-
-
-@query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(markdown) AS sha FROM blocks")
-def t13_doubled_names(spark, sf_dir):
-    return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(repairs.repair_doubled_names("markdown"), 256).alias("sha"))
-
-
-@query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(markdown) AS sha FROM blocks")
-def t14_periods(spark, sf_dir):
-    return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(repairs.repair_periods("markdown"), 256).alias("sha"))
-
-
 @query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(regexp_replace(regexp_replace(markdown, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS sha FROM blocks")
 def t15_tightened(spark, sf_dir):
     return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(repairs.tightened(F.col("markdown")), 256).alias("sha"))

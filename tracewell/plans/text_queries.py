@@ -10,6 +10,12 @@ from tracewell.registry import query
 from tracewell.sources.model import BLOCKS_SQL, OBJECTS_SQL, blocks, objects, table
 
 
+def _after(text: str, mark: str, size: int) -> str:
+    """SQL: where the last ``mark`` at or behind place 200 of ``text`` ends, or 0."""
+    turned = f"strpos(reverse({text}), reverse({mark}))"
+    return f"CASE WHEN {turned} > 0 AND length({text}) - {turned} - {size} + 1 >= 200 THEN length({text}) - {turned} + 1 ELSE 0 END"
+
+
 @query(
     "SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[A-Za-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || "
     "CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) = '' THEN '' ELSE '?' || regexp_extract(url, '\\?([^#]*)', 1) END AS audit_url, "
@@ -26,9 +32,15 @@ def t02_normal_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.normal_text(F.col("text")), 256).alias("normal_sha256"))
 
 
-@query()
+@query(
+    "WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS t FROM documents), "
+    "cut AS (SELECT id, t, 0::BIGINT AS start, NULL::BIGINT AS size FROM d UNION ALL SELECT id, t, start + coalesce(size, 0), CASE WHEN length(p) < 900 OR last THEN length(p) ELSE coalesce(nullif(greatest(para, sentence), 0), nullif(space, 0), 900) END FROM ("
+    "SELECT *, " + _after("p", "chr(10) || chr(10)", 2) + " AS para, greatest(" + ", ".join(_after("p", f"'{m}'" if m != ".N" else "'.' || chr(10)", 2 if len(m) > 1 else 1) for m in (". ", "! ", "? ", "。", "！", "？", ".N")) + ") AS sentence, " + _after("p", "' '", 1) + " AS space "
+    "FROM (SELECT *, substr(t, start + coalesce(size, 0) + 1, 900) AS p, length(t) <= start + coalesce(size, 0) + 900 AS last FROM cut WHERE start + coalesce(size, 0) < length(t) OR (size IS NULL AND t = ''))) WHERE size IS NULL OR t <> '') "
+    "SELECT id, id || ':' || start || ':' || (start + size) AS span_id, start::INT AS start, (start + size)::INT AS \"end\" FROM cut WHERE size IS NOT NULL"
+)
 def t03_source_spans(spark, sf_dir):
-    """Rows only: the cut of a span depends on where the last one ended (tested for exact cover)."""
+    """The cut of a span depends on where the last one ended."""
     return op.source_spans(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
@@ -44,17 +56,6 @@ def t04_span_ranges(spark, sf_dir):
     return inside.withColumn("gap", gap).groupBy("id").agg(F.count("*").alias("spans"), (F.max("gap") == 0).alias("contiguous"))
 
 
-@query(
-    f"WITH {BLOCKS_SQL}, l AS (SELECT material_id, block_id, generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS line_no, unnest(string_split(markdown, chr(10))) AS line FROM blocks), "
-    "m AS (SELECT *, left(regexp_extract(line, '^ {0,3}(`{3,}|~{3,}|\\$\\$)', 1), 1) AS f FROM l), "
-    "o AS (SELECT *, f <> '' OR coalesce(sum((f = '`')::INT) OVER w, 0) % 2 = 1 OR coalesce(sum((f = '~')::INT) OVER w, 0) % 2 = 1 OR coalesce(sum((f = '$')::INT) OVER w, 0) % 2 = 1 AS inside FROM m "
-    "WINDOW w AS (PARTITION BY material_id, block_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
-    "SELECT material_id, block_id, line_no, inside OR regexp_matches(line, '^ {0,3}(>|#{1,6}\\s|\\|)|^(    |\\t)') OR regexp_matches(line, '^\\s*\\|.*\\|\\s*$') AS protected FROM o"
-)
-def t05_protected_lines(spark, sf_dir):
-    return op.protected_lines(blocks(spark, sf_dir)).select("material_id", "block_id", F.col("line_no").cast("long").alias("line_no"), "protected")
-
-
 @query(
     f"WITH {BLOCKS_SQL}, l AS (SELECT material_id, block_id, generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS line_no, unnest(string_split(markdown, chr(10))) AS line FROM blocks) "
     "SELECT material_id, block_id, line_no, 'double-space' AS rule FROM l WHERE regexp_matches(line, '\\S  +\\S') UNION ALL SELECT material_id, block_id, line_no, 'space-before-comma' FROM l WHERE regexp_matches(line, '\\s[,;]') "
@@ -181,18 +182,18 @@ def u01_sql_function(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.expr("processor_casefold(source)").alias("folded"))
 
 
-@query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS place FROM (SELECT * FROM part ORDER BY lower(p_name), p_partkey LIMIT 200)")
-def u02_collated_order(spark, sf_dir):
-    """A listing page under a case-insensitive collation: the first 200 names."""
-    from pyspark.sql import Window
-
-    page = table(spark, sf_dir, "part").orderBy(F.collate("p_name", "UNICODE_CI"), "p_partkey").limit(200)
-    return page.select("p_partkey", F.row_number().over(Window.orderBy(F.collate("p_name", "UNICODE_CI"), "p_partkey")).cast("long").alias("place"))
-
-
 @query("SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
 def u03_json_each(spark, sf_dir):
     """Lateral expansion of a JSON body into its members."""
     rows = table(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("body"))
     rows.createOrReplaceTempView("json_bodies")
     return spark.sql("SELECT event_id, e.key, CAST(e.value AS STRING) AS value FROM json_bodies, LATERAL variant_explode(body) AS e")
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name), p_partkey) AS place FROM part")
+def u02_collated_order(spark, sf_dir):
+    """Every part's place under a case-insensitive collation."""
+    from tracewell.operators.sequence import globally_numbered
+
+    names = table(spark, sf_dir, "part").select(F.collate("p_name", "UNICODE_CI").alias("name"), "p_partkey")
+    return globally_numbered(names, ["name", "p_partkey"], "place").select("p_partkey", F.col("place").cast("long").alias("place"))
