@@ -378,24 +378,26 @@ def _mended(batches):
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
-    """(page_id, url, lines, says, hashes) of every page."""
+    """(page_id, url, lines, says, places, hashes) of every page: the lines that may stay with their places among all, and the hashes of all."""
 
     def parse(batches):
         for batch in batches:
             rows = [page_lines(t or "") for t in batch.column("html").to_pylist()]
             hashes = [np.array([xxhash.xxh3_64_intdigest(x) for x in lines], dtype=np.uint64).view(np.int64) for lines, _ in rows]
+            places = [[i for i, said in enumerate(says) if said != GOES] for _, says in rows]
             columns = [
                 batch.column("page_id"),
                 batch.column("url"),
-                pa.array([lines for lines, _ in rows], pa.list_(pa.string())),
-                pa.array([says for _, says in rows], pa.list_(pa.int8())),
+                pa.array([[lines[i] for i in at] for at, (lines, _) in zip(places, rows)], pa.list_(pa.string())),
+                pa.array([[says[i] for i in at] for at, (_, says) in zip(places, rows)], pa.list_(pa.int8())),
+                pa.array(places, pa.list_(pa.int32())),
                 pa.array(hashes, pa.list_(pa.int64())),
                 pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in hashes], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "lines", "says", "hashes", "lines_digest"])
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "lines", "says", "places", "hashes", "lines_digest"])
 
     picked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return picked.mapInArrow(parse, "page_id long, url string, lines array<string>, says array<tinyint>, hashes array<long>, lines_digest binary")
+    return picked.mapInArrow(parse, "page_id long, url string, lines array<string>, says array<tinyint>, places array<int>, hashes array<long>, lines_digest binary")
 
 
 def alignments(pages: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -414,9 +416,10 @@ def extract(pages: DataFrame, partitions: int | None = None) -> DataFrame:
     named = parsed(lines_of(pages)).withColumns({"digest": digest, "salt": F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")})
     rows = stage(named.drop("lines_digest"), "lines")
     told = alignments(rows.select("host", "path", "digest", "hashes"), partitions)
+    hangs = F.exists("says", lambda said: said == UNLESS_SHARED)  # whether some line hangs on the alignment; other texts need not travel
     salted = told.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    both = rows.select("page_id", "url", "lines", "says", "digest", "salt").join(salted.hint("merge"), ["digest", "salt"], "left")
-    says = lambda i: F.get("says", i)
-    stays = F.filter("lines", lambda line, i: (says(i) == STAYS) | ((says(i) == UNLESS_SHARED) & ~F.coalesce(F.get("shared", i), F.lit(False))))
-    text = F.array_join(stays, "\n\n")
-    return both.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    both = rows.where(hangs).select("page_id", "url", "lines", "says", "places", "digest", "salt").join(salted.hint("merge"), ["digest", "salt"], "left")
+    shared = lambda i: F.coalesce(F.get("shared", F.get("places", i)), F.lit(False))
+    stays = F.filter("lines", lambda line, i: (F.get("says", i) == STAYS) | ~shared(i))
+    every = both.select("page_id", "url", stays.alias("lines")).unionByName(rows.where(~hangs).select("page_id", "url", "lines"))
+    return every.select("page_id", "url", F.array_join("lines", "\n\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
