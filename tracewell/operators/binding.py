@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import safe_target
 
-#: Rows up to which a lookup list is broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes up to which a lookup list is broadcast; a longer one is joined without a hint.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
 def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``rows`` marked for broadcast, if a count says that it is small."""
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+    """``rows`` marked for broadcast, if their number and the bytes of their values, which are counted here, are small."""
+    size = rows.limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(rows) if size["n"] <= limit and size["bytes"] <= BROADCAST_BYTES else rows
 
 
 def link_targets(links: DataFrame) -> DataFrame:
@@ -65,11 +66,22 @@ def sentence_context(objects: DataFrame, limit: int = 1200, heading_limit: int =
 
 
 def nearest_block(findings: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Each finding moves to the closest block of its source; ties prefer the following block; none keeps a note."""
-    met = findings.join(blocks.select("material_id", "source_id", F.col("ord").alias("block_ord"), "block_id"), ["material_id", "source_id"], "left")
-    distance, is_before = F.abs(F.col("block_ord") - F.col("ord")), (F.col("block_ord") < F.col("ord")).cast("int")
-    nth = F.row_number().over(Window.partitionBy("material_id", "finding_id").orderBy(distance.asc_nulls_last(), is_before, "block_ord"))
-    return met.withColumn("nth", nth).where("nth = 1").select("material_id", "finding_id", "block_id", F.col("block_id").isNull().alias("is_note"))
+    """Each finding moves to the closest block of its source; ties prefer the following block; none keeps a note.
+
+    Findings and blocks of a source lie in one order, so the blocks next to a finding are its candidates.
+    """
+    keys = ["material_id", "source_id"]
+    here = F.struct(F.col("ord").alias("ord"), F.col("block_id").alias("block_id"))
+    asked = findings.select(*keys, "ord", "finding_id", F.lit(0).alias("is_block"), F.lit(None).cast(blocks.schema["block_id"].dataType).alias("block_id"))
+    places = blocks.select(*keys, "ord", F.lit(None).cast(findings.schema["finding_id"].dataType).alias("finding_id"), F.lit(1).alias("is_block"), "block_id")
+    order = Window.partitionBy(*keys).orderBy("ord", "is_block", "block_id")
+    both = asked.unionByName(places).withColumn("here", F.when(F.col("is_block") == 1, here))
+    before = F.last("here", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("here", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    met = both.withColumns({"before": before, "after": after}).where("is_block = 0")
+    nearer = F.when(F.col("before").isNull() | (F.col("after.ord") - F.col("ord") <= F.col("ord") - F.col("before.ord")), F.col("after.block_id")).otherwise(F.col("before.block_id"))
+    found = F.when(F.col("source_id").isNotNull(), nearer)
+    return met.select("material_id", "finding_id", found.alias("block_id"), found.isNull().alias("is_note"))
 
 
 def carried(previous: DataFrame, current: DataFrame, edited: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def marker_issues(lines: DataFrame, known: DataFrame) -> DataFrame:
 
     ``lines``: material_id, line_no, line, protected; ``known``: material_id, marker.
     """
-    found = lines.where("not protected").select("material_id", "line_no", "line", F.posexplode(F.regexp_extract_all("line", F.lit(r"\{\{source:([^}]+)\}\}"), F.lit(1))).alias("n", "marker"))
+    found = lines.where("not protected").select("material_id", "line_no", "line", F.posexplode(F.regexp_extract_all("line", F.lit(r"\{\{source:([^}]+)\}\}"), F.lit(1))).alias("n", "marker")).hint("merge")
     nth = F.row_number().over(Window.partitionBy("material_id", "marker").orderBy("line_no", "n"))
     met = found.withColumn("nth", nth).join(known.select("material_id", "marker", F.lit(True).alias("known")).distinct(), ["material_id", "marker"], "left")
     codes = F.array(
@@ -67,7 +67,7 @@ def acronym_definitions(lines: DataFrame) -> DataFrame:
 
 def numeronyms(texts: DataFrame, catalog: DataFrame, declared: DataFrame) -> DataFrame:
     """(id, token) of catalogued tokens like i18n that a text uses and nobody declared."""
-    tokens = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][0-9]{1,2}[a-z])\b"), F.lit(1)))).alias("token"))
+    tokens = texts.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\b([a-z][0-9]{1,2}[a-z])\b"), F.lit(1)))).alias("token")).hint("merge")
     return tokens.join(catalog.select("token"), "token", "left_semi").join(declared.select("id", "token"), ["id", "token"], "left_anti")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def cells(tables: DataFrame) -> DataFrame:
     """(table_id, r, c, cell) of tables(table_id, grid array<array<string>>)."""
     rows = tables.select("table_id", F.posexplode("grid").alias("r", "row"))
-    return rows.select("table_id", "r", F.posexplode("row").alias("c", "cell"))
+    return rows.select("table_id", "r", F.posexplode("row").alias("c", "cell")).hint("merge")
 
 
 def signature(grid: Column) -> Column:
@@ -27,12 +27,12 @@ def keyed_differences(expected: DataFrame, current: DataFrame) -> DataFrame:
     """(table_id, key, c, expected, current, state): rows matched by their first cell; repeated or absent keys are ambiguous."""
 
     def keyed(tables: DataFrame, name: str) -> DataFrame:
-        rows = tables.select("table_id", F.explode("grid").alias("row")).select("table_id", F.col("row")[0].alias("key"), "row")
+        rows = tables.select("table_id", F.explode("grid").alias("row")).hint("merge").select("table_id", F.col("row")[0].alias("key"), "row")
         return rows.withColumn(f"{name}_n", F.count("*").over(Window.partitionBy("table_id", "key"))).withColumnRenamed("row", name)
 
     met = keyed(expected, "want").join(keyed(current, "have"), ["table_id", "key"], "left")
     state = F.when(F.col("have_n").isNull(), "missing row").when((F.col("want_n") > 1) | (F.col("have_n") > 1), "ambiguous row")
-    pairs = F.arrays_zip(F.col("want").alias("want"), F.col("have").alias("have"))
+    pairs = F.arrays_zip(F.col("want").alias("want"), F.coalesce("have", F.array().cast("array<string>")).alias("have"))
     wide = met.select("table_id", "key", state.alias("state"), F.posexplode(F.when(state.isNull(), pairs).otherwise(F.slice(pairs, 1, 1))).alias("c", "pair"))
     return wide.where(F.col("state").isNotNull() | ~F.col("pair.want").eqNullSafe(F.col("pair.have"))).select("table_id", "key", "c", F.col("pair.want").alias("expected"), F.col("pair.have").alias("current"), "state").distinct()
 

@@ -75,7 +75,7 @@ def limit_report(files: DataFrame, objects: DataFrame) -> DataFrame:
 
 def paragraphs(texts: DataFrame) -> DataFrame:
     """Ordered ``text`` objects between blank lines of (material_id, name, text)."""
-    parts = texts.select("material_id", "name", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "part")).where(F.trim("part") != "")
+    parts = texts.select("material_id", "name", F.posexplode(F.split("text", r"\n\s*\n")).alias("pos", "part")).hint("merge").where(F.trim("part") != "")
     nth = F.row_number().over(Window.partitionBy("material_id").orderBy("pos"))
     return parts.withColumn("ord", nth).select(
         "material_id", F.format_string("src-%05d", "ord").alias("object_id"), F.lit("text").alias("kind"), F.col("part").alias("text"), F.concat("name", F.lit("/paragraph["), "ord", F.lit("]")).alias("locator")

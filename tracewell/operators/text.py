@@ -46,12 +46,12 @@ def source_spans(texts: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["id", "span_id", "start", "end"])
 
-    return texts.select(F.col("id").cast("string"), "text").mapInArrow(spans, "id string, span_id string, start int, end int")
+    return texts.select(F.col("id").cast("string"), "text").mapInArrow(spans, "id string, span_id string, start int, end int").hint("merge")
 
 
 def lines_of(blocks: DataFrame) -> DataFrame:
     """(keys of a block, line number from 0, line)."""
-    return blocks.select("material_id", "block_id", F.posexplode(F.split("markdown", "\n")).alias("line_no", "line"))
+    return blocks.select("material_id", "block_id", F.posexplode(F.split("markdown", "\n")).alias("line_no", "line")).hint("merge")
 
 
 _FENCE = re.compile(r"[ \t]*(`{3,}|~{3,})(.*)", re.S)
@@ -102,12 +102,12 @@ def protected_lines(blocks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["material_id", "block_id", "line_no", "line", "protected"])
 
     picked = blocks.select(F.col("material_id").cast("long").alias("material_id"), F.col("block_id").cast("string").alias("block_id"), F.col("markdown").cast("string").alias("markdown"))
-    return picked.mapInArrow(fold, "material_id long, block_id string, line_no int, line string, protected boolean")
+    return picked.mapInArrow(fold, "material_id long, block_id string, line_no int, line string, protected boolean").hint("merge")
 
 
 def evidence_catalog(blocks: DataFrame) -> DataFrame:
     """(material_id, evidence_id, block_id, text) of every non-blank line."""
-    rows = blocks.select("material_id", "ord", "block_id", F.posexplode(F.split("markdown", "\n")).alias("line_no", "text")).where(F.trim("text") != "")
+    rows = blocks.select("material_id", "ord", "block_id", F.posexplode(F.split("markdown", "\n")).alias("line_no", "text")).where(F.trim("text") != "").hint("merge")
     return rows.select("material_id", F.concat(F.lit("e"), "ord", F.lit("-"), "line_no").alias("evidence_id"), "block_id", "text")
 
 
@@ -147,7 +147,7 @@ def occurrences(texts: DataFrame, keys: list[str], text: str, literal) -> DataFr
         F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")),
         lambda s, p: F.struct((s["at"] + F.char_length(p) + F.char_length(literal)).alias("at"), F.concat(s["found"], F.array(s["at"] + F.char_length(p))).alias("found")),
     )["found"]
-    return texts.where(literal != "").select(*keys, F.explode(before).alias("start"), F.char_length(literal).alias("length")).select(*keys, "start", (F.col("start") + F.col("length")).alias("end"))
+    return texts.where(literal != "").select(*keys, F.explode(before).alias("start"), F.char_length(literal).alias("length")).hint("merge").select(*keys, "start", (F.col("start") + F.col("length")).alias("end"))
 
 
 def heading_rows(blocks: DataFrame) -> DataFrame:

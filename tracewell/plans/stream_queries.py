@@ -29,10 +29,12 @@ def r03_stage_mapping(spark, sf_dir):
     return jobs.drained(jobs.staged(_events(spark, sf_dir)).select("event_id", "step", "is_active", "is_complete"), "r03")
 
 
-@query()
+@query("WITH g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS next FROM events) SELECT user_id, ts AS last_beat FROM g WHERE next - ts > INTERVAL 6 HOUR")
 def r04_lease_expiry(spark, sf_dir):
-    """Rows only: silences over 6 hours; the last one of a user is open until its timeout fires."""
-    return jobs.drained(jobs.expired_leases(_events(spark, sf_dir), 6 * 3600), "r04")
+    """Silences over 6 hours that a later beat ended; the last one of a user is open until its timeout fires."""
+    ends = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("of_user")).agg(F.max("ts").alias("end"))
+    found = jobs.drained(jobs.expired_leases(_events(spark, sf_dir), 6 * 3600), "r04")
+    return found.join(ends.hint("merge"), F.col("user_id") == F.col("of_user")).where(F.col("last_beat") < F.col("end")).select("user_id", "last_beat")
 
 
 @query("SELECT user_id, event_type, props FROM events GROUP BY ALL")
@@ -41,12 +43,18 @@ def r05_dispatch_dedup(spark, sf_dir):
     return jobs.drained(jobs.distinct_dispatches(_events(spark, sf_dir, "400 days")).select("user_id", "event_type", "props"), "r05")
 
 
-@query()
+@query(
+    "WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), v AS (SELECT * FROM events WHERE event_type = 'view') SELECT p.event_id, p.user_id, v.event_id AS s_event_id FROM p LEFT JOIN v "
+    "ON p.user_id = v.user_id AND v.ts >= p.ts AND v.ts <= p.ts + INTERVAL 1 HOUR WHERE p.ts < (SELECT least((SELECT max(ts) FROM p), (SELECT max(ts) FROM v))) - INTERVAL 3 HOUR"
+)
 def r06_reservation_matching(spark, sf_dir):
-    """Rows only: an outer stream join holds its last rows back until the watermark passes them."""
+    """Reservations whose time is surely over: an outer stream join holds the latest back until the watermark passes them."""
+    log = table(spark, sf_dir, "events")
     purchases = _events(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     settled = _events(spark, sf_dir).where("event_type = 'view'").select(F.col("event_id").alias("s_event_id"), F.col("user_id").alias("s_user_id"), F.col("ts").alias("s_ts"))
-    return jobs.drained(jobs.matched(purchases, settled, "1 HOUR").select("event_id", "user_id", "s_event_id"), "r06")
+    over = log.agg(F.least(F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))), F.max(F.when(F.col("event_type") == "view", F.col("ts")))).alias("over"))
+    found = jobs.drained(jobs.matched(purchases, settled, "1 HOUR").select("event_id", "user_id", "s_event_id", "ts"), "r06")
+    return found.crossJoin(F.broadcast(over)).where(F.col("ts") < F.col("over") - F.expr("INTERVAL 3 HOUR")).select("event_id", "user_id", "s_event_id")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, count(*) AS calls, round(sum(value), 2) AS amount FROM events WHERE event_type <> 'signup' GROUP BY 1")
@@ -85,13 +93,8 @@ def r11_heartbeat_sessions(spark, sf_dir):
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type = 'error') <= 10 AS passed FROM events GROUP BY user_id")
 def r12_incremental_audit(spark, sf_dir):
-    log = table(spark, sf_dir, "events")
-
-    def rules(touched):
-        errors = F.count_if(F.col("event_type") == "error")
-        return log.join(touched, "user_id", "left_semi").groupBy("user_id").agg(errors.alias("errors"), (errors <= 10).alias("passed"))
-
-    return jobs.incremental_audit(_events(spark, sf_dir), rules, "r12")
+    errors = F.count_if(F.col("event_type") == "error").alias("errors")
+    return jobs.incremental_audit(_events(spark, sf_dir), [errors], F.col("errors") <= 10, "r12")
 
 
 @query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(regexp_replace(regexp_replace(markdown, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS sha FROM blocks")

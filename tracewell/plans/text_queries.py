@@ -32,19 +32,21 @@ def t02_normal_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.normal_text(F.col("text")), 256).alias("normal_sha256"))
 
 
-@query(
+_SPANS_SQL = (
     "WITH RECURSIVE d AS (SELECT doc_id::VARCHAR AS id, coalesce(text, '') AS t FROM documents), "
     "cut AS (SELECT id, t, 0::BIGINT AS start, NULL::BIGINT AS size FROM d UNION ALL SELECT id, t, start + coalesce(size, 0), CASE WHEN length(p) < 900 OR last THEN length(p) ELSE coalesce(nullif(greatest(para, sentence), 0), nullif(space, 0), 900) END FROM ("
     "SELECT *, " + _after("p", "chr(10) || chr(10)", 2) + " AS para, greatest(" + ", ".join(_after("p", f"'{m}'" if m != ".N" else "'.' || chr(10)", 2 if len(m) > 1 else 1) for m in (". ", "! ", "? ", "。", "！", "？", ".N")) + ") AS sentence, " + _after("p", "' '", 1) + " AS space "
     "FROM (SELECT *, substr(t, start + coalesce(size, 0) + 1, 900) AS p, length(t) <= start + coalesce(size, 0) + 900 AS last FROM cut WHERE start + coalesce(size, 0) < length(t) OR (size IS NULL AND t = ''))) WHERE size IS NULL OR t <> '') "
-    "SELECT id, id || ':' || start || ':' || (start + size) AS span_id, start::INT AS start, (start + size)::INT AS \"end\" FROM cut WHERE size IS NOT NULL"
 )
+
+
+@query(_SPANS_SQL + "SELECT id, id || ':' || start || ':' || (start + size) AS span_id, start::INT AS start, (start + size)::INT AS \"end\" FROM cut WHERE size IS NOT NULL")
 def t03_source_spans(spark, sf_dir):
     """The cut of a span depends on where the last one ended."""
     return op.source_spans(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query()
+@query(_SPANS_SQL + "SELECT id, count(*) AS spans, true AS contiguous FROM cut WHERE size IS NOT NULL GROUP BY id")
 def t04_span_ranges(spark, sf_dir):
     """A range over canonical spans expands to the spans it covers, if they are contiguous."""
     from pyspark.sql import Window

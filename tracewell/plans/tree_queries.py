@@ -99,7 +99,7 @@ def h10_unreferenced_blobs(spark, sf_dir):
     """Pool rows whose digest no reviewed material names in its JSON body."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
     bodies = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.to_json(F.struct("doc_id", F.struct(F.col("sha").alias("resource_id")).alias("file"))).alias("body"))
-    named = bodies.select(F.explode(F.regexp_extract_all("body", F.lit('"resource_id":"([0-9a-f]{64})"'), F.lit(1))).alias("sha")).distinct()
+    named = bodies.select(F.explode(F.regexp_extract_all("body", F.lit('"resource_id":"([0-9a-f]{64})"'), F.lit(1))).alias("sha")).distinct().hint("merge")
     return docs.select("sha").distinct().join(named, "sha", "left_anti").select(F.col("sha").alias("unreferenced"))
 
 

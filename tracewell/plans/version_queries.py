@@ -217,9 +217,14 @@ def g02_grid_differences(spark, sf_dir):
     return found.select("table_id", F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c"), "expected", "current")
 
 
-@query()
+@query(
+    f"WITH {_GRIDS}, a AS (SELECT table_id, unnest(grid) AS want FROM src), b AS (SELECT table_id, unnest(grid) AS have FROM drf), ka AS (SELECT *, want[1] AS key, count(*) OVER (PARTITION BY table_id, want[1]) AS wn FROM a), "
+    "kb AS (SELECT *, have[1] AS key, count(*) OVER (PARTITION BY table_id, have[1]) AS hn FROM b), m AS (SELECT table_id, key, want, have, CASE WHEN hn IS NULL THEN 'missing row' WHEN wn > 1 OR hn > 1 THEN 'ambiguous row' END AS state FROM ka LEFT JOIN kb USING (table_id, key)), "
+    "w AS (SELECT table_id, key, state, want, have, unnest(range(CASE WHEN state IS NULL THEN greatest(len(want), len(have)) ELSE least(1, greatest(len(want), coalesce(len(have), 0))) END)) AS c FROM m) "
+    "SELECT DISTINCT table_id, key, c::INT AS c, want[c + 1] AS expected, have[c + 1] AS current, state FROM w WHERE state IS NOT NULL OR want[c + 1] IS DISTINCT FROM have[c + 1]"
+)
 def g03_keyed_differences(spark, sf_dir):
-    """Rows only: ambiguity by repeated keys (tested on fixtures)."""
+    """Repeated keys are ambiguous."""
     return grid_op.keyed_differences(*_grids(spark, sf_dir))
 
 

@@ -315,9 +315,15 @@ def j16_evidence_snippets(spark, sf_dir):
     return met.select("item_id", "doc_id", F.sha2(F.substring("text", first, at - first + 160), 256).alias("snippet_sha"))
 
 
-@query()
+@query(
+    "WITH p AS (SELECT doc_id, unnest(string_split(text, 'the ')) AS s, generate_subscripts(string_split(text, 'the '), 1) AS k, len(string_split(text, 'the ')) AS n FROM documents), "
+    "o AS (SELECT doc_id, k, n, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k) + 4 * (k - 1) AS start FROM p), sp AS (SELECT doc_id, greatest(start - 50, 0) AS a, start + 54 AS b FROM o WHERE k < n), "
+    "m AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM sp), "
+    "i AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM m) "
+    'SELECT doc_id, min(a)::INT AS start, max(b)::INT AS "end" FROM i GROUP BY doc_id, island'
+)
 def j17_merged_excerpts(spark, sf_dir):
-    """Rows only: spans of 100 characters around a word, merged where they overlap (tested against a sweep)."""
+    """Spans of 100 characters around a word, merged where they overlap."""
     from tracewell.operators.text import merged_spans, occurrences
 
     found = occurrences(table(spark, sf_dir, "documents"), ["doc_id"], "text", F.lit("the "))

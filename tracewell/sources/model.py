@@ -28,7 +28,7 @@ def object_kind(text) -> F.Column:
 def line_objects(docs: DataFrame) -> DataFrame:
     """(material_id, object_id, ord, kind, text, locator): the non-blank lines of each document."""
     lines = docs.select(F.col("doc_id").alias("material_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    return lines.where(F.trim("text") != "").select(
+    return lines.where(F.trim("text") != "").hint("merge").select(
         "material_id",
         F.format_string("src-%05d", F.col("ord") + 1).alias("object_id"),
         F.col("ord").cast("long").alias("ord"),

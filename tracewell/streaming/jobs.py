@@ -23,7 +23,8 @@ LEASE_SECONDS = 45
 def event_stream(spark: SparkSession, path: str, watermark: str = "10 minutes") -> DataFrame:
     """The event log as a stream with event time."""
     static = spark.read.parquet(path)
-    stream = spark.readStream.schema(static.schema).parquet(path if path.endswith("*") else f"{path}*")
+    exact = path if path.endswith("*") else f"{path[:-1]}[{path[-1]}]"  # streams take folders or patterns; this one fits the path alone
+    stream = spark.readStream.schema(static.schema).parquet(exact)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
@@ -34,13 +35,17 @@ def drained(stream: DataFrame, name: str, mode: str = "append", partitions: int
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     else:
+        last: list[int] = []
 
-        def replace(batch: DataFrame, number: int) -> None:
-            batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        def write(batch: DataFrame, number: int) -> None:  # a folder for each batch: one that is tried again replaces its own
+            batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+            last[:] = [number]
 
-        query = stream.writeStream.foreachBatch(replace).outputMode(mode).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+        query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[0]}" if mode == "complete" else f"{out}/batch=*")
 
 
 def snapshots(events: DataFrame) -> DataFrame:
@@ -81,7 +86,11 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 
 def fault_streaks(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, streak) after each event: errors in a row, state per user."""
+    """(user_id, event_id, streak) after each event: errors in a row, state per user.
+
+    Events are put in order within a micro-batch; one that comes in a later batch than its successors counts when it comes.  ``sequence.streaks``
+    over the whole log gives the streaks in order of time.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         streak = state.get[0] if state.exists else 0
@@ -97,7 +106,10 @@ def fault_streaks(events: DataFrame) -> DataFrame:
 
 
 def admission(events: DataFrame, budget: float) -> DataFrame:
-    """Streaming admission, state = what a user has spent; rejected requests consume nothing."""
+    """Streaming admission, state = what a user has spent; rejected requests consume nothing.
+
+    Requests are admitted in order within a micro-batch, and batches as they come; ``ledger.admitted`` over the whole log gives the order of time.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0.0
@@ -120,36 +132,40 @@ def expired_leases(events: DataFrame, seconds: int = LEASE_SECONDS) -> DataFrame
         if state.hasTimedOut:
             last = state.get[0]
             state.remove()
-            yield pd.DataFrame({"user_id": [key[0]], "last_beat": [pd.Timestamp(last, unit="ms")]})
+            yield pd.DataFrame({"user_id": [key[0]], "last_beat": [pd.Timestamp(last, unit="us")]})
             return
-        beats = sorted(int(t.value // 1_000_000) for frame in batches for t in frame["ts"])
+        beats = sorted(int(t.value // 1_000) for frame in batches for t in frame["ts"])
         if state.exists:
             beats = [state.get[0], *beats]
-        gone = [a for a, b in zip(beats, beats[1:]) if b - a > seconds * 1000]
+        gone = [a for a, b in zip(beats, beats[1:]) if b - a > seconds * 1_000_000]
         state.update((beats[-1],))
-        state.setTimeoutTimestamp(max(beats[-1] + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"user_id": [key[0]] * len(gone), "last_beat": [pd.Timestamp(t, unit="ms") for t in gone]})
+        state.setTimeoutTimestamp(max(beats[-1] // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"user_id": [key[0]] * len(gone), "last_beat": [pd.Timestamp(t, unit="us") for t in gone]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, last_beat timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def incremental_audit(events: DataFrame, rules, name: str) -> DataFrame:
-    """``rules`` over only the materials that each micro-batch touches, their rows replaced."""
+def incremental_audit(events: DataFrame, facts: list, verdict, name: str) -> DataFrame:
+    """Per material, facts kept up to date by the stream; each micro-batch judges only the materials that it touches.
+
+    ``facts`` are aggregates over a material's events, whose state the stream keeps, so the log is never read again.
+    """
     spark = events.sparkSession
     out = staged_path(spark, name)
 
     def audit(batch: DataFrame, number: int) -> None:
-        touched = batch.select("user_id").distinct()
-        rules(touched).withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.withColumn("passed", verdict).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part={number}")
 
-    query = events.writeStream.foreachBatch(audit).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
+    touched = events.groupBy("user_id").agg(*facts)
+    query = touched.writeStream.foreachBatch(audit).outputMode("update").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.parquet(out)
+    rows = spark.read.parquet(out).drop("part")
     last = rows.groupBy("user_id").agg(F.max("batch").alias("batch"))
-    return rows.join(last, ["user_id", "batch"], "left_semi").drop("batch")
+    return rows.join(last.hint("merge"), ["user_id", "batch"], "left_semi").drop("batch")
 
 
 def accepted_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Files as they come, each content once."""
+    """Files as they come; a content that has been accepted before, under whatever name, is not accepted again."""
     stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
-    return stream.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    named = stream.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
+    return named.dropDuplicates(["sha256"])
