@@ -21,7 +21,7 @@ often it occurs there, so the rows for one value are at most the blocks: a passa
 third of all documents share makes no hot task.  Nothing is collected to the driver but the
 size of the text.
 
-Windows are equal if two independent 64-bit hashes are, in other blocks as inside their own.
+Windows are equal if two independent hashes of together 96 bits are, in other blocks as inside their own.
 
 Edge cases: null text has no words; texts under ``window`` words are never touched; rows
 that repeat a doc_id count as separate documents in order of their text, so the later ones
@@ -107,8 +107,8 @@ class Block:
         return low
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of each window."""
-        return rolling(self.words, self.window), rolling(mixed(self.words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.window)
+        """Two independent hashes of each window, of 64 and 32 bits."""
+        return rolling(self.words, self.window), (rolling(mixed(self.words ^ np.uint64(0xA5A5A5A5A5A5A5A5)), self.window) >> np.uint64(32)).astype("<u4")
 
 
 def _in_order(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +178,7 @@ def _looked_up(keys: DataFrame, round_no: int) -> DataFrame:
         sizes = [len(p) for p in parts]
         every = np.concatenate(parts)
         owner = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
-        checks = np.zeros(len(every), np.uint64) if round_no == 1 else np.frombuffer(b"".join(table.column("checks").to_pylist()), dtype="<u8")
+        checks = np.zeros(len(every), np.uint32) if round_no == 1 else np.frombuffer(b"".join(table.column("checks").to_pylist()), dtype="<u4")
         order, same = _in_order(every, checks)  # equal keys stay in block order
         found, first, place = np.zeros(len(every), dtype=bool), None, None
         if round_no == 1:
