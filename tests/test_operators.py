@@ -381,3 +381,43 @@ def test_quotes_resolve_to_one_place():
     assert resolve("One two", source) is None
     assert resolve("Four ... six", source) == "Four five six"
     assert resolve("absent", source) is None and resolve(None, source) is None and resolve("", "") == "" and resolve("x", None) is None
+
+
+def test_visual_operators_on_odd_input(spark):
+    from tracewell.operators import visual
+    from tracewell.sources.elements import elements_of
+
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<table><tr><td>a<td colspan=2>b</table><pre>x</pre><a href='#q'>l</a>"), (4, "</div><p>open")], "id long, html string")
+    same = {r.id: r for r in visual.compared_pages(pages, pages).collect()}
+    assert len(same) == 4 and all(all(getattr(r, a) for a in visual.ASPECTS) for r in same.values())
+    assert [same[i].local_fragment_targets for i in (1, 2, 3, 4)] == [True, True, False, True]
+    assert {r.id: r.is_layout for r in visual.layout_tables(pages).collect()} == {i: False for i in (1, 2, 3, 4)}
+    assert visual.compared_pages(pages.limit(0), pages).count() == 0
+    assert [r[1] for r in elements_of("<td>a<td>b</td></tr><br/><img src=x>")] == ["", "td", "td", "br", "img"]
+    links = spark.createDataFrame([(1, "c1"), (2, "c2"), (3, None), (4, "c4")], "link int, capture_id string")
+    boxes = spark.createDataFrame([("c1", "page", "120"), ("c2", "page", "n/a"), ("c4", "frame", "1"), (None, "page", "1")], "capture_id string, scope string, y string")
+    assert rows(visual.top_navigation(links, boxes), "link", "y") == [(1, 120.0)]
+    facts = spark.createDataFrame([(1, "a"), (1, "z"), (None, "a")], "material_id int, object_id string")
+    objects = spark.createDataFrame([(1, "a", "text")], "material_id int, object_id string, text string")
+    bound, unknown = visual.bound_quotes(facts, objects)
+    assert rows(bound, "quote") == [("text",)] and unknown.count() == 2
+
+
+def test_reopening_checks_the_state(spark):
+    state = "project int, revision int, digest string, version int, frozen boolean, parent string, review string, plan string, accepted boolean"
+    projects = spark.createDataFrame([(i, 1, f"d{i}", 3, True, None, "r", "p", True) for i in range(4)], state)
+    requests = spark.createDataFrame([(0, 1, "d0", "x"), (1, 2, "d1", "x"), (2, 1, "d2", "x"), (9, 1, "d", "x")], "project int, revision int, digest string, reason string")
+    jobs = spark.createDataFrame([(2, "paused"), (2, "uncertain"), (0, "done")], "project int, status string")
+    archived, after, refused = versions.reopened(projects, requests, jobs)
+    assert rows(archived, "project", "archived_version", "digest", "plan") == [(0, 3, "d0", "p")]
+    assert rows(after, "project", "version", "frozen", "parent", "plan")[:2] == [(0, 4, False, "d0", None), (1, 3, True, None, "p")]
+    assert rows(refused, "project", "reason") == [(1, "conflict"), (2, "unfinished job"), (9, "unknown project")]
+
+
+def test_accepted_files_are_new_contents(spark, tmp_path):
+    from tracewell.streaming import jobs
+
+    for name, content in (("a", b"1"), ("b", b"1"), ("c", b"2"), ("d", b"")):
+        (tmp_path / f"{name}.bin").write_bytes(content)
+    found = jobs.drained(jobs.accepted_files(spark, str(tmp_path), "*.bin"), "accepted")
+    assert sorted(r.size for r in found.collect()) == [0, 1, 1] and found.select("sha256").distinct().count() == 3

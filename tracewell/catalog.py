@@ -14,6 +14,7 @@ from tracewell.plans import (  # noqa: F401  (each registers its queries)
     text_queries,
     tree_queries,
     version_queries,
+    visual_queries,
     web_queries,
 )
 

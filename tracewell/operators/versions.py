@@ -90,3 +90,31 @@ def undoable(actions: DataFrame) -> DataFrame:
     """Only the latest action of an active version may be undone: adds ``can_undo``."""
     nth = F.row_number().over(Window.partitionBy("material_id").orderBy(F.desc("ts"), F.desc("action_id")))
     return actions.withColumn("can_undo", (nth == 1) & F.col("active"))
+
+
+def reopened(projects: DataFrame, requests: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(archived states, projects after, refusals (project, reason)) of requests to change the frozen sources.
+
+    ``projects(project, revision, digest, version, frozen, parent, review, plan, accepted)``, ``requests(project, revision, digest, reason)``, one for
+    a project, ``jobs(project, status)``.  A request whose revision or digest is not the current one conflicts; uncertain or paused
+    jobs come first.  What is granted archives the whole state and begins the next version, unfrozen, with the old digest as parent.
+    """
+    held = jobs.where(F.col("status").isin("uncertain", "paused")).select("project").distinct().withColumn("held", F.lit(True))
+    now = projects.select("project", F.col("revision").alias("now"), F.col("digest").alias("now_digest"))
+    met = requests.hint("merge").join(now, "project", "left").join(held.hint("merge"), "project", "left")
+    fits = F.coalesce((F.col("revision") == F.col("now")) & (F.col("digest") == F.col("now_digest")), F.lit(False))
+    why = F.when(F.col("now").isNull(), "unknown project").when(~fits, "conflict").when(F.col("held"), "unfinished job")
+    judged = met.withColumn("why", why)
+    granted = judged.where("why is null").select("project", F.col("reason").alias("reopened_for"))
+    archived = projects.hint("merge").join(granted.select("project"), "project", "left_semi").withColumnRenamed("version", "archived_version")
+    go = F.col("reopened_for").isNotNull()
+    after = projects.hint("merge").join(granted, "project", "left").select(
+        "project",
+        (F.col("revision") + F.when(go, 1).otherwise(0)).alias("revision"),
+        F.when(~go, F.col("digest")).alias("digest"),
+        (F.col("version") + F.when(go, 1).otherwise(0)).alias("version"),
+        (F.col("frozen") & ~go).alias("frozen"),
+        F.when(go, F.col("digest")).otherwise(F.col("parent")).alias("parent"),
+        *(F.when(~go, F.col(c)).alias(c) for c in ("review", "plan", "accepted")),
+    )
+    return archived, after, judged.where("why is not null").select("project", F.col("why").alias("reason"))

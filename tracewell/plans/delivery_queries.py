@@ -63,12 +63,6 @@ def s11_image_candidates(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(urls, ",").alias("candidates"))
 
 
-@query(f"WITH {OBJECTS_SQL} SELECT material_id, object_id FROM objects WHERE kind IN ('code', 'formula') AND NOT regexp_matches(text, '[A-Za-z]{{4,}}')")
-def p10_placeholders(spark, sf_dir):
-    """Objects without a word: placeholders whose gap goes."""
-    return objects(spark, sf_dir).where(F.col("kind").isin("code", "formula")).where(~F.col("text").rlike("[A-Za-z]{4,}")).select("material_id", "object_id")
-
-
 @query(
     "WITH RECURSIVE e AS (SELECT user_id AS project, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, CASE event_type WHEN 'view' THEN 'review_ready' WHEN 'click' THEN 'accept' WHEN 'purchase' THEN 'publish' WHEN 'error' THEN 'edit' ELSE 'other' END AS kind FROM events), "
     "s(project, n, state, rejected) AS (SELECT DISTINCT project, 0::BIGINT, 'draft', 0 FROM e UNION ALL "

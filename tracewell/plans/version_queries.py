@@ -43,14 +43,6 @@ def v02_first_writes(spark, sf_dir):
     return op.first_writes(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT doc_id AS material, 'archived' AS state, 1 AS source_version FROM labels UNION ALL SELECT doc_id, 'reopened', 2 FROM labels")
-def v03_snapshot_reopen(spark, sf_dir):
-    """Reviewed materials reopen: their state is archived, and a new unfrozen version begins."""
-    reviewed = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("material"))
-    states = F.array(F.struct(F.lit("archived").alias("state"), F.lit(1).alias("source_version")), F.struct(F.lit("reopened").alias("state"), F.lit(2).alias("source_version")))
-    return reviewed.select("material", F.inline(states))
-
-
 def _patches(spark, sf_dir):
     """Every turn of an assistant is an edit of the question before it, whose old text it quotes rightly only when that is short."""
     rows = blocks(spark, sf_dir)

@@ -52,38 +52,12 @@ def p02_site_chrome(spark, sf_dir):
     return found.where("class is not null").groupBy("page_id", "class").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id FROM events WHERE event_type = 'view' AND value <= 120")
-def p03_top_navigation(spark, sf_dir):
-    """Captured links near the top of their page, the event value as their position."""
-    return table(spark, sf_dir, "events").where("event_type = 'view' and value <= 120").select("event_id")
-
-
 @query("SELECT l_orderkey AS material_id, l_linenumber || ':' || l_suppkey AS object_id, v AS visible_id FROM (SELECT *, min(CASE WHEN l_returnflag = 'N' THEN l_linenumber || ':' || l_suppkey END) OVER (PARTITION BY l_orderkey, l_partkey) AS v FROM lineitem) WHERE l_returnflag <> 'N' AND v IS NOT NULL")
 def p04_duplicate_media(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("material_id"), F.col("l_partkey").alias("target"), F.concat_ws(":", "l_linenumber", "l_suppkey").alias("object_id"), (F.col("l_returnflag") == "N").alias("captured"))
     return op.duplicate_media(rows).select("material_id", "object_id", "visible_id")
 
 
-@query(f"WITH {OBJECTS_SQL} SELECT material_id, object_id FROM objects WHERE regexp_matches(lower(text), 'apache license|copyright|all rights reserved')")
-def p05_badges(spark, sf_dir):
-    """Licence and rights lines are source metadata."""
-    return objects(spark, sf_dir).where(F.lower("text").rlike("apache license|copyright|all rights reserved")).select("material_id", "object_id")
-
-
-@query("SELECT c.c_custkey AS id, c.c_nationkey AS definition, n.n_regionkey = 0 AS decorative FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey")
-def p06_symbol_propagation(spark, sf_dir):
-    """Uses inherit what is proven of their definition."""
-    known = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("definition"), (F.col("n_regionkey") == 0).alias("decorative"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("definition")).join(known, "definition").select("id", "definition", "decorative")
-
-
-@query(f"WITH {OBJECTS_SQL} SELECT material_id, object_id, CASE WHEN count(*) OVER (PARTITION BY material_id) = 1 THEN 'text' ELSE kind END AS new_kind FROM objects WHERE kind = 'table'")
-def p07_layout_tables(spark, sf_dir):
-    """A table of a single row is layout and becomes text."""
-    n = F.count("*").over(Window.partitionBy("material_id"))
-    return objects(spark, sf_dir).where("kind = 'table'").select("material_id", "object_id", F.when(n == 1, "text").otherwise(F.col("kind")).alias("new_kind"))
-
-
 @query(f"WITH {OBJECTS_SQL} SELECT material_id, object_id, CASE WHEN l.doc_id IS NULL THEN 'open' ELSE 'resolved' END AS state FROM objects LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = material_id WHERE kind IN ('table', 'formula')")
 def p08_resolved_gaps(spark, sf_dir):
     gaps = objects(spark, sf_dir).where(F.col("kind").isin("table", "formula")).select("material_id", "object_id")
@@ -352,26 +326,12 @@ def j18_tolerant_quotes(spark, sf_dir):
     return met.select("doc_id", "item_id", F.sha2(F.when(quote.isNotNull(), F.concat(quote, tail)), 256).alias("quote_sha"))
 
 
-@query(f"WITH {OBJECTS_SQL} SELECT l.doc_id AS fact, sha256(o.text) AS quote_sha FROM labels l JOIN objects o ON o.material_id = l.doc_id AND o.object_id = 'src-00001'")
-def j19_fact_quotes(spark, sf_dir):
-    first = objects(spark, sf_dir).where("object_id = 'src-00001'")
-    facts = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("material_id"))
-    return facts.join(first, "material_id").select(F.col("material_id").alias("fact"), F.sha2("text", 256).alias("quote_sha"))
-
-
 @query("WITH c AS (SELECT p_partkey, lower(p_name) || '|' || lower(p_type) AS pair FROM part) SELECT p_partkey AS concept, min(p_partkey) OVER (PARTITION BY pair) AS alias_of FROM c")
 def j20_concept_coalescing(spark, sf_dir):
     pair = F.concat_ws("|", F.lower("p_name"), F.lower("p_type"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept"), F.min("p_partkey").over(Window.partitionBy(pair)).alias("alias_of"))
 
 
-@query("SELECT a.page_id, sha256(a.html) = sha256(b.html) AS same_bytes, length(a.html) = length(b.html) AS same_length FROM pages a JOIN pages b ON b.page_id = a.page_id + 1")
-def j21_compare_pages(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha"), F.char_length("html").alias("n"))
-    after = rows.select((F.col("page_id") - 1).alias("page_id"), F.col("sha").alias("next_sha"), F.col("n").alias("next_n"))
-    return rows.join(after, "page_id").select("page_id", (F.col("sha") == F.col("next_sha")).alias("same_bytes"), (F.col("n") == F.col("next_n")).alias("same_length"))
-
-
 @query("SELECT d.doc_id, sha256(d.text) <> sha256(c.text) AND c.text <> '' AS is_new FROM documents d JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 1")
 def j22_not_a_fallback(spark, sf_dir):
     delivered = table(spark, sf_dir, "conversations").where("turn = 1").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("output"))
@@ -387,11 +347,6 @@ def j23_page_coverage(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").join(pages, "l_partkey", "left").groupBy(F.col("l_orderkey").alias("source")).agg(F.count("*").alias("placements"), F.bool_and(fits).alias("covered"))
 
 
-@query("SELECT l_suppkey AS source, max(l_shipdate) AS latest, count(DISTINCT l_partkey) > 1 AS conflict FROM lineitem GROUP BY l_suppkey")
-def j24_comparison_baseline(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source")).agg(F.max("l_shipdate").alias("latest"), (F.count_distinct("l_partkey") > 1).alias("conflict"))
-
-
 @query("SELECT DISTINCT b.item_id, d.source AS scope FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def j25_allowed_evidence(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
