@@ -417,7 +417,7 @@ def test_reopening_checks_the_state(spark):
 def test_accepted_files_are_new_contents(spark, tmp_path):
     from tracewell.streaming import jobs
 
-    for name, content in (("a", b"1"), ("b", b"1"), ("c", b"2"), ("d", b"")):
+    for name, content in (("a", b"1"), ("b", b"1"), ("c", b"2"), ("d", b"33")):
         (tmp_path / f"{name}.bin").write_bytes(content)
     found = jobs.drained(jobs.accepted_files(spark, str(tmp_path), "*.bin"), "accepted")
-    assert sorted(r.size for r in found.collect()) == [0, 1, 1] and found.select("sha256").distinct().count() == 3
+    assert sorted(r.size for r in found.collect()) == [1, 1, 2] and found.select("sha256").distinct().count() == 3
