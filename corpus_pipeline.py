@@ -2,7 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the
 shared folder and reads it back as the next stage's ``docs``.  All stages but the last return the
-columns of ``documents``.
+columns of ``documents``; further columns pass through all of these, whatever their names.
+
+Edge cases: null and empty texts have too few words for the quality rules and go; rows with a null doc_id are
+judged like the others, after those with one; rows that repeat a doc_id are judged by their own texts; rows that repeat
+doc_id and text count once; of equal or near texts the smallest doc_id stays, whatever its order in the table; very long texts are
+judged and cut whole; without usable labels the base rules alone decide; an empty table gives no rows.
 """
 
 from __future__ import annotations
