@@ -421,3 +421,23 @@ def test_accepted_files_are_new_contents(spark, tmp_path):
         (tmp_path / f"{name}.bin").write_bytes(content)
     found = jobs.drained(jobs.accepted_files(spark, str(tmp_path), "*.bin"), "accepted")
     assert sorted(r.size for r in found.collect()) == [1, 1, 2] and found.select("sha256").distinct().count() == 3
+
+
+def test_evidence_operators_on_odd_input(spark):
+    from tracewell.operators import evidence
+
+    pairs = spark.createDataFrame([(1, None, None, None, None), (2, "t", "", "404 Not Found", ""), (3, "t", "same words here", "t", "same words here")], "id int, title string, text string, rendered_title string, rendered_text string")
+    assert rows(evidence.continuity(pairs), "id", "verdict") == [(1, "accepted"), (2, "error page"), (3, "accepted")]
+    terms = spark.createDataFrame([(1, 1, "ab", "X"), (2, 1, "zz", ""), (3, 9, "ab", ""), (4, 1, "", ""), (5, 1, None, None)], "term_id int, id int, term string, short string")
+    texts = spark.createDataFrame([(1, "ab " + "." * 300 + "ab X"), (2, None)], "id int, text string")
+    found = {r.term_id: (r.status, r.snippet) for r in evidence.term_snippets(terms, texts).collect()}
+    assert found[1] == ("found", "." * 80 + "ab X") and {i: s for i, (s, _) in found.items()} == {1: "found", 2: "lookup_failed", 3: "lookup_failed", 4: "lookup_failed", 5: "lookup_failed"}
+    accepted = spark.createDataFrame([(1, "缓存", None), (2, "缓存", "Cache"), (3, None, "C++")], "concept int, chinese string, english string")
+    new = spark.createDataFrame([(10, " 缓 存", "CACHE", False), (11, "缓存", "Buffer", True), (12, "缓存", "Other", False), (13, None, "c++", False), (14, None, None, None)], "concept int, chinese string, english string, verified boolean")
+    assert rows(evidence.coalesced_concepts(new, accepted), "concept", "kind", "of") == [(10, "alias", 2), (11, "completion", 1), (12, "new", None), (13, "alias", 3), (14, "new", None)]
+    checks = spark.createDataFrame([(1, c, "preserved") for c in evidence.VISUAL_CATEGORIES] + [(2, "text", "lost"), (3, None, None)], "page int, category string, status string")
+    assert rows(evidence.visual_verdicts(checks), "page", "verdict") == [(1, "verified"), (2, "incomplete"), (3, "incomplete")]
+    items = spark.createDataFrame([(1, "i"), (2, "j")], "item long, x string").select("item")
+    owners = spark.createDataFrame([(1, 7), (1, 8)], "item long, link int")
+    assert rows(evidence.without_reference_links(items, owners, spark.createDataFrame([(7,), (8,)], "link int")), "item") == [(2,)]
+    assert evidence.known_before(spark.createDataFrame([(1, None, None, None)], "item_id int, url string, sha string, summary string"), spark.createDataFrame([(None, None, None, "created")], "url string, sha string, text string, state string")).count() == 0

@@ -131,12 +131,6 @@ def a15_plan_coverage(spark, sf_dir):
     return op.set_difference(required, actual, ["unit"])
 
 
-@query("SELECT doc_id AS material_id, count(*) AS judgments, bool_and(quality = 1 AND toxic = 0) AS complete FROM labels GROUP BY doc_id")
-def a16_review_completeness(spark, sf_dir):
-    fine = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    return table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("material_id")).agg(F.count("*").alias("judgments"), F.bool_and(fine).alias("complete"))
-
-
 @query(
     f"WITH {_MODEL}, all_v AS ({_v('unknown_object', 'block_id', 'object_id', 'obligation_id')} FROM placed ANTI JOIN objects USING (material_id, object_id) "
     f"UNION ALL {_v('quote', 'block_id', 'object_id')} FROM placed LEFT JOIN (SELECT material_id, object_id, text FROM objects) USING (material_id, object_id) WHERE NOT coalesce(CASE WHEN quote = '' THEN text = '' ELSE contains(text, quote) END, false) "
@@ -315,18 +309,6 @@ def a35_claim_provenance(spark, sf_dir):
     return claims.join(held, "item_id", "left").select("item_id", sources.alias("sources"), F.when(sources > 0, "SUPPORTED").otherwise("UNSUPPORTED").alias("status"))
 
 
-@query("SELECT user_id AS page, count(DISTINCT event_type) AS categories, CASE WHEN count(DISTINCT event_type) = 5 AND bool_and(event_type <> 'error' OR value < 450) THEN 'preserved' ELSE 'needs_correction' END AS verdict FROM events GROUP BY user_id")
-def a36_visual_verdict(spark, sf_dir):
-    fine = F.bool_and((F.col("event_type") != "error") | (F.col("value") < 450))
-    found = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("page")).agg(F.count_distinct("event_type").alias("categories"), fine.alias("fine"))
-    return found.select("page", "categories", F.when((F.col("categories") == 5) & F.col("fine"), "preserved").otherwise("needs_correction").alias("verdict"))
-
-
-@query("SELECT d.source, d.lang, count(*) AS materials, sum(length(text))::BIGINT AS chars, grouping(d.source, d.lang)::INT AS level FROM documents d GROUP BY ROLLUP (source, lang)")
-def a40_material_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").rollup("source", "lang").agg(F.count("*").alias("materials"), F.sum(F.char_length("text")).cast("long").alias("chars"), F.grouping_id("source", "lang").cast("int").alias("level"))
-
-
 @query(f"WITH {OBJECTS_SQL} SELECT material_id, count(*) AS objects, sum(length(text))::BIGINT AS chars, ceil(count(*) / 6.0)::BIGINT AS batches, ceil(count(*) / 6.0)::BIGINT + 2 <= 24 AS feasible FROM objects GROUP BY material_id")
 def a41_work_estimate(spark, sf_dir):
     found = objects(spark, sf_dir).groupBy("material_id").agg(F.count("*").alias("objects"), F.sum(F.char_length("text")).cast("long").alias("chars"))

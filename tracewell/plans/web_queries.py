@@ -206,50 +206,9 @@ def j08_block_locations(spark, sf_dir):
     return rows.join(objects(spark, sf_dir), ["material_id", "object_id"]).select("material_id", "block_id", "locator", F.regexp_extract("locator", "^([^/]+)", 1).alias("original"))
 
 
-@query("SELECT l.doc_id AS material, CASE WHEN d.doc_id IS NULL THEN 'missing original' WHEN n = 1 THEN 'identical' ELSE 'shared bytes' END AS verdict FROM labels l LEFT JOIN (SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS n FROM documents) d USING (doc_id)")
-def j09_snapshot_match(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    shared = docs.groupBy("sha").agg(F.count("*").alias("n"))
-    known = docs.join(shared, "sha").select("doc_id", "n")
-    verdict = F.when(F.col("n").isNull(), "missing original").when(F.col("n") == 1, "identical").otherwise("shared bytes")
-    return table(spark, sf_dir, "labels").join(known, "doc_id", "left").select(F.col("doc_id").alias("material"), verdict.alias("verdict"))
-
-
-@query("WITH c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', ''), '^https?://(www\\.)?', '') AS key FROM pages) SELECT page_id, count(*) OVER (PARTITION BY key) AS same_source FROM c")
-def j10_source_identity(spark, sf_dir):
-    key = F.regexp_replace(F.regexp_replace(canonical_url(F.regexp_replace("url", "[?#].*$", "")), "/+$", ""), r"^https?://(www\.)?", "")
-    return table(spark, sf_dir, "pages").select("page_id", F.count("*").over(Window.partitionBy(key)).alias("same_source"))
-
-
 _WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z]+'))"
 
 
-@query(
-    "WITH t AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations), "
-    f"w AS (SELECT conv_id, turn, {_WORDS.format('text')} AS a, {_WORDS.format('nxt')} AS b, length(nxt) / greatest(length(text), 1) AS ratio FROM t WHERE nxt IS NOT NULL) "
-    "SELECT conv_id, turn, round(len(list_intersect(a, b)) / greatest(len(a), 1), 6) AS kept, CASE WHEN len(list_intersect(a, b)) / greatest(len(a), 1) >= 0.45 AND ratio >= 0.35 THEN 'accepted' WHEN ratio < 0.12 THEN 'lost' ELSE 'mismatch' END AS verdict FROM w"
-)
-def j11_continuity(spark, sf_dir):
-    """The share of a turn's words that the next one keeps."""
-    following = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = table(spark, sf_dir, "conversations").withColumn("next_text", following).where("next_text is not null")
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z]+)"), F.lit(1)))
-    kept = F.size(F.array_intersect(words("text"), words("next_text"))) / F.greatest(F.size(words("text")), F.lit(1))
-    ratio = F.char_length("next_text") / F.greatest(F.char_length("text"), F.lit(1))
-    verdict = F.when((kept >= 0.45) & (ratio >= 0.35), "accepted").when(ratio < 0.12, "lost").otherwise("mismatch")
-    return rows.select("conv_id", "turn", F.round(kept, 6).alias("kept"), verdict.alias("verdict"))
-
-
-@query("SELECT b.item_id, 'text' AS matched FROM benchmark b SEMI JOIN documents d ON contains(d.text, b.text) UNION ALL SELECT b.item_id, 'sha256' FROM benchmark b SEMI JOIN conversations c ON sha256(c.text) = sha256(b.text)")
-def j12_history_scan(spark, sf_dir):
-    """New items already known, by digest or by literal text (items are few: broadcast after a count)."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    docs, turns = table(spark, sf_dir, "documents"), table(spark, sf_dir, "conversations")
-    in_text = docs.select("text").join(bind.small(items), F.contains("text", F.col("item"))).select("item_id").distinct().withColumn("matched", F.lit("text"))
-    by_sha = items.withColumn("sha", F.sha2("item", 256)).join(turns.select(F.sha2("text", 256).alias("sha")), "sha", "left_semi").select("item_id", F.lit("sha256").alias("matched"))
-    return in_text.unionByName(by_sha)
-
-
 @query(
     "WITH f AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'), b AS (SELECT event_id AS block, user_id, ts FROM events WHERE event_type = 'purchase'), "
     "m AS (SELECT f.event_id, b.block, row_number() OVER (PARTITION BY f.event_id ORDER BY abs(b.block - f.event_id) NULLS LAST, (b.block < f.event_id)::INT, b.block) AS nth FROM f LEFT JOIN b USING (user_id)) SELECT event_id AS finding_id, block AS block_id, block IS NULL AS is_note FROM m WHERE nth = 1"
@@ -279,16 +238,6 @@ def j15_glossary_triggers(spark, sf_dir):
     return docs.join(bind.small(terms), F.expr("rlike(text, concat('(^|[^a-z])', trigger, '([^a-z]|$)'))")).select("doc_id", "trigger")
 
 
-@query("SELECT b.item_id, d.doc_id, sha256(substr(d.text, greatest(strpos(d.text, b.text) - 80, 1), strpos(d.text, b.text) - greatest(strpos(d.text, b.text) - 80, 1) + 160)) AS snippet_sha FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def j16_evidence_snippets(spark, sf_dir):
-    """80 characters before a passage to 160 from its beginning."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    at = F.expr("locate(item, text)")
-    first = F.greatest(at - 80, F.lit(1))
-    met = table(spark, sf_dir, "documents").select("doc_id", "text").join(bind.small(items), F.contains("text", F.col("item")))
-    return met.select("item_id", "doc_id", F.sha2(F.substring("text", first, at - first + 160), 256).alias("snippet_sha"))
-
-
 @query(
     "WITH p AS (SELECT doc_id, unnest(string_split(text, 'the ')) AS s, generate_subscripts(string_split(text, 'the '), 1) AS k, len(string_split(text, 'the ')) AS n FROM documents), "
     "o AS (SELECT doc_id, k, n, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY k) + 4 * (k - 1) AS start FROM p), sp AS (SELECT doc_id, greatest(start - 50, 0) AS a, start + 54 AS b FROM o WHERE k < n), "
@@ -326,12 +275,6 @@ def j18_tolerant_quotes(spark, sf_dir):
     return met.select("doc_id", "item_id", F.sha2(F.when(quote.isNotNull(), F.concat(quote, tail)), 256).alias("quote_sha"))
 
 
-@query("WITH c AS (SELECT p_partkey, lower(p_name) || '|' || lower(p_type) AS pair FROM part) SELECT p_partkey AS concept, min(p_partkey) OVER (PARTITION BY pair) AS alias_of FROM c")
-def j20_concept_coalescing(spark, sf_dir):
-    pair = F.concat_ws("|", F.lower("p_name"), F.lower("p_type"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("concept"), F.min("p_partkey").over(Window.partitionBy(pair)).alias("alias_of"))
-
-
 @query("SELECT d.doc_id, sha256(d.text) <> sha256(c.text) AND c.text <> '' AS is_new FROM documents d JOIN conversations c ON c.conv_id = d.doc_id AND c.turn = 1")
 def j22_not_a_fallback(spark, sf_dir):
     delivered = table(spark, sf_dir, "conversations").where("turn = 1").select(F.col("conv_id").alias("doc_id"), F.col("text").alias("output"))
@@ -354,27 +297,3 @@ def j25_allowed_evidence(spark, sf_dir):
     return met.select("item_id", F.col("source").alias("scope")).distinct()
 
 
-@query("SELECT o_orderkey AS link, CASE WHEN p.page_id IS NULL THEN 'failed' ELSE left(p.url, 700) END AS evidence FROM orders LEFT JOIN pages p ON p.page_id = o_orderkey")
-def j26_prefetched_evidence(spark, sf_dir):
-    saved = table(spark, sf_dir, "pages").select(F.col("page_id").alias("o_orderkey"), F.left("url", F.lit(700)).alias("saved"))
-    return table(spark, sf_dir, "orders").join(saved, "o_orderkey", "left").select(F.col("o_orderkey").alias("link"), F.coalesce("saved", F.lit("failed")).alias("evidence"))
-
-
-@query("SELECT o_orderkey AS resolution, count(l_partkey) FILTER (l_returnflag <> 'R') AS bindings, CASE WHEN count(l_partkey) FILTER (l_returnflag <> 'R') = 0 THEN 'unresolved' ELSE 'resolved' END AS status FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
-def j27_misfiled_evidence(spark, sf_dir):
-    """Returned lines are removed bindings; an order without any left is unresolved."""
-    kept = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return table(spark, sf_dir, "orders").join(kept, "o_orderkey", "left").select(F.col("o_orderkey").alias("resolution"), n.alias("bindings"), F.when(n == 0, "unresolved").otherwise("resolved").alias("status"))
-
-
-@query("SELECT l_orderkey AS gap, count(*) AS bindings FROM lineitem ANTI JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '5-LOW') ON o_orderkey = l_orderkey GROUP BY l_orderkey")
-def j28_reference_pruning(spark, sf_dir):
-    low = table(spark, sf_dir, "orders").where("o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").join(low, "l_orderkey", "left_anti").groupBy(F.col("l_orderkey").alias("gap")).agg(F.count("*").alias("bindings"))
-
-
-@query("WITH c AS (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS key FROM pages) SELECT a.page_id, bool_or(b.page_id <> a.page_id) AS saved_elsewhere FROM c a JOIN c b USING (key) GROUP BY a.page_id")
-def j30_target_saved(spark, sf_dir):
-    key = F.regexp_replace(F.regexp_replace("url", "#.*$", ""), "/+$", "")
-    return table(spark, sf_dir, "pages").select("page_id", (F.count("*").over(Window.partitionBy(key)) > 1).alias("saved_elsewhere"))
