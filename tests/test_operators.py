@@ -441,3 +441,23 @@ def test_evidence_operators_on_odd_input(spark):
     owners = spark.createDataFrame([(1, 7), (1, 8)], "item long, link int")
     assert rows(evidence.without_reference_links(items, owners, spark.createDataFrame([(7,), (8,)], "link int")), "item") == [(2,)]
     assert evidence.known_before(spark.createDataFrame([(1, None, None, None)], "item_id int, url string, sha string, summary string"), spark.createDataFrame([(None, None, None, "created")], "url string, sha string, text string, state string")).count() == 0
+
+
+def test_drafting_operators_on_odd_input(spark):
+    from tracewell.operators import drafting
+
+    texts = spark.createDataFrame([("# Article Metadata\nx",), ("## 出版信息\n# two",), ("Article Metadata",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(drafting.info_label(F.col("t"))).collect()] == ["Article Metadata", None, None, None, None]
+    current = spark.createDataFrame([(1, "b c"), (2, "b"), (3, "{{m}} b"), (4, None)], "id int, text string")
+    earlier = spark.createDataFrame([(1, 1, "b {{m}}c"), (2, 1, "{{m}}\nb"), (2, 2, "b\n{{m}}"), (3, 1, "{{m}}\nb"), (4, 1, None)], "id int, version int, text string")
+    markers = spark.createDataFrame([(i, "{{m}}") for i in range(1, 6)], "id int, marker string")
+    assert rows(drafting.previous_positions(current, earlier, markers), "id", "version") == [(2, 1)]
+    items = spark.createDataFrame([(1, 1, "a", True, False), (2, 1, "a", True, False), (3, 1, "b", True, False), (4, 1, "b", False, True), (5, None, "c", True, False)], "id int, parent int, name_key string, archived boolean, trashed boolean")
+    back = spark.createDataFrame([(i, False) for i in (1, 2, 3, 5)], "id int, archive boolean")
+    assert rows(drafting.archive_changes(items, back), "id", "archived", "reason") == [(1, True, "collision"), (2, True, "collision"), (3, False, None), (4, False, None), (5, False, None)]
+    totals = drafting.campaign_totals(spark.createDataFrame([("a", 1, None)], "campaign string, material int, amount double"), spark.createDataFrame([("b", 2)], "campaign string, calls int"))
+    assert rows(totals, "campaign", "calls", "complete", "reconciled") == [("a", 1, False, False), ("b", 0, True, False)]
+    units = spark.createDataFrame([(1, "u", "f")], "plan int, unit string, fact string")
+    none = units.limit(0).select("plan", "fact")
+    after, refused = drafting.covered_plans(units, none, units.limit(0).select("plan", "fact", "unit"))
+    assert after.count() == 1 and refused.count() == 0

@@ -6,6 +6,7 @@ from tracewell import registry
 from tracewell.plans import (  # noqa: F401  (each registers its queries)
     audit_queries,
     delivery_queries,
+    draft_queries,
     evidence_queries,
     intake_queries,
     ledger_queries,

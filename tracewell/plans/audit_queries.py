@@ -219,12 +219,6 @@ def a25_inventory_patch(spark, sf_dir):
     return op.patched(rows, replace, add, remove)
 
 
-@query(f"WITH {OBJECTS_SQL} SELECT 'group-' || d.source || '-' || object_id AS group_id, count(*) AS n FROM objects JOIN documents d ON d.doc_id = material_id GROUP BY 1")
-def a26_group_merge(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("material_id"), "source")
-    return objects(spark, sf_dir).join(docs, "material_id").groupBy(F.concat(F.lit("group-"), "source", F.lit("-"), "object_id").alias("group_id")).agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {_FACTS} SELECT f.id, CASE WHEN a.id IS NULL THEN 'source missing' WHEN a.body <> f.body THEN 'status differs' END AS issue FROM facts f LEFT JOIN adds a USING (id) WHERE a.id IS NULL OR a.body <> f.body")
 def a27_fidelity_issues(spark, sf_dir):
     facts, adds = _facts(spark, sf_dir)
@@ -262,19 +256,6 @@ def a30_plan_order(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit"), F.col("o_custkey").alias("plan"), relation.alias("relation"))
 
 
-@query("SELECT DISTINCT l_orderkey AS unit FROM lineitem SEMI JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'")
-def a31_repair_scope(spark, sf_dir):
-    cited = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("unit")).distinct()
-    return cited.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit")), "unit", "left_semi")
-
-
-@query("SELECT l_orderkey AS unit, count(DISTINCT l_partkey) AS facts FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey HAVING bool_and(o_orderkey IS NOT NULL)")
-def a32_coverage_patch(spark, sf_dir):
-    known = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("unit"), "l_partkey")
-    return lines.join(known, "unit", "left_semi").groupBy("unit").agg(F.count_distinct("l_partkey").alias("facts"))
-
-
 @query("SELECT l_orderkey AS edge, l_suppkey AS target, 'supplier' AS kind FROM lineitem ANTI JOIN supplier ON l_suppkey = s_suppkey UNION SELECT l_orderkey, l_partkey, 'buyer' FROM lineitem ANTI JOIN customer ON l_partkey = c_custkey UNION SELECT l_orderkey, l_orderkey, 'order' FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey")
 def a33_evidence_integrity(spark, sf_dir):
     """References that lead nowhere, for each kind of edge."""

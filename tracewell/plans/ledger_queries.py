@@ -89,14 +89,6 @@ def l07_material_costs(spark, sf_dir):
     return found.select("material", "actual", "unknown", F.when(F.col("unknown") == 0, F.col("every")).alias("total"))
 
 
-@query("SELECT c_mktsegment AS campaign, count(*) AS calls, count(DISTINCT o_custkey) AS materials, round(sum(o_totalprice), 0) AS amount, bool_and(o_orderstatus = 'F') AS complete FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment")
-def l08_campaign_totals(spark, sf_dir):
-    segments = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("campaign"))
-    return table(spark, sf_dir, "orders").join(segments, "o_custkey").groupBy("campaign").agg(
-        F.count("*").alias("calls"), F.count_distinct("o_custkey").alias("materials"), F.round(F.sum("o_totalprice"), 0).alias("amount"), F.bool_and(F.col("o_orderstatus") == "F").alias("complete")
-    )
-
-
 @query("SELECT user_id AS run, count(*) AS attempted, count(*) FILTER (event_type = 'purchase') AS verified, bool_and(event_type = 'purchase') AS all_verified, epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT AS span FROM events GROUP BY user_id")
 def l09_run_report(spark, sf_dir):
     bought = F.col("event_type") == "purchase"

@@ -132,17 +132,6 @@ def t26_repeated_texts(spark, sf_dir):
     return op.repeated_texts(objects(spark, sf_dir)).select("ref", "n")
 
 
-@query(
-    f"WITH {OBJECTS_SQL}, r AS (SELECT material_id, ord, regexp_extract(text, '([0-9]+)', 1) AS rule, text FROM objects WHERE regexp_matches(text, '[0-9]+')) "
-    "SELECT material_id, row_number() OVER (PARTITION BY material_id ORDER BY ord) AS rule_no, rule FROM r"
-)
-def t27_rule_catalog(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = objects(spark, sf_dir).withColumn("rule", F.regexp_extract("text", "([0-9]+)", 1)).where("rule <> ''")
-    return rows.select("material_id", F.row_number().over(Window.partitionBy("material_id").orderBy("ord")).cast("long").alias("rule_no"), "rule")
-
-
 @query(
     "WITH w AS (SELECT doc_id, unnest(range(0, len(string_split(text, 'the')) - 1)) AS k, string_split(text, 'the') AS p FROM documents WHERE contains(text, 'the')) "
     "SELECT doc_id, length(array_to_string(p[1:k + 1], 'the')) AS start, length(array_to_string(p[1:k + 1], 'the')) + 3 AS \"end\" FROM w"
@@ -172,12 +161,6 @@ def t32_foreign_headings(spark, sf_dir):
     return rows.select("material_id", "object_id", F.sha2(F.left(F.coalesce("following", F.lit("")), F.lit(1200)), 256).alias("context_sha256"))
 
 
-@query(f"WITH {OBJECTS_SQL} SELECT material_id, object_id, regexp_extract(text, '^([^ ]+)', 1) AS label FROM objects WHERE ord = 0 AND length(text) - length(replace(text, '.', '')) = 1")
-def t33_info_labels(spark, sf_dir):
-    rows = objects(spark, sf_dir).where("ord = 0").where(F.regexp_count("text", F.lit(r"\.")) == 1)
-    return rows.select("material_id", "object_id", F.regexp_extract("text", "^([^ ]+)", 1).alias("label"))
-
-
 @query("SELECT doc_id, lower(source) AS folded FROM documents")
 def u01_sql_function(spark, sf_dir):
     fn.register(spark)

@@ -86,14 +86,6 @@ def h08_purge_preview(spark, sf_dir):
     return op.purge_preview(closure, documents, documents.where("c_acctbal < 0").select("doc_id"))
 
 
-@query("SELECT c_custkey AS id, c_acctbal < 0 AS archived, count(*) OVER (PARTITION BY c_nationkey, lower(c_name)) > 1 AND c_acctbal >= 0 AS collides FROM customer")
-def h09_archive_flags(spark, sf_dir):
-    from pyspark.sql import Window
-
-    n = F.count("*").over(Window.partitionBy("c_nationkey", F.lower("c_name")))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") < 0).alias("archived"), ((n > 1) & (F.col("c_acctbal") >= 0)).alias("collides"))
-
-
 @query("SELECT DISTINCT sha256(d.text) AS unreferenced FROM documents d WHERE sha256(d.text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))")
 def h10_unreferenced_blobs(spark, sf_dir):
     """Pool rows whose digest no reviewed material names in its JSON body."""

@@ -100,12 +100,6 @@ def v07_proposal_screening(spark, sf_dir):
     return edits.select("material_id", "block_id", reason.alias("reason"))
 
 
-@query("WITH e AS (SELECT user_id AS batch, event_type AS line_id, event_id FROM events) SELECT batch, count(*) AS edits, count(DISTINCT line_id) AS lines, count(*) = count(DISTINCT line_id) AS accepted FROM e GROUP BY batch")
-def v08_line_edits(spark, sf_dir):
-    """A batch that edits one line twice is refused as a whole."""
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("batch")).agg(F.count("*").alias("edits"), F.count_distinct("event_type").alias("lines"), (F.count("*") == F.count_distinct("event_type")).alias("accepted"))
-
-
 @query(
     f"WITH {BLOCKS_SQL}, n AS (SELECT material_id, ord, CASE WHEN kind = 'explanation' AND contains(markdown, chr(10)) THEN upper(markdown) ELSE markdown END AS new_markdown FROM blocks) "
     "SELECT material_id, bool_and(coalesce(markdown = new_markdown, false)) AS extends FROM blocks LEFT JOIN n USING (material_id, ord) GROUP BY material_id"
@@ -116,12 +110,6 @@ def v09_incremental_prefix(spark, sf_dir):
     return op.unchanged_prefix(rows, rows.withColumn("markdown", changed))
 
 
-@query("SELECT o_orderkey AS unit, o_custkey AS follows, CASE WHEN o_custkey < o_orderkey THEN 'accepted' WHEN o_custkey = o_orderkey THEN 'self' ELSE 'later unit' END AS verdict FROM orders")
-def v10_dependency_patch(spark, sf_dir):
-    verdict = F.when(F.col("o_custkey") < F.col("o_orderkey"), "accepted").when(F.col("o_custkey") == F.col("o_orderkey"), "self").otherwise("later unit")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("unit"), F.col("o_custkey").alias("follows"), verdict.alias("verdict"))
-
-
 _REQUIRES = "req AS (SELECT DISTINCT p_partkey AS concept, p_partkey // 3 AS needs FROM part WHERE p_partkey > 0)"
 
 
@@ -150,34 +138,6 @@ def v14_undo(spark, sf_dir):
     return op.undoable(rows).select("action_id", "can_undo")
 
 
-@query("WITH h AS (SELECT o_custkey AS material, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS revision, o_orderstatus FROM orders), m AS (SELECT material, max(revision) AS top FROM h GROUP BY material) SELECT h.material, top + 1 AS revision, version AS restored_from FROM h JOIN m USING (material) WHERE h.revision = 1")
-def v16_restore(spark, sf_dir):
-    """Each material restores its first version as a new revision."""
-    w = Window.partitionBy("material").orderBy("version")
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("material"), F.col("o_orderkey").alias("version"))
-    ranked = rows.withColumns({"revision": F.row_number().over(w), "top": F.count("*").over(Window.partitionBy("material"))}).where("revision = 1")
-    return ranked.select("material", (F.col("top") + 1).alias("revision"), F.col("version").alias("restored_from"))
-
-
-@query("SELECT d.doc_id, b.item_id, (length(d.text) - length(replace(d.text, b.text, ''))) / length(b.text) = 1 AS once FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
-def v17_previous_position(spark, sf_dir):
-    """Where a marker (a benchmark passage) stands in a text, and whether exactly once."""
-    from tracewell.operators.binding import small
-
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("marker"))
-    hits = (F.char_length("text") - F.char_length(F.replace("text", F.col("marker"), F.lit("")))) / F.char_length("marker")
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(small(items), F.contains("text", F.col("marker"))).select("doc_id", "item_id", (hits == 1).alias("once"))
-
-
-@query("SELECT e.event_id AS finding_id, EXISTS (SELECT 1 FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.ts > e.ts) AS resolved FROM events e WHERE e.event_type = 'error'")
-def v18_resolved_findings(spark, sf_dir):
-    """A finding is resolved once the same unit passes later."""
-    events = table(spark, sf_dir, "events")
-    last = events.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("passed"))
-    met = events.where("event_type = 'error'").join(last, "user_id", "left")
-    return met.select(F.col("event_id").alias("finding_id"), F.coalesce(F.col("passed") > F.col("ts"), F.lit(False)).alias("resolved"))
-
-
 # ---------------------------------------------------------------- grids
 
 _GRIDS = (
