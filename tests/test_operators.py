@@ -461,3 +461,20 @@ def test_drafting_operators_on_odd_input(spark):
     none = units.limit(0).select("plan", "fact")
     after, refused = drafting.covered_plans(units, none, units.limit(0).select("plan", "fact", "unit"))
     assert after.count() == 1 and refused.count() == 0
+
+
+def test_screening_operators_on_odd_input(spark):
+    from tracewell.operators import screening
+
+    assert screening.names_supported("red cache", "a red disk and cache") == "coordinated" and screening.names_supported("Cache", "caches") is None
+    assert screening.names_supported(None, None) is None and screening.names_supported("f function", ":func:`f`") == "documented" and screening.names_supported("link and link colors", "link colors") is None
+    df = spark.createDataFrame([("a.a.a", ["a.a", ""]), ("", ["x"]), (None, ["x"]), ("xx", [])], "t string, l array<string>")
+    found = [[tuple(s) for s in r[0]] if r[0] is not None else None for r in df.select(screening.literal_spans(F.col("t"), F.col("l"))).collect()]
+    assert found[:2] == [[(0, 3)], []] and found[3] == []
+    objects = spark.createDataFrame([(1, "site_chrome"), (2, None), (3, "article")], "id int, source_scope string")
+    decisions = spark.createDataFrame([(1, True, True), (3, True, None)], "id int, present boolean, explain boolean")
+    assert rows(screening.responsibilities(objects, decisions, ["id"]), "id", "present", "explain") == [(1, False, False), (2, False, False), (3, True, False)]
+    materials = spark.createDataFrame([(1, True), (2, False), (3, True)], "material int, has_manifest boolean")
+    figures = spark.createDataFrame([(1, True, None), (2, False, False)], "material int, ready boolean, bound boolean")
+    renders = spark.createDataFrame([(3, True, None, None)], "material int, attempted boolean, completed boolean, gaps int")
+    assert rows(screening.complete_materials(materials, figures, renders), "material", "why") == [(1, "open figures"), (2, None), (3, "render not completed")]

@@ -11,6 +11,7 @@ from tracewell.plans import (  # noqa: F401  (each registers its queries)
     intake_queries,
     ledger_queries,
     repair_queries,
+    screening_queries,
     sequence_queries,
     stream_queries,
     text_queries,

@@ -145,16 +145,6 @@ def t23_anchored(spark, sf_dir):
     return op.anchored(concepts, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"))
 
 
-@query("SELECT d.doc_id, b.item_id, true AS supported FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
-def t28_name_evidence(spark, sf_dir):
-    """The first word of a passage is supported by any document that holds the passage."""
-    from tracewell.operators.binding import small
-
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.regexp_extract("text", r"^(\S+)", 1).alias("name"))
-    met = table(spark, sf_dir, "documents").select("doc_id", "text").join(small(items), F.contains("text", F.col("item")))
-    return met.select("doc_id", "item_id", op.name_supported(F.regexp_replace("name", r"[.,]$", ""), "item").alias("supported"))
-
-
 @query("SELECT item_id AS name_id, CASE WHEN d.doc_id IS NULL THEN 'unsearched' WHEN regexp_matches(d.text, '(^|[^A-Za-z0-9])(?i:' || regexp_extract(b.text, '([A-Za-z]+)', 1) || ')([^A-Za-z0-9]|$)') THEN 'verified' ELSE 'ambiguous' END AS status FROM benchmark b LEFT JOIN documents d ON d.doc_id = b.item_id")
 def t29_name_status(spark, sf_dir):
     names = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("name_id"), F.regexp_extract("text", "([A-Za-z]+)", 1).alias("name"))

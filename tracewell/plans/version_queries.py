@@ -90,16 +90,6 @@ def v06_patch_replay(spark, sf_dir):
     return op.replayed(commits).select("commit_id.material_id", "commit_id.block_id", "verified")
 
 
-@query(f"WITH {_PATCH} SELECT material_id, block_id, CASE WHEN new = old THEN 'no-op' WHEN new = '' THEN 'empty' WHEN contains(old, '`') AND NOT contains(new, '`') THEN 'inline code dropped' WHEN contains(old, chr(10)) THEN 'several lines' END AS reason FROM edits")
-def v07_proposal_screening(spark, sf_dir):
-    edits = _patches(spark, sf_dir)[1]
-    reason = (
-        F.when(F.col("new") == F.col("old"), "no-op").when(F.col("new") == "", "empty")
-        .when(F.contains("old", F.lit("`")) & ~F.contains("new", F.lit("`")), "inline code dropped").when(F.contains("old", F.lit("\n")), "several lines")
-    )
-    return edits.select("material_id", "block_id", reason.alias("reason"))
-
-
 @query(
     f"WITH {BLOCKS_SQL}, n AS (SELECT material_id, ord, CASE WHEN kind = 'explanation' AND contains(markdown, chr(10)) THEN upper(markdown) ELSE markdown END AS new_markdown FROM blocks) "
     "SELECT material_id, bool_and(coalesce(markdown = new_markdown, false)) AS extends FROM blocks LEFT JOIN n USING (material_id, ord) GROUP BY material_id"

@@ -97,23 +97,6 @@ def p14_label_scope(spark, sf_dir):
     return op.label_scope(objects(spark, sf_dir)).where("kind <> 'text'").select("material_id", "object_id", "label_only")
 
 
-@query(f"WITH {OBJECTS_SQL} SELECT material_id, object_id, true AS preserve, kind IN ('text', 'heading') AS present, coalesce(l.quality = 1, false) AND kind = 'text' AS explain FROM objects LEFT JOIN labels l ON l.doc_id = material_id")
-def p15_responsibilities(spark, sf_dir):
-    decided = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("material_id"), "quality")
-    explain = F.coalesce(F.col("quality") == 1, F.lit(False)) & (F.col("kind") == "text")
-    return objects(spark, sf_dir).join(decided, "material_id", "left").select("material_id", "object_id", F.lit(True).alias("preserve"), F.col("kind").isin("text", "heading").alias("present"), explain.alias("explain"))
-
-
-@query(f"WITH {BLOCKS_SQL}, l AS (SELECT material_id, block_id, generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS line_no, unnest(string_split(markdown, chr(10))) AS line FROM blocks WHERE kind = 'explanation'), n AS (SELECT *, count(*) OVER (PARTITION BY material_id, block_id, line) AS n FROM l) SELECT material_id, block_id, line_no FROM n WHERE n = 1 AND trim(line) <> ''")
-def p16_editable_lines(spark, sf_dir):
-    """Lines of authored blocks that are unique in their block and not blank."""
-    from tracewell.operators.text import lines_of
-
-    n = F.count("*").over(Window.partitionBy("material_id", "block_id", "line"))
-    rows = lines_of(blocks(spark, sf_dir).where("kind = 'explanation'")).withColumn("n", n).where("n = 1 and trim(line) <> ''")
-    return rows.select("material_id", "block_id", F.col("line_no").cast("long").alias("line_no"))
-
-
 @query(f"WITH {OBJECTS_SQL} SELECT material_id, object_id FROM objects ANTI JOIN labels l ON l.doc_id = material_id")
 def p17_pending_obligations(spark, sf_dir):
     accepted = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("material_id")).distinct()
@@ -159,13 +142,6 @@ def j03_kth_binding(spark, sf_dir):
     return bind.kth_binding(rows.where("o_orderstatus = 'O'"), found, ["o_custkey", "o_orderpriority"]).select(F.col("ord").alias("wanted"), "object_id", "ready")
 
 
-@query("SELECT o.o_orderkey AS capture, CASE WHEN l.l_orderkey IS NULL THEN 'synthesized' ELSE 'bound' END AS state FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) l ON l_orderkey = o_orderkey")
-def j04_capture_binding(spark, sf_dir):
-    parsed = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("capture"), F.lit(True).alias("there")).distinct()
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("capture"))
-    return rows.join(parsed, "capture", "left").select("capture", F.when(F.col("there"), "bound").otherwise("synthesized").alias("state"))
-
-
 _RECTS = "rect AS (SELECT l_orderkey AS material_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id, l_linenumber::DOUBLE AS x, (l_suppkey % 5)::DOUBLE AS y, l_quantity AS width, ceil(l_tax * 100 + l_quantity / 2) AS height FROM lineitem)"
 
 
@@ -183,13 +159,6 @@ def j05_containment(spark, sf_dir):
     return bind.contained_in(rows, rows)
 
 
-@query("SELECT c_custkey AS material, count(o_orderkey) AS figures, coalesce(bool_and(o_orderstatus = 'F'), true) AS complete FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
-def j06_completeness_gate(spark, sf_dir):
-    figures = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("material")).agg(F.count("*").alias("n"), F.bool_and(F.col("o_orderstatus") == "F").alias("ready"))
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("material"))
-    return rows.join(figures, "material", "left").select("material", F.coalesce("n", F.lit(0)).alias("figures"), F.coalesce("ready", F.lit(True)).alias("complete"))
-
-
 @query(
     f"WITH {OBJECTS_SQL}, c AS (SELECT *, last_value(CASE WHEN kind IN ('text', 'heading') THEN text END IGNORE NULLS) OVER w AS ctx, last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER w AS hd FROM objects WINDOW w AS (PARTITION BY material_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) "
     "SELECT material_id, object_id, sha256(coalesce(left(ctx, 1200), '')) AS context_sha, left(hd, 160) AS heading FROM c WHERE kind = 'table'"
