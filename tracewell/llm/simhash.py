@@ -19,6 +19,13 @@ crowded anchor is searched by hashing instead of by pairs: fingerprints two bits
 a word one bit from each.  Components are found by alternating large-star and small-star
 rounds over staged edge tables; documents then take their component by fingerprint.
 
+Near copies of texts (``copies``, ``deduplicated``) are found in two passes.  The first uses the same covering: each
+text has ``TABLES`` SimHash fingerprints of its words (46 bits, two Golay codes, each word counted ``COUNTED`` times at
+most), and texts whose fingerprints are linked in some table are compared by their whole sets of five-word
+shingles.  That finds nearly all copies and leaves one text of a family.  Fingerprints of few words are unsteady: so, among
+texts of up to ``FEW_SHINGLES`` shingles that stay (and partners up to their size over the similarity), the second pass
+compares those that share one of the first fifth of their shingles, rare ones first, as two texts of similarity 0.8 always do.
+
 Edge cases: null and wordless texts have fingerprint zero and are linked like any other; one
 or two words are one shingle; repeated rows stay repeated; a null doc_id never becomes a
 component_id unless it has only null company; an empty table gives no rows; other columns of
@@ -296,10 +303,10 @@ def clustered(docs: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOL
 #: Near copies: words of a shingle, and similarity.
 COPY_SHINGLE, MIN_SIMILARITY = 5, 0.8
 #: Fingerprints of a text's words: how many, their codes (which cover all their bits), and how often a word counts at most.
-TABLES, COPY_CODES, COUNTED = 6, CODES[:2], 4
+TABLES, COPY_CODES, COUNTED = 8, CODES[:2], 4
 _COPY_BITS = sum(code[0] for code in COPY_CODES)
-#: Tasks that a group's texts are dealt to.
-SALTS = 8
+#: Shingles up to which a text's copies are also looked for by shared shingles: fingerprints of few words are unsteady.
+FEW_SHINGLES = 256
 #: Texts whose shingles are counted to tell common ones, and the common shingles that are broadcast.
 SAMPLED_TEXTS, MAX_COMMON = 4096, 200_000
 
@@ -487,40 +494,30 @@ def _linked(texts: DataFrame) -> DataFrame:
     return prints.hint("merge").join(members, "fp").select("key", "n", "fp")
 
 
-def _salted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("salt", F.pmod(F.xxhash64("n"), F.lit(SALTS)))
-
-
-def _to_all_salts(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(SALTS)))))
-
-
 def _linked_pairs(postings: DataFrame, leaders: int) -> DataFrame:
     """(n, first): texts with the first ``leaders`` texts of each key that their fingerprints are linked with; -1 as in ``_met``.
 
-    A key's texts are dealt to several tasks, and its first ones go to all of these.
+    First ones are picked before the shuffle as well, so a large group sends few; joins with them are of the kind that
+    adaptive execution splits where a key is hot.
     """
-    dealt = _salted(postings)
-    nth = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("n", "fp"))
-    some = dealt.withColumn("nth", nth("key", "salt")).where(F.col("nth") <= leaders)
-    firsts = stage(some.withColumn("nth", nth("key")).where(F.col("nth") <= leaders).select("key", F.col("n").alias("first"), F.col("fp").alias("first_fp"), "nth"), "firsts")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("n", "fp"))
+    firsts = stage(postings.withColumn("nth", nth).where(F.col("nth") <= leaders).select("key", F.col("n").alias("first"), F.col("fp").alias("first_fp"), "nth"), "firsts")
     near = (F.col("first") < F.col("n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= THRESHOLD)
-    pairs = dealt.hint("merge").join(_to_all_salts(firsts), ["key", "salt"]).where(near).select("n", "first").distinct()
+    pairs = postings.hint("merge").join(firsts, "key").where(near).select("n", "first").distinct()
     last = firsts.where(F.col("nth") == leaders).select("key", F.col("first").alias("last"))
-    late = dealt.hint("merge").join(_to_all_salts(last), ["key", "salt"]).where("n > last").select("n").distinct()
+    late = postings.hint("merge").join(last, "key").where("n > last").select("n").distinct()
     return pairs.unionByName(late.select("n", F.lit(-1).cast("long").alias("first")))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
-    """Those of ``pairs(n, first)`` whose whole shingle sets reach the similarity; a first text's set goes to several tasks."""
-    firsts = sets.hint("merge").join(pairs.select(F.col("first").alias("n")).distinct(), "n", "left_semi")
-    ahead = _to_all_salts(firsts.select(F.col("n").alias("first"), F.col("shingles").alias("of_first")))
+    """Those of ``pairs(n, first)`` whose whole shingle sets reach the similarity."""
+    ahead = sets.select(F.col("n").alias("first"), F.col("shingles").alias("of_first"))
     common = F.size(F.array_intersect("shingles", "of_first"))
     reached = common >= min_similarity * (F.size("shingles") + F.size("of_first") - common)
-    return _salted(pairs.hint("merge").join(sets, "n")).hint("merge").join(ahead, ["first", "salt"]).where(reached).select("n", "first")
+    return pairs.hint("merge").join(sets, "n").hint("merge").join(ahead, "first").where(reached).select("n", "first")
 
 
-def _gone(postings: DataFrame, meet, sets_of, min_similarity: float) -> DataFrame:
+def _gone(postings: DataFrame, meet, sets_of, min_similarity: float, leaders: int) -> DataFrame:
     """(n, first): texts that are like a text with a smaller n that stays, among those that ``meet`` brings together.
 
     Taken in order of n, a text stays unless it is like one that stays: exactly that, in rounds.  A text that
@@ -528,7 +525,7 @@ def _gone(postings: DataFrame, meet, sets_of, min_similarity: float) -> DataFram
     that share a key with it, and what is like it goes.  The least open text always stays, and rounds go on
     until none is open.
     """
-    out, leaders = postings.sparkSession.createDataFrame([], "n long, first long"), 1
+    out = postings.sparkSession.createDataFrame([], "n long, first long")
     while not postings.isEmpty():
         met = stage(meet(postings, leaders), "met")
         pairs = met.where("first >= 0").select("n", "first")
@@ -547,15 +544,17 @@ def _near(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
     """(n, first): texts of ``texts(n, text)`` that are like a text with a smaller n that stays.
 
     First those that linked fingerprints bring together, which leaves one text of nearly every group; then,
-    among what stays, those beyond the radius of all tables, which shared shingles bring together.
+    among what stays, those of few shingles beyond the radius of all tables, which shared shingles bring together.
     """
     linked = stage(_linked(texts), "linked")
     sets = stage(_shingle_sets(texts.hint("merge").join(linked.select("n").distinct(), "n", "left_semi")), "sets")
-    by_prints = _gone(linked, _linked_pairs, lambda wanted: sets.hint("merge").join(wanted, "n", "left_semi"), min_similarity)
+    by_prints = _gone(linked, _linked_pairs, lambda wanted: sets.hint("merge").join(wanted, "n", "left_semi"), min_similarity, 1)
     by_prints = stage(by_prints, "copies")
-    rest = stage(texts.hint("merge").join(by_prints, "n", "left_anti"), "rest")
+    most = int(FEW_SHINGLES / min_similarity)
+    short = F.size(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+")) <= most + COPY_SHINGLE + 1
+    rest = stage(texts.where(short).hint("merge").join(by_prints, "n", "left_anti"), "rest")
     shared = stage(_postings(rest, n_texts, min_similarity), "postings")
-    by_shingles = _gone(shared, lambda rows, leaders: _met(rows, leaders, min_similarity), lambda wanted: _shingle_sets(rest.join(wanted, "n", "left_semi")), min_similarity)
+    by_shingles = _gone(shared, lambda rows, leaders: _met(rows, leaders, min_similarity), lambda wanted: _shingle_sets(rest.join(wanted, "n", "left_semi")), min_similarity, 4)
     return by_prints.unionByName(by_shingles)
 
 
