@@ -74,10 +74,12 @@ def a06_unknown_unit(spark, sf_dir):
     return op.unknown(rows, known, ["block_id"], "unit")
 
 
-@query(f"WITH {_MODEL} {_v('empty', 'block_id')} FROM blocks b WHERE trim(markdown) = '' AND NOT EXISTS (SELECT 1 FROM placed p SEMI JOIN objects o USING (material_id, object_id) WHERE p.material_id = b.material_id AND p.block_id = b.block_id)")
+@query(f"WITH {_MODEL} {_v('empty', 'block_id')} FROM blocks b WHERE (ord % 5 = 0 OR trim(markdown) = '') AND NOT EXISTS (SELECT 1 FROM placed p SEMI JOIN objects o USING (material_id, object_id) WHERE p.material_id = b.material_id AND p.block_id = b.block_id)")
 def a07_empty_block(spark, sf_dir):
+    """Drafts in which every fifth turn was left blank."""
     real = _placed(spark, sf_dir).join(objects(spark, sf_dir).select("material_id", "object_id"), ["material_id", "object_id"], "left_semi")
-    return op.empty_blocks(blocks(spark, sf_dir), real)
+    rows = blocks(spark, sf_dir).withColumn("markdown", F.when(F.col("ord") % 5 == 0, " ").otherwise(F.col("markdown")))
+    return op.empty_blocks(rows, real)
 
 
 @query(f"WITH {_MODEL} {_v('unknown_obligation', 'block_id', 'object_id', 'obligation_id')} FROM placed ANTI JOIN obligations USING (material_id, obligation_id)")

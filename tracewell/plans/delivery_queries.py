@@ -117,12 +117,13 @@ def t07_acronym_definitions(spark, sf_dir):
     return op.acronym_definitions(lines_of(rows)).select("material_id", "block_id", "acronym")
 
 
-@query("SELECT conv_id AS material_id, false AS overgrown FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS material_id, conv_id % 3 = 0 AS overgrown FROM conversations GROUP BY conv_id")
 def t20_glossary_growth(spark, sf_dir):
-    """Questions as sources and answers as output: no answer here is a glossary."""
-    of = lambda role: F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]), "\n"), F.lit(""))
-    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("material_id")).agg(of("user").alias("source"), of("assistant").alias("output"))
-    return op.glossary_growth(rows)
+    """The beginning of each first question as source, and an output of three definitions, or of six for every third material."""
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("material_id")).agg(F.left(F.coalesce(F.min_by("text", "turn"), F.lit("")), F.lit(100)).alias("source"))
+    n = F.when(F.col("material_id") % 3 == 0, 6).otherwise(3)
+    output = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.lit("term "), k, F.lit(": "), F.repeat(F.lit("x"), F.lit(200)))), "\n")
+    return op.glossary_growth(rows.withColumn("output", output))
 
 
 _NUMERONYMS = "n AS (SELECT doc_id AS id, 'i' || (10 + n_chars % 90) || 'n' AS token FROM documents)"
