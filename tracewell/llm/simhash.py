@@ -517,7 +517,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFram
     return pairs.hint("merge").join(sets, "n").hint("merge").join(ahead, "first").where(reached).select("n", "first")
 
 
-def _gone(postings: DataFrame, meet, sets_of, min_similarity: float, leaders: int) -> DataFrame:
+def _gone(postings: DataFrame, meet, sets_of, min_similarity: float, leaders: int, growth: int) -> DataFrame:
     """(n, first): texts that are like a text with a smaller n that stays, among those that ``meet`` brings together.
 
     Taken in order of n, a text stays unless it is like one that stays: exactly that, in rounds.  A text that
@@ -536,7 +536,7 @@ def _gone(postings: DataFrame, meet, sets_of, min_similarity: float, leaders: in
         out = out.unionByName(gone)
         left = open_.hint("merge").join(gone, "n", "left_anti")
         postings = stage(postings.hint("merge").join(left, "n", "left_semi"), "postings")
-        leaders *= 4
+        leaders *= growth
     return out
 
 
@@ -548,13 +548,13 @@ def _near(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
     """
     linked = stage(_linked(texts), "linked")
     sets = stage(_shingle_sets(texts.hint("merge").join(linked.select("n").distinct(), "n", "left_semi")), "sets")
-    by_prints = _gone(linked, _linked_pairs, lambda wanted: sets.hint("merge").join(wanted, "n", "left_semi"), min_similarity, 1)
+    by_prints = _gone(linked, _linked_pairs, lambda wanted: sets.hint("merge").join(wanted, "n", "left_semi"), min_similarity, 1, 16)
     by_prints = stage(by_prints, "copies")
     most = int(FEW_SHINGLES / min_similarity)
     short = F.size(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+")) <= most + COPY_SHINGLE + 1
     rest = stage(texts.where(short).hint("merge").join(by_prints, "n", "left_anti"), "rest")
     shared = stage(_postings(rest, n_texts, min_similarity), "postings")
-    by_shingles = _gone(shared, lambda rows, leaders: _met(rows, leaders, min_similarity), lambda wanted: _shingle_sets(rest.join(wanted, "n", "left_semi")), min_similarity, 4)
+    by_shingles = _gone(shared, lambda rows, leaders: _met(rows, leaders, min_similarity), lambda wanted: _shingle_sets(rest.join(wanted, "n", "left_semi")), min_similarity, 4, 4)
     return by_prints.unionByName(by_shingles)
 
 
