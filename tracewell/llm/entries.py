@@ -114,6 +114,101 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, rules).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of each language."""
+    from tracewell.llm.collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH cut AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM cut
+), places AS (
+    SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM pieces
+), grams AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM places, range(1, 6) AS lengths(k) WHERE i + k - 1 <= len(w)
+), f AS (
+    SELECT lang, k, phrase, count(*) AS n FROM grams GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+    SELECT lang, count(*) AS n FROM places GROUP BY lang
+), cuts AS (
+    SELECT c.lang, c.phrase, c.n AS a, t.n, l.n AS l, r.n AS r, cut.c AS place, CAST((1000 * CAST(c.n AS HUGEINT) * t.n) // (CAST(l.n AS HUGEINT) * r.n) AS BIGINT) AS score
+    FROM f AS c JOIN totals AS t ON t.lang = c.lang, range(1, 5) AS cut(c),
+         f AS l, f AS r
+    WHERE c.k >= 2 AND cut.c < c.k AND l.lang = c.lang AND r.lang = c.lang
+      AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:cut.c], ' ') AND r.phrase = array_to_string(string_split(c.phrase, ' ')[cut.c + 1:], ' ')
+), lowest AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, place) AS nth FROM cuts
+), kept AS (
+    SELECT * FROM lowest AS c WHERE nth = 1 AND NOT EXISTS (
+        SELECT 1 FROM f AS longer WHERE longer.lang = c.lang AND longer.phrase <> c.phrase AND 100 * longer.n >= 100 * c.a AND contains(' ' || longer.phrase || ' ', ' ' || c.phrase || ' '))
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set, and its component of near-equal sets."""
+    from tracewell.llm.jaccard_join import clustered
+
+    return clustered(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = """
+WITH RECURSIVE words AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), sets AS (
+    SELECT row, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words
+), shingles AS (
+    SELECT row, len(s) AS n, unnest(s) AS x FROM sets
+), links AS (
+    SELECT a.row AS a, b.row AS b FROM shingles AS a JOIN shingles AS b ON a.x = b.x AND a.row <> b.row
+    GROUP BY a.row, b.row, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reached(a, b) AS (
+    SELECT row, row FROM sets UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+), least AS (
+    SELECT reached.a AS row, min(doc_id) AS component_id FROM reached JOIN sets ON sets.row = reached.b GROUP BY reached.a
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN least USING (row)
+"""
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of every benchmark item."""
+    from tracewell.llm.lexical_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = """
+WITH cut AS (
+    SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents
+), docs AS (
+    SELECT row, doc_id, len(t) AS n, t FROM cut WHERE len(t) > 0
+), whole AS (
+    SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs
+), tf AS (
+    SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, n, unnest(t) AS term FROM docs) GROUP BY ALL
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, whole GROUP BY term, n_docs
+), scores AS (
+    SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+    FROM asked JOIN tf USING (term) JOIN weights USING (term), whole GROUP BY item_id, row, doc_id
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline over documents."""
     import corpus_pipeline
@@ -124,10 +219,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     found = (
         op1_best_fit_packing, op2_substring_dedup, op3_html_extraction, op4_language_id, op5_quality_classifier, op6_pii,
-        op7_simhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination, pipeline,
+        op7_simhash_near_dedup, op8_url_filters, op9_quality_rules, op10_decontamination,
+        op11_collocations, op12_jaccard_join, op13_lexical_search, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict:
-    return {"op8_url_filters": OP8_SQL}
+    return {"op8_url_filters": OP8_SQL, "op11_collocations": OP11_SQL, "op12_jaccard_join": OP12_SQL, "op13_lexical_search": OP13_SQL}
