@@ -359,6 +359,17 @@ def test_pii_job(spark):
     assert pii.detect(df.limit(0)).count() == 0
 
 
+def test_addresses_with_thousands_of_zeros():
+    for part in range(4):
+        parts = ["1", "1", "1", "1"]
+        parts[part] = "0" * 5000 + "7"
+        text = "ip " + ".".join(parts)
+        assert [(s.kind, s.start, s.end) for s in pii.find(text) if s.kind == "ip"] == [("ip", 3, len(text))]
+        parts[part] = "0" * 5000 + "256"
+        assert not [s for s in pii.find("ip " + ".".join(parts)) if s.kind == "ip"]
+    assert [s.kind for s in pii.find("000.0.00.0")] == ["ip"]
+
+
 def test_long_texts_are_linear():
     for text in ("1" * 100_000, "a" * 100_000 + "@", "+1" * 50_000, "1." * 50_000, "AB12 " * 20_000):
         pii.find(text)

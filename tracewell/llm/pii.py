@@ -113,7 +113,7 @@ def _proposed(text: str):
             yield "email", begin, end, sure, begin
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(p) <= 3 and int(p or 0) <= 255 for p in (part.lstrip("0") for part in m[0].split("."))):  # zeros in front don't count
                 yield "ip", m.start(), m.end(), False, m.start()
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(digits := _only_digits(m[0])) <= 19 and luhn(digits):
