@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -82,6 +83,37 @@ def test_the_search_beats_best_fit_at_any_size():
     assert min(gains.values()) > 3
 
 
+def test_the_fullest_filling_comes_first():
+    rng = random.Random(9)
+    for low, high, n in ((200, 1500, 100), (300, 2000, 60), (500, 1300, 200), (1, 40, 30)):
+        for _ in range(10):
+            hist = dict(Counter(rng.randint(low, high) for _ in range(n)))
+            room = rng.randint(low, 4096)
+            sums = {0}
+            for size, count in hist.items():
+                sums = {t for s in sums for k in range(count + 1) if (t := s + k * size) <= room}
+            found = packing.fillings(hist, room, 12)
+            assert sum(found[0]) == max(sums)
+            assert all(not Counter(f) - Counter(hist) and sum(f) <= room for f in found)
+            assert [sum(f) for f in found] == sorted((sum(f) for f in found), reverse=True)
+
+
+def test_undominated_fillings_are_complete_on_small_rooms():
+    hist, room = {5: 2, 4: 1, 3: 2, 2: 1}, 9
+    found = packing.fillings(hist, room, 50)
+    assert found[0] == [5, 4]  # every other filling can be dealt into its pieces, but for those of other shapes
+    every = {tuple(sorted(c, reverse=True)) for k in range(1, 6) for c in itertools.combinations([5, 5, 4, 3, 3, 2], k) if sum(c) <= room}
+    assert all(any(packing._dominated(list(c), f) or list(c) == f for f in found) for c in every)
+
+
+@pytest.mark.parametrize(("low", "high", "n", "share"), [(1200, 1500, 1000, 1.011), (900, 2000, 2000, 1.04), (500, 3000, 3000, 1.005)])
+def test_search_comes_near_the_bound_where_three_pieces_fit(low, high, n, share):
+    hist = dict(Counter(np.random.default_rng(0).integers(low, high + 1, n).tolist()))
+    found = packing.bin_completion(hist, 4096, max_nodes=20)
+    assert sum((Counter({s: m * k for s, k in p.items()}) for m, p in found), Counter()) == Counter(hist)
+    assert sum(m for m, _ in found) <= share * packing.lower_bound(hist, 4096)
+
+
 def test_lower_bound_against_its_definition():
     rng = random.Random(2)
     for _ in range(200):

@@ -8,9 +8,9 @@ pieces of equal length.  Ranks are exact and need no global sort: they are count
 (length, salt) groups and shifted by the counts of the earlier salts.
 
 Solver: bin completion branch-and-bound.  The largest remaining piece opens a sequence,
-the undominated fillings of its free room are enumerated, branches whose waste exceeds what
+the undominated fillings of its free room are enumerated, fullest first, branches whose waste exceeds what
 the best packing so far allows are cut, and best-fit-decreasing completions serve as
-incumbents.  The search effort (not the data) is bounded by ``max_nodes``; the best
+incumbents, beside a few dives that prefer large pieces (mixes of which best fit makes little).  The search effort (not the data) is bounded by ``max_nodes``; the best
 incumbent is always a valid, whole packing, and is returned at once when it meets the
 lower bound.
 
@@ -25,6 +25,8 @@ import json
 import os
 import re
 import zlib
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,9 +45,11 @@ ROWS_PER_SALT = 50_000
 #: Branch-and-bound nodes before the best incumbent is taken, and the effort that they may cost together
 #: (different lengths left, squared, at each node).
 MAX_NODES = 2_000
-MAX_EFFORT = 400_000_000
+MAX_EFFORT = 100_000_000
 #: Fillings tried at one node, fullest first.
 MAX_FILLINGS = 12
+#: Shares of a sequence that the dives before the search may waste where that uses larger pieces.
+WASTES = (0, 1 / 256, 1 / 85, 1 / 32, 1 / 16, 3 / 32, 1 / 8, 5 / 32)
 
 PIECES_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -266,44 +270,104 @@ def _covers(bins: list[int], items: list[int]) -> bool:
     return False
 
 
+def _dominated(filling: list[int], other: list[int]) -> bool:
+    """Whether the pieces of a filling can be dealt into those of another one; of long lists, whether first fit does it."""
+    if len(other) > len(filling) or sum(other) < sum(filling):
+        return False
+    if len(filling) <= 8:
+        return _covers(other, filling)
+    rooms = list(other)
+    for size in filling:
+        at = next((i for i, room in enumerate(rooms) if room >= size), None)
+        if at is None:
+            return False
+        rooms[at] -= size
+    return True
+
+
+def _reachable(sizes: list[int], counts: list[int], room: int) -> list[int]:
+    """For each place in ``sizes``, the sums up to ``room`` that the pieces from there on can make, as bits of a number."""
+    reach, mask = [1] * (len(sizes) + 1), (1 << room + 1) - 1
+    for i in range(len(sizes) - 1, -1, -1):
+        sums, left, step = reach[i + 1], min(counts[i], room // sizes[i]), 1
+        while left:
+            step = min(step, left)
+            sums |= sums << step * sizes[i]
+            left -= step
+            step *= 2
+        reach[i] = sums & mask
+    return reach
+
+
+def _with_sum(sizes: list[int], counts: list[int], reach: list[int], total: int) -> Iterator[list[int]]:
+    """All choices of pieces with that sum, those with the largest pieces first; no step of the search is in vain."""
+
+    def choose(at: int, left: int) -> Iterator[list[int]]:
+        if not left:
+            yield []
+            return
+        at = max(at, bisect_left(sizes, -left, key=lambda s: -s))  # larger pieces don't fit
+        while at < len(sizes) and reach[at] >> left & 1:
+            size = sizes[at]
+            for k in range(min(counts[at], left // size), 0, -1):
+                if reach[at + 1] >> left - k * size & 1:
+                    for rest in choose(at + 1, left - k * size):
+                        yield [size] * k + rest
+            at += 1
+
+    yield from choose(0, total)
+
+
 def fillings(hist: dict[int, int], room: int, limit: int) -> list[list[int]]:
-    """Undominated fillings of ``room``, fullest first.
+    """The ``limit`` fullest undominated fillings of ``room``.
 
     A filling is dominated if its pieces fit into the pieces of another one that holds no
-    more of them: whatever else is packed later, the other is never worse.
+    more of them: whatever else is packed later, the other is never worse.  Sums that pieces can make are known before any
+    is made (subset sums as bits), so the fullest filling of all comes first, whatever the histogram.
     """
-    sizes = [s for s in sorted(hist, reverse=True) if s <= room]
-    found: list[list[int]] = []
-    steps = 0
-
-    def extend(at: int, free: int, chosen: list[int]) -> None:
-        nonlocal steps
-        steps += 1
-        if steps > 40 * limit or len(found) >= 6 * limit:
-            return
-        fit = False
-        for i in range(at, len(sizes)):
-            size = sizes[i]
-            if size <= free and chosen.count(size) < hist[size]:
-                fit = True
-                extend(i, free - size, [*chosen, size])
-                if size == free:
-                    break
-        if not fit and chosen:
-            found.append(chosen)
-
-    extend(0, room, [])
-    found.sort(key=lambda c: (-sum(c), len(c)))
+    sizes = [s for s in sorted(hist, reverse=True) if s <= room and hist[s] > 0]
+    counts = [hist[s] for s in sizes]
+    reach = _reachable(sizes, counts, room)
     kept: list[list[int]] = []
-    for c in found:
-        if len(c) <= 6 and any(len(o) <= len(c) and sum(o) >= sum(c) and o != c and len(o) <= 6 and _covers(o, c) for o in kept):
-            continue
-        kept.append(c)
-        if len(kept) >= limit:
-            break
+    sums, tried = reach[0] & ~1, 0
+    while sums and len(kept) < limit and tried < 8 * limit:
+        total = sums.bit_length() - 1
+        sums ^= 1 << total
+        for filling in _with_sum(sizes, counts, reach, total):
+            tried += 1
+            if not any(_dominated(filling, o) for o in kept):
+                kept.append(filling)
+            if len(kept) >= limit or tried >= 8 * limit:
+                break
     return kept or [[]]
 
 
+def dive(hist: dict[int, int], capacity: int, waste: int) -> list[tuple[int, dict[int, int]]]:
+    """A whole packing without a way back: each sequence takes, with the largest piece left, the largest further pieces that
+    can still be filled up to ``waste`` tokens from the best that is possible."""
+    rest, out = {s: n for s, n in hist.items() if n > 0}, []
+    while rest:
+        top = max(rest)
+        counts_left = rest | {top: rest[top] - 1}
+        sizes = [s for s in sorted(counts_left, reverse=True) if s <= capacity - top and counts_left[s] > 0]
+        counts, left, at = [counts_left[s] for s in sizes], capacity - top, 0
+        reach, pattern = _reachable(sizes, counts, left), Counter([top])
+        spare = max(waste, left - (reach[0].bit_length() - 1))  # what may stay free
+        while at < len(sizes):
+            size = sizes[at]
+            for k in range(min(counts[at], left // size), 0, -1):
+                least = max(0, left - k * size - spare)
+                if reach[at + 1] >> least & (1 << left - k * size - least + 1) - 1:
+                    pattern[size] += k
+                    left -= k * size
+                    break
+            at = max(at + 1, bisect_left(sizes, -left, key=lambda s: -s))
+        times = min(rest[s] // k for s, k in pattern.items())
+        rest = {s: n for s, n in ((s, n - times * pattern[s]) for s, n in rest.items()) if n}
+        out.append((times, dict(pattern)))
+    return out
+
+
 def bin_completion(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NODES, max_fillings: int = MAX_FILLINGS) -> list[tuple[int, dict[int, int]]]:
     """A packing of the histogram in as few sequences as the search finds."""
     hist = {s: n for s, n in hist.items() if n > 0}
@@ -313,6 +377,12 @@ def bin_completion(hist: dict[int, int], capacity: int, max_nodes: int = MAX_NOD
     bound = lower_bound(hist, capacity)
     best = best_fit(hist, capacity)
     best_n = sum(m for m, _ in best)
+    for share in WASTES:
+        if best_n == bound:
+            break
+        other = dive(hist, capacity, int(share * capacity))
+        if (n := sum(m for m, _ in other)) < best_n:
+            best, best_n = other, n
     rest, made, n_made, waste, nodes, effort = dict(hist), [], 0, 0, 0, 0
 
     def branches():
