@@ -54,11 +54,11 @@ BRACKET = 1.5
 BROADCAST_ROWS = 500_000
 
 #: Members of a region, and shingles of all of them, up to which it is joined in one task.
-SMALL, SMALL_SHINGLES = 256, 4_000_000
+SMALL, SMALL_SHINGLES = 2_048, 4_000_000
 #: Members of a larger region whose majority shows where its pivot stands apart; it decides an order only.
 SAMPLED = 31
 #: Columns of a region's shingles that are multiplied together.
-_AT_ONCE = 4_096
+_AT_ONCE = 1_024
 
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -157,14 +157,19 @@ def joined(sizes: np.ndarray, differences: list[np.ndarray], percent: int) -> tu
     order = np.argsort(element, kind="stable")
     element, owner = element[order], owner[order]
     both = np.zeros((n, n), dtype=np.float32)  # counts stay far below 2 ** 24
-    for begin in range(0, int(element[-1]) + 1 if len(element) else 0, _AT_ONCE):
+    last = int(element[-1]) + 1 if len(element) else 0
+    for begin in range(0, last, _AT_ONCE):
         low, high = np.searchsorted(element, [begin, begin + _AT_ONCE])
-        held = np.zeros((n, _AT_ONCE), dtype=np.float32)
+        held = np.zeros((n, min(_AT_ONCE, last - begin)), dtype=np.float32)
         held[owner[low:high], element[low:high] - begin] = 1
         both += held @ held.T
-    apart = r[:, None] + r[None, :] - 2 * both.astype(np.int64)
-    together = sizes[:, None] + sizes[None, :]
-    u, v = np.nonzero(np.triu(apart <= together * (100 - percent) // (100 + percent), 1))
+    us, vs = [], []
+    for row in range(n - 1):
+        apart = r[row] + r[row + 1 :] - 2 * both[row, row + 1 :].astype(np.int64)
+        near = np.flatnonzero(apart <= (sizes[row] + sizes[row + 1 :]) * (100 - percent) // (100 + percent)) + row + 1
+        us.append(np.full(len(near), row))
+        vs.append(near)
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
     root = _roots(n, u, v)
     leaf = np.flatnonzero(root != np.arange(n))
     return root[leaf], leaf
