@@ -9,8 +9,9 @@ a is its own count and n the number of words; its lowest cut counts.  A candidat
 Counting.  Each task counts phrases in a trie of word ids: below the root hang hash containers, one for each first
 word, that map the rest of a phrase to its count; a container of more than ``BURST`` entries bursts into one
 container for each next word.  When the trie has ``MAX_ENTRIES`` phrases (or ``MAX_WORDS`` word ids), whole
-subtrees, largest first, leave it as sorted runs of (phrase, count) until half of it is left.  Runs are dealt by language and
-the first two words, and merged and summed there; so no partition gets all phrases of a frequent first word.
+subtrees, largest first, leave it until half of it is left: as sorted and compressed runs of (phrase, count), one for each prefix partition.  A
+prefix is the first two words, so no partition gets all phrases of a frequent first word.  A partition's runs are merged and summed in one
+task, which returns frequent phrases only.
 
 Which phrases are counted at all.  No part of a candidate is rarer than the candidate.  So words are counted first,
 then pairs of frequent words, then phrases of three to five words all of whose neighbours are frequent pairs.
@@ -48,8 +49,13 @@ FILTER_BITS = 1 << 26
 #: Words of a batch that are counted together.
 WORDS_AT_ONCE = 1 << 19
 
+#: Prefix partitions: one for so many words of the corpus, between these bounds.
+WORDS_PER_PART, LEAST_PARTS, MOST_PARTS = 1_000_000, 64, 65_536
+
 _BREAK = 0
 _FOLDED = bytes(10 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b < 91 else b for b in range(256))
+#: The score of a cut, exact up to 38 digits.
+EXACT_SCORE = "CAST(CAST(1000 * CAST(a AS DECIMAL(18, 0)) AS DECIMAL(21, 0)) * CAST(n AS DECIMAL(16, 0)) AS DECIMAL(38, 0)) DIV CAST(CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)) AS DECIMAL(38, 0))"
 _COUNTS = "lang string, n_words int, phrase string, n long"
 
 
@@ -105,9 +111,9 @@ class BurstTrie:
         self.sizes[first] += self.entries - before
 
     def _count(self, container: dict, rests: list[tuple], counts: list[int]) -> None:
-        before = len(container)
+        before, get = len(container), container.get
         for rest, n in zip(rests, counts):
-            container[rest] = container.get(rest, 0) + n
+            container[rest] = get(rest, 0) + n
         self.entries += len(container) - before
 
     def _burst(self, container: dict) -> dict:
@@ -117,28 +123,28 @@ class BurstTrie:
         self.nodes.add(id(node))
         return node
 
-    def spill(self, until: int) -> Iterator[tuple[tuple, int]]:
-        """Takes out whole subtrees, largest first, until so many entries are left: each as a run sorted by phrase."""
+    def spill(self, until: int) -> Iterator[tuple[tuple, dict]]:
+        """Takes out whole subtrees, largest first, until so many entries are left: (first words, container of what follows)."""
         for first, size in self.sizes.most_common():
             if self.entries <= until:
                 break
             holder = self.root.pop(first)
             del self.sizes[first]
             self.entries -= size
+            head = (first,) if first != _BREAK else ()
             if id(holder) in self.nodes:
                 self.nodes.discard(id(holder))
-                for word in sorted(holder):
-                    head = (first, word) if word != _BREAK else (first,)
-                    yield from ((head + rest, n) for rest, n in sorted(holder[word].items()))
+                for word, container in holder.items():
+                    yield (*head, word) if word != _BREAK else head, container
             else:
-                yield from (((first, *rest), n) for rest, n in sorted(holder.items()))
+                yield head, holder
 
 
 class _Counter:
     """What one task counts: a vocabulary, a trie for each language, and which words and pairs are frequent."""
 
-    def __init__(self, shortest: int, longest: int, known: np.ndarray | None):
-        self.shortest, self.longest, self.known = shortest, longest, known
+    def __init__(self, shortest: int, longest: int, known: np.ndarray | None, parts: int):
+        self.shortest, self.longest, self.known, self.parts = shortest, longest, known, parts
         self.words: Vocabulary = Vocabulary()
         self.tries: dict[str, BurstTrie] = {}
 
@@ -203,19 +209,43 @@ class _Counter:
             return
         share = 0 if last or renew else 0.5
         for lang, trie in self.tries.items():
-            lengths, phrases, counts = [], [], []
-            for phrase, n in trie.spill(int(trie.entries * share)):
-                phrase = phrase[phrase[0] == _BREAK :]
-                lengths.append(len(phrase))
-                phrases.append(b" ".join([self.words.words[w] for w in phrase]))
-                counts.append(n)
-            for begin in range(0, len(counts), 100_000):
-                part = slice(begin, begin + 100_000)
-                text = pa.array(phrases[part], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counts[part])), pa.array(lengths[part], pa.int32()), text, pa.array(counts[part], pa.int64())], names=["lang", "n_words", "phrase", "n"])
+            by_length: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+            for head, container in trie.spill(int(trie.entries * share)):
+                if self.shortest == self.longest:
+                    own = by_length[self.longest]
+                    own[0].extend([head + rest for rest in container])
+                    own[1].extend(container.values())
+                    continue
+                for rest, n in container.items():
+                    own = by_length[len(head) + len(rest)]
+                    own[0].append(head + rest)
+                    own[1].append(n)
+            for phrases, counts in by_length.values():
+                yield self._sorted_runs(lang, np.array(phrases, dtype=np.int64), np.array(counts, dtype="<i8"))
         if renew:
             self.words = Vocabulary()
 
+    def _sorted_runs(self, lang: str, ids: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        """A compressed run for each prefix partition: its phrases in order of their word ids, and their counts."""
+        used, place = np.unique(ids[:, :2], return_inverse=True)
+        hashes = np.array([self.words.hashes[w] for w in used.tolist()], dtype=np.uint64)[place.reshape(ids[:, :2].shape)]
+        with np.errstate(over="ignore"):
+            prefix = mixed(hashes[:, 0] * np.uint64(0x9E3779B97F4A7C15) + hashes[:, -1])
+        part = (prefix % np.uint64(self.parts)).astype(np.int64)
+        order = np.lexsort((*ids.T[::-1], part))
+        ids, counts, part = ids[order], counts[order], part[order]
+        begins = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        words, rows = self.words.words, ids.tolist()
+        texts = [b" ".join([words[w] for w in row]) for row in rows]
+        runs, sizes = [], []
+        for begin, end in zip(begins.tolist(), [*begins[1:].tolist(), len(texts)]):
+            run = counts[begin:end].tobytes() + b"\n".join(texts[begin:end])
+            sizes.append(len(run))
+            runs.append(pa.compress(run, codec="zstd", asbytes=True))
+        n = len(begins)
+        columns = [pa.array([lang] * n), pa.array(part[begins], pa.int32()), pa.array([ids.shape[1]] * n, pa.int32()), pa.array(np.diff(np.append(begins, len(texts))), pa.int64()), pa.array(sizes, pa.int64()), pa.array(runs, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "part", "n_words", "phrases", "size", "run"])
+
 
 def _word_hash(hashes: np.ndarray, salt: np.uint64) -> np.ndarray:
     return mixed(hashes ^ salt)
@@ -226,15 +256,41 @@ def _pair_hash(first: np.ndarray, second: np.ndarray, salt: np.uint64) -> np.nda
         return mixed(mixed(first + salt) * np.uint64(0x9E3779B97F4A7C15) + second)
 
 
-def _counted(docs: DataFrame, shortest: int, longest: int, known=None) -> DataFrame:
-    """(lang, n_words, phrase, n): phrases of so many words, all of whose words (or pairs) are frequent."""
+def _merged(batches, min_count: int) -> Iterator[pa.RecordBatch]:
+    """Sums the runs of each (language, prefix partition), which come one after another: (lang, n_words, phrase, n).
+
+    Phrases that are frequent get a row, and all others of a group one together, without a phrase.
+    """
+    group, sums = None, Counter()
+
+    def rows() -> pa.RecordBatch:
+        kept = [(phrase, n) for phrase, n in sums.items() if n >= min_count]
+        rest = sum(sums.values()) - sum(n for _, n in kept)
+        texts = pa.array([None, *(p for p, _ in kept)], pa.binary()).cast(pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([group[0]] * len(texts)), pa.array([group[2]] * len(texts), pa.int32()), texts, pa.array([rest, *(n for _, n in kept)], pa.int64())], names=["lang", "n_words", "phrase", "n"])
+
+    for batch in batches:
+        for lang, part, n_words, phrases, size, run in zip(*(c.to_pylist() for c in batch.columns)):
+            if group != (lang, part, n_words):
+                if group:
+                    yield rows()
+                group, sums = (lang, part, n_words), Counter()
+            plain = pa.decompress(run, decompressed_size=size, codec="zstd", asbytes=True)
+            for phrase, n in zip(plain[8 * phrases :].split(b"\n"), np.frombuffer(plain, "<i8", phrases).tolist()):
+                sums[phrase] += n
+    if group:
+        yield rows()
+
+
+def _counted(docs: DataFrame, shortest: int, longest: int, min_count: int, known=None, parts: int = LEAST_PARTS) -> DataFrame:
+    """(lang, n_words, phrase, n): frequent phrases of so many words, and with a null phrase how often all others occur."""
 
     def count(batches):
-        counter = _Counter(shortest, longest, None if known is None else known.value)
+        counter = _Counter(shortest, longest, None if known is None else known.value, parts)
         held: dict[str, list] = defaultdict(list)
 
-        def flushed(least: int):
-            for lang in [x for x, tokens in held.items() if len(tokens) >= least]:
+        def flushed():
+            for lang in list(held):
                 counter.add(lang, held.pop(lang))
                 yield from counter.runs()
 
@@ -248,15 +304,15 @@ def _counted(docs: DataFrame, shortest: int, longest: int, known=None) -> DataFr
                     own.append(b"")
                 n += len(own) - before
                 if n >= WORDS_AT_ONCE:
-                    yield from flushed(0)
+                    yield from flushed()
                     n = 0
-        yield from flushed(0)
+        yield from flushed()
         yield from counter.runs(last=True)
 
     picked = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
-    runs = picked.mapInArrow(count, _COUNTS).withColumn("prefix", F.substring_index("phrase", " ", 2))
-    merged = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "n_words", "phrase").agg(F.sum("n").alias("n"))
-    return merged.drop("prefix")
+    runs = picked.mapInArrow(count, "lang string, part int, n_words int, phrases long, size long, run binary")
+    dealt = runs.repartition("lang", "part", "n_words").sortWithinPartitions("lang", "part", "n_words")
+    return dealt.mapInArrow(lambda batches: _merged(batches, min_count), _COUNTS)
 
 
 def _filter(frequent: DataFrame):
@@ -279,13 +335,15 @@ def _filter(frequent: DataFrame):
 
 def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(lang, n_words, phrase, n) of all phrases of up to ``longest`` words that frequent, and (lang, n) of all words."""
-    words = stage(_counted(docs, 1, 1), "words")
-    totals = stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    found = stage(words.where(F.col("n") >= min_count), "frequent")
+    words = stage(_counted(docs, 1, 1, min_count), "words")
+    totals = stage(words.groupBy("lang").agg(F.sum("n").alias("n")).where("n > 0"), "totals")
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    parts = min(MOST_PARTS, max(LEAST_PARTS, n_words // WORDS_PER_PART))
+    found = words.where("phrase IS NOT NULL")
     for shortest, last in ((2, min(2, longest)), (3, longest)):
         if shortest <= last:
             known = _filter(found)
-            found = found.unionByName(stage(_counted(docs, shortest, last, known).where(F.col("n") >= min_count), "frequent"))
+            found = found.unionByName(stage(_counted(docs, shortest, last, min_count, known, parts), "frequent").where("phrase IS NOT NULL"))
             known.unpersist()
     return found, totals
 
@@ -305,8 +363,7 @@ def collocations(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LON
     left = counts.select("lang", F.col("part").alias("left"), F.col("times").alias("l"))
     right = counts.select("lang", F.col("part").alias("right"), F.col("times").alias("r"))
     cuts = cuts.hint("merge").join(left, ["lang", "left"]).hint("merge").join(right, ["lang", "right"]).hint("merge").join(totals, "lang")
-    exact = "CAST(CAST(1000 * CAST(a AS DECIMAL(18, 0)) AS DECIMAL(21, 0)) * CAST(n AS DECIMAL(16, 0)) AS DECIMAL(38, 0)) DIV CAST(CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)) AS DECIMAL(38, 0))"
-    lowest = cuts.withColumn("score", F.expr(exact)).groupBy("lang", "phrase", "n_words", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
+    lowest = cuts.withColumn("score", F.expr(EXACT_SCORE)).groupBy("lang", "phrase", "n_words", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     scored = stage(lowest.select("lang", "phrase", "a", "n", "cut.score", "cut.l", "cut.r"), "scored")
     # what a longer candidate holds
     held = candidates.where("n_words >= 3").select("lang", "phrase", "a", F.explode(F.expr("flatten(transform(sequence(2, n_words - 1), w -> transform(sequence(1, n_words - w + 1), b -> named_struct('b', b, 'w', w))))")).alias("at"))
