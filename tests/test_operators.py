@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import random
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -478,3 +479,44 @@ def test_screening_operators_on_odd_input(spark):
     figures = spark.createDataFrame([(1, True, None), (2, False, False)], "material int, ready boolean, bound boolean")
     renders = spark.createDataFrame([(3, True, None, None)], "material int, attempted boolean, completed boolean, gaps int")
     assert rows(screening.complete_materials(materials, figures, renders), "material", "why") == [(1, "open figures"), (2, None), (3, "render not completed")]
+
+
+# ---------------------------------------------------------------- literals in texts
+
+
+def held_by_hand(texts, literals):
+    return sorted((k, x) for k, t in texts for x in {x for x in literals if x} if t is not None and x in t)
+
+
+def test_literals_are_found_as_by_a_nested_loop(spark, monkeypatch):
+    from tracewell.operators import literals as lit
+
+    monkeypatch.setattr(lit, "SLICE", 3)
+    rng = random.Random(2)
+    texts = [(i % 17, "".join(rng.choice("abé ") for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(None, "aaaaaaaaaa bé"), (3, None), (4, ""), (5, "x\x00y\\E.z long tail of text")]
+    found = [t[1][a : a + rng.randint(1, 14)] for t in texts if t[1] for a in (rng.randrange(len(t[1])),)]
+    wanted = [*found, *found[:5], "", None, "not there at all", "x\x00y", "\\E.z long tail", "aaaaaaaa"]
+    df = spark.createDataFrame(texts, "k long, text string").repartition(3)
+    got = lit.held(df, spark.createDataFrame([(x,) for x in wanted], "literal string"), ["k"])
+    assert sorted(((r.k, r.literal) for r in got.collect()), key=str) == sorted(held_by_hand(texts[:-4] + texts[-3:], wanted) + [(None, x) for _, x in held_by_hand([(0, texts[-4][1])], wanted)], key=str)
+    assert lit.held(df.limit(0), spark.createDataFrame([("abc",)], "literal string"), ["k"]).count() == 0
+    assert lit.held(df, spark.createDataFrame([], "literal string"), ["k"]).count() == 0
+
+
+def test_words_stand_alone(spark):
+    from tracewell.operators import literals as lit
+
+    df = spark.createDataFrame([(1, "a c++ f(x) cat"), (2, "concat cats"), (3, "the longest-word here"), (4, "longest-words")], "k long, text string")
+    words = spark.createDataFrame([("c++",), ("f(",), ("cat",), ("longest-word",)], "literal string")
+    assert sorted((r.k, r.literal) for r in lit.held_words(df, words, ["k"]).collect()) == [(1, "c++"), (1, "cat"), (3, "longest-word")]
+
+
+def test_many_literals_meet_texts_without_a_nested_loop(spark):
+    """More literals than a broadcast list may have, joined by their rare grams."""
+    from tracewell.operators import literals as lit
+
+    many = spark.range(binding.BROADCAST_ROWS + 50).selectExpr("concat('literal number ', lpad(id, 9, '0'), ' of many') AS literal")
+    texts = spark.range(300).selectExpr("id AS k", "concat('before literal number ', lpad(id * 331, 9, '0'), ' of many after') AS text")
+    got = lit.held(texts, many, ["k"])
+    assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+    assert sorted(r.k for r in got.collect()) == [k for k in range(300) if k * 331 < binding.BROADCAST_ROWS + 50]

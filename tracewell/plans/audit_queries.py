@@ -283,13 +283,13 @@ def a34_integrity_verdict(spark, sf_dir):
 
 @query("SELECT b.item_id, count(d.doc_id) AS sources, CASE WHEN count(d.doc_id) > 0 THEN 'SUPPORTED' ELSE 'UNSUPPORTED' END AS status FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def a35_claim_provenance(spark, sf_dir):
-    """Claims and the documents that literally hold them (the claims are a short list, broadcast after a count)."""
-    from tracewell.operators.binding import small
+    """Claims and the documents that literally hold them."""
+    from tracewell.operators import literals
 
     claims = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("claim"))
-    held = table(spark, sf_dir, "documents").select("doc_id", "text").join(small(claims), F.contains("text", F.col("claim"))).groupBy("item_id").agg(F.count("*").alias("n"))
+    held = literals.held(table(spark, sf_dir, "documents").select("doc_id", "text"), claims, ["doc_id"], literal="claim").groupBy("claim").agg(F.count("*").alias("n"))
     sources = F.coalesce("n", F.lit(0))
-    return claims.join(held, "item_id", "left").select("item_id", sources.alias("sources"), F.when(sources > 0, "SUPPORTED").otherwise("UNSUPPORTED").alias("status"))
+    return claims.hint("merge").join(held, "claim", "left").select("item_id", sources.alias("sources"), F.when(sources > 0, "SUPPORTED").otherwise("UNSUPPORTED").alias("status"))
 
 
 @query(f"WITH {OBJECTS_SQL} SELECT material_id, count(*) AS objects, sum(length(text))::BIGINT AS chars, ceil(count(*) / 6.0)::BIGINT AS batches, ceil(count(*) / 6.0)::BIGINT + 2 <= 24 AS feasible FROM objects GROUP BY material_id")

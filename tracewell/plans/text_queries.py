@@ -109,12 +109,15 @@ def t19_heading_skips(spark, sf_dir):
     "SELECT material_id, count(*) AS missing FROM d JOIN p ON NOT contains(draft, lower(p.name)) GROUP BY material_id"
 )
 def t21_missing_names(spark, sf_dir):
-    """Glossary names that a draft lacks (the glossary is a short list; its size is checked before it is broadcast)."""
-    from tracewell.operators.binding import small
+    """How many glossary names a draft lacks: all of them less those it holds."""
+    from tracewell.operators import literals
 
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name"), "p_type").distinct().select("name")
     drafts = op.canonical_text(blocks(spark, sf_dir)).select("material_id", F.lower("text").alias("draft"))
-    return drafts.join(small(names), ~F.contains("draft", F.col("name"))).groupBy("material_id").agg(F.count("*").alias("missing"))
+    has = literals.held(drafts, names, ["material_id"], "draft", "name").groupBy("material_id").agg(F.count_distinct("name").alias("has"))
+    every = F.lit(names.where("name IS NOT NULL").count())
+    missing = (every - F.coalesce("has", F.lit(0))).alias("missing")
+    return drafts.select("material_id").hint("merge").join(has, "material_id", "left").select("material_id", missing).where("missing > 0")
 
 
 @query(f"WITH {BLOCKS_SQL}, l AS (SELECT material_id, ord, block_id, generate_subscripts(string_split(markdown, chr(10)), 1) - 1 AS n, unnest(string_split(markdown, chr(10))) AS t FROM blocks) SELECT material_id, 'e' || ord || '-' || n AS evidence_id, block_id, sha256(t) AS text_sha256 FROM l WHERE trim(t) <> ''")

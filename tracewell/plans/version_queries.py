@@ -75,11 +75,11 @@ def v04_patched_blocks(spark, sf_dir):
 )
 def v05_local_repairs(spark, sf_dir):
     """Benchmark passages as old texts of edits to the documents that hold them."""
-    from tracewell.operators.binding import small
+    from tracewell.operators import literals
 
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("patch_id"), F.col("text").alias("old"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    edits = docs.join(small(items), F.contains("text", F.col("old"))).select("patch_id", "id", "old", F.concat(F.lit("["), "patch_id", F.lit("]")).alias("new"))
+    edits = literals.held(docs, items, ["id"], literal="old").hint("merge").join(items, "old").select("patch_id", "id", "old", F.concat(F.lit("["), "patch_id", F.lit("]")).alias("new"))
     return op.local_repairs(docs, edits).select("patch_id", "id", F.sha2("text", 256).alias("sha"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.scalars import canonical_url, safe_target
 from tracewell.operators import binding as bind
 from tracewell.operators import classify as op
+from tracewell.operators import literals
 from tracewell.registry import query
 from tracewell.sources.html_objects import page_objects
 from tracewell.sources.model import BLOCKS_SQL, OBJECTS_SQL, blocks, objects, table
@@ -201,10 +202,10 @@ def j14_carried_findings(spark, sf_dir):
 
 @query("WITH t AS (SELECT DISTINCT regexp_extract(lower(text), '([a-z]+)', 1) AS trigger FROM benchmark) SELECT d.doc_id, t.trigger FROM documents d JOIN t ON regexp_matches(lower(d.text), '(^|[^a-z])' || t.trigger || '([^a-z]|$)')")
 def j15_glossary_triggers(spark, sf_dir):
-    """Terms that occur with no letter on either side (the glossary is short: broadcast after a count)."""
+    """Terms that occur with no letter on either side."""
     terms = table(spark, sf_dir, "benchmark").select(F.regexp_extract(F.lower("text"), "([a-z]+)", 1).alias("trigger")).distinct()
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("text"))
-    return docs.join(bind.small(terms), F.expr("rlike(text, concat('(^|[^a-z])', trigger, '([^a-z]|$)'))")).select("doc_id", "trigger")
+    return literals.held_words(docs, terms, ["doc_id"], word="trigger").select("doc_id", "trigger")
 
 
 @query(
@@ -226,7 +227,7 @@ def j17_merged_excerpts(spark, sf_dir):
 def j18_quote_resolution(spark, sf_dir):
     """The literal path: quotes that occur exactly once in their source resolve."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    met = table(spark, sf_dir, "documents").select("doc_id", "text").join(bind.small(items), F.contains("text", F.col("quote")))
+    met = literals.held(table(spark, sf_dir, "documents").select("doc_id", "text"), items, ["doc_id"], literal="quote").hint("merge").join(items, "quote")
     hits = (F.char_length("text") - F.char_length(F.replace("text", F.col("quote"), F.lit("")))) / F.char_length("quote")
     return met.select("doc_id", "item_id", (hits == 1).alias("unique_match"))
 
@@ -237,7 +238,7 @@ def j18_tolerant_quotes(spark, sf_dir):
     from tracewell.functions.quotes import source_quote
 
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    met = table(spark, sf_dir, "documents").select("doc_id", "text").join(bind.small(items), F.contains("text", F.col("item")))
+    met = literals.held(table(spark, sf_dir, "documents").select("doc_id", "text"), items, ["doc_id"], literal="item").hint("merge").join(items, "item")
     spread = F.regexp_replace("item", r"\s+", "  ")
     quote = source_quote(spread, "text")
     tail = F.regexp_extract("item", r"([^\p{L}\p{N}]*)$", 1)
@@ -262,7 +263,7 @@ def j23_page_coverage(spark, sf_dir):
 @query("SELECT DISTINCT b.item_id, d.source AS scope FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def j25_allowed_evidence(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    met = table(spark, sf_dir, "documents").select("source", "text").join(bind.small(items), F.contains("text", F.col("quote")))
-    return met.select("item_id", F.col("source").alias("scope")).distinct()
+    met = literals.held(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), items, ["doc_id"], literal="quote").select("quote", "source").distinct()
+    return met.hint("merge").join(items, "quote").select("item_id", F.col("source").alias("scope")).distinct()
 
 
