@@ -22,9 +22,8 @@ rounds over staged edge tables; documents then take their component by fingerpri
 Near copies of texts (``copies``, ``deduplicated``) are found in two passes.  The first uses the same covering: each
 text has ``TABLES`` SimHash fingerprints of its words (46 bits, two Golay codes, each word counted ``COUNTED`` times at
 most), and texts whose fingerprints are linked in some table are compared by their whole sets of five-word
-shingles.  That finds nearly all copies and leaves one text of a family.  Fingerprints of few words are unsteady: so, among
-texts of up to ``FEW_SHINGLES`` shingles that stay (and partners up to their size over the similarity), the second pass
-compares those that share one of the first fifth of their shingles, rare ones first, as two texts of similarity 0.8 always do.
+shingles.  That finds nearly all copies and leaves one text of a family.  Fingerprints miss some pairs, so the second pass compares, among
+the texts that stay, those that share a cell of shingle space (``cells``), as any two texts of that similarity do, whatever their length.
 
 Edge cases: null and wordless texts have fingerprint zero and are linked like any other; one
 or two words are one shingle; repeated rows stay repeated; a null doc_id never becomes a
@@ -45,6 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.llm.cells import Brackets, cells
 from tracewell.llm.words import mixed, rolling, text_batches, text_key, word_hashes
 from tracewell.plans.staging import stage
 
@@ -305,10 +305,8 @@ COPY_SHINGLE, MIN_SIMILARITY = 5, 0.8
 #: Fingerprints of a text's words: how many, their codes (which cover all their bits), and how often a word counts at most.
 TABLES, COPY_CODES, COUNTED = 8, CODES[:2], 4
 _COPY_BITS = sum(code[0] for code in COPY_CODES)
-#: Shingles up to which a text's copies are also looked for by shared shingles: fingerprints of few words are unsteady.
-FEW_SHINGLES = 256
-#: Texts whose shingles are counted to tell common ones, and the common shingles that are broadcast.
-SAMPLED_TEXTS, MAX_COMMON = 4096, 200_000
+#: Numbers of texts that are broadcast at most; beyond, they are joined by sorting.
+BROADCAST_ROWS = 500_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -334,37 +332,6 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(cut, "n long, shingles array<long>")
 
 
-def _common_shingles(texts: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, how often) of those that several of a bounded sample of texts share.
-
-    They only say which shingles are looked up last, so what they miss costs time, not copies.
-    """
-
-    def count(batches):
-        for _, rows in text_batches(batches):
-            every = np.concatenate([_shingle_set(t) for t in rows]) if rows else np.zeros(0, np.uint64)
-            shingles, n = np.unique(every, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(n.astype(np.int64))], names=["shingle", "n"])
-
-    share = min(1_000_000, SAMPLED_TEXTS * 1_000_000 // max(1, n_texts))
-    counts = texts.where(F.pmod(F.xxhash64("n"), F.lit(1_000_000)) < share).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    table = counts.where("n > 1").orderBy(F.desc("n"), "shingle").limit(MAX_COMMON).toArrow()
-    shingles = table.column("shingle").to_numpy().astype(np.int64).view(np.uint64)
-    order = np.argsort(shingles)
-    return shingles[order], table.column("n").to_numpy()[order]
-
-
-def _prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], min_similarity: float) -> np.ndarray:
-    """The first shingles, rare ones first, of which two sets of that similarity must share one."""
-    length = len(shingles) - math.ceil(min_similarity * len(shingles) - 1e-9) + 1
-    if len(common[0]) and len(shingles):
-        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
-        seen = np.where(common[0][at] == shingles, common[1][at], 0)
-        if seen.any():
-            return shingles[np.argsort(seen, kind="stable")[:length]]
-    return shingles[:length]
-
-
 def _whole_groups(batches, columns: tuple[str, ...]):
     """Arrays of rows sorted by the first column, cut between its values."""
     held = [np.zeros(0, np.int64) for _ in columns]
@@ -387,14 +354,15 @@ def _begins(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(begin, size), np.repeat(size, size)
 
 
-def _postings(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
-    """(key, n, size): the prefix shingles that several texts have, and how many shingles those have."""
-    common = texts.sparkSession.sparkContext.broadcast(_common_shingles(texts, n_texts))
+def _postings(texts: DataFrame, min_similarity: float) -> DataFrame:
+    """(key, n, size): the cells that several texts share, and how many shingles those have.  Equal sets share their whole set."""
+    percent = math.floor(100 * min_similarity + 1e-9)
 
     def cut(batches):
+        brackets = Brackets(percent)
         for batch, rows in text_batches(batches):
             sets = [_shingle_set(t) for t in rows]
-            parts = [_prefix(s, common.value, min_similarity) if len(s) else s for s in sets]
+            parts = [np.append(cells(s, brackets), np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))) if len(s) else s for s in sets]
             lengths = [len(p) for p in parts]
             keys = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
             n = np.repeat(batch.column("n").to_numpy(), lengths)
@@ -412,36 +380,29 @@ def _postings(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFram
 
 
 def _met(postings: DataFrame, leaders: int, min_similarity: float) -> DataFrame:
-    """(n, first, keys, need): texts with the first ``leaders`` texts of each key, where sizes allow the similarity.
+    """(n, first): texts with the first ``leaders`` texts of each key, where sizes allow the similarity.
 
-    ``keys`` counts the keys under which a pair meets, and ``need`` is how many a pair of that similarity has
-    at least.  ``first`` is -1 for a text that is not among the first ones of some key of its own.
+    ``first`` is -1 for a text that is not among the first ones of some key of its own.
     """
 
-    def fewest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        common = np.ceil(min_similarity / (1 + min_similarity) * (a + b) - 1e-9)
-        behind = np.ceil(min_similarity * np.maximum(a, b) - 1e-9) - 1  # shingles after the prefix
-        return np.maximum(1, common - behind).astype(np.int64)
-
-    def rows(n, first, keys, need) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (n, first, keys, need)], names=["n", "first", "keys", "need"])
+    def rows(n, first) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(first.astype(np.int64))], names=["n", "first"])
 
     def meet(batches):
         for key, n, size in _whole_groups(batches, ("key", "n", "size")):
             begin, members = _begins(key)
             place = np.arange(len(key)) - begin
             late = np.unique(n[place >= leaders])
-            yield rows(late, np.full(len(late), -1), np.ones(len(late)), np.ones(len(late)))
+            yield rows(late, np.full(len(late), -1))
             for j in range(min(leaders, int(members.max(initial=1)) - 1)):
                 row = np.flatnonzero(place > j)
                 first = begin[row] + j
                 fits = np.minimum(size[row], size[first]) >= min_similarity * np.maximum(size[row], size[first]) - 1e-9
-                row, first = row[fits], first[fits]
-                pairs, keys = np.unique(np.stack([n[row], n[first], fewest(size[row], size[first])], axis=1), axis=0, return_counts=True)
-                yield rows(pairs[:, 0], pairs[:, 1], keys, pairs[:, 2])
+                pairs = np.unique(np.stack([n[row[fits]], n[first[fits]]], axis=1), axis=0)
+                yield rows(pairs[:, 0], pairs[:, 1])
 
-    found = postings.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meet, "n long, first long, keys long, need long")
-    return found.groupBy("n", "first").agg(F.sum("keys").alias("keys"), F.max("need").alias("need")).where("first < 0 OR keys >= need")
+    found = postings.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meet, "n long, first long")
+    return found.distinct()
 
 
 def _table_mark(table: int) -> int:
@@ -540,22 +501,25 @@ def _gone(postings: DataFrame, meet, sets_of, min_similarity: float, leaders: in
     return out
 
 
-def _near(texts: DataFrame, n_texts: int, min_similarity: float) -> DataFrame:
+def _near(texts: DataFrame, min_similarity: float) -> DataFrame:
     """(n, first): texts of ``texts(n, text)`` that are like a text with a smaller n that stays.
 
     First those that linked fingerprints bring together, which leaves one text of nearly every group; then,
-    among what stays, those of few shingles beyond the radius of all tables, which shared shingles bring together.
+    among what stays, those beyond the radius of all tables, which shared cells bring together.
     """
     linked = stage(_linked(texts), "linked")
     sets = stage(_shingle_sets(texts.hint("merge").join(linked.select("n").distinct(), "n", "left_semi")), "sets")
     by_prints = _gone(linked, _linked_pairs, lambda wanted: sets.hint("merge").join(wanted, "n", "left_semi"), min_similarity, 1, 16)
     by_prints = stage(by_prints, "copies")
-    most = int(FEW_SHINGLES / min_similarity)
-    short = F.size(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+")) <= most + COPY_SHINGLE + 1
-    rest = stage(texts.where(short).hint("merge").join(by_prints, "n", "left_anti"), "rest")
-    shared = stage(_postings(rest, n_texts, min_similarity), "postings")
-    by_shingles = _gone(shared, lambda rows, leaders: _met(rows, leaders, min_similarity), lambda wanted: _shingle_sets(rest.join(wanted, "n", "left_semi")), min_similarity, 4, 4)
-    return by_prints.unionByName(by_shingles)
+    gone = by_prints.select("n")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
+    rest = texts.join(few, "n", "left_anti")
+    shared = stage(_postings(rest, min_similarity), "postings")
+    wanted = stage(shared.select("n").distinct(), "wanted")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge")
+    rest_sets = stage(_shingle_sets(texts.join(few, "n", "left_semi")), "sets")
+    by_cells = _gone(shared, lambda rows, leaders: _met(rows, leaders, min_similarity), lambda wanted: rest_sets.hint("merge").join(wanted, "n", "left_semi"), min_similarity, 4, 4)
+    return by_prints.unionByName(by_cells)
 
 
 def _copies(docs: DataFrame, min_similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -569,16 +533,15 @@ def _copies(docs: DataFrame, min_similarity: float) -> tuple[DataFrame, DataFram
     again = Window.partitionBy("__text_key", "__id", "__no_id").orderBy("__id")
     once = keyed.hint("merge").join(texts, same).withColumn("__nth", F.row_number().over(again)).where("__nth = 1")
     named = stage(once.select("n", F.col("text").cast("binary").alias("text")), "named")
-    return texts, stage(_near(named, texts.count(), min_similarity), "copies")
+    return texts, stage(_near(named, min_similarity), "copies")
 
 
 def copies(docs: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """(doc_id, copy_of): documents that repeat, or nearly repeat, one with a smaller doc_id that stays.
 
     Equal texts are found by a hash of the whole text.  Different ones are copies if the Jaccard
-    similarity of their five-word shingles reaches ``min_similarity``.  Two such texts share one of the
-    first fifth of their shingles in any order of all shingles (rare ones first here), so these are the keys under
-    which texts meet, and all that meet are compared by their whole sets: no pair is missed.
+    similarity of their five-word shingles reaches ``min_similarity``.  Any two such texts share a cell of shingle space, and all
+    that meet in one are compared by their whole sets: no pair is missed.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     texts, near = _copies(docs, min_similarity)
