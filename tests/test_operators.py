@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars as fn
-from tracewell.operators import binding, classify, coverage, grid, intake, ledger, repairs, sequence, text, tree, versions
+from tracewell.operators import binding, classify, coverage, grid, intake, ledger, sequence, text, tree, versions
 from tracewell.sources.html_objects import objects_of
 
 
@@ -244,26 +244,9 @@ def test_fences_hold_shorter_fences():
     assert text.protected_mask("") == [False]
 
 
-def test_repairs_of_prose_lines():
-    assert repairs.spaced_prose("中A与`x`后$y$式\n> 中A\n```\n中A\n```") == "中 A 与 `x` 后 $y$ 式\n> 中A\n```\n中A\n```"
-    assert repairs.joined_wraps("名\n（Redis）\n名\n\n（Redis）\n> 名\n（Redis）\n名\n(Redis）") == "名（Redis）\n名\n\n（Redis）\n> 名\n（Redis）\n名\n(Redis）"
-    assert repairs.joined_wraps("名\n（`A`\nB）") == "名（`A` B）" and repairs.joined_wraps("名\n（一\n二）") == "名\n（一\n二）"
-    assert repairs.reordered_prose_units("5 mm（毫米，Millimeter）") == "5 mm 毫米（Millimeter）" and repairs.reordered_prose_units("毫米（millimetre，mm）") == "毫米（millimetre，mm）"
-    assert repairs.reordered_prose_units("与秒（second，s）") == "与 s 秒（second）" and repairs.reordered_prose_units("(秒（second，ms）") == "(秒（second，ms）"
-    assert repairs.without_doubled_names("Old Redis（Redis）") == "Old Redis（Redis）" and repairs.without_doubled_names("Old Redis（Old Redis)") == "Old Redis"
-    assert repairs.stopped_line("一。`。`二。。") == "一；`。`二" and repairs.stop_changes("一。\n# 二。\n“。”。") == [(0, 1), (2, 1)]
-
-
-def test_repairs_keep_literals():
-    assert repairs.outside_literals("中文API10与`v2组件`和v2组件", repairs.spaced) == "中文 API10 与`v2组件`和 v2 组件"
-    assert repairs.without_doubled_names("Redis（Redis）好") == "Redis好"
-    assert repairs.periods("一。二。") == "一；二。"
-
-
-def test_column_repairs(spark):
-    df = spark.createDataFrame([("`a``b`", "中文\n（English）", "词（Word，一种说明）", "- a\n\n- b\n\n\n\nx  ")], "c string, n string, e string, t string")
-    row = df.select(repairs.spaced_code(F.col("c")), repairs.joined_names(F.col("n")), repairs.split_explanation(F.col("e")), repairs.tightened(F.col("t"))).first()
-    assert tuple(row) == ("`a` `b`", "中文（English）", "词（Word），一种说明", "- a\n- b\n\nx")
+def test_tightened_text(spark):
+    df = spark.createDataFrame([("- a\n\n- b\n\n\n\nx  ",)], "t string")
+    assert df.select(text.tightened(F.col("t"))).first()[0] == "- a\n- b\n\nx"
 
 
 def test_repeated_texts_round_trip(spark):
@@ -342,20 +325,17 @@ def test_marker_issues(spark):
 
 def test_names_and_trees(spark):
     from tracewell.operators.delivery import acronym_definitions, anchored, name_status, node_faults
-    from tracewell.operators.repairs import reordered_units
 
     names = spark.createDataFrame([(1, "Redis"), (2, "table"), (3, "None"), (4, "first name")], "name_id int, name string")
     quotes = spark.createDataFrame([(1, "uses Redis."), (2, "a <table > tag"), (2, None), (4, "first and last name")], "name_id int, quote string")
     assert rows(name_status(names, quotes), "name_id", "status") == [(1, "verified"), (2, "verified"), (3, "unsearched"), (4, "verified")]
-    concepts = spark.createDataFrame([(1, "s", "API"), (2, "s", "AP"), (3, "gone", "X")], "concept_id int, source_id string, short string")
-    sources = spark.createDataFrame([("s", "an API here")], "source_id string, text string")
-    assert rows(anchored(concepts, sources), "concept_id", "anchored") == [(1, True), (2, False), (3, False)]
+    concepts = spark.createDataFrame([(1, "s", "API"), (2, "s", "AP"), (3, "gone", "X"), (4, "s", "F("), (5, "s", "C++"), (6, "t", "C++")], "concept_id int, source_id string, short string")
+    sources = spark.createDataFrame([("s", "an API here, F(x) in C"), ("t", "the C++ way")], "source_id string, text string")
+    assert rows(anchored(concepts, sources), "concept_id", "anchored") == [(1, True), (2, False), (3, False), (4, False), (5, False), (6, True)]
     nodes = spark.createDataFrame([("t", 1, None), ("t", 2, 1), ("t", 2, 1), ("t", 3, 9), ("t", 4, 5), ("t", 5, 4)], "tree string, id int, parent int")
     assert rows(node_faults(nodes), "id", "fault") == [(2, "repeated"), (3, "unknown parent"), (4, "unreachable"), (5, "unreachable")]
     line = spark.createDataFrame([("接口（Application Interface, API）",), ("接口（API）",)], "line string")
     assert rows(acronym_definitions(line), "acronym") == [("API",)]
-    unit = spark.createDataFrame([("5 kg（千克，kilogram）和千克（Kilogram，kg）",)], "t string")
-    assert unit.select(reordered_units(F.col("t"))).first()[0] == "5 kg 千克（kilogram）和 kg 千克（Kilogram）"
 
 
 def test_streaming_folds(spark, tmp_path):
@@ -467,8 +447,6 @@ def test_drafting_operators_on_odd_input(spark):
 def test_screening_operators_on_odd_input(spark):
     from tracewell.operators import screening
 
-    assert screening.names_supported("red cache", "a red disk and cache") == "coordinated" and screening.names_supported("Cache", "caches") is None
-    assert screening.names_supported(None, None) is None and screening.names_supported("f function", ":func:`f`") == "documented" and screening.names_supported("link and link colors", "link colors") is None
     df = spark.createDataFrame([("a.a.a", ["a.a", ""]), ("", ["x"]), (None, ["x"]), ("xx", [])], "t string, l array<string>")
     found = [[tuple(s) for s in r[0]] if r[0] is not None else None for r in df.select(screening.literal_spans(F.col("t"), F.col("l"))).collect()]
     assert found[:2] == [[(0, 3)], []] and found[3] == []

@@ -74,7 +74,9 @@ def numeronyms(texts: DataFrame, catalog: DataFrame, declared: DataFrame) -> Dat
 def anchored(concepts: DataFrame, sources: DataFrame) -> DataFrame:
     """(concept_id, anchored): whether an acronym occurs, with no letter beside it, in any cited source."""
     met = concepts.join(sources, "source_id", "left")
-    hit = F.expr("rlike(text, concat('(^|[^A-Za-z])', short, '([^A-Za-z]|$)'))")
+    quoted = F.concat(F.lit("(^|[^A-Za-z])\\Q"), F.replace("short", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E([^A-Za-z]|$)"))
+    met = met.withColumn("shape", quoted)
+    hit = F.expr("rlike(text, shape)")
     return met.groupBy("concept_id").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("anchored"))
 
 

@@ -14,6 +14,14 @@ ERROR_TITLE = r"^(403 +error|404 +not found|502 +bad gateway|503 +service unavai
 VISUAL_CATEGORIES = ("text", "reading_order", "tables", "formulas", "figures", "captions", "footnotes")
 
 
+# The size of a substantive source, and when a rendering breaks with it.
+SOLID_SOURCE = {"chars": 300, "words": 24}
+BREAK_BELOW = {"error page": 0.30, "lost": 0.45, "content mismatch": 0.12, "title mismatch": 0.20}
+LOST_CHARS, LOST_SHARE = 160, 0.35
+MISMATCH_WORDS = {"of": 50, "to": 10}
+ERROR_SEARCHED = 5000
+
+
 # ---------------------------------------------------------------- identity of sources
 
 
@@ -72,25 +80,26 @@ def identity_matches(projects: DataFrame, identities: DataFrame, originals: Data
 def continuity(pairs: DataFrame) -> DataFrame:
     """(id, shared, verdict) of (id, title, text, rendered_title, rendered_text): whether a rendering goes on with its source.
 
-    ``shared`` is the share of the source's different words that the rendering keeps.  A source is substantive from 300 characters and 24 different
-    words on; only then can a rendering lose or mismatch it.
+    ``shared`` is the share of the source's different words that the rendering keeps.  Only a source of ``SOLID_SOURCE`` size can be lost or
+    mismatched.  Each kind of break has the share below which it holds and a sign of its own; the first that holds is the verdict.
     """
     plain = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " ")))
     words = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"([a-z0-9]{2,}|\p{L}{2,}|\d+)"), F.lit(1)))
-    rows = pairs.select("id", *(plain(c).alias(c) for c in ("title", "text", "rendered_title", "rendered_text"))).withColumns({"words": words(F.col("text")), "seen": words(F.col("rendered_text"))})
-    n, m = F.size("words"), F.size("seen")
-    shared = F.when(n == 0, 1.0).otherwise(F.size(F.array_intersect("words", "seen")) / n)
-    rows = rows.withColumns({"shared": shared, "solid": (F.char_length("text") >= 300) & (n >= 24)})
-    overlap, solid = F.col("shared"), F.col("solid")
-    says_error = F.left("rendered_text", F.lit(5000)).rlike(ERROR_PAGE)
-    verdict = (
-        F.when((~solid & F.col("rendered_title").rlike(ERROR_TITLE)) | (says_error & (overlap < 0.30)), "error page")
-        .when(solid & (F.char_length("rendered_text") < F.greatest(F.lit(160), F.char_length("text") * 0.35)) & (overlap < 0.45), "lost")
-        .when(solid & (n >= 50) & (m >= 10) & (overlap < 0.12), "content mismatch")
-        .when(solid & (F.col("title") != "") & (F.col("rendered_title") != "") & (F.col("title") != F.col("rendered_title")) & (overlap < 0.2), "title mismatch")
-        .otherwise("accepted")
-    )
-    return rows.select("id", F.round("shared", 4).alias("shared"), verdict.alias("verdict"))
+    size = lambda c: F.struct(F.char_length(c).alias("chars"), F.size(words(F.col(c))).alias("words"))
+    rows = pairs.select("id", *(plain(c).alias(c) for c in ("title", "text", "rendered_title", "rendered_text")))
+    kept = F.size(F.array_intersect(words(F.col("text")), words(F.col("rendered_text"))))
+    rows = rows.withColumns({"of": size("text"), "to": size("rendered_text"), "kept": kept})
+    rows = rows.withColumn("shared", F.when(F.col("of.words") == 0, 1.0).otherwise(F.col("kept") / F.col("of.words")))
+    solid = (F.col("of.chars") >= SOLID_SOURCE["chars"]) & (F.col("of.words") >= SOLID_SOURCE["words"])
+    signs = {
+        "error page": F.left("rendered_text", F.lit(ERROR_SEARCHED)).rlike(ERROR_PAGE),
+        "lost": solid & (F.col("to.chars") < F.greatest(F.lit(LOST_CHARS), LOST_SHARE * F.col("of.chars"))),
+        "content mismatch": solid & (F.col("of.words") >= MISMATCH_WORDS["of"]) & (F.col("to.words") >= MISMATCH_WORDS["to"]),
+        "title mismatch": solid & (F.least(F.char_length("title"), F.char_length("rendered_title")) > 0) & (F.col("title") != F.col("rendered_title")),
+    }
+    thin_error = ~solid & F.col("rendered_title").rlike(ERROR_TITLE)
+    breaks = [F.when(thin_error, F.lit("error page")), *(F.when(signs[kind] & (F.col("shared") < below), F.lit(kind)) for kind, below in BREAK_BELOW.items())]
+    return rows.select("id", F.round("shared", 4).alias("shared"), F.coalesce(*breaks, F.lit("accepted")).alias("verdict"))
 
 
 def known_before(items: DataFrame, history: DataFrame, least: int = 12) -> DataFrame:

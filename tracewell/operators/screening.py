@@ -1,13 +1,9 @@
-"""What may be edited, shown and delivered: responsibilities, editable lines, proposals, captures, completeness, names."""
+"""What may be edited, shown and delivered: responsibilities, editable lines, proposals, captures, completeness."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from tracewell.functions.scalars import canonical_url
 from tracewell.operators.text import lines_of
@@ -132,41 +128,3 @@ def complete_materials(materials: DataFrame, figures: DataFrame, renders: DataFr
         .when(tried & (F.coalesce("gaps", F.lit(0)) > 0), "render gaps")
     )
     return met.select("material", why.isNull().alias("complete"), why.alias("why"))
-
-
-# ---------------------------------------------------------------- names
-
-_ROLES = {"module": "mod", "function": "func", "method": "meth"}
-_COLORS = "foreground|background|link"
-
-
-def names_supported(name: str, quote: str) -> str | None:
-    """How a quote supports a name: directly, as a coordinated modifier, a markup element, listed colors, a property pair or a documented code name; or None."""
-    name, quote = " ".join((name or "").lower().split()), (quote or "").lower()
-    words = name.split()
-    if not words:
-        return None
-    if re.search(rf"(?<![a-z0-9]){re.escape(name)}(?![a-z0-9])", quote):
-        return "direct"
-    if 2 <= len(words) <= 3 and re.search(rf"\b{' +'.join(map(re.escape, words[:-1]))} +[a-z][a-z-]* +and +{re.escape(words[-1])}\b", quote):
-        return "coordinated"
-    if len(words) == 2 and words[1] == "element":
-        tag, other = f"<{re.escape(words[0])}>", "<[a-z][a-z0-9-]*>"
-        if re.search(rf"{tag}\s+element\b|{tag}\s+and\s+{other}\s+elements\b|{other}\s+and\s+{tag}\s+elements\b", quote):
-            return "element"
-    colors = re.fullmatch(rf"({_COLORS}) and ({_COLORS}) colors", name)
-    if colors and colors[1] != colors[2] and any(all(re.search(rf"\b{w}\b", part) for w in (*colors.groups(), "colors")) for part in re.split(r"[.!?\n]", quote)):
-        return "colors"
-    pair = re.fullmatch(r"([a-z][a-z0-9-]*) and ([a-z][a-z0-9-]*) properties", name)
-    if pair and re.search(rf"\bproperties\s+<{re.escape(pair[1])}>\s+and\s+<{re.escape(pair[2])}>", quote):
-        return "properties"
-    code = re.fullmatch(r"([a-z_][a-z0-9_.]*) (module|function|method|parameter)", name)
-    if code and (re.search(rf":{_ROLES[code[2]]}:`!?~?{re.escape(code[1])}`", quote) if code[2] in _ROLES else re.search(rf"\b{re.escape(code[1])}\s*=", quote)):
-        return "documented"
-    return None
-
-
-@F.pandas_udf(StringType())
-def name_support(names: pd.Series, quotes: pd.Series) -> pd.Series:
-    """``names_supported`` of columns."""
-    return pd.Series([names_supported(n, q) for n, q in zip(names, quotes)], dtype="object")

@@ -98,14 +98,20 @@ def heading_badges(objects: DataFrame, contexts: DataFrame) -> DataFrame:
 def symbol_scopes(objects: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, id, definition_id, source_scope): drawings that only use a symbol take the decorative scope proven of its definition.
 
-    ``objects(keys, id, kind, raw, source_scope)``; of definitions that repeat a name, the last counts.
+    ``objects(keys, id, kind, raw, source_scope)``, ids unique; of definitions that repeat a name, the one with the largest id counts.  A drawing
+    is a use if its markup is one svg with one use of a name in the same document, and no text.
     """
-    name = F.regexp_extract("raw", r"""(?i)<svg\b[^>]*\bid=["']([^"']+)["']""", 1)
-    known = objects.where(name != "").groupBy(*keys, name.alias("symbol")).agg(F.max_by(F.struct(F.col("id").alias("definition_id"), "source_scope"), "id").alias("of"))
-    used = F.regexp_extract("raw", r"""(?i)^\s*<svg\b[^>]*>\s*<use\b[^>]*\bhref=["']#([^"']+)["']\s*(?:/>|></use>)\s*</svg>\s*$""", 1)
-    uses = objects.where((F.col("kind") == "unknown") & (used != "")).select(*keys, "id", used.alias("symbol"))
-    met = uses.hint("merge").join(known, [*keys, "symbol"]).where(F.col("of.source_scope").isin(*DECORATIVE_SCOPES))
-    return met.select(*keys, "id", F.col("of.definition_id").alias("definition_id"), F.col("of.source_scope").alias("source_scope"))
+    found = elements(objects.select("id", F.col("raw").alias("html"))).groupBy("id").agg(
+        F.count_if(F.col("ord") > 0).alias("n"),
+        F.min(F.when((F.col("tag") == "svg") & (attribute("id") != ""), F.struct("ord", attribute("id").alias("symbol")))).alias("defines"),
+        F.max(F.when((F.col("path") == "/svg[1]/use[1]") & attribute("href").startswith("#"), F.substr(attribute("href"), F.lit(2)))).alias("uses"),
+        F.max(F.when(F.col("ord") == 0, F.trim("text"))).alias("shown"),
+    )
+    met = objects.hint("merge").join(found, "id")
+    known = met.where("defines IS NOT NULL").groupBy(*keys, F.col("defines.symbol").alias("symbol")).agg(F.max_by(F.struct(F.col("id").alias("definition_id"), "source_scope"), "id").alias("of"))
+    uses = met.where("kind = 'unknown' AND n = 2 AND uses <> '' AND coalesce(shown, '') = ''").select(*keys, "id", F.col("uses").alias("symbol"))
+    drawn = uses.hint("merge").join(known, [*keys, "symbol"]).where(F.col("of.source_scope").isin(*DECORATIVE_SCOPES))
+    return drawn.select(*keys, "id", F.col("of.definition_id").alias("definition_id"), F.col("of.source_scope").alias("source_scope"))
 
 
 def layout_tables(tables: DataFrame) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.functions.scalars import canonical_url
 from tracewell.operators import intake as op
 from tracewell.registry import query
 from tracewell.sources.model import BLOCKS_SQL, OBJECTS_SQL, OBLIGATIONS_SQL, blocks, line_objects, objects, obligations, table
@@ -212,6 +211,3 @@ def a12_coverage_report(spark, sf_dir):
     return met.rollup("source", "lang").agg(
         F.count("*").alias("omitted"), F.count_distinct("material_id").alias("materials"), F.sum("q").cast("long").alias("quantities"), F.grouping_id("source", "lang").cast("int").alias("level")
     )
-
-
-_ = canonical_url

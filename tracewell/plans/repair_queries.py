@@ -1,4 +1,4 @@
-"""Queries of the line mask and the prose repairs, over drafts that show each rule.
+"""The query of the line mask, over drafts that show each rule.
 
 A draft is a block of a conversation behind a few lines that the rule changes, or must not change,
 written around the block's first longer word.
@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import repairs
 from tracewell.operators import text as op
 from tracewell.registry import query
 from tracewell.sources.model import BLOCKS_SQL, blocks
@@ -24,16 +23,6 @@ def _drafts(spark, sf_dir, lines: str):
     return blocks(spark, sf_dir).withColumn("markdown", F.concat(head, "markdown"))
 
 
-def _text_sql(lines: str) -> str:
-    """The expected text of each draft."""
-    literal = lines.replace("'", "''")
-    return f"WITH {BLOCKS_SQL}, d AS (SELECT *, {_WORD_SQL} AS w FROM blocks) SELECT material_id, block_id, sha256(replace('{literal}', '{{w}}', w) || chr(10) || markdown) AS sha FROM d"
-
-
-def _repaired(spark, sf_dir, lines: str, repair):
-    return _drafts(spark, sf_dir, lines).select("material_id", "block_id", F.sha2(repair("markdown"), 256).alias("sha"))
-
-
 _FENCES = "a {w}\n````\n```\n{w}\n````\nafter {w}\n~~~ x\n````\n~~~ y\n~~~~ \n$$\n{w}\n$$\n> {w}\n | t |\n    code\nend"
 
 
@@ -51,48 +40,3 @@ _FENCES = "a {w}\n````\n```\n{w}\n````\nafter {w}\n~~~ x\n````\n~~~ y\n~~~~ \n$$
 def t05_protected_lines(spark, sf_dir):
     """Longer fences hold shorter ones, and only a bare one closes."""
     return op.protected_lines(_drafts(spark, sf_dir, _FENCES)).select("material_id", "block_id", F.col("line_no").cast("long").alias("line_no"), "protected")
-
-
-_T08 = "中文{w}和`{w}`后的$x$式\n> 中{w}\n```\n中{w}\n```\n见[中{w}](a中b)与“中{w}”"
-
-
-@query(_text_sql("中文 {w} 和 `{w}` 后的 $x$ 式\n> 中{w}\n```\n中{w}\n```\n见[中{w}](a中b)与“中{w}”"))
-def t08_spacing_repair(spark, sf_dir):
-    return _repaired(spark, sf_dir, _T08, repairs.repair_spacing)
-
-
-@query(_text_sql("`{w}` `{w}` and ``{w}``\n    `{w}``{w}`\n> `{w}``{w}`\n# `{w}``{w}`"))
-def t09_code_spacing(spark, sf_dir):
-    return _repaired(spark, sf_dir, "`{w}``{w}` and ``{w}``\n    `{w}``{w}`\n> `{w}``{w}`\n# `{w}``{w}`", repairs.spaced_code)
-
-
-@query(_text_sql("名称（{w}）好\n\n名（{w} API）\n\n> 名称\n（{w}）\n\n名\n\n（{w}）\n\n名\n（中文）"))
-def t10_name_wraps(spark, sf_dir):
-    return _repaired(spark, sf_dir, "名称\n（{w}）好\n\n名\n（{w}\nAPI）\n\n> 名称\n（{w}）\n\n名\n\n（{w}）\n\n名\n（中文）", repairs.joined_names)
-
-
-@query(_text_sql("重 5 kg 千克（Kilogram）与 kg 千克（kilogram）{w}\n5 kg（克，gram）\n> 千克（kilogram，kg）\n`千克（kilogram，kg）`"))
-def t11_unit_glosses(spark, sf_dir):
-    return _repaired(spark, sf_dir, "重 5 kg（千克，Kilogram）与千克（kilogram，kg）{w}\n5 kg（克，gram）\n> 千克（kilogram，kg）\n`千克（kilogram，kg）`", repairs.reordered_units)
-
-
-@query(_text_sql("词（{w}），一种说明\n# 词（{w}，一种说明）\n`词（{w}，一种说明）`"))
-def t12_explanation_split(spark, sf_dir):
-    return _repaired(spark, sf_dir, "词（{w}，一种说明）\n# 词（{w}，一种说明）\n`词（{w}，一种说明）`", repairs.split_explanation)
-
-
-@query(_text_sql("用 {w}好，Old {w}，再 {w} {w}\n> {w}（{w}）\n```\n{w}（{w}）\n```\nOld {w}（{w}）"))
-def t13_doubled_names(spark, sf_dir):
-    return _repaired(spark, sf_dir, "用 {w}（{w}）好，Old {w}（Old {w}），再 {w} {w}({w} {w})\n> {w}（{w}）\n```\n{w}（{w}）\n```\nOld {w}（{w}）", repairs.repair_doubled_names)
-
-
-@query(_text_sql("一{w}；二\n```\n一。二。\n```\n“一。二”三；四\n> 一。二。"))
-def t14_periods(spark, sf_dir):
-    return _repaired(spark, sf_dir, "一{w}。二。\n```\n一。二。\n```\n“一。二”三。四。\n> 一。二。", repairs.repair_periods)
-
-
-@query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, unnest([0, 4])::BIGINT AS line_no, 2::BIGINT AS n FROM blocks")
-def t14_period_report(spark, sf_dir):
-    """How many full stops each line of prose would change."""
-    rows = _drafts(spark, sf_dir, "一{w}。二。\n```\n一。二。\n```\n“一。二”三。四。\n> 一。二。").select("material_id", "block_id", F.explode(repairs.period_report("markdown")).alias("hit"))
-    return rows.select("material_id", "block_id", F.col("hit.line_no").cast("long").alias("line_no"), F.col("hit.n").cast("long").alias("n"))

@@ -1,4 +1,4 @@
-"""Queries of responsibilities, editable lines, proposals, captures, completeness and name evidence."""
+"""Queries of responsibilities, editable lines, proposals, captures, and completeness."""
 
 from __future__ import annotations
 
@@ -80,18 +80,3 @@ def j06_completeness_gate(spark, sf_dir):
     figures = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("material"), F.lit(True).alias("ready"), (F.col("o_orderstatus") != "P").alias("bound"))
     renders = customer.where("k < 4").select(F.col("c_custkey").alias("material"), (F.col("k") != 3).alias("attempted"), (~F.col("k").isin(1, 3)).alias("completed"), F.when(F.col("k") == 2, 1).otherwise(0).alias("gaps"))
     return op.complete_materials(materials, figures, renders)
-
-
-_NAMES = (
-    ("{w} store", "Use the {w} STORE.", "direct"), ("{w} cache", "a {w} disk and cache", "coordinated"), ("{w} element", "the <{w}> and <b> elements", "element"), ("link and foreground colors", "Colors: foreground, link; {w}", "colors"),
-    ("{w} and b properties", "properties <{w}> and <b>", "properties"), ("{w} module", "see :mod:`~{w}`", "documented"), ("{w} parameter", "f({w} = 1)", "documented"), ("{w} store", "{w}s storehouse", ""), ("", "{w}", ""),
-)
-
-
-@query(f"SELECT doc_id, nullif(({[n[2] for n in _NAMES]!r})[doc_id % 9 + 1], '') AS support FROM documents")
-def t28_name_evidence(spark, sf_dir):
-    """A name and a quote around each document's first lower-case word, one for each way of support and two for none."""
-    docs = table(spark, sf_dir, "documents")
-    word = F.concat(F.lit("q"), F.regexp_extract(F.coalesce("text", F.lit("")), "[a-z]+", 0))
-    pick = lambda i: F.replace(F.element_at(F.array(*(F.lit(n[i]) for n in _NAMES)), (F.col("doc_id") % 9 + 1).cast("int")), F.lit("{w}"), word)
-    return docs.select("doc_id", op.name_support(pick(0), pick(1)).alias("support"))

@@ -34,12 +34,3 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     path = staged_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def stage_bucketed(df: DataFrame, name: str, key: str, buckets: int, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` as a table bucketed on ``key``: later groupings and joins on it need no shuffle."""
-    spark = df.sparkSession
-    table = f"staged_{name}_{uuid.uuid4().hex}"
-    path = staged_path(spark, name)
-    df.write.option("compression", compression).option("path", path).bucketBy(buckets, key).saveAsTable(table)
-    return spark.table(table)

@@ -1,10 +1,10 @@
-"""Queries of the streaming jobs, and of the repairs."""
+"""Queries of the streaming jobs, and of tightened text."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import repairs
+from tracewell.operators.text import tightened
 from tracewell.registry import query
 from tracewell.sources.model import BLOCKS_SQL, blocks, table
 from tracewell.streaming import jobs
@@ -99,4 +99,4 @@ def r12_incremental_audit(spark, sf_dir):
 
 @query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(regexp_replace(regexp_replace(markdown, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS sha FROM blocks")
 def t15_tightened(spark, sf_dir):
-    return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(repairs.tightened(F.col("markdown")), 256).alias("sha"))
+    return blocks(spark, sf_dir).select("material_id", "block_id", F.sha2(tightened(F.col("markdown")), 256).alias("sha"))

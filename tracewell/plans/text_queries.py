@@ -64,10 +64,8 @@ def t04_span_ranges(spark, sf_dir):
     "UNION ALL SELECT material_id, block_id, line_no, 'short-sentence' FROM l WHERE regexp_matches(line, '(^|\\. )[^ .]+\\.( |$)') UNION ALL SELECT material_id, block_id, line_no, 'trailing-space' FROM l WHERE regexp_matches(line, '\\s$')"
 )
 def t06_format_signals(spark, sf_dir):
-    from tracewell.operators.repairs import format_signals
-
     rules = {"double-space": r"\S  +\S", "space-before-comma": r"\s[,;]", "short-sentence": r"(^|\. )[^ .]+\.( |$)", "trailing-space": r"\s$"}
-    return format_signals(op.lines_of(blocks(spark, sf_dir)), rules).select("material_id", "block_id", F.col("line_no").cast("long").alias("line_no"), "rule")
+    return op.format_signals(op.lines_of(blocks(spark, sf_dir)), rules).select("material_id", "block_id", F.col("line_no").cast("long").alias("line_no"), "rule")
 
 
 @query(
