@@ -27,9 +27,15 @@ def t01_canonical_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fn.canonical_url(url).alias("audit_url"), fn.canonical_url(url, True).alias("evaluation_url"))
 
 
-@query("SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS normal_sha256 FROM documents")
+#: Case folding of letters that data of these languages and Greek samples hold.
+_FOLDED_SQL = "replace(replace(lower({x}), 'ß', 'ss'), 'ς', 'σ')"
+
+
+@query("SELECT doc_id, sha256(" + _FOLDED_SQL.format(x="trim(regexp_replace('STRASSE Straße ΟΔΟΣ οδος ' || text, '\\s+', ' ', 'g'))") + ") AS normal_sha256 FROM documents")
 def t02_normal_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.normal_text(F.col("text")), 256).alias("normal_sha256"))
+    """Texts behind words that only case folding makes equal."""
+    text = F.concat(F.lit("STRASSE Straße ΟΔΟΣ οδος "), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(fn.normal_text(text), 256).alias("normal_sha256"))
 
 
 _SPANS_SQL = (
@@ -162,10 +168,10 @@ def t32_foreign_headings(spark, sf_dir):
     return rows.select("material_id", "object_id", F.sha2(F.left(F.coalesce("following", F.lit("")), F.lit(1200)), 256).alias("context_sha256"))
 
 
-@query("SELECT doc_id, lower(source) AS folded FROM documents")
+@query("SELECT doc_id, " + _FOLDED_SQL.format(x="'Maß ΟΔΟΣ ' || source") + " AS folded FROM documents")
 def u01_sql_function(spark, sf_dir):
     fn.register(spark)
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr("processor_casefold(source)").alias("folded"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr("processor_casefold('Maß ΟΔΟΣ ' || source)").alias("folded"))
 
 
 @query("SELECT event_id, 'k' AS key, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")

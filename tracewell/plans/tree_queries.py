@@ -76,14 +76,90 @@ def h07_grouped_trash(spark, sf_dir):
 
 
 @query(
-    f"WITH {_FOLDERS}, {_BELOW}, c AS (SELECT root, id FROM below WHERE root LIKE 'r%'), k AS (SELECT doc_id FROM documents_ WHERE c_acctbal < 0) "
-    "SELECT root, count(DISTINCT c.id) AS folders, count(d.doc_id) AS documents, count(k.doc_id) AS blockers, sha256(array_to_string(list_sort(list_distinct(list(c.id))), ',')) AS digest "
-    "FROM c LEFT JOIN documents_ d ON d.parent = c.id LEFT JOIN k ON k.doc_id = d.doc_id GROUP BY root"
+    f"WITH {_FOLDERS}, {_BELOW}, c AS (SELECT root, id FROM below WHERE root LIKE 'r%'), k AS (SELECT DISTINCT o_custkey AS doc_id FROM orders WHERE o_orderstatus = 'P'), "
+    "d AS (SELECT c.root, d.doc_id, 'document:' || d.doc_id || ':' || (d.doc_id % 5) || ':' || CAST(floor(d.c_acctbal) AS BIGINT) AS line FROM c JOIN documents_ d ON d.parent = c.id), "
+    "l AS (SELECT root, id AS folder, NULL AS doc_id, NULL AS blocked, 'folder:' || id AS line FROM c UNION ALL SELECT d.root, NULL, d.doc_id, k.doc_id, line FROM d LEFT JOIN k USING (doc_id)) "
+    "SELECT root, count(DISTINCT folder) AS folders, count(doc_id) AS documents, count(blocked) AS blockers, sha256(count(*) || ':' || sum(CAST('0x' || left(md5(line), 15) AS HUGEINT))) AS digest FROM l GROUP BY root"
 )
 def h08_purge_preview(spark, sf_dir):
+    """Customers with an order in progress block; their balance is their content version."""
     folders, documents = _folders(spark, sf_dir), _documents(spark, sf_dir)
-    closure = op.descendants(folders, folders.where("parent is null").select("id"))
-    return op.purge_preview(closure, documents, documents.where("c_acctbal < 0").select("doc_id"))
+    status = F.when(F.col("o_orderstatus") == "P", "running").otherwise("done")
+    blockers = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), status.alias("status"))
+    versions = documents.withColumns({"revision": F.col("doc_id") % 5, "version": F.floor("c_acctbal").cast("long")})
+    return op.purge_preview(op.descendants(folders, folders.where("parent is null").select("id")), versions, blockers)
+
+
+@query(f"WITH {_FOLDERS}, t AS (SELECT id, parent FROM folders WHERE id LIKE 's1%' OR id IN ('n1', 'n2')), g AS (SELECT id FROM t WHERE id LIKE 's1%') SELECT g.id, CASE WHEN t.parent IN (SELECT id FROM folders WHERE id NOT IN (SELECT id FROM t)) OR t.parent IN (SELECT id FROM g) THEN t.parent END AS parent FROM g JOIN t USING (id)")
+def h07_restored(spark, sf_dir):
+    """The segments of some nations come back from the trash; where the nation is still there, they fall back to the root."""
+    folders = _folders(spark, sf_dir)
+    trash = folders.where("id like 's1%' or id in ('n1', 'n2')").select("id", F.when(F.col("id").startswith("s"), "segments").otherwise("nations").alias("trash_group"))
+    return op.restored(trash, folders, "segments")
+
+
+# Nations of every fourth key and their segments are in the trash; customers are in the trash, archived or neither.
+_SPACES = (
+    f"{_FOLDERS}, fold AS (SELECT *, coalesce((id LIKE 'n%' AND TRY_CAST(substr(id, 2) AS INT) % 4 = 0) OR (parent LIKE 'n%' AND TRY_CAST(substr(parent, 2) AS INT) % 4 = 1), false) AS trashed, length(name) AS created FROM folders), "
+    "doc AS (SELECT 'c' || doc_id AS id, parent, name AS title, doc_id % 7 = 0 AS trashed, doc_id % 5 = 0 AS archived, doc_id % 11 AS created FROM documents_ UNION ALL SELECT 'x' || p_partkey, CASE WHEN p_size > 25 THEN 'gone' END, p_name, false, p_size % 2 = 0, p_size FROM part WHERE p_size IN (1, 26, 50)), "
+    "t AS (SELECT id, name::VARCHAR AS path FROM folders WHERE parent IS NULL UNION ALL SELECT f.id, t.path || '/' || f.name FROM folders f JOIN t ON f.parent = t.id)"
+)
+
+
+def _spaces(spark, sf_dir):
+    number = lambda c: F.expr(f"try_cast(substr({c}, 2) AS INT)")
+    hidden = (F.col("id").startswith("n") & (number("id") % 4 == 0)) | (F.coalesce(F.col("parent"), F.lit("")).startswith("n") & (number("parent") % 4 == 1))
+    folders = _folders(spark, sf_dir).withColumns({"trashed": F.coalesce(hidden, F.lit(False)), "created": F.char_length("name").cast("long")})
+    customers = _documents(spark, sf_dir).select(
+        F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("id"), "parent", F.col("name").alias("title"), (F.col("doc_id") % 7 == 0).alias("trashed"), (F.col("doc_id") % 5 == 0).alias("archived"), (F.col("doc_id") % 11).cast("long").alias("created")
+    )
+    loose = table(spark, sf_dir, "part").where("p_size in (1, 26, 50)").select(
+        F.concat(F.lit("x"), F.col("p_partkey").cast("string")).alias("id"), F.when(F.col("p_size") > 25, "gone").alias("parent"), F.col("p_name").alias("title"), F.lit(False).alias("trashed"), (F.col("p_size") % 2 == 0).alias("archived"), F.col("p_size").cast("long").alias("created")
+    )
+    return folders, customers.unionByName(loose)
+
+
+def _listing_sql(space: str, wanted_folders: str, wanted_documents: str, order: str, offset: int, limit: int) -> str:
+    shown = "false" if space == "archive" else f"f.trashed = {space == 'trash'}"
+    held = "d.trashed" if space == "trash" else f"NOT d.trashed AND d.archived = {space == 'archive'}"
+    return (
+        f"WITH RECURSIVE {_SPACES}, shown AS (SELECT * FROM fold f WHERE {shown}), held AS (SELECT * FROM doc d WHERE {held}), "
+        f"n AS (SELECT s.id, 'folder' AS kind, name AS title, parent, created, coalesce(path, '') AS path, parent IS NULL OR parent NOT IN (SELECT id FROM shown) AS loose FROM shown s LEFT JOIN t ON t.id = s.parent UNION ALL "
+        f"SELECT h.id, 'document', title, parent, created, coalesce(path, ''), parent IS NULL OR parent NOT IN (SELECT id FROM shown) FROM held h LEFT JOIN t ON t.id = h.parent), "
+        f"w AS (SELECT * FROM n WHERE CASE kind WHEN 'folder' THEN {wanted_folders} ELSE {wanted_documents} END), "
+        f"r AS (SELECT *, row_number() OVER (ORDER BY kind DESC, {order}) - 1 AS place, count(*) OVER () AS total FROM w), k AS (SELECT parent AS id, count(*) AS k FROM (SELECT parent FROM shown UNION ALL SELECT parent FROM held) GROUP BY parent) "
+        f"SELECT place, total, id, kind, title, parent, path, CASE kind WHEN 'folder' THEN coalesce(k, 0) ELSE 0 END AS child_count FROM r LEFT JOIN k USING (id) WHERE place >= {offset} AND place < {offset + limit}"
+    )
+
+
+@query(_listing_sql("mine", "loose", "loose", "lower(title), id", 3, 40))
+def h04_root_page(spark, sf_dir):
+    """The second page of the root: regions, and what hangs under folders that are in the trash or unknown."""
+    return op.listed(*_spaces(spark, sf_dir), offset=3, limit=40)
+
+
+@query(_listing_sql("mine", "parent = 'n2'", "parent = 'n2'", "lower(title) DESC, id DESC", 0, 200))
+def h04_children(spark, sf_dir):
+    return op.listed(*_spaces(spark, sf_dir), parent="n2", sort="reverse")
+
+
+@query(_listing_sql("archive", "false", "true", "created DESC, id", 5, 60))
+def h04_archive_page(spark, sf_dir):
+    return op.listed(*_spaces(spark, sf_dir), space="archive", sort="recent", offset=5, limit=60)
+
+
+@query(_listing_sql("trash", "true", "false", "lower(title), id", 0, 500))
+def h04_trash_folders(spark, sf_dir):
+    return op.listed(*_spaces(spark, sf_dir), space="trash", folders_only=True, limit=500)
+
+
+@query(_listing_sql(
+    "mine", "contains(lower(path || '/' || title), 'machinery/customer#00000001')",
+    "contains(lower(title), 'machinery/customer#00000001') OR contains(lower(path), 'machinery/customer#00000001') OR (ends_with(lower(path), 'machinery') AND starts_with(lower(title), 'customer#00000001'))", "lower(title), id", 0, 500,
+))
+def h04_path_query(spark, sf_dir):
+    """A path's end and a title's beginning, in another case."""
+    return op.listed(*_spaces(spark, sf_dir), query=" Machinery/CUSTOMER#00000001", limit=500)
 
 
 @query("SELECT DISTINCT sha256(d.text) AS unreferenced FROM documents d WHERE sha256(d.text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))")
