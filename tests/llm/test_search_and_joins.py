@@ -87,7 +87,7 @@ def test_tries_burst_spill_and_forget_words_without_losing_counts(monkeypatch):
             w = [rng.choice("abcdefghijkl") for _ in range(30)]
             for k in (3, 4, 5):
                 want.update(" ".join(w[i : i + k]) for i in range(len(w) - k + 1))
-            counter.add("en", [x.encode() for x in w] + [b""])
+            counter.add("en", counter.ids([x.encode() for x in w] + [b""]))
             runs(list(counter.runs()))
         runs(list(counter.runs(last=True)))
         assert got == want

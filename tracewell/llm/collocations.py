@@ -47,7 +47,7 @@ BURST, MAX_ENTRIES, MAX_WORDS = 4_096, 400_000, 400_000
 #: Bits of the filter of frequent words and pairs.
 FILTER_BITS = 1 << 26
 #: Words of a batch that are counted together.
-WORDS_AT_ONCE = 1 << 19
+WORDS_AT_ONCE = 1 << 21
 
 #: Prefix partitions: one for so many words of the corpus, between these bounds.
 WORDS_PER_PART, LEAST_PARTS, MOST_PARTS = 1_000_000, 64, 65_536
@@ -154,7 +154,7 @@ class _Counter:
 
     def _starts(self, lang: str, ids: np.ndarray) -> np.ndarray:
         """Whether a frequent word stands at each place (pairs are counted), or a frequent pair (longer phrases)."""
-        salt, used = np.uint64(xxhash.xxh3_64_intdigest(lang.encode())), np.unique(ids)
+        salt, used = np.uint64(xxhash.xxh3_64_intdigest(lang.encode())), np.flatnonzero(np.bincount(ids))
         hashes, good = np.zeros(len(self.words.words), dtype=np.uint64), np.zeros(len(self.words.words), dtype=bool)
         hashes[used] = [self.words.hashes[w] for w in used.tolist()]
         good[used] = self._is_known(_word_hash(hashes[used], salt))
@@ -168,12 +168,16 @@ class _Counter:
             start[at] = self._is_known(_pair_hash(hashes[ids[at]], hashes[ids[at + 1]], salt))
         return start
 
-    def add(self, lang: str, tokens: list) -> None:
-        ids = np.fromiter(map(self.words.__getitem__, tokens), np.int64, len(tokens))
+    def ids(self, tokens: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.words.__getitem__, tokens), np.int32, len(tokens))
+
+    def add(self, lang: str, ids: np.ndarray) -> None:
         trie = self.tries.setdefault(lang, BurstTrie())
         if self.known is None:  # words alone: one container, which needs no nodes
-            found, n = np.unique(ids[ids != _BREAK], return_counts=True)
-            trie.add(_BREAK, [(w,) for w in found.tolist()], n.tolist())
+            n = np.bincount(ids)
+            n[_BREAK] = 0
+            found = np.flatnonzero(n)
+            trie.add(_BREAK, [(w,) for w in found.tolist()], n[found].tolist())
             return
         start = self._starts(lang, ids)
         step = 1 if self.shortest == 2 else 2  # words that a start covers by itself
@@ -190,9 +194,10 @@ class _Counter:
             self._count(trie, ids, at, k)
 
     def _count(self, trie: BurstTrie, ids: np.ndarray, at: np.ndarray, k: int) -> None:
-        code = ids[at]
-        for j in range(1, k):  # a dense number for each different phrase so far
-            code = np.unique(code * len(self.words.words) + ids[at + j], return_inverse=True)[1]
+        code, v = ids[at].astype(np.int64), len(self.words.words)
+        for j in range(1, k - 1):  # a dense number for each different phrase so far
+            code = np.unique(code * v + ids[at + j], return_inverse=True)[1]
+        code = code * v + ids[at + k - 1]
         _, where, n = np.unique(code, return_index=True, return_counts=True)
         rows = ids[at[where][:, None] + np.arange(k)]
         order = np.argsort(rows[:, 0], kind="stable")
@@ -287,22 +292,24 @@ def _counted(docs: DataFrame, shortest: int, longest: int, min_count: int, known
 
     def count(batches):
         counter = _Counter(shortest, longest, None if known is None else known.value, parts)
-        held: dict[str, list] = defaultdict(list)
+        held: dict[str, list[np.ndarray]] = defaultdict(list)
 
         def flushed():
-            for lang in list(held):
-                counter.add(lang, held.pop(lang))
-                yield from counter.runs()
+            for lang, parts in held.items():
+                counter.add(lang, np.concatenate(parts))
+            held.clear()  # before word ids may change
+            yield from counter.runs()
 
         n = 0
         for batch, texts in text_batches(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), texts):
-                own = held[lang]
-                before = len(own)
+                tokens: list[bytes] = []
                 for words in pieces(text):
-                    own += words
-                    own.append(b"")
-                n += len(own) - before
+                    tokens += words
+                    tokens.append(b"")
+                if tokens:
+                    held[lang].append(counter.ids(tokens))
+                n += len(tokens)
                 if n >= WORDS_AT_ONCE:
                     yield from flushed()
                     n = 0
