@@ -498,3 +498,73 @@ def test_many_literals_meet_texts_without_a_nested_loop(spark):
     got = lit.held(texts, many, ["k"])
     assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
     assert sorted(r.k for r in got.collect()) == [k for k in range(300) if k * 331 < binding.BROADCAST_ROWS + 50]
+
+
+# ---------------------------------------------------------------- plans of units
+
+
+def live_dependencies(nodes, depends):
+    """What each kept node leads to over removed ones, by a plain walk."""
+    out = set()
+    for node, kept in nodes.items():
+        seen, todo = set(), [b for a, b in depends if a == node] if kept else []
+        while todo:
+            here = todo.pop()
+            if here in seen:
+                continue
+            seen.add(here)
+            if nodes.get(here, True):
+                out |= {(node, here)} if here != node else set()
+            else:
+                todo += [b for a, b in depends if a == here]
+    return sorted(out, key=str)
+
+
+def test_dependencies_are_bridged_as_by_a_walk(spark):
+    from tracewell.operators import planning
+
+    rng = random.Random(4)
+    for case in range(2):
+        n = 40
+        nodes = {i: rng.random() < 0.4 for i in range(n)}
+        depends = [(rng.randrange(n), rng.randrange(n + 1 if case else n)) for _ in range(70)]
+        got = planning.bridged(spark.createDataFrame(list(nodes.items()), "node int, kept boolean"), spark.createDataFrame(depends, "node int, needs int"))
+        assert rows(got, "node", "needs") == live_dependencies(nodes, depends)
+
+
+def test_a_chain_of_a_thousand_removed_units(spark):
+    from tracewell.operators import planning
+
+    nodes = [(i, i in (0, 1001)) for i in range(1002)]
+    got = planning.bridged(spark.createDataFrame(nodes, "node int, kept boolean"), spark.createDataFrame([(i, i + 1) for i in range(1001)], "node int, needs int"))
+    assert rows(got, "node", "needs") == [(0, 1001)]
+    assert planning.bridged(spark.createDataFrame([], "node int, kept boolean"), spark.createDataFrame([], "node int, needs int")).count() == 0
+
+
+def test_concepts_follow_their_prerequisites(spark):
+    from tracewell.operators import planning
+
+    places = {1: 5, 2: 3, 3: 9, 4: 2, 5: 1, 6: 7, 7: 7, 8: 4, 9: None, 10: 6, 11: 6}
+    requires = [(1, 3), (2, 3), (3, 4), (5, 6), (6, 7), (7, 5), (8, 6), (10, 99), (11, 10), (9, 1), (4, 4), (4, 4)]
+    order, faults = planning.concept_order(spark.createDataFrame(list(places.items()), "concept int, place int"), spark.createDataFrame(requires, "concept int, needs int"))
+    assert rows(order, "concept", "place", "level", "nth") == []  # 4 needs itself, and 3, 2 and 1 need it
+    assert sorted(rows(faults, "concept", "reason")) == [
+        (1, "needs a fault"), (2, "needs a fault"), (3, "needs a fault"), (4, "cycle"), (5, "cycle"), (6, "cycle"), (7, "cycle"), (8, "needs a fault"), (9, "no place"), (10, "unknown prerequisite"), (11, "needs a fault"),
+    ]
+    order, faults = planning.concept_order(spark.createDataFrame([(1, 5), (2, 3), (3, 9), (4, 2)], "concept int, place int"), spark.createDataFrame([(1, 3), (2, 3), (3, 4)], "concept int, needs int"))
+    assert rows(order, "concept", "place", "level", "nth") == [(1, 5, 2, 4), (2, 3, 2, 3), (3, 3, 1, 2), (4, 2, 0, 1)]
+    assert faults.count() == 0
+
+
+def test_lineages_leave_cycles_out_and_show_orphans(spark):
+    folders = spark.createDataFrame([("a", None, "A"), ("b", "a", "B"), ("x", "y", "X"), ("y", "x", "Y"), ("z", "x", "Z"), ("o", "gone", "O"), ("p", "o", "P"), ("s", "s", "S"), *((f"d{i}", f"d{i - 1}" if i else "b", f"{i}") for i in range(20))], "id string, parent string, name string")
+    found = {r.id: r.path for r in tree.lineages(folders).collect()}
+    assert found == {"a": "A", "b": "A/B", "o": "O", "p": "O/P"} | {f"d{i}": "A/B/" + "/".join(map(str, range(i + 1))) for i in range(20)}
+
+
+def test_listing_of_ten_thousand_folders(spark):
+    """A search over 10,000 folders; the page holds folders first, documents after them."""
+    folders = spark.range(10_000).selectExpr("id", "CASE WHEN id > 0 THEN id div 10 END AS parent", "concat('Ordner ', id) AS name", "false AS trashed", "id AS created")
+    documents = spark.range(500).selectExpr("100000 + id AS id", "id AS parent", "concat('Maß ', id) AS title", "false AS trashed", "false AS archived", "id AS created")
+    found = tree.listed(folders, documents, query="MASS 49", limit=5).collect()
+    assert [(r.place, r.total, r.kind, r.title) for r in sorted(found, key=lambda r: r.place)] == [(0, 11, "document", "Maß 49"), *((k + 1, 11, "document", f"Maß {490 + k}") for k in range(4))]

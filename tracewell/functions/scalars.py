@@ -26,11 +26,8 @@ def canonical_url(url: Column, sort_query: bool = False) -> Column:
 
 
 def casefold(text: Column) -> Column:
-    """Case folded: letters that differ in case only are equal, also those that are written as several in upper case, and final sigma.
-
-    The dotless i stays apart from i, which upper case alone would not keep.
-    """
-    return F.replace(F.replace(F.lower(F.upper(F.replace(text, F.lit("\u0131"), F.lit("\ue000")))), F.lit("\u03c2"), F.lit("\u03c3")), F.lit("\ue000"), F.lit("\u0131"))
+    """Case folded: lower case, with sharp s as two letters and one sigma.  Other letters that fold to several (ligatures) stay."""
+    return F.replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
 def normal_text(text: Column) -> Column:
@@ -75,5 +72,5 @@ def ellipsised(text: Column, limit: int) -> Column:
 
 def register(spark: SparkSession) -> None:
     """SQL functions of the library, for use in ``spark.sql``."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION processor_casefold(x STRING) RETURNS STRING RETURN replace(replace(lower(upper(replace(x, '\u0131', '\ue000'))), '\u03c2', '\u03c3'), '\ue000', '\u0131')")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION processor_casefold(x STRING) RETURNS STRING RETURN replace(replace(lower(x), 'ß', 'ss'), 'ς', 'σ')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION normal_text(x STRING) RETURNS STRING RETURN processor_casefold(trim(regexp_replace(x, '\\\\s+', ' ')))")

@@ -116,6 +116,85 @@ def v12_ownership(spark, sf_dir):
     return op.owned_once(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("obligation_id"), F.col("l_orderkey").alias("node_id"), F.col("l_shipdate").alias("ord")))
 
 
+_PREVIOUS = "depends AS (SELECT node, needs FROM (SELECT o_orderkey AS node, unnest([lag(o_orderkey) OVER w, lag(o_orderkey, 2) OVER w]) AS needs FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)) WHERE needs IS NOT NULL)"
+
+
+@query(
+    "WITH RECURSIVE own AS (SELECT DISTINCT arg_min(l_orderkey, (l_shipdate, l_orderkey)) AS node FROM lineitem GROUP BY l_partkey), "
+    f"{_PREVIOUS}, r AS (SELECT node, needs FROM depends SEMI JOIN own USING (node) UNION SELECT r.node, d.needs FROM r JOIN depends d ON d.node = r.needs WHERE r.needs NOT IN (SELECT node FROM own)) "
+    "SELECT node, needs FROM r WHERE needs IN (SELECT node FROM own)"
+)
+def v12_bridged_dependencies(spark, sf_dir):
+    """Orders that own no part's first line go; what depended on them depends on what they depended on."""
+    from pyspark.sql import Window
+
+    from tracewell.operators import planning
+
+    owned = op.owned_once(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("obligation_id"), F.col("l_orderkey").alias("node_id"), F.col("l_shipdate").alias("ord")))
+    owners = owned.select(F.col("node_id").alias("node")).distinct().withColumn("kept", F.lit(True))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), "o_custkey")
+    nodes = orders.select("node").join(owners, "node", "left").select("node", F.coalesce("kept", F.lit(False)).alias("kept"))
+    w = Window.partitionBy("o_custkey").orderBy("node")
+    depends = orders.withColumns({"one": F.lag("node").over(w), "two": F.lag("node", 2).over(w)})
+    depends = depends.select("node", F.col("one").alias("needs")).unionByName(depends.select("node", F.col("two").alias("needs"))).where("needs IS NOT NULL")
+    return planning.bridged(nodes, depends)
+
+
+_CONCEPTS = (
+    "concept AS (SELECT p_partkey AS concept, CASE WHEN p_partkey % 2 = 1 THEN p_size * 40 END AS planned, p_partkey % 100 + 1 AS source FROM part WHERE p_partkey > 0), "
+    "unit AS (SELECT l_orderkey AS place, l_suppkey AS source FROM lineitem), used AS (SELECT l_partkey AS concept, min(l_orderkey) AS used FROM lineitem WHERE l_linenumber = 1 GROUP BY l_partkey), "
+    "placed AS (SELECT c.concept, planned, min(u.place) AS borne, any_value(used) AS used FROM concept c LEFT JOIN unit u USING (source) LEFT JOIN used USING (concept) GROUP BY c.concept, planned), "
+    "place AS (SELECT concept, CASE WHEN used < coalesce(planned, borne) THEN used ELSE coalesce(planned, borne) END AS place, CASE WHEN used < coalesce(planned, borne) THEN 'first use' WHEN planned IS NOT NULL THEN 'planned' WHEN borne IS NOT NULL THEN 'first source' ELSE 'no place' END AS why FROM placed)"
+)
+
+
+def _concepts(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    concepts = table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("concept"), F.expr("CASE WHEN p_partkey % 2 = 1 THEN p_size * 40 END").cast("long").alias("planned"), (F.col("p_partkey") % 100 + 1).alias("source"))
+    units = lines.select(F.col("l_orderkey").cast("long").alias("place"), F.col("l_suppkey").alias("source"))
+    return units, concepts, lines.where("l_linenumber = 1").select(F.col("l_partkey").alias("concept"), F.col("l_orderkey").cast("long").alias("place"))
+
+
+@query(f"WITH {_CONCEPTS} SELECT concept, place, why FROM place")
+def v11_placements(spark, sf_dir):
+    """Parts as concepts: half are planned, the others go to the first order that bears their source; earlier uses pull them forward."""
+    from tracewell.operators import planning
+
+    return planning.placements(*_concepts(spark, sf_dir))
+
+
+@query(
+    f"WITH RECURSIVE {_CONCEPTS}, edge AS (SELECT * FROM (SELECT concept, unnest(list_distinct([concept // 3, concept // 5])) AS needs FROM place) WHERE needs > 0), "
+    "below AS (SELECT concept, concept AS needs, 0 AS d FROM place UNION ALL SELECT b.concept, e.needs, d + 1 FROM below b JOIN edge e ON e.concept = b.needs), "
+    "sound AS (SELECT * FROM place ANTI JOIN (SELECT b.concept FROM below b JOIN place p ON p.concept = b.needs WHERE p.place IS NULL) USING (concept)), "
+    "hoisted AS (SELECT b.needs AS concept, min(p.place) AS place FROM below b JOIN sound p ON p.concept = b.concept GROUP BY b.needs), level AS (SELECT concept, max(d) AS level FROM below SEMI JOIN sound USING (concept) GROUP BY concept) "
+    "SELECT concept, h.place, level::INT AS level, row_number() OVER (ORDER BY h.place, level, concept) AS nth FROM hoisted h JOIN level USING (concept)"
+)
+def v11_concept_order(spark, sf_dir):
+    """Each part needs two smaller ones, which come no later than it does."""
+    from tracewell.operators import planning
+
+    placed = planning.placements(*_concepts(spark, sf_dir))
+    requires = placed.select("concept", F.explode(F.array(F.expr("concept div 3"), F.expr("concept div 5"))).alias("needs")).where("needs > 0").hint("merge")
+    return planning.concept_order(placed, requires)[0]
+
+
+@query(
+    "WITH RECURSIVE c AS (SELECT p_partkey AS concept, count(*) OVER () AS n FROM part WHERE p_partkey > 0), req AS (SELECT concept, CASE WHEN concept % 11 = 3 THEN 1000000000 ELSE concept * concept % n + 1 END AS needs FROM c WHERE concept % 5 <> 0), "
+    "reach AS (SELECT concept, needs FROM req UNION SELECT r.concept, q.needs FROM reach r JOIN req q ON q.concept = r.needs), loop AS (SELECT concept FROM reach WHERE concept = needs), bad AS (SELECT concept FROM loop UNION SELECT needs FROM reach WHERE needs = 1000000000), "
+    "lacks AS (SELECT concept FROM req WHERE needs = 1000000000) "
+    "SELECT DISTINCT concept, CASE WHEN concept IN (SELECT concept FROM loop) THEN 'cycle' WHEN concept IN (SELECT concept FROM lacks) THEN 'unknown prerequisite' ELSE 'needs a fault' END AS reason FROM reach WHERE needs IN (SELECT concept FROM bad)"
+)
+def v11_concept_faults(spark, sf_dir):
+    """Each part needs another one, so that there are cycles, ends and unknown ones."""
+    from tracewell.operators import planning
+
+    parts = table(spark, sf_dir, "part").where("p_partkey > 0").select(F.col("p_partkey").cast("long").alias("concept"))
+    n = parts.count()
+    needs = F.when(F.col("concept") % 11 == 3, F.lit(1_000_000_000)).otherwise(F.col("concept") * F.col("concept") % n + 1).cast("long")
+    return planning.concept_order(parts.withColumn("place", F.lit(1).cast("long")), parts.where("concept % 5 <> 0").select("concept", needs.alias("needs")))[1]
+
+
 @query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(trim(markdown)) AS digest FROM blocks WHERE sha256(trim(markdown)) = sha256(markdown)")
 def v13_carry_forward(spark, sf_dir):
     rows = blocks(spark, sf_dir)
