@@ -568,3 +568,37 @@ def test_listing_of_ten_thousand_folders(spark):
     documents = spark.range(500).selectExpr("100000 + id AS id", "id AS parent", "concat('Maß ', id) AS title", "false AS trashed", "false AS archived", "id AS created")
     found = tree.listed(folders, documents, query="MASS 49", limit=5).collect()
     assert [(r.place, r.total, r.kind, r.title) for r in sorted(found, key=lambda r: r.place)] == [(0, 11, "document", "Maß 49"), *((k + 1, 11, "document", f"Maß {490 + k}") for k in range(4))]
+
+
+# ---------------------------------------------------------------- nested JSON, rectangles
+
+
+def test_members_at_any_depth(spark):
+    from tracewell.sources import nested
+
+    deep = '{"sha256":"' + "a" * 64 + '"}'
+    for _ in range(12):
+        deep = '[{"k":' + deep + "}]"
+    bodies = spark.createDataFrame([(1, deep), (2, "no json"), (3, None), (4, '{"sha256":"x","a":{"sha256":["' + "b" * 64 + '"],"response_markdown_blob":"' + "c" * 64 + '"}}'), (5, "[]"), (6, "3")], "id int, body string")
+    assert rows(nested.blob_references(bodies), "id", "sha") == [(1, "a" * 64), (4, "c" * 64)]
+    assert rows(nested.members(bodies.where("id = 4")), "path", "kind") == [("/a", "object"), ("/a/response_markdown_blob", "string"), ("/a/sha256", "list"), ("/a/sha256/0", "string"), ("/sha256", "string")]
+    assert nested.search_results(bodies).count() == 0
+
+
+def test_containers_are_found_as_by_all_pairs(spark):
+    rng = random.Random(8)
+    rects = [(rng.randrange(2), i, rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice([0.0, 0.5, 3.0, 20.0, 90.0]) * rng.random(), rng.choice([0.0, 1.0, 8.0, 64.0]) * rng.random(), []) for i in range(150)]
+    df = spark.createDataFrame(rects, "material_id int, id long, x double, y double, width double, height double, ancestry array<long>")
+    want = []
+    for m, i, x, y, w, h, _ in rects:
+        holds = [j for n, j, a, b, c, d, _ in rects if n == m and j != i and a <= x and b <= y and a + c >= x + w and b + d >= y + h]
+        if holds:
+            want.append((m, i, holds[0] if len(holds) == 1 else None, "ambiguous" if len(holds) > 1 else None))
+    assert sorted(rows(binding.contained_in(df, df), "material_id", "id", "container", "reason"), key=str) == sorted(want, key=str)
+
+
+def test_a_hundred_thousand_rectangles_of_one_material(spark):
+    inner = spark.range(100_000).selectExpr("1 AS material_id", "id", "CAST(id % 400 * 10 + 2 AS DOUBLE) AS x", "CAST(id div 400 * 10 + 2 AS DOUBLE) AS y", "3D AS width", "3D AS height", "CAST(array() AS ARRAY<BIGINT>) AS ancestry")
+    outer = inner.selectExpr("material_id", "id + 1000000 AS id", "x - 1 AS x", "y - 1 AS y", "6D AS width", "6D AS height", "ancestry")
+    found = binding.contained_in(inner, outer)
+    assert found.where("container = id + 1000000").count() == 100_000 == found.count()

@@ -25,7 +25,7 @@ def link_targets(links: DataFrame) -> DataFrame:
 
 def restored_links(links: DataFrame, targets: DataFrame) -> DataFrame:
     """Links with ``restored``: relative ones by the map, ``http:www.`` repaired, unsafe schemes null."""
-    met = links.join(targets.withColumnRenamed("target", "known"), ["material_id", "original"], "left")
+    met = links.hint("merge").join(targets.withColumnRenamed("target", "known"), ["material_id", "original"], "left")
     native = F.regexp_replace("original", r"^(https?):(?=[A-Za-z0-9])", "$1://")
     value = F.when(F.col("original").rlike(r"^(#|asset:)"), F.col("original")).when(F.col("original").rlike(r"^(?i)(javascript|data|vbscript):"), None).otherwise(F.coalesce("known", native))
     return met.withColumn("restored", value).drop("known")
@@ -41,11 +41,19 @@ def kth_binding(wanted: DataFrame, found: DataFrame, keys: list[str], order: str
 def contained_in(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """(material_id, id, container, reason): the nearest declared ancestor that contains a rectangle.
 
-    Without ancestry only a single container is accepted; several are ambiguous.
+    Without ancestry only a single container is accepted; several are ambiguous.  A container is filed under the tiles it covers in a grid as
+    coarse as its larger side, four at most, and a rectangle looks its upper left corner up in each grid in use: what contains
+    it has a tile there, and all rectangles of a material never meet.
     """
-    o = outer.select("material_id", F.col("id").alias("container"), *(F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "height")))
+    sized = outer.where("width >= 0 AND height >= 0").withColumn("level", F.greatest(F.lit(-20), F.ceil(F.log2(F.greatest("width", "height", F.lit(1e-6)))).cast("int")))
+    levels = sorted(r["level"] for r in sized.select("level").distinct().collect())  # one for each power of two that occurs
+    tile = lambda c, add=F.lit(0): F.floor((F.col(c) + add) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    spans = lambda c, size: F.sequence(tile(c), tile(c, F.col(size)))  # noqa: E731  two tiles at most: they are as wide as the largest side
+    cells = sized.withColumn("tx", F.explode(spans("x", "width"))).withColumn("ty", F.explode(spans("y", "height"))).hint("merge")
+    o = cells.select("material_id", "level", "tx", "ty", F.col("id").alias("container"), *(F.col(c).alias(f"o_{c}") for c in ("x", "y", "width", "height")))
     holds = "o_x <= x and o_y <= y and o_x + o_width >= x + width and o_y + o_height >= y + height and container <> id"
-    met = inner.join(o, "material_id").where(holds)
+    corners = inner.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).withColumns({"tx": tile("x"), "ty": tile("y")}).hint("merge")
+    met = corners.join(o, ["material_id", "level", "tx", "ty"]).where(holds).drop("level", "tx", "ty")
     rank = F.array_position("ancestry", F.col("container"))
     ranked = met.withColumns({"rank": F.when(rank > 0, rank), "n": F.count("*").over(Window.partitionBy("material_id", "id"))})
     best = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("material_id", "id").orderBy(F.col("rank").asc_nulls_last(), "container"))).where("nth = 1")

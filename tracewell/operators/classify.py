@@ -17,9 +17,9 @@ def inert_markup(objects: DataFrame) -> DataFrame:
 
 def under_prefix(objects: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Objects at or below a locator prefix of their page take its class, by the lowest priority number."""
-    met = objects.join(prefixes, "page_id").where((F.col("locator") == F.col("prefix")) | F.col("locator").startswith(F.concat("prefix", F.lit("/"))))
+    met = objects.hint("merge").join(prefixes, "page_id").where((F.col("locator") == F.col("prefix")) | F.col("locator").startswith(F.concat("prefix", F.lit("/"))))
     best = met.groupBy("page_id", "ord").agg(F.min_by("class", "priority").alias("class"))
-    return objects.join(best, ["page_id", "ord"], "left")
+    return objects.hint("merge").join(best, ["page_id", "ord"], "left")
 
 
 def duplicate_media(objects: DataFrame) -> DataFrame:

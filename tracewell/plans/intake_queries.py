@@ -134,11 +134,28 @@ def s19_material_signature(spark, sf_dir):
     return op.ordered_digest(objects(spark, sf_dir), F.concat_ws(":", "kind", authored), F.col("ord"))
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS title FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+@query(
+    "WITH r AS (SELECT page_id // 5 AS id, page_id, url, row_number() OVER (PARTITION BY page_id // 5 ORDER BY page_id) AS rank FROM pages) "
+    "SELECT id, rank::INT AS rank, CASE page_id % 3 WHEN 2 THEN '' ELSE 't' || page_id END AS title, url, CASE page_id % 4 WHEN 0 THEN 's' || page_id WHEN 1 THEN 'a b' ELSE '' END AS snippet FROM r WHERE page_id % 7 <> 6 AND regexp_matches(url, '^https?://')"
+)
 def s20_result_normalisation(spark, sf_dir):
-    body = F.parse_json("props")
-    k = F.coalesce(*(F.try_variant_get(body, path, "long") for path in ("$.k", "$.results[0].k", "$.data.k")))
-    return table(spark, sf_dir, "events").select("event_id", k.alias("k"), F.col("event_type").alias("title")).where("k is not null")
+    """Answers of five pages each, their results under one of five names, in an object of results, or bare; every seventh result has no URL."""
+    from tracewell.sources.nested import search_results
+
+    k, page = F.col("page_id"), F.col("page_id").cast("string")
+    url = F.when(k % 7 == 6, "none").otherwise(F.col("url"))
+    no = lambda keep, value: F.when(keep, value)
+    location = F.struct(F.struct(no(k % 6 == 4, url).alias("homepage_url")).alias("source"), no(k % 6 == 3, url).alias("landing_page_url"))
+    row = F.struct(
+        no(k % 6 == 0, url).alias("url"), no(k % 6 == 1, url).alias("link"), no(k % 6 == 2, url).alias("href"), location.alias("primary_location"), no(k % 6 == 5, url).alias("id"),
+        no(k % 3 == 0, F.concat(F.lit("t"), page)).alias("title"), no(k % 3 == 1, F.concat(F.lit("t"), page)).alias("display_name"),
+        no(k % 4 == 0, F.concat(F.lit("s"), page)).alias("description"), no(k % 4 == 1, F.array(F.lit("a"), F.lit("b"))).alias("excerpts"),
+    )
+    made = table(spark, sf_dir, "pages").select((k - k % 5).alias("first"), F.struct("page_id", F.to_json(row).alias("row")).alias("r"))
+    held = made.groupBy("first").agg(F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]), ",").alias("rows"))
+    shapes = ('{"results":[%]}', '{"items":{"results":[%]}}', '{"other":[1],"matches":[%]}', '{"data":"x","works":[%]}', "[%]", '{"items":null,"data":{"results":[%]}}')
+    shape = F.element_at(F.array(*map(F.lit, shapes)), ((F.col("first") / 5).cast("int") % len(shapes) + 1).cast("int"))
+    return search_results(held.select((F.col("first") / 5).cast("long").alias("id"), F.replace(shape, F.lit("%"), F.col("rows")).alias("body")))
 
 
 @query(

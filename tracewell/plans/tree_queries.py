@@ -162,12 +162,19 @@ def h04_path_query(spark, sf_dir):
     return op.listed(*_spaces(spark, sf_dir), query=" Machinery/CUSTOMER#00000001", limit=500)
 
 
-@query("SELECT DISTINCT sha256(d.text) AS unreferenced FROM documents d WHERE sha256(d.text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))")
+@query("SELECT DISTINCT sha256(d.text) AS unreferenced FROM documents d WHERE text IS NOT NULL AND sha256(d.text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL AND doc_id % 4 <> 3)")
 def h10_unreferenced_blobs(spark, sf_dir):
-    """Pool rows whose digest no reviewed material names in its JSON body."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    bodies = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.to_json(F.struct("doc_id", F.struct(F.col("sha").alias("resource_id")).alias("file"))).alias("body"))
-    named = bodies.select(F.explode(F.regexp_extract_all("body", F.lit('"resource_id":"([0-9a-f]{64})"'), F.lit(1))).alias("sha")).distinct().hint("merge")
+    """Pool rows whose digest no reviewed material names: in its file, in a list of lists, as an answer's blob; a fourth names it under another key only."""
+    from tracewell.sources.nested import blob_references
+
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha"))
+    flat = F.to_json(F.struct("doc_id", F.struct(F.col("sha").alias("sha256"), F.lit("n").alias("name")).alias("file")))
+    lists = F.concat(F.lit('{"pages":[[1,[{"a":null,"b":[{"sha256":"'), "sha", F.lit('"}]}]],"x"]}'))
+    answer = F.concat(F.lit('[{"calls":{"last":{"response_markdown_blob":"'), "sha", F.lit('","sha256":"short"}}}]'))
+    other = F.concat(F.lit('{"manifest":{"digest":"'), "sha", F.lit('"}}'))
+    body = F.element_at(F.array(flat, lists, answer, other), (F.col("doc_id") % 4 + 1).cast("int"))
+    bodies = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").select(F.col("doc_id").alias("id"), body.alias("body"))
+    named = blob_references(bodies).select("sha").distinct().hint("merge")
     return docs.select("sha").distinct().join(named, "sha", "left_anti").select(F.col("sha").alias("unreferenced"))
 
 

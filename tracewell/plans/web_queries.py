@@ -123,7 +123,7 @@ def j01_link_targets(spark, sf_dir):
 
 def _hosted_links(spark, sf_dir):
     hosts = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1).alias("host"))
-    return _links(spark, sf_dir).join(hosts, "page_id").select("page_id", F.col("host").alias("material_id"), F.col("target").alias("original"), F.concat(F.lit("https://"), "host", "target").alias("target"))
+    return _links(spark, sf_dir).hint("merge").join(hosts, "page_id").select("page_id", F.col("host").alias("material_id"), F.col("target").alias("original"), F.concat(F.lit("https://"), "host", "target").alias("target"))
 
 
 @query(f"WITH {_LINKS}, {_HOSTED} SELECT page_id, target AS original, CASE WHEN regexp_matches('https://' || host || target, '^https?://[^/?#@\\s]+([/?#]\\S*)?$') THEN 'https://' || host || target ELSE target END AS restored FROM links JOIN hosted USING (page_id)")

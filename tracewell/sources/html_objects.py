@@ -110,4 +110,4 @@ def page_objects(pages: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(walk, SCHEMA)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "html").mapInArrow(walk, SCHEMA).hint("merge")

@@ -105,4 +105,4 @@ def scanned(texts: DataFrame, scanner) -> DataFrame:
             columns = list(zip(*rows)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    return texts.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(scan, OBJECT_SCHEMA)
+    return texts.select(F.col("id").cast("string").alias("id"), "text").mapInArrow(scan, OBJECT_SCHEMA).hint("merge")

@@ -45,6 +45,8 @@ def drained(stream: DataFrame, name: str, mode: str = "append", partitions: int
     query.awaitTermination()
     if mode == "append":
         return spark.read.schema(stream.schema).parquet(out)
+    if not last:
+        return spark.createDataFrame([], stream.schema)  # the source had no batch
     return spark.read.schema(stream.schema).parquet(f"{out}/batch={last[0]}" if mode == "complete" else f"{out}/batch=*")
 
 
