@@ -83,6 +83,72 @@ def v05_local_repairs(spark, sf_dir):
     return op.local_repairs(docs, edits).select("patch_id", "id", F.sha2("text", 256).alias("sha"))
 
 
+_EDITS = (
+    f"{BLOCKS_SQL}, b AS (SELECT material_id * 1000 + ord AS id, material_id, ord, markdown AS t, kind FROM blocks), "
+    "e AS (SELECT id, 1 AS nth, regexp_extract(t, '[A-Za-z]{4,}') AS old, '[1]' AS new FROM b UNION ALL SELECT id, 2, regexp_extract(t, '([A-Za-z]{5,})[^A-Za-z]*$', 1), '[2]' FROM b UNION ALL SELECT id, 3, substr(t, 3, 6), '[3]' FROM b WHERE ord % 3 = 1), "
+    "m AS (SELECT e.*, t, CASE WHEN old = '' THEN 'no old text' WHEN kind = 'document_info' THEN 'not allowed' WHEN contains(old, chr(10)) THEN 'several lines' WHEN (length(t) - length(replace(t, old, ''))) / greatest(length(old), 1) <> 1 THEN 'not unique' END AS fault FROM e JOIN b USING (id)), "
+    "p AS (SELECT *, CASE WHEN fault IS NULL THEN strpos(t, old) - 1 END AS a, CASE WHEN fault IS NULL THEN strpos(t, old) - 1 + length(old) END AS z FROM m), "
+    "o AS (SELECT *, CASE WHEN coalesce(max(z) OVER (PARTITION BY id ORDER BY a, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > a, false) THEN 'overlap' ELSE fault END AS why FROM p), "
+    "w AS (SELECT id, arg_min(why, nth) FILTER (why IS NOT NULL) AS of_edit FROM o GROUP BY id), "
+    "v AS (SELECT b.id AS patch, CASE WHEN ord % 7 = 5 THEN 'stale' WHEN material_id % 6 = 4 THEN 'too many rounds' WHEN ord % 11 = 8 THEN 'other text' ELSE of_edit END AS fault FROM b JOIN w USING (id))"
+)
+
+
+def _edit_lists(spark, sf_dir):
+    """Every block is a patch of two or three edits: its first longer word, its last one, and six characters that may cut a word or a line."""
+    from tracewell.operators import edits
+
+    rows = blocks(spark, sf_dir).select((F.col("material_id") * 1000 + F.col("ord")).alias("id"), "material_id", "ord", "kind", F.col("markdown").alias("text"))
+    olds = ((1, F.regexp_extract("text", "[A-Za-z]{4,}", 0)), (2, F.regexp_extract("text", "([A-Za-z]{5,})[^A-Za-z]*$", 1)), (3, F.substring("text", 3, 6)))
+    made = [rows.where("ord % 3 = 1" if n == 3 else "true").select(F.col("id").alias("patch"), F.lit(n).alias("nth"), "id", old.alias("old"), F.lit(f"[{n}]").alias("new")) for n, old in olds]
+    found = edits.located(made[0].unionByName(made[1]).unionByName(made[2]), rows, rows.where("kind <> 'document_info'").select(F.col("id").alias("patch"), "id"))
+    sha = F.sha2("text", 256)
+    states = rows.select(F.col("id").alias("material"), F.lit(3).alias("revision"), F.when(F.col("material_id") % 6 == 4, 2).otherwise(1).alias("rounds"), sha.alias("digest"))
+    told = F.when(F.col("ord") % 11 == 8, F.sha2(F.concat("text", F.lit(" ")), 256)).otherwise(sha)
+    patches = rows.select(F.col("id").alias("patch"), F.col("id").alias("material"), F.when(F.col("ord") % 7 == 5, 2).otherwise(3).alias("base_revision"), told.alias("digest"))
+    return found, edits.verdicts(found, patches, states)
+
+
+@query(f"WITH {_EDITS} SELECT patch, fault IS NULL AS applied, fault FROM v")
+def v04_edit_list_verdicts(spark, sf_dir):
+    return _edit_lists(spark, sf_dir)[1]
+
+
+@query(
+    f"WITH {_EDITS}, l AS (SELECT id, max(old) FILTER (nth = 1) AS o1, max(old) FILTER (nth = 2) AS o2, max(old) FILTER (nth = 3) AS o3, any_value(t) AS t FROM o GROUP BY id) "
+    "SELECT patch, id, sha256(CASE WHEN o3 IS NULL THEN replace(replace(t, o1, '[1]'), o2, '[2]') ELSE replace(replace(replace(t, o1, '[1]'), o2, '[2]'), o3, '[3]') END) AS sha FROM l JOIN v ON v.patch = l.id WHERE fault IS NULL"
+)
+def v05_edit_lists(spark, sf_dir):
+    """The text of each block after all edits of its patch."""
+    from tracewell.operators import edits
+
+    return edits.applied(*_edit_lists(spark, sf_dir)).select("patch", "id", F.sha2("text", 256).alias("sha"))
+
+
+@query(
+    "WITH d AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS head, text FROM documents WHERE text IS NOT NULL) "
+    "SELECT id, unnest([1, 2, 3])::INT AS round, unnest(CASE id % 5 WHEN 0 THEN ['verified', 'verified', 'verified'] WHEN 1 THEN ['verified', 'other result', 'broken'] WHEN 2 THEN ['other text', 'broken', 'broken'] WHEN 3 THEN ['verified', 'edits don''t fit', 'broken'] ELSE ['verified', 'verified', 'edits don''t fit'] END) AS state FROM d"
+)
+def v06_commit_chains(spark, sf_dir):
+    """Three rounds on each document behind two lines of its own: some record another digest, hit twice, or overlap."""
+    from tracewell.operators import edits
+
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 5).alias("k"), F.concat(F.lit("one two two\nthree four\n"), "text").alias("text"))
+    tail = F.substring("text", 24, 1_000_000_000)
+    shas = [F.sha2(F.concat(F.lit(head), tail), 256) for head in ("one two two\nthree four\n", "1 two two\n3 four\n", "1 two two\n3 more\n", "1 two 2\n3 more\n")]
+    wrong = F.lit("0" * 64)
+    chain = [
+        (1, F.when(F.col("k") == 2, wrong).otherwise(shas[0]), shas[1]),
+        (2, shas[1], F.when(F.col("k") == 1, wrong).otherwise(shas[2])),
+        (3, shas[2], shas[3]),
+    ]
+    commits = [docs.select("id", F.lit(n).alias("round"), before.alias("before"), after.alias("after")) for n, before, after in chain]
+    hits = ((1, 1, 1, "one", "1", "true"), (1, 2, 2, "three", "3", "true"), (2, 1, 2, "four", "more", "true"), (2, 2, 1, "two", "2", "k = 3"), (3, 1, 1, " two two", " two 2", "true"), (3, 2, 1, "two t", "x", "k = 4"))
+    made = [docs.where(when).select("id", F.lit(r).alias("round"), F.lit(n).alias("nth"), F.lit(line).alias("line"), F.lit(old).alias("old"), F.lit(new).alias("new")) for r, n, line, old, new, when in hits]
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].unionByName(union(parts[1:]))
+    return edits.replayed(docs, union(commits), union(made))
+
+
 @query(f"WITH {BLOCKS_SQL} SELECT material_id, block_id, sha256(replace(markdown, '. ', '.' || chr(10))) = sha256(replace(replace(markdown, '.' || chr(10), '. '), '. ', '.' || chr(10))) AS verified FROM blocks")
 def v06_patch_replay(spark, sf_dir):
     rows = blocks(spark, sf_dir)
