@@ -158,6 +158,54 @@ def test_quality_classifier(spark):
         assert {r.score for r in quality_classifier.scored(df, quality_classifier.train(df, few)).collect()} == {0.5 if few.count() == 0 else 1.0}
 
 
+def test_word_vectors_are_sums_over_neighbours():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 9, n).astype("<u2") for n in (0, 1, 2, 30, 7)]
+    index, sums = quality_classifier.index_vectors(), np.zeros((9, quality_classifier.DIMENSIONS))
+    for text in texts:
+        for i, here in enumerate(text.tolist()):
+            for j, there in enumerate(text.tolist()):
+                if i != j and abs(i - j) <= quality_classifier.NEIGHBOURS:
+                    sums[here] += index[there]
+    want = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    found = quality_classifier.word_vectors(texts)
+    assert np.allclose(found[:9, : quality_classifier.DIMENSIONS], want, atol=1e-5)
+    assert np.allclose(found[:, quality_classifier.DIMENSIONS :], index / 2) and not found[9:, : quality_classifier.DIMENSIONS].any()
+
+
+def test_scores_are_those_of_a_plain_loop(spark):
+    """Every score from the model's numbers alone: tokens by an expression of its own, sums one by one, two layers, temperature."""
+    rng = random.Random(6)
+    words = ["alpha", "Beta", "GAMMA", "x1y22", "--", "...", "end.", "_", "Straße", "a,b"]
+    docs = [(i, " ".join(rng.choice(words[: 5 + 5 * (i % 2)]) for _ in range(rng.randint(1, 30)))) for i in range(60)] + [(100, None), (101, ""), (None, "alpha beta"), (3, "again alpha"), (102, "long word " * 70_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    vectors, network = quality_classifier.train(df, spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int"))
+    found = sorted(((r.doc_id, r.score, r.predicted) for r in quality_classifier.scored(df, (vectors, network)).collect()), key=str)
+    assert len(found) == len(docs)
+    want = []
+    for doc_id, text in docs:
+        tokens, own = [], (text or "").encode().split()
+        for word in own:
+            for run in re.findall(r"[^\W\d_]+|\d+|_+|[^\w\s]+", word.decode()):
+                if run[0].isalpha():
+                    if run[0].isupper():
+                        tokens.append("U" if len(run) > 1 and run.isupper() else "c")
+                    tokens.append("w" + run.lower())
+                else:
+                    tokens.append(f"9{min(len(run), 6)}" if run[0].isdigit() else "s" + run[:3])
+        x, counts = np.zeros(vectors.shape[1]), Counter(tokens)
+        for token, n in counts.items():
+            x += n * vectors[zlib.crc32(token.encode()) % quality_classifier.BUCKETS].astype(float)
+        x = [*(x / max(1, len(tokens))), len(set(own)) / max(1, len(own)), math.log(1 + len(own))]
+        z = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, network.mean, network.scale)]
+        hidden = [math.tanh(sum(v * w for v, w in zip(z, column)) + b) for column, b in zip(network.w[0].T, network.w[1])]
+        logit = (sum(h * w for h, w in zip(hidden, network.w[2][:, 0])) + network.w[3][0]) / network.temperature
+        want.append((doc_id, 1 / (1 + math.exp(-min(40, max(-40, logit))))))
+    for (a, p), (b, q) in zip(sorted((str(d), p) for d, p, _ in found), sorted((str(d), p) for d, p in want), strict=True):
+        assert a == b and abs(p - q) < 1e-5
+    assert all(predicted == (score >= 0.7) for _, score, predicted in found)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     columns, before, sizes = docs.columns, docs.count(), []
