@@ -602,3 +602,30 @@ def test_a_hundred_thousand_rectangles_of_one_material(spark):
     outer = inner.selectExpr("material_id", "id + 1000000 AS id", "x - 1 AS x", "y - 1 AS y", "6D AS width", "6D AS height", "ancestry")
     found = binding.contained_in(inner, outer)
     assert found.where("container = id + 1000000").count() == 100_000 == found.count()
+
+
+# ---------------------------------------------------------------- edit lists
+
+
+def test_edits_of_a_patch_exclude_each_other(spark):
+    from tracewell.operators import edits
+
+    texts = spark.createDataFrame([(1, "aa bb cc bb"), (2, "x\ny z"), (3, None)], "id int, text string")
+    made = [(1, 1, 1, "aa", "A"), (1, 2, 1, "cc b", "C"), (2, 1, 1, "bb", "B"), (3, 1, 1, "aa b", "x"), (3, 2, 1, "a bb c", "y"), (4, 1, 2, "x\ny", "q"), (5, 1, 9, "x", "q"), (6, 1, 2, "z", "z"), (7, 1, 2, "", "z"), (8, 1, 2, "z", ""), (9, 1, 3, "z", "y")]
+    found = edits.located(spark.createDataFrame(made, "patch int, nth int, id int, old string, new string"), texts)
+    assert rows(found.where("fault IS NOT NULL"), "patch", "nth", "fault") == [(2, 1, "not unique"), (3, 2, "overlap"), (4, 1, "several lines"), (5, 1, "unknown block"), (6, 1, "no change"), (7, 1, "no old text"), (9, 1, "unknown block")]
+    patches = spark.createDataFrame([(p, 1, 3, "d") for p in (1, 3, 8, 10)] + [(11, 1, 2, "d"), (12, 2, 3, "d"), (13, 1, 3, "e"), (14, 5, 3, "d")], "patch int, material int, base_revision int, digest string")
+    judged = edits.verdicts(found, patches, spark.createDataFrame([(1, 3, 1, "d"), (2, 3, 2, "d")], "material int, revision int, rounds int, digest string"))
+    assert rows(judged, "patch", "fault") == [(1, None), (10, "no edits"), (11, "stale"), (12, "too many rounds"), (13, "other text"), (14, "stale"), (3, "overlap"), (8, None)]
+    assert rows(edits.applied(found, judged), "patch", "id", "text") == [(1, 1, "A bb Cb"), (8, 2, "x\ny ")]
+
+
+def test_commits_on_lines_that_are_missing_or_empty(spark):
+    from tracewell.operators import edits
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    texts = spark.createDataFrame([(1, "é\n\nlast"), (2, "one")], "id int, text string")
+    commits = spark.createDataFrame([(1, 1, sha("é\n\nlast"), sha("E\n\nfirst")), (1, 3, sha("E\n\nfirst"), sha("E\n\nend")), (2, 1, sha("one"), sha("two"))], "id int, round int, before string, after string")
+    made = spark.createDataFrame([(1, 1, 1, 3, "last", "first"), (1, 1, 2, 1, "é", "E"), (1, 3, 1, 3, "first", "end"), (2, 1, 1, 2, "one", "two")], "id int, round int, nth int, line int, old string, new string")
+    assert rows(edits.replayed(texts, commits, made), "id", "round", "state") == [(1, 1, "verified"), (1, 3, "verified"), (2, 1, "edits don't fit")]
+    assert edits.replayed(texts.limit(0), commits.limit(0), made.limit(0)).count() == 0
