@@ -629,3 +629,21 @@ def test_commits_on_lines_that_are_missing_or_empty(spark):
     made = spark.createDataFrame([(1, 1, 1, 3, "last", "first"), (1, 1, 2, 1, "é", "E"), (1, 3, 1, 3, "first", "end"), (2, 1, 1, 2, "one", "two")], "id int, round int, nth int, line int, old string, new string")
     assert rows(edits.replayed(texts, commits, made), "id", "round", "state") == [(1, 1, "verified"), (1, 3, "verified"), (2, 1, "edits don't fit")]
     assert edits.replayed(texts.limit(0), commits.limit(0), made.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- tables with spans
+
+
+def test_spans_make_a_logical_grid():
+    from tracewell.sources.tables import placed_cells, tables_of
+
+    assert placed_cells([[("2", None, "a"), (None, "2", "b")], [(None, None, "c"), ("9", None, "d")], [("0", "x", "e")]]) == [(0, 0, 2, 1, "a"), (0, 1, 1, 2, "b"), (1, 1, 1, 1, "c"), (1, 2, 2, 1, "d"), (2, 0, 1, 1, "e")]
+    html = "<table><tr><th rowspan=2>h<td>1<tr><td>2<table><tr><td>in</table></table><table></table><p>t"
+    assert tables_of(html) == [(1, 0, 0, 2, 1, True, "h"), (1, 0, 1, 1, 1, False, "1"), (1, 1, 1, 1, 1, False, "2in"), (2, 0, 0, 1, 1, False, "in")]
+    assert tables_of("") == [] == tables_of("<td>loose</td>")
+
+
+def test_columns_match_one_header_only(spark):
+    want = spark.createDataFrame([(1, 1, "Size"), (1, 2, "name"), (1, 3, "gone"), (1, 4, "a"), (2, 1, "x")], "table_id int, c int, name string")
+    have = spark.createDataFrame([(1, 1, "NAME"), (1, 2, "size (cm)"), (1, 3, "Last name"), (1, 4, "area")], "table_id int, c int, name string")
+    assert rows(grid.matched_columns(want, have), "table_id", "want_c", "have_c", "state") == [(1, 1, 2, None), (1, 2, 1, None), (1, 3, None, "missing column"), (1, 4, None, "ambiguous column"), (2, 1, None, "missing column")]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.scalars import casefold
+
 
 def cells(tables: DataFrame) -> DataFrame:
     """(table_id, r, c, cell) of tables(table_id, grid array<array<string>>)."""
@@ -37,6 +39,48 @@ def keyed_differences(expected: DataFrame, current: DataFrame) -> DataFrame:
     return wide.where(F.col("state").isNotNull() | ~F.col("pair.want").eqNullSafe(F.col("pair.have"))).select("table_id", "key", "c", F.col("pair.want").alias("expected"), F.col("pair.have").alias("current"), "state").distinct()
 
 
+def matched_columns(wanted: DataFrame, found: DataFrame) -> DataFrame:
+    """(table_id, name, want_c, have_c, state) of ``wanted(table_id, c, name)`` in ``found(table_id, c, name)``: the one header that holds the name.
+
+    Headers are compared without case.  An equal header comes before those that only hold the name.  A name that no header holds is a ``missing column``; one
+    that several hold, or whose header holds several names, is an ``ambiguous column``.
+    """
+    want = wanted.select("table_id", F.col("c").alias("want_c"), "name", casefold(F.col("name")).alias("key"))
+    have = found.select("table_id", F.col("c").alias("have_c"), casefold(F.col("name")).alias("header"))
+    met = want.hint("merge").join(have, "table_id").where(F.contains("header", F.col("key"))).withColumn("equal", F.col("key") == F.col("header"))
+    of_name, of_header = Window.partitionBy("table_id", "want_c"), Window.partitionBy("table_id", "have_c")
+    best = met.withColumn("any", F.bool_or("equal").over(of_name)).where("equal OR NOT any").withColumn("taken", F.bool_or("equal").over(of_header)).where("equal OR NOT taken")
+    single = best.withColumns({"names": F.count("*").over(of_name), "headers": F.count("*").over(of_header)})
+    told = single.groupBy("table_id", "want_c").agg(F.min(F.when((F.col("names") == 1) & (F.col("headers") == 1), F.col("have_c"))).alias("have_c"), F.lit(True).alias("met"))
+    state = F.when(F.col("met").isNull(), "missing column").when(F.col("have_c").isNull(), "ambiguous column")
+    return want.hint("merge").join(told, ["table_id", "want_c"], "left").select("table_id", "name", "want_c", "have_c", state.alias("state"))
+
+
+def headed_differences(expected: DataFrame, current: DataFrame) -> DataFrame:
+    """(table_id, key, name, expected, current, state): grids compared by row key and column header, wherever the columns stand.
+
+    ``expected`` and ``current`` are ``(table_id, r, c, text)``; row 0 has the headers and column 0 the keys.  Columns are told by ``matched_columns``; a
+    missing or ambiguous column is one row without a key, a row that is missing or repeated one without a name.
+    """
+    heads = lambda df: df.where("r = 0 AND c > 0").select("table_id", "c", F.col("text").alias("name"))
+    columns = matched_columns(heads(expected), heads(current))
+
+    def keyed(df: DataFrame) -> DataFrame:
+        keys = df.where("r > 0 AND c = 0").select("table_id", "r", F.col("text").alias("key"))
+        return keys.withColumn("n", F.count("*").over(Window.partitionBy("table_id", "key")))
+
+    lost = columns.where("state IS NOT NULL").select("table_id", F.lit(None).cast("string").alias("key"), "name", F.col("name").alias("expected"), F.lit(None).cast("string").alias("current"), "state")
+    want, have = keyed(expected), keyed(current).select("table_id", "key", F.col("r").alias("have_r"), F.col("n").alias("have_n"))
+    rows = want.hint("merge").join(have, ["table_id", "key"], "left").withColumn("state", F.when(F.col("have_n").isNull(), "missing row").when((F.col("n") > 1) | (F.col("have_n") > 1), "ambiguous row"))
+    none = rows.where("state IS NOT NULL").select("table_id", "key", F.lit(None).cast("string").alias("name"), F.col("key").alias("expected"), F.lit(None).cast("string").alias("current"), "state").distinct()
+    pairs = rows.where("state IS NULL").select("table_id", "key", "r", "have_r").hint("merge").join(columns.where("state IS NULL").select("table_id", "name", "want_c", "have_c"), "table_id")
+    left = expected.select("table_id", "r", F.col("c").alias("want_c"), F.col("text").alias("expected"))
+    right = current.select("table_id", F.col("r").alias("have_r"), F.col("c").alias("have_c"), F.col("text").alias("current"))
+    met = pairs.hint("merge").join(left, ["table_id", "r", "want_c"], "left").hint("merge").join(right, ["table_id", "have_r", "have_c"], "left")
+    unlike = met.where(~F.col("expected").eqNullSafe(F.col("current"))).select("table_id", "key", "name", "expected", "current", F.lit("other text").alias("state"))
+    return lost.unionByName(none).unionByName(unlike)
+
+
 def unique_tables(source: DataFrame, draft: DataFrame) -> DataFrame:
     """(source_id, draft_id): tables that are each other's only one of their signature."""
     from tracewell.operators.binding import unique_match

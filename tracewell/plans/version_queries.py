@@ -298,6 +298,65 @@ def g01_table_signatures(spark, sf_dir):
     return source.select("table_id", F.size("grid").cast("long").alias("n_rows"), width.cast("long").alias("n_columns"))
 
 
+_HTML_CELLS = (
+    "p AS (SELECT CAST(substr(p_brand, 7) AS BIGINT) AS id, p_type, p_partkey, p_name, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_type, p_partkey) AS r, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS k, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM part)"
+)
+
+
+def _html_tables(spark, sf_dir):
+    """A page for each brand, a table of its parts: a heading over two columns, a cell over the rows of each container, and a small table in the first name's cell."""
+    from tracewell.sources.tables import html_tables
+
+    nth = F.row_number().over(Window.partitionBy("p_brand", "p_type").orderBy("p_partkey"))
+    n = F.count("*").over(Window.partitionBy("p_brand", "p_type"))
+    rows = table(spark, sf_dir, "part").withColumns({"k": nth, "n": n})
+    first = F.when(F.col("k") == 1, F.concat(F.lit('<td rowspan="'), F.col("n").cast("string"), F.lit('">'), "p_type", F.lit("</td>"))).otherwise("")
+    inner = F.when(F.col("k") == 1, F.lit("<table><tr><td>in</td></tr></table>")).otherwise("")
+    row = F.concat(F.lit("<tr>"), first, F.lit("<td>"), "p_name", inner, F.lit("</td><td> "), F.col("p_size").cast("string"), F.lit("\n</td></tr>"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("p_type", "p_partkey", row.alias("row")))), lambda x: x["row"])
+    html = F.concat(F.lit('<p>x</p><table><thead><tr><th>Box</th><th colspan="2">Part</th></tr></thead><tbody>'), F.array_join(lines, ""), F.lit("</tbody></table>"))
+    return html_tables(rows.groupBy(F.substring("p_brand", 7, 9).cast("long").alias("id")).agg(html.alias("html")))
+
+
+@query(
+    f"WITH {_HTML_CELLS} SELECT DISTINCT id, 0 AS r, unnest([0, 1, 2]) AS c, true AS is_header, unnest(['Box', 'Part', 'Part']) AS text FROM p UNION ALL "
+    "SELECT id, r, unnest([0, 1, 2]), false, unnest([p_type, CASE WHEN k = 1 THEN p_name || 'in' ELSE p_name END, p_size::VARCHAR]) FROM p"
+)
+def g01_logical_grids(spark, sf_dir):
+    """Every place of the grid that spans make, outer tables only."""
+    from tracewell.sources.tables import logical_grid
+
+    return logical_grid(_html_tables(spark, sf_dir).where("table_no = 1")).select("id", "r", "c", "is_header", "text")
+
+
+@query(
+    f"WITH {_HTML_CELLS}, l AS (SELECT id, r, CASE WHEN k = 1 THEN p_type || ':' || n || ':1|' ELSE '' END || CASE WHEN k = 1 THEN p_name || 'in' ELSE p_name END || ':1:1|' || p_size || ':1:1' AS line FROM p) "
+    "SELECT id, sha256('Box:1:1|Part:1:2' || chr(10) || string_agg(line, chr(10) ORDER BY r)) AS signature FROM l GROUP BY id"
+)
+def g01_native_signatures(spark, sf_dir):
+    from tracewell.sources.tables import native_signatures
+
+    return native_signatures(_html_tables(spark, sf_dir).where("table_no = 1")).select("id", "signature")
+
+
+@query(
+    "WITH p AS (SELECT p_brand AS table_id, p_partkey::VARCHAR AS key, p_name, p_size, p_partkey FROM part) "
+    "SELECT table_id, key, 'size' AS name, p_size::VARCHAR AS expected, (p_size + 1)::VARCHAR AS current, 'other text' AS state FROM p WHERE p_partkey % 10 = 0 AND p_partkey % 7 <> 3 UNION ALL "
+    "SELECT table_id, key, NULL, key, NULL, 'missing row' FROM p WHERE p_partkey % 7 = 3 UNION ALL SELECT DISTINCT table_id, NULL, 'weight', 'weight', NULL, 'missing column' FROM p UNION ALL SELECT DISTINCT table_id, NULL, 'price', 'price', NULL, 'ambiguous column' FROM p"
+)
+def g03_headed_differences(spark, sf_dir):
+    """Each brand's parts with their columns in another order, one more between them, two that might be the price, some sizes changed and some rows gone."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("table_id"), F.col("p_partkey").cast("string").alias("key"), "p_partkey", "p_name", "p_size")
+    numbered = parts.withColumn("r", F.row_number().over(Window.partitionBy("table_id").orderBy("p_partkey")))
+    cell = lambda df, values: df.select("table_id", "r", F.posexplode(F.array(*values)).alias("c", "text")).hint("merge")
+    head = lambda names: cell(parts.select("table_id").distinct().withColumn("r", F.lit(0)), [F.lit(n) for n in names])
+    size = F.col("p_size").cast("string")
+    expected = head(["id", "name", "size", "weight", "price"]).unionByName(cell(numbered, [F.col("key"), F.col("p_name"), size, F.lit("1"), F.lit("2")]))
+    changed = F.when(F.col("p_partkey") % 10 == 0, F.col("p_size") + 1).otherwise(F.col("p_size")).cast("string")
+    current = head(["id", "Extra", "Size (cm)", "Old price", "NAME", "New Price"]).unionByName(cell(numbered.where("p_partkey % 7 <> 3"), [F.col("key"), F.lit("e"), changed, F.lit("2"), F.col("p_name"), F.lit("2")]))
+    return grid_op.headed_differences(expected, current)
+
+
 @query(f"WITH {_GRIDS}, {_CELLS.format('src')}, {_CELLS.format('drf')} SELECT table_id, r, c, s.cell AS expected, d.cell AS current FROM srcc s FULL JOIN drfc d USING (table_id, r, c) WHERE s.cell IS DISTINCT FROM d.cell")
 def g02_grid_differences(spark, sf_dir):
     found = grid_op.differences(*_grids(spark, sf_dir))
