@@ -121,6 +121,36 @@ def patched(rows: DataFrame, replace: DataFrame, add: DataFrame, remove: DataFra
     return kept.unionByName(new_rows.crossJoin(F.broadcast(top)).select("id", (F.col("top") + F.col("nth")).alias("ord"), "body"))
 
 
+def patch_conflicts(rows: DataFrame, replace: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
+    """(id, conflict): why an inventory patch must not be applied; none if it may.
+
+    Replaced and removed ids must be known, added ones new, none both replaced and removed, and each listed once.
+    """
+    known = rows.select("id").distinct()
+    ids = {"replacement": replace.select("id"), "addition": add.select("id"), "removal": remove.select("id")}
+    found = [ids[kind].join(known, "id", "left_anti").withColumn("code", F.lit(f"unknown {kind}")) for kind in ("replacement", "removal")]
+    found.append(ids["addition"].join(known, "id", "left_semi").withColumn("code", F.lit("existing addition")))
+    found.append(ids["removal"].join(ids["replacement"], "id", "left_semi").withColumn("code", F.lit("replaced and removed")))
+    found += [listed.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(f"repeated {kind}").alias("code")) for kind, listed in ids.items()]
+    return all_rules(*(f.select("id", F.col("code").alias("conflict")) for f in found)).distinct()
+
+
+def inventory_issues(facts: DataFrame, sources: DataFrame, assessed: DataFrame) -> DataFrame:
+    """(id, issue) of an inventory of facts: sources not assessed or without a fact, repeated fact ids, quotes that their source doesn't hold.
+
+    ``facts(id, source_id, quote)``, ``sources(source_id, text)``, ``assessed(source_id)``; ids are given as strings.
+    """
+    of_source = lambda df, issue: df.select(F.col("source_id").cast("string").alias("id"), F.lit(issue).alias("issue"))
+    names = sources.select("source_id").distinct()
+    missing = of_source(names.join(assessed.select("source_id"), "source_id", "left_anti"), "not assessed")
+    stray = of_source(assessed.select("source_id").distinct().join(names, "source_id", "left_anti"), "unknown source")
+    bare = of_source(names.join(facts.select("source_id"), "source_id", "left_anti"), "no fact")
+    repeated = facts.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").cast("string").alias("id"), F.lit("repeated fact").alias("issue"))
+    met = facts.hint("merge").join(sources.select("source_id", "text"), "source_id", "left")
+    loose = met.where(~F.coalesce((F.col("quote") != "") & F.contains("text", F.col("quote")), F.lit(False))).select(F.col("id").cast("string").alias("id"), F.lit("quote not in source").alias("issue"))
+    return all_rules(missing, stray, bare, repeated, loose).distinct()
+
+
 def parts(tasks: DataFrame, limit: int, keys: list[str], order: list) -> DataFrame:
     """Adds ``part``: tasks of a key in runs of ``limit``."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

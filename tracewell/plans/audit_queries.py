@@ -221,6 +221,37 @@ def a25_inventory_patch(spark, sf_dir):
     return op.patched(rows, replace, add, remove)
 
 
+@query(
+    "WITH k AS (SELECT DISTINCT c_custkey AS id FROM customer), r AS (SELECT CASE WHEN o_orderkey % 97 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS id FROM orders WHERE o_orderpriority = '1-URGENT'), a AS (SELECT o_orderkey // 2 AS id FROM orders WHERE o_orderkey % 40 < 2), "
+    "m AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 9 = 0 UNION ALL SELECT s_suppkey * 9 FROM supplier UNION ALL SELECT s_suppkey + 2000000 FROM supplier) "
+    "SELECT DISTINCT id, 'unknown replacement' AS conflict FROM r ANTI JOIN k USING (id) UNION ALL SELECT DISTINCT id, 'unknown removal' FROM m ANTI JOIN k USING (id) UNION ALL SELECT DISTINCT id, 'existing addition' FROM a SEMI JOIN k USING (id) UNION ALL SELECT DISTINCT id, 'replaced and removed' FROM m SEMI JOIN r USING (id) "
+    "UNION ALL SELECT id, 'repeated replacement' FROM r GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'repeated addition' FROM a GROUP BY id HAVING count(*) > 1 UNION ALL SELECT id, 'repeated removal' FROM m GROUP BY id HAVING count(*) > 1"
+)
+def a25_patch_conflicts(spark, sf_dir):
+    """Customers as inventory; urgent orders replace, pairs of orders add, every ninth customer and what suppliers name is removed."""
+    customers, orders, suppliers = (table(spark, sf_dir, t) for t in ("customer", "orders", "supplier"))
+    key = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_custkey") + 1_000_000).otherwise(F.col("o_custkey"))
+    replace = orders.where("o_orderpriority = '1-URGENT'").select(key.alias("id"))
+    add = orders.where("o_orderkey % 40 < 2").select(F.expr("o_orderkey div 2").alias("id"))
+    remove = customers.where("c_custkey % 9 = 0").select(F.col("c_custkey").alias("id")).unionByName(suppliers.select((F.col("s_suppkey") * 9).alias("id"))).unionByName(suppliers.select((F.col("s_suppkey") + 2_000_000).alias("id")))
+    return op.patch_conflicts(customers.select(F.col("c_custkey").alias("id")), replace, add, remove)
+
+
+@query(
+    "WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL), f AS (SELECT 'f' || (doc_id - CASE WHEN doc_id % 12 = 1 THEN 1 ELSE 0 END) AS id, doc_id AS source_id, CASE WHEN doc_id % 10 = 3 THEN left(text, 9) || chr(7) ELSE substr(text, 3, 30) END AS quote FROM d WHERE doc_id % 8 <> 5) "
+    "SELECT doc_id::VARCHAR AS id, 'not assessed' AS issue FROM d WHERE doc_id % 9 = 2 UNION SELECT doc_id::VARCHAR, 'no fact' FROM d WHERE doc_id % 8 = 5 UNION SELECT id, 'repeated fact' FROM f GROUP BY id HAVING count(*) > 1 "
+    "UNION SELECT id, 'quote not in source' FROM f JOIN d ON doc_id = source_id WHERE NOT (quote <> '' AND contains(text, quote)) UNION SELECT DISTINCT (c_custkey + 50000000)::VARCHAR, 'unknown source' FROM customer WHERE c_custkey % 100 = 1"
+)
+def a23_inventory_issues(spark, sf_dir):
+    """A fact from most documents, some under the id of the one before, some with a quote that is not there; some documents are not assessed."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("source_id"), "text")
+    own = F.concat(F.lit("f"), (F.col("source_id") - F.when(F.col("source_id") % 12 == 1, 1).otherwise(0)).cast("string"))
+    quote = F.when(F.col("source_id") % 10 == 3, F.concat(F.left("text", F.lit(9)), F.lit("\x07"))).otherwise(F.substring("text", 3, 30))
+    facts = docs.where("source_id % 8 <> 5").select(own.alias("id"), "source_id", quote.alias("quote"))
+    stray = table(spark, sf_dir, "customer").where("c_custkey % 100 = 1").select((F.col("c_custkey") + 50_000_000).cast("long").alias("source_id"))
+    return op.inventory_issues(facts, docs, docs.where("source_id % 9 <> 2").select("source_id").unionByName(stray))
+
+
 @query(f"WITH {_FACTS} SELECT f.id, CASE WHEN a.id IS NULL THEN 'source missing' WHEN a.body <> f.body THEN 'status differs' END AS issue FROM facts f LEFT JOIN adds a USING (id) WHERE a.id IS NULL OR a.body <> f.body")
 def a27_fidelity_issues(spark, sf_dir):
     facts, adds = _facts(spark, sf_dir)

@@ -132,9 +132,10 @@ def o02_latest_job(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 200")
+@query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderdate DESC, o_orderkey")
 def o03_material_listing(spark, sf_dir):
-    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(200).select("o_orderkey", "o_orderdate")
+    """All of them: the limit is optional."""
+    return table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'").orderBy(F.desc("o_orderdate"), "o_orderkey").select("o_orderkey", "o_orderdate")
 
 
 @query(
