@@ -3,7 +3,7 @@
 A folder's lineage is the list of folders from its root to itself, found by doubling: a folder takes on the lineage of the ancestor it points to,
 so a round reaches twice as many levels; ``JUMPS`` rounds are one job, which is written before the next.  Descendants, nested
 selections and cycles of moves are read from lineages, without a closure.  A folder whose parent is unknown stands at the root.  Folders in or
-below a cycle have no lineage and are left out.  Lineages are as long as a tree is deep.
+below a cycle have no lineage and no path; what they reach is walked apart.  Lineages are as long as a tree is deep.
 """
 
 from __future__ import annotations
@@ -60,17 +60,32 @@ def reached(edges: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
         jump = jump.withColumnRenamed("id", "at").hint("merge").join(on, [*keys, "at"]).select(*keys, "parent", F.col("next").alias("id")).distinct()
 
 
+def _in_cycles(folders: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame | None:
+    """(root, id) of what roots without a lineage reach: those in or below a cycle; None if there are no such folders."""
+    lost = folders.select("id", "parent").join(known.select("id"), "id", "left_anti")
+    if lost.isEmpty():
+        return None
+    return reached(lost, lost.join(roots.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("root"), "id"), [])
+
+
 def descendants(folders: DataFrame, roots: DataFrame) -> DataFrame:
     """(root, id) of every folder under a root, itself included; each pair once."""
-    above = lineages(folders).select("id", F.explode("lineage").alias("root")).hint("merge")
-    return above.join(roots.select(F.col("id").alias("root")).distinct(), "root", "left_semi").select("root", "id")
+    known = lineages(folders)
+    above = known.select("id", F.explode("lineage").alias("root")).hint("merge")
+    found = above.join(roots.select(F.col("id").alias("root")).distinct(), "root", "left_semi").select("root", "id")
+    cyclic = _in_cycles(folders, known, roots)
+    return found if cyclic is None else found.unionByName(cyclic.select("root", "id"))
 
 
 def pruned_roots(folders: DataFrame, selected: DataFrame) -> DataFrame:
     """Selected folders that are not below another selected one."""
-    own = lineages(folders).join(selected.select("id").distinct(), "id", "left_semi")
-    above = own.select(F.explode("lineage").alias("above"), "id").where("above <> id").hint("merge")
-    nested = above.join(selected.select(F.col("id").alias("above")).distinct(), "above", "left_semi").select("id").distinct()
+    known = lineages(folders)
+    own = known.join(selected.select("id").distinct(), "id", "left_semi")
+    above = own.select(F.explode("lineage").alias("above"), "id").where("above <> id")
+    cyclic = _in_cycles(folders, known, selected)
+    if cyclic is not None:
+        above = above.unionByName(cyclic.where("root <> id").select(F.col("root").alias("above"), "id"))
+    nested = above.hint("merge").join(selected.select(F.col("id").alias("above")).distinct(), "above", "left_semi").select("id").distinct()
     return selected.join(nested, "id", "left_anti")
 
 
@@ -142,9 +157,14 @@ def colliding(siblings: DataFrame) -> DataFrame:
 
 def checked_moves(folders: DataFrame, moves: DataFrame) -> DataFrame:
     """(id, target, reason): moves with why they are refused: unknown target, or into the moved folder itself."""
-    known = folders.select(F.col("id").alias("target")).join(lineages(folders).select(F.col("id").alias("target"), "lineage"), "target", "left").withColumn("is_known", F.lit(True))
-    met = moves.join(known, "target", "left")
-    inside = F.coalesce(F.array_contains("lineage", F.col("id")), F.lit(False)) | (F.col("is_known") & (F.col("id") == F.col("target")))
+    known = lineages(folders)
+    told = folders.select(F.col("id").alias("target")).join(known.select(F.col("id").alias("target"), "lineage"), "target", "left").withColumn("is_known", F.lit(True))
+    met = moves.join(told, "target", "left")
+    inside = F.coalesce(F.array_contains("lineage", F.col("id")), F.lit(False))
+    cyclic = _in_cycles(folders, known, moves)
+    if cyclic is not None:
+        met = met.join(cyclic.select(F.col("root").alias("id"), F.col("id").alias("target"), F.lit(True).alias("looped")), ["id", "target"], "left")
+        inside |= F.coalesce("looped", F.lit(False))
     return met.select("id", "target", F.when(F.col("is_known").isNull(), "unknown target").when(inside, "cycle").alias("reason"))
 
 
