@@ -647,3 +647,58 @@ def test_columns_match_one_header_only(spark):
     want = spark.createDataFrame([(1, 1, "Size"), (1, 2, "name"), (1, 3, "gone"), (1, 4, "a"), (2, 1, "x")], "table_id int, c int, name string")
     have = spark.createDataFrame([(1, 1, "NAME"), (1, 2, "size (cm)"), (1, 3, "Last name"), (1, 4, "area")], "table_id int, c int, name string")
     assert rows(grid.matched_columns(want, have), "table_id", "want_c", "have_c", "state") == [(1, 1, 2, None), (1, 2, 1, None), (1, 3, None, "missing column"), (1, 4, None, "ambiguous column"), (2, 1, None, "missing column")]
+
+
+def test_scanners_write_their_rows_in_small_batches(spark, monkeypatch):
+    import pyarrow as pa
+
+    from tracewell.operators.text import protected_lines, source_spans
+    from tracewell.sources import rows
+    from tracewell.sources.elements import elements
+    from tracewell.sources.html_objects import page_objects
+    from tracewell.sources.markup import rst_directives, scanned
+    from tracewell.sources.tables import html_tables
+
+    page = "<p><a href='x'>" + "y" * 40 + "</a></p>" + "<table><tr><td>1</td></tr></table>"
+    kinds = [
+        (scanned, (rst_directives,), "id long, text string", ".. note:: x\n.. note:: y\n", 2),
+        (source_spans, (), "id long, text string", "word " * 400, 3),
+        (page_objects, (), "page_id long, html string", page, 3),
+        (elements, (), "id long, html string", page, 6),
+        (html_tables, (), "id long, html string", page, 1),
+        (protected_lines, (), "material_id long, block_id string, markdown string", "a\nb", 2),
+    ]
+    for operator, more, columns, text, each in kinds:
+        table = spark.createDataFrame([], columns)
+        made, kept = [], type(table).mapInArrow
+        with monkeypatch.context() as patch:
+            patch.setattr(type(table), "mapInArrow", lambda self, f, schema: made.append(f) or kept(self, f, schema))
+            operator(table, *more)
+        id_ = {"material_id": 1, "block_id": "b"} if operator is protected_lines else "1" if operator in (scanned, source_spans) else 1
+        ids = pa.array([id_] * 3000)
+        names = ["page_id" if "page_id" in columns else "id", "html" if "html" in columns else "text"]
+        out = list(made[0](iter([pa.RecordBatch.from_arrays([ids, pa.array([text] * 3000)], names=names)])))
+        assert sum(b.num_rows for b in out) == 3000 * each, operator
+        assert max(b.num_rows for b in out) <= rows.ROWS_AT_ONCE
+
+
+def test_rows_leave_within_a_long_text():
+    import pyarrow as pa
+
+    from tracewell.sources import rows
+
+    schema = pa.schema({"id": pa.int64(), "text": pa.string()})
+    batch = pa.RecordBatch.from_arrays([pa.array([1, None, 2]), pa.array(["x", None, "x"])], names=["id", "text"])
+    seen = []
+
+    def scanner(text):
+        for n in range(5):
+            seen.append(n)
+            yield (text * (rows.CHARS_AT_ONCE // 2),)
+
+    out = rows.rows_of(iter([batch]), scanner, schema)
+    assert next(out).num_rows == 2 and len(seen) == 2
+    rest = list(out)
+    assert 2 + sum(b.num_rows for b in rest) == 15
+    assert {b.schema for b in rest} == {schema}
+    assert list(rows.rows_of(iter([]), scanner, schema)) == []
