@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.sources.elements import elements_of
+from tracewell.sources.rows import rows_of
 
 SCHEMA = "id long, table_no int, r int, c int, rowspan int, colspan int, is_header boolean, text string"
 #: Columns that a cell spans at most.
@@ -56,13 +57,10 @@ def tables_of(source: str) -> list[tuple]:
 
 def html_tables(pages: DataFrame) -> DataFrame:
     """Cells of the tables in ``pages(id, html)`` by their place in the logical grid; a null page has none."""
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
-    names = ["id", "table_no", "r", "c", "rowspan", "colspan", "is_header", "text"]
+    schema = pa.schema({"id": pa.int64(), **dict.fromkeys(("table_no", "r", "c", "rowspan", "colspan"), pa.int32()), "is_header": pa.bool_(), "text": pa.string()})
 
     def walk(batches):
-        for batch in batches:
-            rows = [(i, *row) for i, source in zip(batch.column("id").to_pylist(), batch.column("html").to_pylist()) for row in tables_of(source or "")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(list(zip(*rows)) or [()] * len(types), types)], names=names)
+        return rows_of(batches, tables_of, schema)
 
     return pages.select(F.col("id").cast("long").alias("id"), F.col("html").cast("string").alias("html")).mapInArrow(walk, SCHEMA).hint("merge")
 
