@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.sources.rows import rows_of
+
 SPAN_LIMIT, SPAN_LEAST = 900, 200
 
 
@@ -40,13 +42,13 @@ def cut_spans(text: str, limit: int = SPAN_LIMIT, least: int = SPAN_LEAST) -> It
 def source_spans(texts: DataFrame) -> DataFrame:
     """(id, span_id, start, end) of every span of (id, text)."""
 
+    schema = pa.schema({"id": pa.string(), "start": pa.int32(), "end": pa.int32()})
+
     def spans(batches):
-        for batch in batches:
-            rows = [(i, f"{i}:{a}:{b}", a, b) for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist()) for a, b in cut_spans(t or "")]
-            columns = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["id", "span_id", "start", "end"])
+        return rows_of(batches, cut_spans, schema)
 
-    return texts.select(F.col("id").cast("string"), "text").mapInArrow(spans, "id string, span_id string, start int, end int").hint("merge")
+    cut = texts.select(F.col("id").cast("string"), "text").mapInArrow(spans, "id string, start int, end int")
+    return cut.select("id", F.concat("id", F.lit(":"), "start", F.lit(":"), "end").alias("span_id"), "start", "end").hint("merge")
 
 
 def lines_of(blocks: DataFrame) -> DataFrame:
@@ -89,20 +91,16 @@ def protected_mask(text: str) -> list[bool]:
 def protected_lines(blocks: DataFrame) -> DataFrame:
     """(material_id, block_id, line_no, line, protected) of every line; a fold over the lines of each block."""
 
+    block = pa.struct({"material_id": pa.int64(), "block_id": pa.string()})
+    schema = pa.schema({"block": block, "line_no": pa.int32(), "line": pa.string(), "protected": pa.bool_()})
+
     def fold(batches):
-        for batch in batches:
-            keys, lines = [], []
-            for at, text in enumerate(batch.column("markdown").to_pylist()):
-                if text is not None:
-                    mask = protected_mask(text)
-                    keys += [at] * len(mask)
-                    lines += [(n, line, protected) for n, (line, protected) in enumerate(zip(text.split("\n"), mask))]
-            columns = [*(batch.column(c).take(pa.array(keys, pa.int64())) for c in ("material_id", "block_id"))]
-            columns += [pa.array([row[i] for row in lines], t) for i, t in enumerate((pa.int32(), pa.string(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["material_id", "block_id", "line_no", "line", "protected"])
-
-    picked = blocks.select(F.col("material_id").cast("long").alias("material_id"), F.col("block_id").cast("string").alias("block_id"), F.col("markdown").cast("string").alias("markdown"))
-    return picked.mapInArrow(fold, "material_id long, block_id string, line_no int, line string, protected boolean").hint("merge")
+        return rows_of(batches, lambda text: ((n, line, protected) for n, (line, protected) in enumerate(zip(text.split("\n"), protected_mask(text)))), schema)
+
+    key = F.struct(F.col("material_id").cast("long").alias("material_id"), F.col("block_id").cast("string").alias("block_id"))
+    picked = blocks.where("markdown IS NOT NULL").select(key.alias("block"), F.col("markdown").cast("string").alias("markdown"))
+    found = picked.mapInArrow(fold, "block struct<material_id: long, block_id: string>, line_no int, line string, protected boolean")
+    return found.select("block.material_id", "block.block_id", "line_no", "line", "protected").hint("merge")
 
 
 def evidence_catalog(blocks: DataFrame) -> DataFrame:
