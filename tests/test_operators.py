@@ -702,3 +702,25 @@ def test_rows_leave_within_a_long_text():
     assert 2 + sum(b.num_rows for b in rest) == 15
     assert {b.schema for b in rest} == {schema}
     assert list(rows.rows_of(iter([]), scanner, schema)) == []
+
+
+def test_replayed_chains_write_no_texts_between_rounds(spark):
+    from tracewell.operators import edits
+
+    texts = spark.createDataFrame([(1, "a b"), (2, None)], "id long, text string")
+    sha = lambda text: __import__("hashlib").sha256(text.encode()).hexdigest()
+    commits = spark.createDataFrame([(1, 2, sha("a b"), sha("c b")), (1, 10, sha("c b"), sha("c d")), (2, 1, sha(""), sha(""))], "id long, round int, before string, after string")
+    made = spark.createDataFrame([(1, 2, 1, 1, "a", "c"), (1, 10, 1, 1, "b", "d")], "id long, round int, nth int, line int, old string, new string")
+    out = edits.replayed(texts, commits, made)
+    assert out.inputFiles() == []
+    assert sorted(map(tuple, out.collect())) == [(1, 2, "verified"), (1, 10, "verified"), (2, 1, "edits don't fit")]
+
+
+def test_closure_makes_each_way_of_a_chain_once(spark, monkeypatch):
+    from tracewell.operators import versions
+
+    chain = spark.createDataFrame([(n, n + 1) for n in range(16)], "concept long, needs long")
+    made, kept = [], type(chain).unionByName
+    monkeypatch.setattr(type(chain), "unionByName", lambda self, other: made.append(other.count()) or kept(self, other))
+    assert versions.prerequisite_closure(chain).count() == 136
+    assert sum(made) == 136 - 16

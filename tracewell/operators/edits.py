@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.plans.staging import stage
-
 #: Rounds of repair after which a patch comes too late.
 ROUNDS = 2
 
@@ -70,35 +68,69 @@ def applied(found: DataFrame, judged: DataFrame) -> DataFrame:
     return good.groupBy("patch", "id").agg(F.first("text").alias("text"), hits.alias("hits")).select("patch", "id", _woven(F.col("text"), F.col("hits")).alias("text"))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)``, where the value is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _places(text: Column, edits: Column) -> Column:
+    """(start, end, new) of each edit in order; start is null where it doesn't hit once in its line."""
+
+    def placed(lines: Column) -> Column:
+        def place(e: Column) -> Column:
+            line = F.get(lines, e["line"].cast("int") - 1)
+            ahead = F.char_length(F.array_join(F.slice(lines, F.lit(1), F.greatest(e["line"].cast("int") - 1, F.lit(0))), "\n")) + F.when(e["line"] > 1, 1).otherwise(0)
+            hit = (e["line"] >= 1) & line.isNotNull() & (e["old"] != "") & (_hits(line, e["old"]) == 1)
+            start = F.when(hit, ahead + F.position(e["old"], line) - 1)
+            return F.struct(start.alias("start"), (start + F.char_length(e["old"])).alias("end"), e["new"].alias("new"))
+
+        return F.array_sort(F.transform(edits, place))
+
+    return _let(F.split(text, "\n"), placed)
+
+
+def _by_round(a: Column, b: Column) -> Column:
+    return F.when(a["round"] < b["round"], -1).when(a["round"] > b["round"], 1).otherwise(0)
+
+
+def _after_commit(now: Column, commit: Column) -> Column:
+    """The text, whether the chain still holds, and the states so far, after one more commit."""
+
+    def made(hits: Column) -> Column:
+        clear = F.transform(hits, lambda h, i: h["start"].isNotNull() & ((i == 0) | F.coalesce(F.get(hits, i - 1)["end"] <= h["start"], F.lit(False))))
+        fits = F.coalesce((F.size(hits) > 0) & F.forall(clear, lambda ok: ok), F.lit(False))
+        return F.when(fits, _woven(now["text"], hits))
+
+    def judged(after: Column) -> Column:
+        return (
+            F.when(~now["sound"], "broken").when(F.sha2(now["text"], 256) != commit["before"], "other text").when(after.isNull(), "edits don't fit")
+            .when(F.sha2(after, 256) != commit["after"], "other result").otherwise("verified")
+        )
+
+    def moved(after: Column) -> Column:
+        def told(state: Column) -> Column:
+            good = state == "verified"
+            entry = F.struct(commit["round"].alias("round"), state.alias("state"))
+            return F.struct(F.when(good, after).otherwise(now["text"]).alias("text"), (now["sound"] & good).alias("sound"), F.concat(now["states"], F.array(entry)).alias("states"))
+
+        return _let(judged(after), told)
+
+    return _let(_let(_places(now["text"], commit["edits"]), made), moved)
+
+
 def replayed(texts: DataFrame, commits: DataFrame, edits: DataFrame) -> DataFrame:
     """(id, round, state) of a chain of commits on each text: ``verified``, or why not.
 
     ``texts(id, text)`` before the first round, ``commits(id, round, before, after)`` with digests, ``edits(id, round, nth, line, old, new)``; lines count from 1.
     A commit is verified if the text that the earlier ones leave has the digest ``before``, each edit hits once in its line and none
     overlap, and the text after has the digest ``after``.  Behind one that is not, the chain is ``broken``.  Rounds without a commit are passed over.
+    A text meets its whole chain in one join and is folded over it in its row, so it travels once, however many rounds there are.
     """
-    now, states = stage(texts.select("id", "text", F.lit(True).alias("sound")), "replay"), []
-    for number in range(1, (commits.agg(F.max("round")).first()[0] or 0) + 1):
-        due = commits.where(F.col("round") == number).select("id", "round", "before", "after")
-        own = edits.where(F.col("round") == number).select("id", "nth", "line", "old", "new")
-        lines = F.split("text", "\n")
-        met = now.hint("merge").join(own, "id")
-        line = F.get(lines, F.col("line").cast("int") - 1)
-        ahead = F.char_length(F.array_join(F.slice(lines, F.lit(1), F.greatest(F.col("line").cast("int") - 1, F.lit(0))), "\n")) + F.when(F.col("line") > 1, 1).otherwise(0)
-        hit = (F.col("line") >= 1) & line.isNotNull() & (F.col("old") != "") & (_hits(line, F.col("old")) == 1)
-        placed = met.withColumn("held", line).withColumns({"hit": F.coalesce(hit, F.lit(False)), "start": ahead + F.expr("locate(old, held) - 1")})
-        placed = placed.select("id", "nth", "new", "hit", "start", (F.col("start") + F.char_length("old")).alias("end"))
-        before = Window.partitionBy("id").orderBy("start", "nth").rowsBetween(Window.unboundedPreceding, -1)
-        clean = placed.withColumn("clear", F.coalesce(F.max("end").over(before) <= F.col("start"), F.lit(True)))
-        gathered = clean.groupBy("id").agg(F.bool_and(F.col("hit") & F.col("clear")).alias("fits"), F.array_sort(F.collect_list(F.struct("start", "end", "new"))).alias("hits"))
-        judged = now.hint("merge").join(due, "id").hint("merge").join(gathered, "id", "left")
-        judged = judged.withColumn("made", F.when(F.coalesce("fits", F.lit(False)), _woven(F.col("text"), F.col("hits"))))
-        state = F.when(~F.col("sound"), "broken").when(F.sha2("text", 256) != F.col("before"), "other text").when(F.col("made").isNull(), "edits don't fit").when(F.sha2("made", 256) != F.col("after"), "other result").otherwise("verified")
-        judged = stage(judged.select("id", "round", "made", state.alias("state")), "replay")
-        states.append(judged.select("id", "round", "state"))
-        left = now.hint("merge").join(judged.select("id", "made", "state"), "id", "left")
-        now = stage(left.select("id", F.when(F.col("state") == "verified", F.col("made")).otherwise(F.col("text")).alias("text"), (F.col("sound") & F.coalesce(F.col("state") == "verified", F.lit(True))).alias("sound")), "replay")
-    out = texts.sparkSession.createDataFrame([], f"id {texts.schema['id'].dataType.simpleString()}, round int, state string")
-    for part in states:
-        out = out.unionByName(part.withColumn("round", F.col("round").cast("int")))
-    return out
+    edit = F.struct("nth", "line", "old", "new")
+    of_round = edits.groupBy("id", "round").agg(F.array_sort(F.collect_list(edit)).alias("edits"))
+    due = commits.where("round >= 1").select("id", "round", "before", "after").hint("merge").join(of_round, ["id", "round"], "left")
+    commit = F.struct(F.col("round").cast("int").alias("round"), "before", "after", "edits")
+    chains = due.groupBy("id").agg(F.array_sort(F.collect_list(commit), _by_round).alias("chain"))
+    start = F.struct(F.col("text").alias("text"), F.lit(True).alias("sound"), F.array().cast("array<struct<round:int,state:string>>").alias("states"))
+    met = texts.select("id", "text").hint("merge").join(chains, "id")
+    return met.select("id", F.inline(F.aggregate("chain", start, _after_commit)["states"])).select("id", "round", "state")
