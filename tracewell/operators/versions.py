@@ -64,20 +64,20 @@ def owned_once(claims: DataFrame) -> DataFrame:
 def prerequisite_closure(requires: DataFrame) -> DataFrame:
     """(concept, needs, distance) for all direct and indirect prerequisites, by the shortest way; a cycle leads back once.
 
-    The closure is joined with itself, so that a round doubles the distance it reaches; each is written before the next
-    one, and rounds go on until nothing is new.
+    With all distances up to d known, the ways of d + 1 to 2 d steps begin with one of exactly d: only those pairs are joined with the closure, so a
+    round doubles the distance and makes a way about once.  Rounds are written, and go on until no pair has the distance d.
     """
     from tracewell.plans.staging import stage
 
-    every, before = stage(requires.select("concept", "needs").distinct().withColumn("distance", F.lit(1)), "closure"), None
+    every, reach = stage(requires.select("concept", "needs").distinct().withColumn("distance", F.lit(1)), "closure"), 1
     while True:
-        now = every.agg(F.count("*").alias("n"), F.sum("distance").alias("d")).first()
-        if now == before:
+        furthest = every.where(F.col("distance") == reach).select("concept", F.col("needs").alias("via"))
+        if furthest.isEmpty():
             return every
-        before = now
-        onward = every.select(F.col("concept").alias("needs"), F.col("needs").alias("further"), F.col("distance").alias("more"))
-        longer = every.hint("merge").join(onward, "needs").select("concept", F.col("further").alias("needs"), (F.col("distance") + F.col("more")).alias("distance"))
+        onward = every.select(F.col("concept").alias("via"), "needs", (F.col("distance") + reach).alias("distance"))
+        longer = furthest.hint("merge").join(onward, "via").select("concept", "needs", "distance")
         every = stage(every.unionByName(longer).groupBy("concept", "needs").agg(F.min("distance").alias("distance")), "closure")
+        reach *= 2
 
 
 def carried_forward(records: DataFrame, blocks: DataFrame) -> DataFrame:
