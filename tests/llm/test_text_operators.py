@@ -267,6 +267,29 @@ def test_linked_fingerprints_find_nearly_all_copies(spark):
     assert linked.where("n >= 0").count() > 0 and simhash._linked(texts.limit(0)).count() == 0
 
 
+def test_sketches_part_unlike_texts_and_no_alike_ones(spark):
+    """A group with a common passage makes no rows but for texts that may be alike, in both passes; no alike pair is parted."""
+    rng = np.random.default_rng(16)
+    for _ in range(300):
+        a = rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64)
+        b = np.unique(np.concatenate([a[: len(a) - rng.integers(0, len(a) // 5 + 1)], rng.integers(0, 1 << 63, rng.integers(0, len(a) // 5 + 1), dtype=np.uint64)]))
+        a = np.unique(a)
+        turned = sum((int(x) ^ int(y)).bit_count() for x, y in zip(simhash.sketch(a).view(np.uint64), simhash.sketch(b).view(np.uint64)))
+        assert turned <= len(np.setxor1d(a, b))
+    passage = [f"passage{k}" for k in range(60)]
+    texts = [[*passage, *(f"own{i // 2}x{k}" for k in range(40)), *["end"] * (i % 2)] for i in range(200)]
+    texts = spark.createDataFrame([(i, " ".join(t).encode()) for i, t in enumerate(texts)], "n long, text binary")
+    want = {(i, i - 1) for i in range(1, 200, 2)}
+    sets = simhash._shingle_sets(texts).cache()
+    pairs = lambda met: [(r.n, r.first) for r in met.where("first >= 0").collect()]
+    cells = simhash._sketched(simhash._postings(texts, 0.8).select("key", "n"), sets).cache()
+    assert sorted(pairs(simhash._met(cells, 200, 0.8))) == sorted(want)
+    assert {r.n for r in simhash._met(cells, 4, 0.8).where("first < 0").collect()} >= set(range(8, 200))
+    one_key = texts.select(F.lit(1).cast("long").alias("key"), "n", F.lit(0).cast("long").alias("fp"))
+    assert sorted(pairs(simhash._linked_pairs(simhash._sketched(one_key, sets), 200, 0.8))) == sorted(want)
+    assert len(pairs(simhash._linked_pairs(one_key, 200))) == 200 * 199 // 2
+
+
 def test_table_marks_keep_tables_apart():
     marks = [simhash._table_mark(t) for t in range(simhash.TABLES)]
     assert all((a ^ b).bit_count() >= 4 for i, a in enumerate(marks) for b in marks[:i]) and max(marks) < 2**63

@@ -24,6 +24,8 @@ text has ``TABLES`` SimHash fingerprints of its words (46 bits, two Golay codes,
 most), and texts whose fingerprints are linked in some table are compared by their whole sets of five-word
 shingles.  That finds nearly all copies and leaves one text of a family.  Fingerprints miss some pairs, so the second pass compares, among
 the texts that stay, those that share a cell of shingle space (``cells``), as any two texts of that similarity do, whatever their length.
+Both passes part unlike texts where they meet, by parities of their shingles in ``SKETCH_BITS`` classes: two sets differ in as many shingles as
+their parities differ in bits, or more, so only pairs that may be alike become rows, however many share a passage.  What they drop is never alike.
 
 Edge cases: null and wordless texts have fingerprint zero and are linked like any other; one
 or two words are one shingle; repeated rows stay repeated; a null doc_id never becomes a
@@ -34,7 +36,7 @@ the input are ignored by ``fingerprints`` and kept by ``deduplicated``.
 from __future__ import annotations
 
 import math
-from functools import cache
+from functools import cache, reduce
 from itertools import combinations
 from math import comb
 
@@ -305,6 +307,12 @@ COPY_SHINGLE, MIN_SIMILARITY = 5, 0.8
 #: Fingerprints of a text's words: how many, their codes (which cover all their bits), and how often a word counts at most.
 TABLES, COPY_CODES, COUNTED = 8, CODES[:2], 4
 _COPY_BITS = sum(code[0] for code in COPY_CODES)
+#: Bits of a set's sketch, and its columns of 64 bits each.
+SKETCH_BITS = 512
+SKETCH = tuple(f"s{k}" for k in range(SKETCH_BITS // 64))
+_SKETCH_SALT = np.uint64(0xA0761D6478BD642F)
+#: Rows that a task holds back to give each once.
+_HELD = 1 << 20
 #: Numbers of texts that are broadcast at most; beyond, they are joined by sorting.
 BROADCAST_ROWS = 500_000
 
@@ -321,15 +329,34 @@ def _shingle_set(text: bytes) -> np.ndarray:
     return np.unique(rolling(h, min(COPY_SHINGLE, max(1, len(h)))))
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles in each of ``SKETCH_BITS`` classes is odd.  A shingle that one of two sets lacks turns one bit."""
+    own = (mixed(shingles ^ _SKETCH_SALT) >> np.uint64(64 - (SKETCH_BITS.bit_length() - 1))).astype(np.int64)
+    odd = (np.bincount(own, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
+
+
+def _allowed(sizes, min_similarity: float):
+    """How many shingles two sets of so many together may differ in, and a little more than rounding may cost."""
+    return sizes * ((1 - min_similarity) / (1 + min_similarity)) + 1e-6
+
+
 def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """(n, shingles)"""
+    """(n, shingles, size, sketch columns)"""
 
     def cut(batches):
         for batch, rows in text_batches(batches):
-            sets = [_shingle_set(t).view(np.int64) for t in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(sets, pa.list_(pa.int64()))], names=["n", "shingles"])
+            sets = [_shingle_set(t) for t in rows]
+            odd = np.stack([sketch(s) for s in sets]) if sets else np.zeros((0, len(SKETCH)), np.int64)
+            columns = [batch.column("n"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *map(pa.array, odd.T)], names=["n", "shingles", "size", *SKETCH])
+
+    return texts.mapInArrow(cut, f"n long, shingles array<long>, size int, {', '.join(f'{c} long' for c in SKETCH)}")
 
-    return texts.mapInArrow(cut, "n long, shingles array<long>")
+
+def _sketched(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """``postings`` with the size and the sketch of each text's set."""
+    return postings.hint("merge").join(sets.select("n", "size", *SKETCH), "n")
 
 
 def _whole_groups(batches, columns: tuple[str, ...]):
@@ -382,24 +409,38 @@ def _postings(texts: DataFrame, min_similarity: float) -> DataFrame:
 def _met(postings: DataFrame, leaders: int, min_similarity: float) -> DataFrame:
     """(n, first): texts with the first ``leaders`` texts of each key, where sizes allow the similarity.
 
-    ``first`` is -1 for a text that is not among the first ones of some key of its own.
+    ``first`` is -1 for a text that is not among the first ones of some key of its own.  Texts whose sketches differ in more
+    bits than alike texts may differ in shingles are parted here.
     """
 
     def rows(n, first) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(n.astype(np.int64)), pa.array(first.astype(np.int64))], names=["n", "first"])
 
     def meet(batches):
-        for key, n, size in _whole_groups(batches, ("key", "n", "size")):
+        late, n_late = [], 0
+        for key, n, size, *odd in _whole_groups(batches, ("key", "n", "size", *SKETCH)):
             begin, members = _begins(key)
             place = np.arange(len(key)) - begin
-            late = np.unique(n[place >= leaders])
-            yield rows(late, np.full(len(late), -1))
+            late.append(np.unique(n[place >= leaders]))
+            n_late += len(late[-1])
+            if n_late > _HELD:
+                late = [np.unique(np.concatenate(late))]
+                yield rows(late[0], np.full(len(late[0]), -1))
+                late, n_late = [], 0
+            left = np.flatnonzero(members > 1)
             for j in range(min(leaders, int(members.max(initial=1)) - 1)):
-                row = np.flatnonzero(place > j)
-                first = begin[row] + j
-                fits = np.minimum(size[row], size[first]) >= min_similarity * np.maximum(size[row], size[first]) - 1e-9
-                pairs = np.unique(np.stack([n[row[fits]], n[first[fits]]], axis=1), axis=0)
-                yield rows(pairs[:, 0], pairs[:, 1])
+                left = left[place[left] > j]
+                first = begin[left] + j
+                fits = np.minimum(size[left], size[first]) >= min_similarity * np.maximum(size[left], size[first]) - 1e-9
+                row, first = left[fits], first[fits]
+                differing = sum(np.bitwise_count((s[row] ^ s[first]).view(np.uint64)).astype(np.int64) for s in odd)
+                alike = differing <= _allowed(size[row] + size[first], min_similarity)
+                if alike.any():
+                    pairs = np.unique(np.stack([n[row[alike]], n[first[alike]]], axis=1), axis=0)
+                    yield rows(pairs[:, 0], pairs[:, 1])
+        if late:
+            late = np.unique(np.concatenate(late))
+            yield rows(late, np.full(len(late), -1))
 
     found = postings.repartition("key").sortWithinPartitions("key", "n").mapInArrow(meet, "n long, first long")
     return found.distinct()
@@ -455,15 +496,21 @@ def _linked(texts: DataFrame) -> DataFrame:
     return prints.hint("merge").join(members, "fp").select("key", "n", "fp")
 
 
-def _linked_pairs(postings: DataFrame, leaders: int) -> DataFrame:
+def _linked_pairs(postings: DataFrame, leaders: int, min_similarity: float | None = None) -> DataFrame:
     """(n, first): texts with the first ``leaders`` texts of each key that their fingerprints are linked with; -1 as in ``_met``.
 
-    First ones are picked before the shuffle as well, so a large group sends few; joins with them are of the kind that
+    With ``min_similarity``, postings have sizes and sketches, and texts that can't be so similar are parted.  First ones are picked before the shuffle as well, so a large group sends few; joins with them are of the kind that
     adaptive execution splits where a key is hot.
     """
     nth = F.row_number().over(Window.partitionBy("key").orderBy("n", "fp"))
-    firsts = stage(postings.withColumn("nth", nth).where(F.col("nth") <= leaders).select("key", F.col("n").alias("first"), F.col("fp").alias("first_fp"), "nth"), "firsts")
-    near = (F.col("first") < F.col("n")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("first_fp"))) <= THRESHOLD)
+    judged = () if min_similarity is None else ("size", *SKETCH)
+    firsts = postings.withColumn("nth", nth).where(F.col("nth") <= leaders)
+    firsts = stage(firsts.select("key", F.col("n").alias("first"), F.col("fp").alias("first_fp"), "nth", *(F.col(c).alias(f"first_{c}") for c in judged)), "firsts")
+    differing = lambda columns: reduce(lambda a, b: a + b, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"first_{c}"))) for c in columns))
+    near = (F.col("first") < F.col("n")) & (differing(["fp"]) <= THRESHOLD)
+    if judged:
+        near &= F.least("size", "first_size") >= min_similarity * F.greatest("size", "first_size") - 1e-9
+        near &= differing(SKETCH) <= _allowed(F.col("size") + F.col("first_size"), min_similarity)
     pairs = postings.hint("merge").join(firsts, "key").where(near).select("n", "first").distinct()
     last = firsts.where(F.col("nth") == leaders).select("key", F.col("first").alias("last"))
     late = postings.hint("merge").join(last, "key").where("n > last").select("n").distinct()
@@ -501,6 +548,10 @@ def _gone(postings: DataFrame, meet, sets_of, min_similarity: float, leaders: in
     return out
 
 
+def _sets_of(sets: DataFrame):
+    return lambda wanted: sets.select("n", "shingles").hint("merge").join(wanted, "n", "left_semi")
+
+
 def _near(texts: DataFrame, min_similarity: float) -> DataFrame:
     """(n, first): texts of ``texts(n, text)`` that are like a text with a smaller n that stays.
 
@@ -509,7 +560,8 @@ def _near(texts: DataFrame, min_similarity: float) -> DataFrame:
     """
     linked = stage(_linked(texts), "linked")
     sets = stage(_shingle_sets(texts.hint("merge").join(linked.select("n").distinct(), "n", "left_semi")), "sets")
-    by_prints = _gone(linked, _linked_pairs, lambda wanted: sets.hint("merge").join(wanted, "n", "left_semi"), min_similarity, 1, 16)
+    linked = stage(_sketched(linked, sets), "linked")
+    by_prints = _gone(linked, lambda rows, leaders: _linked_pairs(rows, leaders, min_similarity), _sets_of(sets), min_similarity, 1, 16)
     by_prints = stage(by_prints, "copies")
     gone = by_prints.select("n")
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone.hint("merge")
@@ -518,7 +570,8 @@ def _near(texts: DataFrame, min_similarity: float) -> DataFrame:
     wanted = stage(shared.select("n").distinct(), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted.hint("merge")
     rest_sets = stage(_shingle_sets(texts.join(few, "n", "left_semi")), "sets")
-    by_cells = _gone(shared, lambda rows, leaders: _met(rows, leaders, min_similarity), lambda wanted: rest_sets.hint("merge").join(wanted, "n", "left_semi"), min_similarity, 4, 4)
+    shared = stage(_sketched(shared.select("key", "n"), rest_sets), "postings")
+    by_cells = _gone(shared, lambda rows, leaders: _met(rows, leaders, min_similarity), _sets_of(rest_sets), min_similarity, 4, 4)
     return by_prints.unionByName(by_cells)
 
 
