@@ -87,6 +87,21 @@ def test_coverage_rules(spark):
     assert coverage.omitted(duties.limit(0), covers).count() == 0
 
 
+def test_rules_of_release_hold_drafts_and_sort_no_lines(spark):
+    """Repeated and null keys count as before, and no line is sorted."""
+    placed = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", "y"), (None, "a", "x"), (2, None, "x")], "material_id long, object_id string, quote string")
+    lines = spark.createDataFrame([(1, "a", "xx"), (1, "a", "z"), (3, "b", "y"), (None, "a", "x")], "material_id long, object_id string, text string")
+    keys, got = ["material_id", "object_id"], lambda df: sorted(((r.material_id, r.object_id) for r in df.collect()), key=str)
+    few = coverage.unknown(placed, lines, keys, "u", few=True)
+    assert got(few) == got(coverage.unknown(placed, lines, keys, "u")) == sorted([(1, "b"), (None, "a"), (2, None)], key=str)
+    misquoted = coverage.misquoted(placed, lines)
+    assert got(misquoted) == sorted([(1, "a"), (1, "a"), (1, "b"), (None, "a"), (2, None)], key=str)
+    omitted = coverage.omitted(lines.withColumnRenamed("object_id", "obligation_id"), placed.withColumnRenamed("object_id", "obligation_id"))
+    for df in (few, misquoted, omitted):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_verdicts_and_sets(spark):
     found = spark.createDataFrame([(1, "I1", "FAIL"), (1, "I1", "UNKNOWN"), (1, "I2", "UNKNOWN"), (2, "I1", "PASS")], "material_id long, invariant string, status string")
     which = spark.createDataFrame([("I1",), ("I2",), ("I3",)], "invariant string")

@@ -100,8 +100,11 @@ def carried(previous: DataFrame, current: DataFrame, edited: DataFrame, blocks:
 
 
 def literal_quotes(quotes: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Quotes with ``found``: whether they are literal parts of their source; an empty quote fits only an empty text."""
-    met = quotes.join(sources, keys, "left")
+    """Quotes with ``found``: whether they are literal parts of their source; an empty quote fits only an empty text.
+
+    Quotes are held in hash tables, and sources stream past without a sort.
+    """
+    met = quotes.hint("shuffle_hash").join(sources, keys, "left")
     fits = F.when(F.col("quote") == "", F.col("text") == "").otherwise(F.contains("text", F.col("quote")))
     return met.withColumn("found", F.coalesce(fits, F.lit(False))).drop("text")
 

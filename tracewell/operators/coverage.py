@@ -24,8 +24,11 @@ def all_rules(*rules: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
 
-def unknown(rows: DataFrame, known: DataFrame, keys: list[str], code: str) -> DataFrame:
-    """Rows whose key is not among the known ones."""
+def unknown(rows: DataFrame, known: DataFrame, keys: list[str], code: str, few: bool = False) -> DataFrame:
+    """Rows whose key is not among the known ones.  With ``few`` rows, these are held in hash tables, and the known ones stream past without a sort."""
+    if few:
+        met = rows.hint("shuffle_hash").join(known.select(*keys, F.lit(True).alias("is_known")), keys, "left")
+        return violation(met.where("is_known IS NULL").drop("is_known"), code)
     return violation(rows.join(known.select(*keys).distinct(), keys, "left_anti"), code)
 
 
@@ -58,8 +61,8 @@ def misquoted(evidence: DataFrame, objects: DataFrame) -> DataFrame:
 
 
 def omitted(obligations: DataFrame, covers: DataFrame) -> DataFrame:
-    """Obligations that no block covers."""
-    return violation(obligations.join(covers.select("material_id", "obligation_id").distinct(), ["material_id", "obligation_id"], "left_anti"), "omission")
+    """Obligations that no block covers; covers are held in hash tables, and obligations stream past without a sort."""
+    return violation(obligations.join(covers.select("material_id", "obligation_id").distinct().hint("shuffle_hash"), ["material_id", "obligation_id"], "left_anti"), "omission")
 
 
 PROTECTED_KINDS = ("image", "media", "table", "code", "formula", "link", "page", "attachment", "footnote")

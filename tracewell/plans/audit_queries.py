@@ -84,7 +84,7 @@ def a07_empty_block(spark, sf_dir):
 
 @query(f"WITH {_MODEL} {_v('unknown_obligation', 'block_id', 'object_id', 'obligation_id')} FROM placed ANTI JOIN obligations USING (material_id, obligation_id)")
 def a08_unknown_obligation(spark, sf_dir):
-    return op.unknown(_placed(spark, sf_dir), obligations(objects(spark, sf_dir)), ["material_id", "obligation_id"], "unknown_obligation")
+    return op.unknown(_placed(spark, sf_dir), obligations(objects(spark, sf_dir, hint=None)), ["material_id", "obligation_id"], "unknown_obligation", few=True)
 
 
 @query(
@@ -99,17 +99,17 @@ def a09_unmapped_obligation(spark, sf_dir):
 
 @query(f"WITH {_MODEL} {_v('quote', 'block_id', 'object_id')} FROM placed LEFT JOIN (SELECT material_id, object_id, text FROM objects) USING (material_id, object_id) WHERE NOT coalesce(CASE WHEN quote = '' THEN text = '' ELSE contains(text, quote) END, false)")
 def a10_quote_mismatch(spark, sf_dir):
-    return op.misquoted(_placed(spark, sf_dir).drop("obligation_id"), objects(spark, sf_dir))
+    return op.misquoted(_placed(spark, sf_dir).drop("obligation_id"), objects(spark, sf_dir, hint=None))
 
 
 @query(f"WITH {_MODEL} {_v('unknown_object', 'block_id', 'object_id', 'obligation_id')} FROM placed ANTI JOIN objects USING (material_id, object_id)")
 def a11_unknown_object(spark, sf_dir):
-    return op.unknown(_placed(spark, sf_dir), objects(spark, sf_dir), ["material_id", "object_id"], "unknown_object")
+    return op.unknown(_placed(spark, sf_dir), objects(spark, sf_dir, hint=None), ["material_id", "object_id"], "unknown_object", few=True)
 
 
 @query(f"WITH {_MODEL} {_v('omission', obj='object_id', obl='obligation_id')} FROM obligations ANTI JOIN placed USING (material_id, obligation_id)")
 def a12_omission(spark, sf_dir):
-    return op.omitted(obligations(objects(spark, sf_dir)), _placed(spark, sf_dir))
+    return op.omitted(obligations(objects(spark, sf_dir, hint=None)), _placed(spark, sf_dir))
 
 
 @query(f"WITH {_MODEL}, {_DRAFTED} {_v('protected_object', obj='object_id')} FROM drafted ANTI JOIN placed USING (material_id, object_id) WHERE kind IN ('image', 'media', 'table', 'code', 'formula', 'link', 'page', 'attachment', 'footnote')")
@@ -139,8 +139,8 @@ def a15_plan_coverage(spark, sf_dir):
     f"UNION ALL {_v('omission', obj='object_id', obl='obligation_id')} FROM obligations ANTI JOIN placed USING (material_id, obligation_id)) SELECT code, count(*) AS violations, count(DISTINCT material_id) AS materials FROM all_v GROUP BY code"
 )
 def a17_release_issues(spark, sf_dir):
-    objs, placed = objects(spark, sf_dir), _placed(spark, sf_dir)
-    found = op.all_rules(op.unknown(placed, objs, ["material_id", "object_id"], "unknown_object"), op.misquoted(placed.drop("obligation_id"), objs), op.omitted(obligations(objs), placed))
+    objs, placed = objects(spark, sf_dir, hint=None), _placed(spark, sf_dir)
+    found = op.all_rules(op.unknown(placed, objs, ["material_id", "object_id"], "unknown_object", few=True), op.misquoted(placed.drop("obligation_id"), objs), op.omitted(obligations(objs), placed))
     return found.groupBy("code").agg(F.count("*").alias("violations"), F.count_distinct("material_id").alias("materials"))
 
 

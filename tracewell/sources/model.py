@@ -25,10 +25,14 @@ def object_kind(text) -> F.Column:
     )
 
 
-def line_objects(docs: DataFrame) -> DataFrame:
-    """(material_id, object_id, ord, kind, text, locator): the non-blank lines of each document."""
+def line_objects(docs: DataFrame, hint: str | None = "merge") -> DataFrame:
+    """(material_id, object_id, ord, kind, text, locator): the non-blank lines of each document.
+
+    Without ``hint``, the next join must set its strategy by the other side.
+    """
     lines = docs.select(F.col("doc_id").alias("material_id"), F.posexplode(F.split("text", "\n")).alias("ord", "text"))
-    return lines.where(F.trim("text") != "").hint("merge").select(
+    lines = lines.where(F.trim("text") != "")
+    return (lines.hint(hint) if hint else lines).select(
         "material_id",
         F.format_string("src-%05d", F.col("ord") + 1).alias("object_id"),
         F.col("ord").cast("long").alias("ord"),
@@ -38,8 +42,8 @@ def line_objects(docs: DataFrame) -> DataFrame:
     )
 
 
-def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_objects(table(spark, sf_dir, "documents"))
+def objects(spark: SparkSession, sf_dir: str, hint: str | None = "merge") -> DataFrame:
+    return line_objects(table(spark, sf_dir, "documents"), hint)
 
 
 def quantities(text) -> F.Column:
