@@ -739,3 +739,13 @@ def test_closure_makes_each_way_of_a_chain_once(spark, monkeypatch):
     monkeypatch.setattr(type(chain), "unionByName", lambda self, other: made.append(other.count()) or kept(self, other))
     assert versions.prerequisite_closure(chain).count() == 136
     assert sum(made) == 136 - 16
+
+
+def test_concepts_meet_one_row_of_each_source(spark):
+    from tracewell.operators import planning
+
+    units = spark.createDataFrame([(9, 1), (4, 1), (7, 2), (None, 2), (3, None)], "place long, source long")
+    concepts = spark.createDataFrame([(1, None, 1), (2, None, 2), (3, 8, 1), (4, None, 5)], "concept long, planned long, source long")
+    placed = planning.placements(units, concepts, spark.createDataFrame([(3, 2)], "concept long, place long"))
+    assert sorted(map(tuple, placed.collect())) == [(1, 4, "first source"), (2, 7, "first source"), (3, 2, "first use"), (4, None, "no place")]
+    assert "Aggregate [source" in placed._jdf.queryExecution().optimizedPlan().toString()

@@ -49,7 +49,8 @@ def placements(units: DataFrame, concepts: DataFrame, uses: DataFrame) -> DataFr
     the concept is drawn from (one row each); ``uses(concept, place)``: units that require it.  A concept without a planned place goes to the first
     unit that bears one of its sources; one that is required earlier than introduced goes to where it is first used.  No place: null.
     """
-    borne = concepts.hint("merge").join(units, "source").groupBy("concept").agg(F.min("place").alias("borne"))
+    bearing = units.groupBy("source").agg(F.min("place").alias("place"))  # a row for each source: concepts never meet all its units
+    borne = concepts.hint("merge").join(bearing, "source").groupBy("concept").agg(F.min("place").alias("borne"))
     first = uses.groupBy("concept").agg(F.min("place").alias("used"))
     met = concepts.groupBy("concept").agg(F.min("planned").alias("planned")).hint("merge").join(borne, "concept", "left").join(first.hint("merge"), "concept", "left")
     own = F.coalesce("planned", "borne")
