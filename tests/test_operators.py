@@ -749,3 +749,17 @@ def test_concepts_meet_one_row_of_each_source(spark):
     placed = planning.placements(units, concepts, spark.createDataFrame([(3, 2)], "concept long, place long"))
     assert sorted(map(tuple, placed.collect())) == [(1, 4, "first source"), (2, 7, "first source"), (3, 2, "first use"), (4, None, "no place")]
     assert "Aggregate [source" in placed._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_plans_are_dealt_over_tasks_of_bounded_rows(spark, monkeypatch):
+    from tracewell.operators import drafting
+    from tracewell.plans import staging
+
+    monkeypatch.setattr(staging, "TASK_ROWS", 3)
+    units = spark.createDataFrame([(p, f"u{k}", f"f{k}") for p in range(9) for k in range(3)], "plan long, unit string, fact string")
+    missing = spark.createDataFrame([(p, "m") for p in range(9)] + [(None, "m")], "plan long, fact string")
+    assigned = spark.createDataFrame([(p, f, u) for p in range(9) for f, u in [("m", "u0")] * (1 + (p == 1)) + [("n", "u1")] * (p == 2) if p != 3] + [(4, "m", None), (None, "m", "u0")], "plan long, fact string, unit string")
+    after, refused = drafting.covered_plans(units, missing, assigned)
+    assert refused.rdd.getNumPartitions() == staging.task_count(units) == 9
+    assert {r.plan: r.reason for r in refused.collect()} == {1: "assigned twice", 2: "fact not missing", 3: "fact not assigned", 4: "assigned twice", None: "fact not assigned"}
+    assert after.where("fact = 'm'").count() == 6  # those of plans 0 and 5 to 8, and the one without a plan

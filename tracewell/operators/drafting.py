@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.plans.staging import task_count
+
 # Headings that name a metadata section.
 INFO_LABELS = ("文章标题、作者与机构信息", "作者与机构信息", "作者及机构信息", "出版信息", "文章元数据", "文献元数据", "Author Affiliations", "Publication Information", "Article Metadata")
 
@@ -132,15 +134,19 @@ def repair_scopes(findings: DataFrame, plan: DataFrame, replan: DataFrame) -> tu
 def covered_plans(units: DataFrame, missing: DataFrame, assigned: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(facts of each unit after the patch, refused plans): every missing fact goes once to a known unit, and nothing else does.
 
-    ``units(plan, unit, fact)``, ``missing(plan, fact)``, ``assigned(plan, fact, unit)``; the result only adds.
+    ``units(plan, unit, fact)``, ``missing(plan, fact)``, ``assigned(plan, fact, unit)``; the result only adds.  Units are counted, and tables dealt
+    over so many tasks that a task has about as many rows at any size.
     """
-    counted = assigned.groupBy("plan", "fact").agg(F.count("*").alias("n"))
-    met = missing.select("plan", "fact").distinct().withColumn("asked", F.lit(True)).hint("merge").join(counted, ["plan", "fact"], "full")
+    n_tasks = task_count(units)
+    by_fact = lambda df: df.repartition(n_tasks, "plan", "fact")
+    counted = by_fact(assigned.select("plan", "fact")).groupBy("plan", "fact").agg(F.count("*").alias("n"))
+    met = by_fact(missing.select("plan", "fact")).distinct().withColumn("asked", F.lit(True)).hint("merge").join(counted, ["plan", "fact"], "full")
     fault = F.when(F.col("asked").isNull(), "fact not missing").when(F.col("n").isNull(), "fact not assigned").when(F.col("n") > 1, "assigned twice")
     uneven = met.select("plan", fault.alias("reason")).where("reason is not null")
-    unknown = assigned.hint("merge").join(units.select("plan", "unit").distinct(), ["plan", "unit"], "left_anti").select("plan", F.lit("unknown unit").alias("reason"))
-    refused = uneven.unionByName(unknown).groupBy("plan").agg(F.min("reason").alias("reason"))
-    added = assigned.select("plan", "unit", "fact").hint("merge").join(refused, "plan", "left_anti")
+    known = units.select("plan", "unit").repartition(n_tasks, "plan", "unit")
+    unknown = assigned.select("plan", "unit").repartition(n_tasks, "plan", "unit").hint("merge").join(known, ["plan", "unit"], "left_anti").select("plan", F.lit("unknown unit").alias("reason"))
+    refused = uneven.unionByName(unknown).repartition(n_tasks, "plan").groupBy("plan").agg(F.min("reason").alias("reason"))
+    added = assigned.select("plan", "unit", "fact").repartition(n_tasks, "plan").hint("merge").join(refused, "plan", "left_anti")
     return units.select("plan", "unit", "fact").unionByName(added), refused
 
 

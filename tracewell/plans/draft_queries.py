@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracewell.operators import drafting as op
+from tracewell.plans.staging import task_count
 from tracewell.registry import query
 from tracewell.sources.model import BLOCKS_SQL, OBJECTS_SQL, blocks, objects, table
 
@@ -135,7 +136,7 @@ def a31_repair_scope(spark, sf_dir):
 def a32_coverage_patch(spark, sf_dir):
     """Orders as plans whose lines hold a fact each; two facts are missing, and assigned well in two of six."""
     units = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("plan"), F.col("l_linenumber").cast("string").alias("unit"), F.concat(F.lit("f"), "l_linenumber").alias("fact"))
-    plans = units.groupBy("plan").agg(F.min("unit").alias("unit")).withColumn("k", F.col("plan") % 6)
+    plans = units.select("plan", "unit").repartition(task_count(units), "plan").groupBy("plan").agg(F.min("unit").alias("unit")).withColumn("k", F.col("plan") % 6)
     missing = plans.select("plan", F.explode(F.array(F.lit("m1"), F.lit("m2"))).alias("fact"))
     facts = F.when(F.col("k") == 1, F.array(F.lit("m1"), F.lit("m2"), F.lit("m2"))).when(F.col("k") == 2, F.array(F.lit("m1"))).when(F.col("k") == 3, F.array(F.lit("m1"), F.lit("m2"), F.lit("f1"))).otherwise(F.array(F.lit("m1"), F.lit("m2")))
     assigned = plans.select("plan", F.explode(facts).alias("fact"), F.when(F.col("k") == 4, "none").otherwise(F.col("unit")).alias("unit"))

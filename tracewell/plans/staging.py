@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows that a task sorts or hashes, where tables are dealt by ``task_count``.
+TASK_ROWS = 1_000_000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder; sets a local one only for local sessions that name none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,6 +33,11 @@ def staged_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
 
 
+def task_count(rows: DataFrame) -> int:
+    """Partitions for ``rows``, which are counted: the session's, or more, so that a task has about ``TASK_ROWS``."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ROWS))
+
+
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back."""
     path = staged_path(df.sparkSession, name)
