@@ -504,6 +504,28 @@ def test_words_stand_alone(spark):
     assert sorted((r.k, r.literal) for r in lit.held_words(df, words, ["k"]).collect()) == [(1, "c++"), (1, "cat"), (3, "longest-word")]
 
 
+def test_words_of_letters_meet_the_runs_of_a_text(spark, monkeypatch):
+    """One pass over the texts and one join, no text again for each word that it may hold; a list too long for a broadcast gives the same."""
+    import re
+
+    from tracewell.operators import literals as lit
+
+    monkeypatch.setattr(lit, "held", None)
+    rng = random.Random(4)
+    texts = [(i % 9, "".join(rng.choice("ab. é\n") for _ in range(rng.randint(0, 30)))) for i in range(80)] + [(None, "ab"), (2, None), (2, ""), (3, "ab ab"), (3, "ab ab"), (4, "\n"), (5, "a b")]
+    words = ["a", "b", "ab", "ba", "aab", "", "a", None]
+    df = spark.createDataFrame(texts, "k long, text string")
+    by_hand = sorted(((k, x) for k, t in texts if t is not None for x in set(words) - {None} if re.search(f"(?<![a-z]){x}(?![a-z])", t)), key=str)
+    wanted = spark.createDataFrame([(x,) for x in words], "literal string")
+    got = lit.held_words(df, wanted, ["k"])
+    assert rows(got, "k", "literal") == by_hand
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the words' broadcast
+    monkeypatch.setattr(lit, "small", lambda df: binding.small(df, 2))
+    long = lit.held_words(df, wanted, ["k"])
+    assert "Broadcast" not in long._jdf.queryExecution().executedPlan().toString()
+    assert rows(long, "k", "literal") == by_hand
+
+
 def test_many_literals_meet_texts_without_a_nested_loop(spark):
     """More literals than a broadcast list may have, joined by their rare grams."""
     from tracewell.operators import literals as lit

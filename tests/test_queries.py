@@ -47,3 +47,17 @@ def test_query(spark, duck, name):
         places = [rel.columns.index(c) for c in columns]
         assert sorted(rel.columns) == columns
         assert found == sorted((tuple(plain(r[i]) for i in places) for r in rel.fetchall()), key=str)
+
+
+def test_triggers_of_odd_items(spark, tmp_path):
+    """Items without letters, null and capital ones: their trigger is empty, missing or lower-cased as the SQL does."""
+    docs = [(1, "The cat."), (1, "The cat."), (2, "concat"), (3, ""), (4, None), (5, "x, y"), (6, "a.b"), (7, "İstanbul, in"), (None, "the 中 end"), (8, "ISTANBUL\n"), (9, "K\u212a")]
+    items = ["The 1", "1 2", "", None, "İSTANBUL is", "中", "cat", "\u212aK", "in"]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, x) for i, x in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    connection = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        connection.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    expected = connection.sql(catalog.oracle_sql()["j15_glossary_triggers"]).fetchall()
+    got = [tuple(r) for r in catalog.queries()["j15_glossary_triggers"](spark, str(tmp_path)).collect()]
+    assert ("" in {x for _, x in expected}) and sorted(got, key=str) == sorted(expected, key=str)

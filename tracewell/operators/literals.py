@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.binding import small
 from tracewell.plans.staging import stage
 
 #: Bytes of a gram, bits of the sieve, and short literals of an automaton.
@@ -141,6 +142,19 @@ def held(texts: DataFrame, literals: DataFrame, keys: list[str], text: str = "te
 
 
 def held_words(texts: DataFrame, words: DataFrame, keys: list[str], text: str = "text", word: str = "literal", within: str = "[a-z]") -> DataFrame:
-    """``held``, but a word counts only where no character of the class ``within`` stands next to it."""
+    """(keys, word) for each row of ``texts`` and each word in its text with no character of the class ``within`` next to it.
+
+    A word of such characters alone is a whole run of them, and the empty word stands where neither side has one.  So each text is cut into its
+    distinct runs once, which meet those words in an equi-join.  Words with other characters are ``held``, and their surroundings looked at.
+    """
+    wanted = stage(words.select(F.col(word).cast("string").alias(word)).where(F.col(word).isNotNull()).distinct(), "words")
+    alone = F.col(word).rlike(f"\\A{within}*\\z")
+    runs = F.regexp_extract_all(text, F.lit(f"{within}+"), F.lit(0))
+    gaps = F.when(F.col(text).rlike(f"(?<!{within})(?!{within})"), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    found = texts.select(*keys, F.explode(F.array_distinct(F.concat(runs, gaps))).alias(word)).hint("merge")
+    met = found.join(small(wanted.where(alone)), word).select(*keys, word)
+    others = wanted.where(~alone)
+    if others.isEmpty():
+        return met
     quoted = F.concat(F.lit(f"(?<!{within})\\Q"), F.replace(F.col(word), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(f"\\E(?!{within})"))
-    return held(texts, words, keys, text, word).withColumn("__shape", quoted).where(F.expr(f"rlike(`{text}`, __shape)")).drop("__shape")
+    return met.unionByName(held(texts, others, keys, text, word).withColumn("__shape", quoted).where(F.expr(f"rlike(`{text}`, __shape)")).select(*keys, word))
